@@ -2,4 +2,5 @@
 
 from ledgerlens.plans import (  # noqa: F401
     q_concentration,
+    q_overview,
 )
