@@ -35,35 +35,49 @@ def _order_cols(order: Sequence) -> list[Column]:
 
 
 def ordered_prefix(df: DataFrame, order: Sequence, sums: dict[str, Column],
-                   inclusive: bool = True, partitions: int | None = None) -> DataFrame:
-    """Add running sums over a total order of ``df``.
+                   inclusive: bool = True, partitions: int | None = None,
+                   partition_by: Sequence[str] = (), totals: dict[str, str] | None = None) -> DataFrame:
+    """Add running sums over a total order of ``df``, restarting per
+    ``partition_by`` group.
 
     ``order``: column names (ascending), ``(name, ascending)`` pairs or Columns;
     callers include a tiebreak so the order is total. ``sums`` maps output
     name to the expression summed. ``inclusive`` counts the row itself.
+    ``totals`` maps a sum name to an output column holding its group total.
+
+    Rows are range-partitioned on (group, order); the per-(partition, group)
+    totals table has at most partitions + groups rows, so the offsets of
+    each partition within its group come from a small window over it.
     """
     spark = df.sparkSession
     n = partitions or shuffle_partitions(spark)
+    by = list(partition_by)
     keep = df.columns
     weights = {name: f"_ll_w{i}" for i, name in enumerate(sums)}
     staged = df.select("*", *[expr.alias(weights[name]) for name, expr in sums.items()])
     ocols = _order_cols(order)
-    ranged = staged.repartitionByRange(n, *ocols).withColumn(_PID, F.spark_partition_id())
+    ranged = (staged.repartitionByRange(n, *[F.col(b).asc_nulls_last() for b in by], *ocols)
+                    .withColumn(_PID, F.spark_partition_id()))
     ranged = reliable_checkpoint(ranged)
 
-    totals = ranged.groupBy(_PID).agg(*[F.sum(w).alias(w) for w in weights.values()])
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        _PID, *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_off") for w in weights.values()])
-    offsets = bounded_broadcast(offsets, n, "partition offsets")
+    part_tot = ranged.groupBy(_PID, *by).agg(*[F.sum(w).alias(w) for w in weights.values()])
+    grp = Window.partitionBy(*by)
+    before = grp.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part_tot.select(
+        _PID, *by,
+        *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_off") for w in weights.values()],
+        *[F.sum(weights[s]).over(grp).alias(out) for s, out in (totals or {}).items()])
+    if not by:
+        offsets = bounded_broadcast(offsets, n, "partition offsets")
 
     end = Window.currentRow if inclusive else -1
-    inside = Window.partitionBy(_PID).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, end)
-    joined = ranged.join(offsets, _PID)
+    inside = Window.partitionBy(_PID, *by).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, end)
+    joined = ranged.join(offsets, [_PID, *by])
     return joined.select(
         *keep,
         *[(F.col(f"{w}_off") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(name)
-          for name, w in weights.items()])
+          for name, w in weights.items()],
+        *[F.col(out) for out in (totals or {}).values()])
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -74,16 +88,13 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def midranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Average ranks (ties share the mean rank) of ``value``, pooled over ``by``
-    groups if given. Returns (by..., value, _c, midrank); one row per distinct
-    value (per group)."""
+    """Average ranks (ties share the mean rank) of ``value`` within each
+    ``by`` group (or overall). Returns (by..., value, _c, midrank, _n); one
+    row per distinct value (per group); _n is the group size."""
     vc = value_counts(df, value, by)
-    pre = ordered_prefix(vc, [*by, value], {"_before": F.col("_c")}, inclusive=False)
-    if by:
-        starts = pre.groupBy(*by).agg(F.min("_before").alias("_start"))
-        pre = pre.join(starts, list(by)).withColumn("_before", F.col("_before") - F.col("_start")).drop("_start")
-    return pre.select(*by, value, "_c",
-                      (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias("midrank"))
+    pre = ordered_prefix(vc, [value], {"_before": F.col("_c")}, inclusive=False, partition_by=by,
+                         totals={"_before": "_n"})
+    return pre.select(*by, value, "_c", (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias("midrank"), "_n")
 
 
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
@@ -91,21 +102,16 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """Exact quantiles with linear interpolation (position (n-1)p, as in
     pandas, Spark ``percentile`` and SQL ``quantile_cont``), one row per group.
 
-    Works on the distinct-value table with global running counts, so no task
-    holds a whole group: each needed position is found by the one value whose
-    count interval covers it. Null/NaN-free input is the caller's concern.
+    Works on the distinct-value table with running counts per group, so no
+    task holds a whole group: each needed position is found by the one value
+    whose count interval covers it. Null/NaN-free input is the caller's concern.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     by = list(by)
     vc = value_counts(df, value, by)
-    pre = ordered_prefix(vc, [*by, value], {"_before": F.col("_c")}, inclusive=False)
-    stats = pre.groupBy(*by).agg(F.min("_before").alias("_start"), F.sum("_c").alias("_n"))
-    if by:
-        j = pre.join(stats, by)
-    else:
-        j = pre.withColumn("_k", F.lit(0)).join(
-            bounded_broadcast(stats.withColumn("_k", F.lit(0)), 1, "global count"), "_k")
-    pos = F.col("_before") - F.col("_start")
+    pre = ordered_prefix(vc, [value], {"_before": F.col("_c")}, inclusive=False, partition_by=by,
+                         totals={"_before": "_n"})
+    pos = F.col("_before")
     cover = []
     aggs = []
     for p, nm in zip(probs, names):
@@ -120,7 +126,7 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     anyc = cover[0]
     for c in cover[1:]:
         anyc = anyc | c
-    picked = j.where(anyc).groupBy(*by).agg(*aggs)
+    picked = pre.where(anyc).groupBy(*by).agg(*aggs)
     out = [F.col(b) for b in by]
     for nm in names:
         vlo, vhi, d = F.col(f"_{nm}_lo").cast("double"), F.col(f"_{nm}_hi").cast("double"), F.col(f"_{nm}_d")

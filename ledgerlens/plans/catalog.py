@@ -4,4 +4,5 @@ from ledgerlens.plans import (  # noqa: F401
     q_concentration,
     q_overview,
     q_profile,
+    q_correlation,
 )
