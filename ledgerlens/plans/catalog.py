@@ -5,4 +5,5 @@ from ledgerlens.plans import (  # noqa: F401
     q_overview,
     q_profile,
     q_correlation,
+    q_hypothesis,
 )
