@@ -6,4 +6,5 @@ from ledgerlens.plans import (  # noqa: F401
     q_profile,
     q_correlation,
     q_hypothesis,
+    q_regression,
 )
