@@ -29,13 +29,20 @@ DRILL_MIN_PP = 5.0
 
 def digit_string(v: Column) -> Column:
     """Digits of ``%.15g`` of |v| with non-digits removed and leading zeros
-    stripped ('' for 0)."""
+    stripped ('' for 0).
+
+    Built from fixed positions of the ``%.14e`` text ('d.dddddddddddddde±XX'):
+    mantissa digits are characters 1 and 3-16, the exponent starts at 18; only
+    the trailing-zero strip is a pattern. For values with 16-17 significant
+    digits the 15th digit can differ from C's rounding (Java formats from the
+    shortest decimal form); the leading one or two digits used by the tests
+    agree (checked on 100,000 random doubles and carry edge cases).
+    """
     e = F.format_string("%.14e", F.abs(v))
-    mant = F.regexp_replace(F.substring_index(e, "e", 1), r"\.", "")
+    mant = F.concat(F.substring(e, 1, 1), F.substring(e, 3, 14))
     mant = F.regexp_replace(mant, "0+$", "")
-    exp_txt = F.substring_index(e, "e", -1)
-    x = exp_txt.cast("int")
-    exp_digits = F.regexp_replace(exp_txt, r"[+-]", "")
+    x = F.substring(e, 18, 5).cast("int")
+    exp_digits = F.substring(e, 19, 4)
     sci = F.concat(mant, exp_digits)
     fixed_pos = F.when(F.length(mant) < x + 1, F.rpad(mant, x + 1, "0")).otherwise(mant)
     return (F.when(mant == "", F.lit(""))
@@ -45,18 +52,34 @@ def digit_string(v: Column) -> Column:
 
 
 def leading_digits(v: Column, digits: int = 1) -> Column:
-    """First digit (1-9) or first two digits (10-99) of |v|; null when the
-    value has fewer significant digits, is 0 or missing."""
-    ds = digit_string(v)
+    """First digit (1-9) or first two digits (10-99) of |v| as in the digit
+    string of ``%.15g``; null when the value has fewer significant digits,
+    is 0 or missing.
+
+    Read straight from the ``%.14e`` text: the first digit is its first
+    character; the second is the next mantissa digit unless digits 2-15 are
+    all zero, in which case %.15g prints a single significant digit followed
+    by exponent digits (scientific form, x < −4 or x ≥ 15), padding zeros
+    (x ≥ 1) or nothing.
+    """
+    e = F.format_string("%.14e", F.abs(v))
+    first = F.substring(e, 1, 1)
+    valid = first != "0"
     if digits == 1:
-        return F.when(F.length(ds) >= 1, F.substring(ds, 1, 1).cast("int"))
-    return F.when(F.length(ds) >= 2, F.substring(ds, 1, 2).cast("int"))
+        return F.when(valid, first.cast("int"))
+    x = F.substring(e, 18, 5).cast("int")
+    second = (F.when(F.substring(e, 3, 14) != "00000000000000", F.substring(e, 3, 1))
+               .when((x < -4) | (x >= 15), F.substring(e, 19, 1))
+               .when(x >= 1, F.lit("0")))
+    return F.when(valid & second.isNotNull(), F.concat(first, second).cast("int"))
 
 
-def _digits_frame(df: DataFrame, col: str, digits: int) -> DataFrame:
+def _digit_counts(df: DataFrame, col: str, digits: int) -> DataFrame:
+    """(digit, _c) over the digit domain."""
     lo, hi = DIGIT_RANGE[digits]
     d = leading_digits(numeric_of(df, col), digits)
-    return df.select(d.alias("digit")).where(F.col("digit").between(lo, hi))
+    counts = df.select(d.alias("digit")).groupBy("digit").agg(F.count(F.lit(1)).alias("_c"))
+    return counts.where(F.col("digit").between(lo, hi))
 
 
 def benford(df: DataFrame, col: str, digits: int = 1) -> DataFrame:
@@ -64,7 +87,7 @@ def benford(df: DataFrame, col: str, digits: int = 1) -> DataFrame:
     expected_p, diff, diff_pct (relative), diff_pp (percentage points)."""
     spark = df.sparkSession
     lo, hi = DIGIT_RANGE[digits]
-    counts = _digits_frame(df, col, digits).groupBy("digit").agg(F.count(F.lit(1)).alias("_c"))
+    counts = _digit_counts(df, col, digits)
     domain = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("digit"))
     tot = counts.agg(F.sum("_c").alias("_n")).withColumn("_k", F.lit(0))
     j = (domain.join(bounded_broadcast(counts, hi - lo + 1, "digit counts"), "digit", "left")

@@ -118,7 +118,7 @@ def fit_regression(df: DataFrame, y: str, xs: Sequence[str], key: str, kind: str
         total_w = sum(weights[lab] * c for lab, c in counts.items())
         stages.append(LogisticRegression(featuresCol="features", labelCol="label", weightCol="_w",
                                          regParam=1.0 / total_w, elasticNetParam=0.0, standardization=False,
-                                         maxIter=1000, tol=1e-9))
+                                         maxIter=1000, tol=1e-6))
         model = Pipeline(stages=stages).fit(train)
         pred = model.transform(test).withColumn("score", vector_to_array("probability")[1])
         n_classes = test.select("label").distinct().count()
