@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analyses this library rebuilds run on one table that is loaded once;
+there is no stream, watermark, event-time window or state in them, so this
+package holds no operators. Every operator is a plain DataFrame transform
+and can be applied to a micro-batch inside ``foreachBatch`` if a caller
+feeds files incrementally.
+"""
