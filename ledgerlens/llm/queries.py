@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, repetition
+from ledgerlens.llm import bpe, exact, packing, repetition, sharding
 from ledgerlens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,35 @@ def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of their decoding."""
     return bpe.encode_digests(documents(spark, sf_dir))
+
+
+@_query
+def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law ``rows``."""
+    placed = sharding.feistel_shards(documents(spark, sf_dir), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their place in 2048-token sequences."""
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+@_query
+def op9_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document, and the row of it that stays."""
+    docs = documents(spark, sf_dir)
+    groups = exact.progressive_groups(docs)
+    digests = exact.row_places(docs).select("row_key", F.unhex(exact.full_hash(F.col("text"))).alias("sha"))
+    return groups.join(digests, "row_key").select("doc_id", "keep_id", "group_size", "kept",
+                                                  F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+ORACLE["op9_progressive_dedup"] = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+      FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
