@@ -89,8 +89,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     gone = progressive_groups(docs).where(~F.col("kept")).select(F.col("row_key").alias("_ll_row"))
     return (docs.withColumn("_ll_row", F.monotonically_increasing_id())
-            .join(gone, "_ll_row", "left_anti").select(*[docs_col(c) for c in docs.columns]))
-
-
-def docs_col(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+            .join(gone, "_ll_row", "left_anti").drop("_ll_row"))
