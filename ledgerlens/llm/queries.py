@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact, jaccard, packing, repetition, sharding
+from ledgerlens.llm import bpe, exact, jaccard, packing, repetition, sharding, substring
 from ledgerlens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under 5-word shingle Jaccard of 0.8 or more."""
     return jaccard.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@_query
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated passages, with what was removed."""
+    out = substring.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "text", F.col("_ll_removed").alias("n_removed_words"),
+                      F.col("_ll_spans").alias("removed_spans"))
