@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact, jaccard, packing, repetition, sharding, substring
+from ledgerlens.llm import (bpe, classifier, exact, jaccard, packing, repetition, sharding, substring,
+                            token_output)
 from ledgerlens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,15 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "text", F.col("_ll_removed").alias("n_removed_words"),
                       F.col("_ll_spans").alias("removed_spans"))
+
+
+@_query
+def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return classifier.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_query
+def op2_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids in packed binary rows of 2048."""
+    return token_output.packed_rows(documents(spark, sf_dir))
