@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (bpe, classifier, exact, jaccard, packing, repetition, sharding, substring,
+from ledgerlens.llm import (bpe, classifier, exact, jaccard, katz, packing, repetition, sharding, substring,
                             token_output)
 from ledgerlens.llm.common import documents
 
@@ -88,3 +88,9 @@ def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids in packed binary rows of 2048."""
     return token_output.packed_rows(documents(spark, sf_dir))
+
+
+@_query
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff score of every document."""
+    return katz.katz_scores(documents(spark, sf_dir))

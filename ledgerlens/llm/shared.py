@@ -18,12 +18,11 @@ MESSAGE = pa.schema([("slice", pa.int64()), ("part", pa.int64()), ("counts", pa.
 MESSAGE_DDL = "slice long, part long, counts binary, hashes binary"
 
 
-def slice_key(number: int) -> int:
-    """Key of the task's number-th slice. A task that runs again reads the same
-    rows in the same order from its files, so keys and contents stay."""
-    from pyspark import TaskContext
-
-    return (TaskContext.get().partitionId() << 32) | number
+def slice_key(part: pa.RecordBatch) -> int:
+    """Key of a slice: the place (``row_key``) of its first row in the scan. A
+    task that runs again reads the same rows in the same order from its files,
+    so keys and contents stay."""
+    return part.column("row_key")[0].as_py()
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:

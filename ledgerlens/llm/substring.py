@@ -152,7 +152,7 @@ _UNIT = np.dtype([("kind", "u1"), ("length", "<u4")])
 
 def _send(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in enumerate(text_slices(batches, SLICE)):
+        for part in text_slices(batches, SLICE):
             units = Units(part.column("text"))
             unit, hashes = units.entries()
             head = np.zeros(part.num_rows, _HEAD)
@@ -162,7 +162,7 @@ def _send(parts: int):
             body["kind"], body["length"] = units.kind, units.length
             blob = (np.asarray([part.num_rows], "<i8").tobytes() + head.tobytes() + body.tobytes()
                     + units.start.astype("<u4").tobytes() + shared.part_of(hashes, parts).astype("<u4").tobytes())
-            yield from shared.scatter(shared.slice_key(number), 1, np.zeros(len(unit), np.int64), hashes, parts, False,
+            yield from shared.scatter(shared.slice_key(part), 1, np.zeros(len(unit), np.int64), hashes, parts, False,
                                       blob)
     return run
 
