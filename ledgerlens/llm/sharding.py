@@ -57,12 +57,13 @@ class Feistel:
         return a << low | b
 
     def _walk(self, x, step) -> np.ndarray:
-        x = step(np.asarray(x, np.uint64).copy())
+        x = np.asarray(x, np.uint64)
+        shape, x = x.shape, step(x.ravel().copy())
         out = np.flatnonzero(x >= self.n)
         while len(out):
             x[out] = step(x[out])
             out = out[x[out] >= self.n]
-        return x.astype(np.int64)
+        return x.astype(np.int64).reshape(shape)
 
     def place(self, number) -> np.ndarray:
         """Permuted numbers of row numbers."""
