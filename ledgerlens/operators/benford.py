@@ -27,30 +27,6 @@ SEVERITY_MAD = (0.015, 0.012)
 DRILL_MIN_PP = 5.0
 
 
-def digit_string(v: Column) -> Column:
-    """Digits of ``%.15g`` of |v| with non-digits removed and leading zeros
-    stripped ('' for 0).
-
-    Built from fixed positions of the ``%.14e`` text ('d.dddddddddddddde±XX'):
-    mantissa digits are characters 1 and 3-16, the exponent starts at 18; only
-    the trailing-zero strip is a pattern. For values with 16-17 significant
-    digits the 15th digit can differ from C's rounding (Java formats from the
-    shortest decimal form); the leading one or two digits used by the tests
-    agree (checked on 100,000 random doubles and carry edge cases).
-    """
-    e = F.format_string("%.14e", F.abs(v))
-    mant = F.concat(F.substring(e, 1, 1), F.substring(e, 3, 14))
-    mant = F.regexp_replace(mant, "0+$", "")
-    x = F.substring(e, 18, 5).cast("int")
-    exp_digits = F.substring(e, 19, 4)
-    sci = F.concat(mant, exp_digits)
-    fixed_pos = F.when(F.length(mant) < x + 1, F.rpad(mant, x + 1, "0")).otherwise(mant)
-    return (F.when(mant == "", F.lit(""))
-             .when((x < -4) | (x >= 15), sci)
-             .when(x < 0, mant)
-             .otherwise(fixed_pos))
-
-
 def leading_digits(v: Column, digits: int = 1) -> Column:
     """First digit (1-9) or first two digits (10-99) of |v| as in the digit
     string of ``%.15g``; null when the value has fewer significant digits,

@@ -2,9 +2,9 @@
 
 Pearson statistics for every driver come from **one** aggregation (a
 ``corr`` and a pair count per driver, each over that pair's own cleaned
-rows). Spearman ranks every pair's cleaned values with the distributed
-midrank (all pairs share one range-partitioned pass) and correlates the
-ranks joined back by value, so no row id and no single-task sort is needed.
+rows). Spearman counts every pair's cleaned (x, y) values first, ranks the
+counted values with the distributed midrank (all pairs share one
+range-partitioned pass) and correlates the ranks by weighted sums.
 Trend windows (rolling, lagged) run on the aggregated period series, whose
 length is bounded by the calendar.
 """
@@ -21,7 +21,7 @@ from ledgerlens.functions.dist import t_p2
 from ledgerlens.operators.filters import period_start
 from ledgerlens.operators.profile import normality_p
 from ledgerlens.operators.ranks import grouped_quantiles, midranks
-from ledgerlens.plans.runtime import bounded_broadcast
+from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint
 
 # Normal 97.5 % quantile for the Fisher interval and the
 # strength cut points on |r|.
@@ -39,13 +39,13 @@ def strength_label(r_abs: Column) -> Column:
 def fisher_ci(r: Column, n: Column) -> tuple[Column, Column]:
     ok = (n > 3) & (F.abs(r) < 0.9999)
     z = F.atanh(r)
-    se = 1.0 / F.sqrt((n - 3).cast("double"))
+    se = F.try_divide(F.lit(1.0), F.sqrt(F.greatest(n - 3, F.lit(0)).cast("double")))
     return F.when(ok, F.tanh(z - Z975 * se)), F.when(ok, F.tanh(z + Z975 * se))
 
 
 def corr_p(r: Column, n: Column) -> Column:
     """Two-sided p of r under H0 (t with n−2 dof), as for Pearson and Spearman."""
-    t = r * F.sqrt((n - 2).cast("double") / (1 - r * r))
+    t = r * F.sqrt(F.try_divide((n - 2).cast("double"), F.greatest(1 - r * r, F.lit(0.0))))
     return F.when(n > 2, F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_p2(t, n - 2)))
 
 
@@ -61,11 +61,21 @@ def _pairs_long(df: DataFrame, y: str, xs: Sequence[str], drop_neg: bool, drop_z
 
 
 def _spearman_pairs(long: DataFrame, key: str = "x") -> DataFrame:
-    """(key, n, r) with r the Pearson correlation of within-pair midranks."""
-    rx = midranks(long, "xv", by=[key]).select(key, "xv", F.col("midrank").alias("rx"))
-    ry = midranks(long, "yv", by=[key]).select(key, "yv", F.col("midrank").alias("ry"))
-    ranked = long.join(rx, [key, "xv"]).join(ry, [key, "yv"])
-    return ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("r"))
+    """(key, n, r) with r the Pearson correlation of within-pair midranks.
+
+    Rows are first counted by (key, xv, yv). Ranks join these counts as two
+    sums over values: the joint table is cut to (value, count) pairs, so no
+    raw row is ever joined, and AQE may split a value with many partners. r
+    comes from weighted sums of the centred ranks, whose mean is (n + 1) / 2."""
+    joint = reliable_checkpoint(long.groupBy(key, "xv", "yv").agg(F.count(F.lit(1)).alias("w")))
+    rx = midranks(joint, "xv", by=[key], weight="w").select(key, "xv", F.col("midrank").alias("rx"),
+                                                            F.col("_n").alias("n"))
+    ry = midranks(joint, "yv", by=[key], weight="w").select(key, "yv", F.col("midrank").alias("ry"))
+    ranked = joint.join(rx, [key, "xv"]).join(ry, [key, "yv"])
+    dx, dy = F.col("rx") - (F.col("n") + 1) / 2.0, F.col("ry") - (F.col("n") + 1) / 2.0
+    sums = ranked.groupBy(key).agg(F.sum("w").alias("n"), F.sum(F.col("w") * dx * dy).alias("_xy"),
+                                   F.sum(F.col("w") * dx * dx).alias("_xx"), F.sum(F.col("w") * dy * dy).alias("_yy"))
+    return sums.select(key, "n", F.try_divide("_xy", F.sqrt("_xx") * F.sqrt("_yy")).alias("r"))
 
 
 def correlation_table(df: DataFrame, y: str, xs: Sequence[str], method: str = "pearson",
@@ -127,24 +137,50 @@ def _listwise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return vals.where(cond)
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", min_rows: int = 3) -> DataFrame:
-    """Listwise-complete correlation matrix in long form (a, b, r), all
-    ordered pairs including the diagonal; empty when fewer than min_rows."""
-    lw = _listwise(df, cols)
+def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", min_rows: int = 3,
+                listwise: bool = True) -> DataFrame:
+    """Correlation matrix in long form (a, b, r), all ordered pairs with the
+    diagonal. ``listwise``: over the rows complete in all columns; empty when
+    fewer than min_rows. Else each pair over its own complete rows (null r
+    below min_rows), and columns that are all null or constant are dropped."""
+    cols = list(cols)
+    if listwise:
+        vals = _listwise(df, cols)
+    else:
+        vals = df.select(*[numeric_of(df, c).alias(c) for c in cols])
+        spread = vals.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
+                          *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+        cols = [c for i, c in enumerate(cols) if spread[f"lo{i}"] is not None and spread[f"lo{i}"] < spread[f"hi{i}"]]
+        vals = vals.select(*cols)
+    schema = "a string, b string, r double"
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if method == "pearson":
-        wide = lw.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-        rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r"))
+        both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
+        wide = vals.agg(F.count(F.lit(1)).alias("_n"),
+                        *[F.corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias(f"c{i}")
+                          for i, ((a, b), ok) in enumerate(zip(pairs, both))],
+                        *[F.sum(ok.cast("long")).alias(f"n{i}") for i, ok in enumerate(both)])
+        wide = wide.where(F.col("_n") >= min_rows) if listwise else wide
+        rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
+                         F.when((F.col(f"n{i}") >= min_rows) & ~F.isnan(F.col(f"c{i}")), F.col(f"c{i}")).alias("r"))
                 for i, (a, b) in enumerate(pairs)]
-        upper = wide.where(F.col("_n") >= min_rows).select(F.inline(F.array(*rows)))
+        upper = wide.select(F.inline(F.array(*rows))) if pairs else df.sparkSession.createDataFrame([], schema)
     else:
-        items = [F.struct(F.lit(f"{a}\u0001{b}").alias("x"), F.col(a).alias("xv"), F.col(b).alias("yv"))
-                 for a, b in pairs]
-        long = lw.select(F.explode(F.array(*items)).alias("_p")).select("_p.*")
-        per = _spearman_pairs(long).where(F.col("n") >= min_rows)
-        parts = F.split(F.col("x"), "\u0001")
-        upper = per.select(parts[0].alias("a"), parts[1].alias("b"), "r")
-    diag = lw.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).select(
+        items = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
+                        F.struct(F.lit(i).alias("x"), F.col(a).alias("xv"), F.col(b).alias("yv")))
+                 for i, (a, b) in enumerate(pairs)]
+        names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
+                                                "x int, a string, b string")
+        if pairs:
+            long = vals.select(F.explode(F.array(*items)).alias("_p")).where("_p is not null").select("_p.*")
+            per = _spearman_pairs(long).where(F.col("n") >= min_rows)
+            upper = names.join(per, "x", "inner" if listwise else "left").select("a", "b", "r")
+        else:
+            upper = names.select("a", "b", F.lit(None).cast("double").alias("r"))
+    lw = vals.agg(F.count(F.lit(1)).alias("_n"))
+    diag = (lw.where(F.col("_n") >= min_rows) if listwise else lw).select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r")) for c in cols])))
     lower = upper.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
     return upper.unionByName(lower).unionByName(diag)
@@ -201,7 +237,7 @@ def trend_series(df: DataFrame, time: str, y: str, x: str, y_agg: str = "sum", x
     """Y and X aggregated (sum or mean) per period; the frequency used is the
     first of [freq, Q, M] giving at least ``min_periods`` periods (the
     distinct-period counts of all three come from one aggregation). Adds
-    index_100 columns (value / first period's value · 100)."""
+    index_100 columns (value / first period's value · 100; null when that is 0)."""
     t = clean_time_of(df, time)
     ok, xc, yc = clean_pair_expr(numeric_of(df, x), numeric_of(df, y), drop_neg, drop_zero, log10)
     base = df.select(t.alias("_t"), yc.alias("y"), xc.alias("x"), ok.alias("_ok")).where(
@@ -221,8 +257,8 @@ def trend_series(df: DataFrame, time: str, y: str, x: str, y_agg: str = "sum", x
         agg(y_agg, F.col("y")).alias("y"), agg(x_agg, F.col("x")).alias("x"))
     w = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return g.select(F.lit(used).alias("freq"), "period", "y", "x",
-                    (F.col("y") / F.first("y").over(w) * 100.0).alias("y_index"),
-                    (F.col("x") / F.first("x").over(w) * 100.0).alias("x_index"))
+                    (F.try_divide("y", F.first("y").over(w)) * 100.0).alias("y_index"),
+                    (F.try_divide("x", F.first("x").over(w)) * 100.0).alias("x_index"))
 
 
 def rolling_corr(series: DataFrame, win: int = 6) -> DataFrame:
@@ -262,16 +298,15 @@ def first_last_change(series: DataFrame) -> DataFrame:
 
 
 def spearman_recommended(df: DataFrame, cols: Sequence[str], min_n: int = 50) -> DataFrame:
-    """Per column (first 20) with n ≥ min_n: |skew| > 1, |kurt| > 3, share
+    """Per column with n ≥ min_n: |skew| > 1, |kurt| > 3, share
     above p99 > 2 %, or normality p < .05 (n > 20) → recommend Spearman.
     (column, n, skew, kurt, tail_share, p_normal, recommend)."""
     from ledgerlens.operators.profile import long_values
-    cols = list(cols)[:20]
     lv = long_values(df, cols).where(F.col("v").isNotNull())
     p99 = grouped_quantiles(lv, "v", [0.99], by=["column"], names=["p99"])
     mom = lv.groupBy("column").agg(F.count("v").alias("n"), F.skewness("v").alias("skew"),
                                    F.kurtosis("v").alias("kurt"))
-    tail = lv.join(p99, "column").groupBy("column").agg(
+    tail = lv.join(bounded_broadcast(p99, len(cols), "one row a column"), "column").groupBy("column").agg(
         F.avg((F.col("v") > F.col("p99")).cast("double")).alias("tail_share"))
     j = mom.join(tail, "column").where(F.col("n") >= min_n)
     n = F.col("n")

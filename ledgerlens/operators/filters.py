@@ -1,7 +1,7 @@
 """Drill-down filters, period labels, value lists, mappings and top-N
 bucketing (§2.2). All are projections, ``where`` clauses or small
-aggregations; large membership lists become a broadcast left-semi join whose
-size is the (driver-side, already known) list length."""
+aggregations; a list of chosen values is a left-semi join, whatever its length
+(the session's size threshold and AQE decide how it is carried out)."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from ledgerlens.functions.clean import clean_time_of, normalize_text, normalize_
 from ledgerlens.plans.runtime import bounded_broadcast
 
 FREQS = {"month": "month", "quarter": "quarter", "year": "year"}
-ISIN_LIMIT = 1000   # longer value lists go through a broadcast semi join
 NA_LABEL = "(NA)"
 
 
@@ -38,14 +37,11 @@ def as_text(col: str | Column) -> Column:
 
 
 def _member(df: DataFrame, expr: Column, values: Sequence, tag: str) -> DataFrame:
-    vals = [str(v) for v in values]
-    if len(vals) <= ISIN_LIMIT:
-        return df.where(expr.isin(vals))
-    spark = df.sparkSession
-    lookup = spark.createDataFrame([(v,) for v in sorted(set(vals))], f"{tag} string")
-    return (df.withColumn(tag, expr)
-              .join(bounded_broadcast(lookup, len(vals), "chosen values"), tag, "left_semi")
-              .drop(tag))
+    import pandas as pd
+
+    chosen = pd.DataFrame({tag: sorted({str(v) for v in values})})
+    lookup = df.sparkSession.createDataFrame(chosen, f"{tag} string")
+    return df.withColumn(tag, expr).join(lookup, tag, "left_semi").drop(tag)
 
 
 def drilldown_filter(df: DataFrame, filters: dict[str, Sequence] | None = None, time: str | None = None,
@@ -100,11 +96,14 @@ def latest_year(df: DataFrame, time: str) -> int | None:
 
 
 def year_scope(df: DataFrame, time: str, year: int | str | None = None) -> DataFrame:
-    """Rows of one year ('All' keeps everything); default is the latest year."""
+    """Rows of one year ('All' keeps everything); default is the latest year
+    (no row when no date is valid)."""
     if year == "All":
         return df
     if year is None:
         year = latest_year(df, time)
+        if year is None:
+            return df.where(F.lit(False))
     return df.where(F.year(clean_time_of(df, time)) == int(year))
 
 

@@ -3,12 +3,13 @@ Brown-Forsythe Levene, two-way Type-II ANOVA, repeated-measures ANOVA,
 Mann-Whitney, Kruskal-Wallis, Wilcoxon signed-rank, Friedman, and Holm-
 adjusted post-hoc pairs.
 
-Rows are only ever reduced by partial-aggregated groupBys: per-group
-sufficient statistics (n, mean, variance), per-(group, value) counts feeding
-the distributed midrank, per-(subject, condition) means. Groups are first
-bucketed to the top 10 levels plus 'Other', so every table joined or
-windowed after that has at most 11 group rows or 55 pair rows; the two-way
-ANOVA solves its least squares on at most 99 cell rows on the driver.
+The fact table is read once: ``group_counts`` aggregates it to (group, value,
+count) and checkpoints that; the top levels, the merge of the others, the
+moments, medians and midranks all come from this table. Groups are bucketed to
+the top levels plus 'Other', so every table joined or windowed after that has
+at most top + 1 group rows or their pairs; the two-way ANOVA solves its least
+squares on the cells of the kept levels on the driver. Statistics that are not
+defined (zero variance, all values tied, one group) come out as null.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.clean import numeric_of
 from ledgerlens.functions.dist import chi2_p, f_p, f_sf, norm_p2, t_p2
-from ledgerlens.operators.filters import bucket_other
+from ledgerlens.operators.filters import NA_LABEL, as_text, bucket_other
 from ledgerlens.operators.ranks import grouped_quantiles, midranks
-from ledgerlens.plans.runtime import bounded_broadcast
+from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint
 
 # Group levels kept before 'Other' (factor A / factor B of the
 # two-way design), the 95 % multiplier of the group summary and the effect
@@ -35,34 +36,49 @@ CI_MULT = 1.96
 ETA_BANDS = (0.06, 0.14)
 R_BANDS = (0.3, 0.5)
 W_BANDS = (0.1, 0.3)
-MAX_GROUP_ROWS = TOP_GROUPS + 1
-MAX_PAIRS = MAX_GROUP_ROWS * (MAX_GROUP_ROWS - 1) // 2
 
 
-def prepare_groups(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, keep_na: bool = False) -> DataFrame:
-    """(g, y): group as text bucketed to the top levels by row count (rest
-    'Other'), numeric y; rows with missing y or group removed."""
-    base = df.select(numeric_of(df, y).alias("y"), F.col(g).alias("g"))
-    b = bucket_other(base, "g", top, keep_na=keep_na)
-    return b.where(F.col("y").isNotNull() & F.col("g").isNotNull())
+def group_counts(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, keep_na: bool = False) -> DataFrame:
+    """(g, y, c): how often each numeric y occurs in each group; group as text,
+    bucketed to the top levels by row count (rest 'Other'); rows with missing
+    y or group do not count, but a missing y counts for a level's size. One
+    pass over ``df``; the counted table is checkpointed."""
+    txt = as_text(g)
+    if keep_na:
+        txt = F.coalesce(txt, F.lit(NA_LABEL))
+    counted = reliable_checkpoint(df.select(txt.alias("g"), numeric_of(df, y).alias("y")).where("g is not null")
+                                  .groupBy("g", "y").agg(F.count(F.lit(1)).alias("c")))
+    levels = (counted.groupBy("g").agg(F.sum("c").alias("_w")).orderBy(F.col("_w").desc(), F.col("g").asc())
+              .limit(top).select("g", F.lit(True).alias("_keep")))
+    merged = counted.where("y is not null").join(bounded_broadcast(levels, top, "top levels"), "g", "left")
+    bucket = F.when(F.col("_keep"), F.col("g")).otherwise(F.lit("Other"))
+    return merged.groupBy(bucket.alias("g"), "y").agg(F.sum("c").alias("c"))
 
 
 def _one(df: DataFrame) -> DataFrame:
     return df.withColumn("_k", F.lit(0))
 
 
-def group_stats(gy: DataFrame) -> DataFrame:
-    """(g, n, mean, var) per group."""
-    return gy.groupBy("g").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var"))
+def group_stats(gc: DataFrame, top: int = TOP_GROUPS) -> DataFrame:
+    """(g, n, mean, var) per group of a counted table; var is null for n = 1.
+    Squares are summed about the group mean."""
+    mean = gc.groupBy("g").agg((F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("mean"))
+    dev = F.col("c") * (F.col("y") - F.col("mean")) ** 2
+    return (gc.join(bounded_broadcast(mean, top + 1, "group means"), "g").groupBy("g", "mean")
+            .agg(F.sum("c").alias("n"), F.sum(dev).alias("_m2"))
+            .select("g", "n", "mean", F.try_divide("_m2", (F.col("n") - 1).cast("double")).alias("var")))
+
+
+def group_medians(gc: DataFrame, name: str = "_med") -> DataFrame:
+    return grouped_quantiles(gc, "y", [0.5], by=["g"], names=[name], weight="c")
 
 
 def group_summary(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
     """Per group: n, mean, std (n−1), median, se, ci95 (= 1.96·se);
     undefined values shown as 0."""
-    gy = prepare_groups(df, y, g, top)
-    st = gy.groupBy("g").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"))
-    med = grouped_quantiles(gy, "y", [0.5], by=["g"], names=["median"])
-    j = st.join(med, "g")
+    gc = group_counts(df, y, g, top)
+    st = group_stats(gc, top).select("g", "n", "mean", F.sqrt("var").alias("std"))
+    j = st.join(group_medians(gc, "median"), "g")
     se = F.col("std") / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double"))
 
     def z(c: Column) -> Column:
@@ -81,27 +97,28 @@ def cell_means(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
 
 # ------------------------------------------------------------ parametric
 def _welch(ma, va, na, mb, vb, nb):
+    """t and dof; null when both groups have no variance."""
     sa, sb = va / na, vb / nb
-    t = (ma - mb) / F.sqrt(sa + sb)
-    dof = (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1))
+    t = F.try_divide(ma - mb, F.sqrt(sa + sb))
+    dof = F.try_divide((sa + sb) * (sa + sb), F.try_divide(sa * sa, na - 1) + F.try_divide(sb * sb, nb - 1))
     return t, dof
 
 
-def _ordered_stats(gy: DataFrame) -> DataFrame:
-    """Group stats with their rank by mean (descending, name on ties)."""
-    st = group_stats(gy)
+def _ordered_stats(gc: DataFrame, top: int) -> DataFrame:
+    """Group stats with their rank by mean (descending, name on ties) and the number of groups."""
     w = Window.orderBy(F.col("mean").desc(), F.col("g").asc())
-    return st.withColumn("_r", F.row_number().over(w))
+    return group_stats(gc, top).withColumn("_r", F.row_number().over(w)).withColumn(
+        "_k_groups", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
 
 
 def welch_t(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
-    """Welch t-test of the two groups with the highest means (the test the
-    reference runs when there are exactly two groups): group_a, group_b, t,
-    dof, p_value."""
-    st = _ordered_stats(prepare_groups(df, y, g, top))
+    """Welch t-test of exactly two groups (higher mean first): group_a,
+    group_b, t, dof, p_value. No row when there are not two groups, or when
+    one has a single value; null t where neither group varies."""
+    st = _ordered_stats(group_counts(df, y, g, top), top).where("_k_groups = 2")
     a = st.where(F.col("_r") == 1).select(*[F.col(c).alias(f"{c}_a") for c in ("g", "n", "mean", "var")])
     b = st.where(F.col("_r") == 2).select(*[F.col(c).alias(f"{c}_b") for c in ("g", "n", "mean", "var")])
-    j = _one(a).join(_one(b), "_k")
+    j = _one(a).join(_one(b), "_k").where((F.col("n_a") >= 2) & (F.col("n_b") >= 2))
     t, dof = _welch(F.col("mean_a"), F.col("var_a"), F.col("n_a"), F.col("mean_b"), F.col("var_b"), F.col("n_b"))
     return j.select(F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), t.alias("t"), dof.alias("dof"),
                     t_p2(t, dof).alias("p_value"))
@@ -109,7 +126,7 @@ def welch_t(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
 
 def _anova_from_stats(st: DataFrame) -> DataFrame:
     """One row: ssb, ssw, n, k from per-group (n, mean, var)."""
-    tot = st.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_gm"))
+    tot = st.agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n").cast("double")).alias("_gm"))
     j = _one(st).join(bounded_broadcast(_one(tot), 1, "grand mean"), "_k")
     return j.agg(F.sum(F.col("n") * (F.col("mean") - F.col("_gm")) ** 2).alias("ssb"),
                  F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"),
@@ -118,14 +135,15 @@ def _anova_from_stats(st: DataFrame) -> DataFrame:
 
 def anova_oneway(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
     """F, p_value, df1, df2, eta2, omega2, levene_p (median-centred), the
-    effect label on eta² and the group with the highest mean."""
-    gy = prepare_groups(df, y, g, top)
-    st = group_stats(gy)
+    effect label on eta² and the group with the highest mean. F is infinite
+    (p 0) where groups differ but do not vary inside, null where nothing
+    varies; levene_p is null where the deviations do not vary."""
+    gc = group_counts(df, y, g, top)
+    st = reliable_checkpoint(group_stats(gc, top))      # at most top + 1 rows
     a = _anova_from_stats(st)
-    med = grouped_quantiles(gy, "y", [0.5], by=["g"], names=["_med"])
-    dev = gy.join(bounded_broadcast(med, MAX_GROUP_ROWS, "group medians"), "g") \
-            .select("g", F.abs(F.col("y") - F.col("_med")).alias("y"))
-    lev = _anova_from_stats(group_stats(dev)).select(
+    dev = gc.join(bounded_broadcast(group_medians(gc), top + 1, "group medians"), "g") \
+            .select("g", F.abs(F.col("y") - F.col("_med")).alias("y"), "c")
+    lev = _anova_from_stats(reliable_checkpoint(group_stats(dev, top))).select(
         F.col("ssb").alias("l_ssb"), F.col("ssw").alias("l_ssw"), F.col("n").alias("l_n"), F.col("k").alias("l_k"))
     best = st.orderBy(F.col("mean").desc(), F.col("g").asc()).limit(1).select(F.col("g").alias("best_group"))
     j = _one(a).join(_one(lev), "_k").join(_one(best), "_k")
@@ -133,45 +151,53 @@ def anova_oneway(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFr
     df2 = F.greatest(F.col("n") - F.col("k"), F.lit(1)).cast("double")
     msb, msw = F.col("ssb") / F.greatest(df1, F.lit(1.0)), F.col("ssw") / df2
     sst = F.col("ssb") + F.col("ssw")
-    fstat = F.when(msw > 0, msb / msw).otherwise(F.lit(float("inf")))
+    fstat = F.coalesce(F.try_divide(msb, msw), F.when(msb > 0, F.lit(float("inf"))))
     l_df1 = (F.col("l_k") - 1).cast("double")
     l_df2 = F.greatest(F.col("l_n") - F.col("l_k"), F.lit(1)).cast("double")
-    l_f = (F.col("l_ssb") / F.greatest(l_df1, F.lit(1.0))) / (F.col("l_ssw") / l_df2)
-    eta2 = F.when(sst > 0, F.col("ssb") / sst)
+    l_f = F.try_divide(F.col("l_ssb") / F.greatest(l_df1, F.lit(1.0)), F.col("l_ssw") / l_df2)
+    eta2 = F.try_divide(F.col("ssb"), sst)
     ok = (F.col("k") >= 2) & (F.col("n") >= 3)
     return j.where(ok).select(
-        fstat.alias("f"), F.when(msw > 0, f_p(fstat, df1, df2)).otherwise(F.lit(0.0)).alias("p_value"),
+        fstat.alias("f"), F.when(msw > 0, f_p(fstat, df1, df2)).when(msb > 0, F.lit(0.0)).alias("p_value"),
         df1.alias("df1"), df2.alias("df2"), eta2.alias("eta2"),
-        F.when(sst + msw > 0, (F.col("ssb") - df1 * msw) / (sst + msw)).alias("omega2"),
+        F.try_divide(F.col("ssb") - df1 * msw, sst + msw).alias("omega2"),
         f_p(l_f, l_df1, l_df2).alias("levene_p"),
-        F.when(eta2 < ETA_BANDS[0], "weak").when(eta2 < ETA_BANDS[1], "medium").otherwise("strong").alias("strength"),
+        F.when(eta2 < ETA_BANDS[0], "weak").when(eta2 < ETA_BANDS[1], "medium").when(eta2.isNotNull(), "strong")
+        .alias("strength"),
         "best_group")
 
 
 def _holm(pairs: DataFrame, p: str = "p_raw") -> DataFrame:
-    """Holm step-down adjustment over a small pair table (≤ 55 rows)."""
-    w = Window.orderBy(F.col(p).asc(), F.col("group_a").asc(), F.col("group_b").asc())
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    r = F.row_number().over(w)
-    step = (m - r + 1) * F.col(p)
-    running = F.max(step).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return pairs.withColumn("p_adj_holm", F.least(running, F.lit(1.0)))
-
-
-def posthoc_welch_holm(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, k: int = 50) -> DataFrame:
-    """All group pairs (both n ≥ 2, order by mean descending): Welch p, Holm
-    adjustment, mean difference; smallest adjusted p first, top k."""
-    st = _ordered_stats(prepare_groups(df, y, g, top))
+    """Holm step-down adjustment over a pair table; pairs whose p is not
+    defined are no tests: they keep null and do not count."""
+    real = F.col(p).isNotNull()
+    part = Window.partitionBy(real)
+    w = part.orderBy(F.col(p).asc(), F.col("group_a").asc(), F.col("group_b").asc())
+    step = (F.count(F.lit(1)).over(part) - F.row_number().over(w) + 1) * F.col(p)
+    stepped = pairs.withColumn("_step", step)
+    running = F.max("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return stepped.withColumn("p_adj_holm", F.when(real, F.least(running, F.lit(1.0)))).drop("_step")
+
+
+def _first_pairs(out: DataFrame, k: int | None) -> DataFrame:
+    """Smallest adjusted p first; all pairs unless a report asks for the first k."""
+    out = out.orderBy(F.col("p_adj_holm").asc_nulls_last(), "group_a", "group_b")
+    return out if k is None else out.limit(k)
+
+
+def posthoc_welch_holm(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, k: int | None = None) -> DataFrame:
+    """All pairs of the kept groups (both n ≥ 2, order by mean descending): t,
+    dof, Welch p, Holm adjustment, mean difference; smallest adjusted p first.
+    The ordered group table (at most top + 1 rows) is joined with itself."""
+    st = reliable_checkpoint(_ordered_stats(group_counts(df, y, g, top), top))
     a = st.select(*[F.col(c).alias(f"{c}_a") for c in ("g", "n", "mean", "var", "_r")])
     b = st.select(*[F.col(c).alias(f"{c}_b") for c in ("g", "n", "mean", "var", "_r")])
-    pairs = a.join(bounded_broadcast(b, MAX_GROUP_ROWS, "group stats"), F.col("_r_a") < F.col("_r_b")) \
+    pairs = a.join(bounded_broadcast(b, top + 1, "group stats"), F.col("_r_a") < F.col("_r_b")) \
              .where((F.col("n_a") >= 2) & (F.col("n_b") >= 2))
     t, dof = _welch(F.col("mean_a"), F.col("var_a"), F.col("n_a"), F.col("mean_b"), F.col("var_b"), F.col("n_b"))
-    pp = pairs.select(F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), t_p2(t, dof).alias("p_raw"),
-                      (F.col("mean_a") - F.col("mean_b")).alias("mean_diff"))
-    out = _holm(pp)
-    return out.orderBy("p_adj_holm", "group_a", "group_b").limit(k).select(
-        "group_a", "group_b", "p_raw", "p_adj_holm", "mean_diff")
+    pp = pairs.select(F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), t.alias("t"), dof.alias("dof"),
+                      t_p2(t, dof).alias("p_raw"), (F.col("mean_a") - F.col("mean_b")).alias("mean_diff"))
+    return _first_pairs(_holm(pp), k).select("group_a", "group_b", "t", "dof", "p_raw", "p_adj_holm", "mean_diff")
 
 
 def anova_twoway(df: DataFrame, y: str, a: str, b: str, top_a: int = TOP_GROUPS, top_b: int = TOP_B) -> DataFrame:
@@ -180,8 +206,8 @@ def anova_twoway(df: DataFrame, y: str, a: str, b: str, top_a: int = TOP_GROUPS,
     (n, Σy, Σy² about the cell mean) come from Spark; the additive fit is a
     weighted least squares on the ≤ 99 cells."""
     base = df.select(numeric_of(df, y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
-    base = bucket_other(bucket_other(base, "a", top_a), "b", top_b)
     base = base.where(F.col("y").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
+    base = bucket_other(bucket_other(base, "a", top_a), "b", top_b)
     cells = base.groupBy("a", "b").agg(F.count("y").alias("n"), F.avg("y").alias("mean"),
                                        F.var_pop("y").alias("vpop")).collect()
     spark = df.sparkSession
@@ -239,7 +265,8 @@ def subject_condition_means(df: DataFrame, y: str, subject: str, cond: str) -> D
 
 def anova_rm(df: DataFrame, y: str, subject: str, cond: str) -> DataFrame:
     """Within-subject ANOVA on complete subjects: f, df1 = m−1,
-    df2 = (m−1)(n−1), p_value, n_subjects."""
+    df2 = (m−1)(n−1), p_value, n_subjects. F is infinite (p 0) where the
+    conditions differ without any error, null where nothing varies."""
     sc = subject_condition_means(df, y, subject, cond)
     grand = sc.agg(F.avg("y").alias("_gm"), F.count_distinct("cond").alias("_m"), F.count_distinct("id").alias("_n"))
     j = _one(sc).join(bounded_broadcast(_one(grand), 1, "grand"), "_k")
@@ -252,30 +279,31 @@ def anova_rm(df: DataFrame, y: str, subject: str, cond: str) -> DataFrame:
     r = _one(ss_c).join(_one(ss_s), "_k").join(_one(ss_t), "_k")
     df1 = (F.col("m") - 1).cast("double")
     df2 = ((F.col("m") - 1) * (F.col("n") - 1)).cast("double")
-    ss_e = F.col("ss_t") - F.col("ss_c") - F.col("ss_s")
-    f = (F.col("ss_c") / df1) / (ss_e / df2)
+    left = F.col("ss_t") - F.col("ss_c") - F.col("ss_s")
+    ss_e = F.when(left > 1e-12 * F.col("ss_t"), left).otherwise(F.lit(0.0))     # rounding is no error variance
+    f = F.try_divide(F.try_divide(F.col("ss_c"), df1), F.try_divide(ss_e, df2))
+    f = F.when(F.col("m") >= 2, F.coalesce(f, F.when((F.col("ss_c") > 0) & (df2 > 0), F.lit(float("inf")))))
     return r.select(f.alias("f"), df1.alias("df1"), df2.alias("df2"), f_p(f, df1, df2).alias("p_value"),
                     F.col("n").alias("n_subjects"))
 
 
 # ------------------------------------------------------------ rank tests
-def _rank_sums(gy: DataFrame, by_pair: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rank sums per group from pooled midranks, plus (n, tie term) per pool.
-    With ``by_pair`` the input carries a 'pair' column and ranks are pooled
-    within each pair."""
+def _rank_sums(gc: DataFrame, by_pair: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rank sums per group from pooled midranks of a counted table, plus (n,
+    tie term) per pool. With ``by_pair`` the input carries a 'pair' column and
+    ranks are pooled within each pair."""
     by = ["pair"] if by_pair else []
-    mr = midranks(gy, "y", by=by)
-    counts = gy.groupBy(*by, "g", "y").agg(F.count(F.lit(1)).alias("_cg"))
-    sums = counts.join(mr.select(*by, "y", "midrank"), [*by, "y"]) \
-        .groupBy(*by, "g").agg(F.sum(F.col("_cg") * F.col("midrank")).alias("rank_sum"),
-                               F.sum("_cg").alias("n_g"))
+    mr = midranks(gc, "y", by=by, weight="c")
+    sums = gc.join(mr.select(*by, "y", "midrank"), [*by, "y"]) \
+        .groupBy(*by, "g").agg(F.sum(F.col("c") * F.col("midrank")).alias("rank_sum"), F.sum("c").alias("n_g"))
     pool = mr.groupBy(*by).agg(F.sum("_c").alias("n"),
                                F.sum(F.col("_c").cast("double") ** 3 - F.col("_c")).alias("ties"))
     return sums, pool
 
 
 def _mw_from(sums: DataFrame, pool: DataFrame, first: Column, by: list[str]) -> DataFrame:
-    """U of the first group, |z| (continuity-corrected, tie-corrected) and n."""
+    """U of the first group, |z| (continuity-corrected, tie-corrected) and n;
+    z is null when all values are tied."""
     a = sums.where(first).select(*by, F.col("rank_sum").alias("r1"), F.col("n_g").alias("n1"))
     b = sums.where(~first).select(*by, F.col("n_g").alias("n2"))
     j = a.join(b, by) if by else _one(a).join(_one(b), "_k").drop("_k")
@@ -283,64 +311,72 @@ def _mw_from(sums: DataFrame, pool: DataFrame, first: Column, by: list[str]) ->
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("n").cast("double")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     u = F.greatest(u1, n1 * n2 - u1)
-    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (u - n1 * n2 / 2.0 - 0.5) / sd
-    return j.select(*by, u1.alias("u"), F.greatest(z, F.lit(0.0)).alias("z"), F.col("n"))
+    sd = F.sqrt(F.greatest(n1 * n2 / 12.0 * ((n + 1) - F.try_divide("ties", n * (n - 1))), F.lit(0.0)))
+    z = F.try_divide(u - n1 * n2 / 2.0 - 0.5, sd)
+    return j.select(*by, u1.alias("u"), F.when(z.isNotNull(), F.greatest(z, F.lit(0.0))).alias("z"), F.col("n"))
+
+
+def _r_strength(reff: Column) -> Column:
+    return (F.when(reff >= R_BANDS[1], "strong").when(reff >= R_BANDS[0], "medium").when(reff.isNotNull(), "weak")
+            .alias("strength"))
 
 
 def mann_whitney(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
-    """Two groups (order: median descending): u (of the first group), z
-    (tie- and continuity-corrected normal deviate), p_value, r_effect =
-    z/√n, strength (.3 / .5)."""
-    gy = prepare_groups(df, y, g, top)
-    med = grouped_quantiles(gy, "y", [0.5], by=["g"], names=["_med"])
+    """Exactly two groups (order: median descending): u (of the first group), z
+    (tie- and continuity-corrected normal deviate, at every size), p_value,
+    r_effect = z/√n, strength (.3 / .5). No row when there are not two groups;
+    null z when all values are tied."""
+    gc = group_counts(df, y, g, top)
+    med = reliable_checkpoint(group_medians(gc))
     first = med.orderBy(F.col("_med").desc(), F.col("g").asc()).limit(1).select(F.col("g").alias("_first"))
-    sums, pool = _rank_sums(gy)
-    sums = _one(sums).join(bounded_broadcast(_one(first), 1, "first group"), "_k").drop("_k")
+    two = med.agg(F.count(F.lit(1)).alias("_groups")).where("_groups = 2")
+    sums, pool = _rank_sums(gc)
+    sums = _one(sums).join(bounded_broadcast(_one(first), 1, "first group"), "_k") \
+        .join(bounded_broadcast(_one(two), 1, "two groups"), "_k", "left_semi").drop("_k")
     r = _mw_from(sums, pool, F.col("g") == F.col("_first"), [])
     reff = F.col("z") / F.sqrt(F.col("n").cast("double"))
-    return r.select("u", "z", norm_p2(F.col("z")).alias("p_value"), reff.alias("r_effect"),
-                    F.when(reff >= R_BANDS[1], "strong").when(reff >= R_BANDS[0], "medium").otherwise("weak")
-                    .alias("strength"))
+    return r.select("u", "z", norm_p2(F.col("z")).alias("p_value"), reff.alias("r_effect"), _r_strength(reff))
 
 
 def kruskal(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
     """h (tie-corrected), dof = k−1, p_value (χ²), eps2 = (H−(k−1))/(n−k),
-    strength (.06 / .14 on eps2)."""
-    gy = prepare_groups(df, y, g, top)
-    sums, pool = _rank_sums(gy)
+    strength (.06 / .14 on eps2). No row below two groups; null h when all
+    values are tied."""
+    gc = group_counts(df, y, g, top)
+    sums, pool = _rank_sums(gc)
     s = sums.agg(F.sum(F.col("rank_sum") ** 2 / F.col("n_g")).alias("_s"), F.count(F.lit(1)).alias("k"))
-    j = _one(s).join(_one(pool), "_k")
+    j = _one(s.where("k >= 2")).join(_one(pool), "_k")
     n = F.col("n").cast("double")
-    h = (12.0 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = F.try_divide(12.0 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1), 1 - F.try_divide("ties", n * n * n - n))
     dof = F.col("k") - 1
-    eps2 = F.when(n - F.col("k") > 0, (h - dof) / (n - F.col("k")))
+    eps2 = F.when(n - F.col("k") > 0, F.try_divide(h - dof, n - F.col("k")))
     return j.select(h.alias("h"), dof.alias("dof"), chi2_p(h, dof).alias("p_value"), eps2.alias("eps2"),
                     F.when(eps2.isNull() | (eps2 < ETA_BANDS[0]), "weak").when(eps2 < ETA_BANDS[1], "medium")
                     .otherwise("strong").alias("strength"))
 
 
-def posthoc_mw_holm(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, k: int = 50) -> DataFrame:
-    """Pairwise Mann-Whitney (groups ordered by median, descending) with
-    Holm adjustment, smallest adjusted p first, top k. Every row is copied
-    into the ≤ 10 pairs of its group and ranked within each pair."""
-    gy = prepare_groups(df, y, g, top)
-    med = grouped_quantiles(gy, "y", [0.5], by=["g"], names=["_med"])
-    levels = [r["g"] for r in med.orderBy(F.col("_med").desc(), F.col("g").asc()).collect()]
+def posthoc_mw_holm(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, k: int | None = None) -> DataFrame:
+    """Pairwise Mann-Whitney (groups ordered by median, descending): u, z, p,
+    Holm adjustment; smallest adjusted p first. Every counted value is copied
+    into the ≤ top pairs of its group and ranked within each pair."""
+    gc = group_counts(df, y, g, top)
+    med = group_medians(gc).orderBy(F.col("_med").desc(), F.col("g").asc())
+    levels = [r["g"] for r in med.collect()]        # at most top + 1 rows
     pairs = list(itertools.combinations(levels, 2))
+    schema = "group_a string, group_b string, u double, z double, p_raw double, p_adj_holm double"
     if not pairs:
-        return df.sparkSession.createDataFrame([], "group_a string, group_b string, p_raw double, p_adj_holm double")
+        return df.sparkSession.createDataFrame([], schema)
     member = {lv: [i for i, (a, b) in enumerate(pairs) if lv in (a, b)] for lv in levels}
     mapping = F.create_map(*[x for lv, ids in member.items() for x in (F.lit(lv), F.array(*[F.lit(i) for i in ids]))])
-    exploded = gy.select("g", "y", F.explode(F.element_at(mapping, F.col("g"))).alias("pair"))
+    exploded = gc.select("g", "y", "c", F.explode(F.element_at(mapping, F.col("g"))).alias("pair"))
     sums, pool = _rank_sums(exploded, by_pair=True)
     spark = df.sparkSession
     names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, group_a string, group_b string")
-    names = bounded_broadcast(names, MAX_PAIRS, "pairs")
+    names = bounded_broadcast(names, (top + 1) * top // 2, "pairs")
     sums = sums.join(names, "pair")
     r = _mw_from(sums, pool, F.col("g") == F.col("group_a"), ["pair"]).join(names, "pair")
-    pp = r.select("group_a", "group_b", norm_p2(F.col("z")).alias("p_raw"))
-    return _holm(pp).orderBy("p_adj_holm", "group_a", "group_b").limit(k)
+    pp = r.select("group_a", "group_b", "u", "z", norm_p2(F.col("z")).alias("p_raw"))
+    return _first_pairs(_holm(pp), k)
 
 
 def _paired_diffs(sc: DataFrame, a: str, b: str) -> DataFrame:
@@ -366,67 +402,83 @@ def _signed_rank(diffs: DataFrame, by: list[str]) -> DataFrame:
         j2 = _one(s).join(_one(ties), "_k").join(_one(tot), "_k").drop("_k")
     nr = F.col("nr").cast("double")
     w = F.least("w_plus", "w_minus")
-    se = F.sqrt(nr * (nr + 1) * (2 * nr + 1) / 24.0 - F.col("ties") / 48.0)
-    z = (w - nr * (nr + 1) / 4.0) / se
+    se = F.sqrt(F.greatest(nr * (nr + 1) * (2 * nr + 1) / 24.0 - F.col("ties") / 48.0, F.lit(0.0)))
+    z = F.try_divide(w - nr * (nr + 1) / 4.0, se)
     return j2.select(*by, w.alias("w"), F.abs(z).alias("z"), "n_subjects")
 
 
-def wilcoxon(df: DataFrame, y: str, subject: str, cond: str) -> DataFrame:
-    """Two conditions (first two in name order): w, z, p_value, r_effect =
-    z/√(complete subjects), strength."""
-    sc = subject_condition_means(df, y, subject, cond)
-    levels = [r["cond"] for r in sc.select("cond").distinct().orderBy("cond").limit(2).collect()]
-    r = _signed_rank(_paired_diffs(sc, levels[0], levels[1]), [])
+def wilcoxon(df: DataFrame, y: str, subject: str, cond: str, pair: tuple[str, str] | None = None) -> DataFrame:
+    """Two conditions (name order, or ``pair``; other conditions than a given
+    pair's are left out before completeness is judged): w, z, p_value,
+    r_effect = z/√(complete subjects), strength. z is the normal form at every
+    size. An error when there are not exactly two conditions; no row without a
+    non-zero difference."""
+    if pair is not None:
+        df = df.where(F.col(cond).cast("string").isin(*map(str, pair)))
+    sc = reliable_checkpoint(subject_condition_means(df, y, subject, cond))
+    levels = [r["cond"] for r in sc.select("cond").distinct().orderBy("cond").limit(3).collect()]
+    if len(levels) != 2:
+        raise ValueError("wilcoxon needs exactly two conditions; name them with pair=(a, b)")
+    a, b = map(str, pair) if pair is not None else levels
+    r = _signed_rank(_paired_diffs(sc, a, b), [])
     reff = F.col("z") / F.sqrt(F.col("n_subjects").cast("double"))
-    return r.select("w", "z", norm_p2(F.col("z")).alias("p_value"), reff.alias("r_effect"),
-                    F.when(reff >= R_BANDS[1], "strong").when(reff >= R_BANDS[0], "medium").otherwise("weak")
-                    .alias("strength"))
-
-
-def posthoc_wilcoxon_holm(df: DataFrame, y: str, subject: str, cond: str, k: int = 50) -> DataFrame:
-    """Pairwise Wilcoxon over all condition pairs with Holm adjustment."""
-    sc = subject_condition_means(df, y, subject, cond)
-    levels = [r["cond"] for r in sc.select("cond").distinct().orderBy("cond").collect()]
+    return r.select("w", "z", norm_p2(F.col("z")).alias("p_value"), reff.alias("r_effect"), _r_strength(reff))
+
+
+def posthoc_wilcoxon_holm(df: DataFrame, y: str, subject: str, cond: str, k: int | None = None,
+                          max_conditions: int = 200) -> DataFrame:
+    """Pairwise Wilcoxon over all condition pairs: w, z, p, Holm adjustment.
+    The number of pairs is the square of the conditions', so more than
+    ``max_conditions`` is refused with an error (a repeated-measures design
+    has few); nothing is left out silently."""
+    sc = reliable_checkpoint(subject_condition_means(df, y, subject, cond))
+    names = sc.select("cond").distinct().orderBy("cond").limit(max_conditions + 1).collect()
+    if len(names) > max_conditions:
+        raise ValueError(f"more than {max_conditions} conditions")
+    levels = [r["cond"] for r in names]
     pairs = list(itertools.combinations(levels, 2))
     spark = df.sparkSession
     if not pairs:
-        return spark.createDataFrame([], "group_a string, group_b string, p_raw double, p_adj_holm double")
-    member = {lv: [i for i, (a, b) in enumerate(pairs) if lv in (a, b)] for lv in levels}
-    sign = {(i, lv): (1 if a == lv else -1) for i, (a, b) in enumerate(pairs) for lv in (a, b)}
-    mapping = F.create_map(*[x for lv, ids in member.items()
-                             for x in (F.lit(lv), F.array(*[F.struct(F.lit(i).alias("pair"),
-                                                                     F.lit(sign[(i, lv)]).alias("sg"))
-                                                            for i in ids]))])
-    ex = sc.select("id", "y", F.explode(F.element_at(mapping, F.col("cond"))).alias("_p")) \
-           .select("id", "_p.pair", (F.col("_p.sg") * F.col("y")).alias("sy"))
-    diffs = ex.groupBy("pair", "id").agg(F.sum("sy").alias("d"))
-    r = _signed_rank(diffs, ["pair"])
-    names = bounded_broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
-                                                    "pair int, group_a string, group_b string"), len(pairs), "pairs")
-    pp = r.join(names, "pair").select("group_a", "group_b", norm_p2(F.col("z")).alias("p_raw"))
-    return _holm(pp).orderBy("p_adj_holm", "group_a", "group_b").limit(k)
+        return spark.createDataFrame([], "group_a string, group_b string, w double, z double, p_raw double, "
+                                         "p_adj_holm double")
+    place = spark.createDataFrame([(c, i) for i, c in enumerate(levels)], "cond string, i int")
+    placed = sc.join(bounded_broadcast(place, max_conditions, "conditions"), "cond")
+    # a value goes to the pairs of its condition: first in those with later ones, second in those with earlier ones
+    last = F.lit(len(levels) - 1)
+    other = F.filter(F.sequence(F.lit(0), last), lambda o: o != F.col("i"))
+    ex = placed.select("id", "y", "i", F.explode(other).alias("o")).select(
+        "id", F.least("i", "o").alias("a"), F.greatest("i", "o").alias("b"),
+        F.when(F.col("i") < F.col("o"), F.col("y")).otherwise(-F.col("y")).alias("sy"))
+    diffs = ex.groupBy("a", "b", "id").agg(F.sum("sy").alias("d"))
+    r = _signed_rank(diffs, ["a", "b"])
+    for end, name in (("a", "group_a"), ("b", "group_b")):
+        r = r.join(bounded_broadcast(place.select(F.col("i").alias(end), F.col("cond").alias(name)), max_conditions,
+                                     "conditions"), end)
+    pp = r.select("group_a", "group_b", "w", "z", norm_p2(F.col("z")).alias("p_raw"))
+    return _first_pairs(_holm(pp), k)
 
 
 def friedman(df: DataFrame, y: str, subject: str, cond: str) -> DataFrame:
     """Friedman χ² (tie-corrected) over complete subjects, dof = m−1,
     p_value, w_ref = χ²/(n·m(m+1)/12) as the reference codes it,
-    kendall_w = χ²/(n(m−1)), strength on w_ref (.1 / .3)."""
+    kendall_w = χ²/(n(m−1)), strength on w_ref (.1 / .3). Null statistics when
+    all values of every subject are tied; no row without a complete subject.
+    A subject's few rows are ranked in a window; tie terms are summed there."""
     sc = subject_condition_means(df, y, subject, cond)
     within = Window.partitionBy("id").orderBy("y")
     tie = Window.partitionBy("id", "y")
-    ranked = sc.withColumn("_rk", F.rank().over(within) + (F.count(F.lit(1)).over(tie) - 1) / 2.0) \
-               .withColumn("_t", F.count(F.lit(1)).over(tie))
-    rs = ranked.groupBy("cond").agg(F.sum("_rk").alias("R"))
-    ties = ranked.where(F.col("_t") > 1).groupBy("id", "y").agg(F.first("_t").alias("t")) \
-                 .agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
-    dims = sc.agg(F.count_distinct("id").alias("n"), F.count_distinct("cond").alias("m"))
-    s = rs.agg(F.sum(F.col("R") ** 2).alias("ssbn"))
-    j = _one(s).join(_one(dims), "_k").join(_one(ties), "_k")
+    ranked = sc.withColumn("_t", F.count(F.lit(1)).over(tie)) \
+               .withColumn("_rk", F.rank().over(within) + (F.col("_t") - 1) / 2.0)
+    # each of t tied rows carries t² − 1, so that a tie adds up to t³ − t
+    rs = ranked.groupBy("cond").agg(F.sum("_rk").alias("R"), F.count(F.lit(1)).alias("n"),
+                                    F.sum(F.col("_t").cast("double") ** 2 - 1).alias("ties"))
+    j = rs.agg(F.sum(F.col("R") ** 2).alias("ssbn"), F.max("n").alias("n"), F.count(F.lit(1)).alias("m"),
+               F.sum("ties").alias("ties")).where("m > 0")
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
-    c = 1 - F.coalesce(F.col("ties"), F.lit(0.0)) / (m * (m * m - 1) * n)
-    chi2 = (12.0 / (m * n * (m + 1)) * F.col("ssbn") - 3 * n * (m + 1)) / c
+    c = 1 - F.try_divide("ties", m * (m * m - 1) * n)
+    chi2 = F.try_divide(12.0 / (m * n * (m + 1)) * F.col("ssbn") - 3 * n * (m + 1), F.when(c > 1e-12, c))
     w_ref = chi2 / (n * m * (m + 1) / 12.0)
     return j.select(chi2.alias("chi2"), (F.col("m") - 1).alias("dof"), chi2_p(chi2, F.col("m") - 1).alias("p_value"),
-                    w_ref.alias("w_ref"), (chi2 / (n * (m - 1))).alias("kendall_w"),
-                    F.when(w_ref >= W_BANDS[1], "strong").when(w_ref >= W_BANDS[0], "medium").otherwise("weak")
-                    .alias("strength"))
+                    w_ref.alias("w_ref"), F.try_divide(chi2, n * (m - 1)).alias("kendall_w"),
+                    F.when(w_ref >= W_BANDS[1], "strong").when(w_ref >= W_BANDS[0], "medium")
+                    .when(w_ref.isNotNull(), "weak").alias("strength"))

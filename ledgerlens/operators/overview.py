@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.clean import clean_time_of, numeric_of
 from ledgerlens.operators.filters import NA_LABEL, as_text, period_start
 from ledgerlens.operators.ranks import grouped_quantiles
-from ledgerlens.plans.runtime import bounded_broadcast
+from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint
 
 YOY_ROWS = {"month": 12, "quarter": 4, "year": 1}
 
@@ -167,8 +167,13 @@ def rev_type(df: DataFrame, col: str | Column) -> str:
 
 
 def _dim_sums(df: DataFrame, dim: str, measure: str | Column) -> DataFrame:
+    """(label, value), checkpointed: top rows and totals are read from it, the fact only once."""
     label = F.coalesce(as_text(dim), F.lit(NA_LABEL)).alias("label")
-    return df.groupBy(label).agg(F.sum(_m(df, measure)).alias("value"))
+    return reliable_checkpoint(df.groupBy(label).agg(F.sum(_m(df, measure)).alias("value")))
+
+
+def _top_of(sums: DataFrame, n: int) -> DataFrame:
+    return sums.orderBy(F.col("value").desc(), F.col("label").asc()).limit(n)
 
 
 def top_contribution(df: DataFrame, dim: str, measure: str | Column, n: int = 10) -> DataFrame:
@@ -177,8 +182,7 @@ def top_contribution(df: DataFrame, dim: str, measure: str | Column, n: int = 10
     rank. The running window covers the n top rows only."""
     sums = _dim_sums(df, dim, measure)
     total = sums.agg(F.sum("value").alias("_total")).withColumn("_k", F.lit(0))
-    top = (sums.orderBy(F.col("value").desc(), F.col("label").asc()).limit(n)
-               .withColumn("_k", F.lit(0)).join(bounded_broadcast(total, 1, "grand total"), "_k"))
+    top = _top_of(sums, n).withColumn("_k", F.lit(0)).join(bounded_broadcast(total, 1, "grand total"), "_k")
     w = Window.orderBy(F.col("value").desc(), F.col("label").asc())
     tot = F.col("_total").cast("double")
     topsum = F.sum(F.col("value").cast("double")).over(Window.partitionBy("_k"))
@@ -195,8 +199,8 @@ def top_share_with_other(df: DataFrame, dim: str, measure: str | Column, n: int
                          other: str = "Other") -> DataFrame:
     """Top-n (label, value) plus one 'Other' row = max(0, total − top sum),
     present only when positive."""
-    top = top_contribution(df, dim, measure, n)
     sums = _dim_sums(df, dim, measure)
+    top = _top_of(sums, n)
     total = sums.agg(F.sum("value").alias("_total"))
     topsum = top.agg(F.sum("value").alias("_top"))
     rest = (total.withColumn("_k", F.lit(0))
@@ -210,26 +214,30 @@ def top_share_with_other(df: DataFrame, dim: str, measure: str | Column, n: int
 def region_channel(df: DataFrame, region: str, channel: str, measure: str | Column, n: int = 6,
                    other: str = "Other") -> DataFrame:
     """Region x channel sums with channels outside the top n (by summed
-    measure) folded into 'Other'; every region gets every channel column
-    (absent → 0, as in the wide table); share_pct of the region total (null
-    if that total is 0). The channel list has at most n+1 entries and is
-    used as the pivot's explicit value list."""
-    ch_txt = as_text(channel)
-    ranked = (df.groupBy(ch_txt.alias("ch")).agg(F.sum(_m(df, measure)).alias("v"))
-                .orderBy(F.col("v").desc(), F.col("ch").asc()).limit(n + 1).collect())
-    kept = [r["ch"] for r in ranked[:n]]
-    chans = kept + ([other] if len(ranked) > n else [])
-    bucket = F.when(ch_txt.isin(kept), ch_txt).otherwise(F.lit(other))
-    staged = df.select(as_text(region).alias("region"), bucket.alias("_ll_ch"), _m(df, measure).alias("_ll_m"))
-    wide = staged.groupBy("region").pivot("_ll_ch", chans).agg(F.sum("_ll_m"))
-    mtype = staged.schema["_ll_m"].dataType.simpleString()
-    zero = F.lit(0).cast(mtype)
-    filled = wide.select("region", *[F.coalesce(F.col(f"`{c}`"), zero).alias(f"c{i}") for i, c in enumerate(chans)])
-    stack = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', c{i}" for i, c in enumerate(chans))
-    long = filled.select("region", F.expr(f"stack({len(chans)}, {stack}) as (channel, value)"))
+    measure) folded into 'Other'; every region gets every channel (absent →
+    0, as in the wide table); share_pct of the region total (null if that
+    total is 0). A missing channel or region is the text level '(NA)'; a real
+    channel called 'Other' is one level with the folded ones. The fact is read
+    once, into (region, channel) sums."""
+    level = lambda c: F.coalesce(as_text(c), F.lit(NA_LABEL))
+    cells = reliable_checkpoint(df.select(level(region).alias("region"), level(channel).alias("ch"),
+                                          _m(df, measure).alias("m"))
+                                .groupBy("region", "ch").agg(F.sum("m").alias("v")))
+    kept = (cells.groupBy("ch").agg(F.sum("v").alias("_s")).orderBy(F.col("_s").desc(), F.col("ch").asc()).limit(n)
+            .select("ch", F.lit(True).alias("_keep")))
+    tagged = cells.join(bounded_broadcast(kept, n, "top channels"), "ch", "left").select(
+        "region", F.when(F.col("_keep"), F.col("ch")).otherwise(F.lit(other)).alias("channel"), "v")
+    sums = reliable_checkpoint(tagged.groupBy("region", "channel").agg(F.sum("v").alias("v")))
+    channels = sums.select("channel").distinct()        # at most n + 1
+    grid = sums.select("region").distinct().withColumn("_k", F.lit(0)).join(
+        bounded_broadcast(channels.withColumn("_k", F.lit(0)), n + 1, "channels"), "_k").drop("_k")
+    zero = F.lit(0).cast(sums.schema["v"].dataType)
+    long = grid.join(sums, ["region", "channel"], "left").select(
+        "region", "channel", F.coalesce("v", zero).alias("value"))
     row_tot = F.sum(F.col("value")).over(Window.partitionBy("region")).cast("double")
     return long.select("region", "channel", "value",
-                       F.when(row_tot != 0, F.col("value").cast("double") / row_tot * 100.0).alias("share_pct"))
+                       F.try_divide(F.col("value").cast("double"), row_tot).alias("_s")).select(
+        "region", "channel", "value", (F.col("_s") * 100.0).alias("share_pct"))
 
 
 def _agg(kind: str, v: Column) -> Column:

@@ -85,17 +85,16 @@ def data_quality(df: DataFrame, columns: Sequence[str] | None = None, approx_dis
         F.col("ze").alias("zero"), pct(F.col("ze")).alias("zero_pct"), F.col("du").alias("n_unique"))
 
 
-def infer_column_types(df: DataFrame, check: int = 3000, min_rate: float = 0.5) -> DataFrame:
+def infer_column_types(df: DataFrame, min_rate: float = 0.5) -> DataFrame:
     """(column, type, parse_rate). Declared type and name decide first; a
-    remaining Text column is Datetime when at least ``min_rate`` of the first
-    ``check`` rows parse as a timestamp (missing values count against).
-    All text columns are tried in one aggregation over the ``check`` rows."""
+    remaining Text column is Datetime when at least ``min_rate`` of its rows
+    parse as a timestamp (missing values count against). All text columns are
+    tried in one aggregation over all rows."""
     fields = df.schema.fields
     text = [f for f in fields if column_type(f) == "Text" and isinstance(f.dataType, T.StringType)]
     rates = {}
     if text:
-        head = df.select(*[F.col(f"`{f.name}`") for f in text]).limit(check)
-        r = head.agg(*[F.avg(F.try_to_timestamp(F.col(f"`{f.name}`")).isNotNull().cast("double")).alias(f"r{i}")
+        r = df.agg(*[F.avg(F.try_to_timestamp(F.col(f"`{f.name}`")).isNotNull().cast("double")).alias(f"r{i}")
                        for i, f in enumerate(text)]).first()
         rates = {f.name: r[f"r{i}"] for i, f in enumerate(text)}
     spark = df.sparkSession

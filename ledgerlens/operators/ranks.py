@@ -80,25 +80,27 @@ def ordered_prefix(df: DataFrame, order: Sequence, sums: dict[str, Column],
         *[F.col(out) for out in (totals or {}).values()])
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Non-null values with their multiplicity (per group): the input of every
-    rank and quantile, typically far smaller than the rows."""
-    return (df.where(F.col(value).isNotNull())
-            .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")))
+    rank and quantile. ``weight`` names a column of multiplicities when the
+    rows have been counted before."""
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(times.alias("_c"))
 
 
-def midranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def midranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Average ranks (ties share the mean rank) of ``value`` within each
     ``by`` group (or overall). Returns (by..., value, _c, midrank, _n); one
     row per distinct value (per group); _n is the group size."""
-    vc = value_counts(df, value, by)
+    vc = value_counts(df, value, by, weight)
     pre = ordered_prefix(vc, [value], {"_before": F.col("_c")}, inclusive=False, partition_by=by,
                          totals={"_before": "_n"})
     return pre.select(*by, value, "_c", (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias("midrank"), "_n")
 
 
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                      by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+                      by: Sequence[str] = (), names: Sequence[str] | None = None,
+                      weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (position (n-1)p, as in
     pandas, Spark ``percentile`` and SQL ``quantile_cont``), one row per group.
 
@@ -108,7 +110,7 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     by = list(by)
-    vc = value_counts(df, value, by)
+    vc = value_counts(df, value, by, weight)
     pre = ordered_prefix(vc, [value], {"_before": F.col("_c")}, inclusive=False, partition_by=by,
                          totals={"_before": "_n"})
     pos = F.col("_before")

@@ -21,16 +21,16 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.clean import numeric_of
 from ledgerlens.operators.ranks import ordered_prefix
-from ledgerlens.plans.runtime import bounded_broadcast
+from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint
 
 # Test share 20 % (one fold of five), seed 42, the error-%
 # guard 0.001, the residual-risk multiple 2σ.
@@ -42,28 +42,46 @@ RISK_SIGMAS = 2.0
 
 def regression_type(df: DataFrame, y: str) -> DataFrame:
     """'logistic' when the target has exactly two distinct non-null values,
-    else 'linear': (n_distinct, kind)."""
-    d = df.agg(F.count_distinct(numeric_of(df, y)).alias("n_distinct"))
-    return d.select("n_distinct", F.when(F.col("n_distinct") == 2, "logistic").otherwise("linear").alias("kind"))
+    else 'linear': (lo, hi, n_between, kind), from the extremes and a count of
+    the values strictly between them; nothing is shuffled but one row."""
+    v = df.select(numeric_of(df, y).alias("v"))
+    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("_k", F.lit(0))
+    inside = v.withColumn("_k", F.lit(0)).join(bounded_broadcast(ends, 1, "extremes"), "_k").agg(
+        F.count_if((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))).alias("n_between")).withColumn("_k", F.lit(0))
+    two = (F.col("lo") < F.col("hi")) & (F.col("n_between") == 0)
+    return ends.join(bounded_broadcast(inside, 1, "count"), "_k").select(
+        "lo", "hi", "n_between", F.when(two, "logistic").otherwise("linear").alias("kind"))
 
 
 def train_test_split(df: DataFrame, key: str, seed: int = SEED, method: str = "hash",
                      stratify: str | None = None) -> DataFrame:
     """Adds ``is_test`` (one of five folds). ``method='hash'``: stable
     xxhash64 of the key; ``'mod'``: key mod 5 = 0 (repeatable in SQL).
-    With ``stratify`` the test rows are, within each class, the first
-    20 % in hash order (exact per-class share), located with the
-    per-class distributed running count."""
+    With ``stratify`` (a column of few classes, not null) the test rows are,
+    within each class, the first 20 % in hash order (exact per-class share for
+    a unique key). Hash buckets are counted, and only the bucket that holds
+    the cut is ordered."""
     if method == "mod":
         return df.withColumn("is_test", F.pmod(F.col(key), F.lit(FOLDS)) == 0)
     h = F.xxhash64(F.col(key), F.lit(seed))
     if stratify is None:
         return df.withColumn("is_test", F.pmod(h, F.lit(FOLDS)) == 0)
-    staged = df.withColumn("_h", h)
-    pos = ordered_prefix(staged, ["_h", key], {"_pos": F.lit(1).cast("long")}, inclusive=False,
-                         partition_by=[stratify], totals={"_pos": "_ncls"})
-    n_test = F.round(F.col("_ncls") / float(FOLDS))
-    return pos.withColumn("is_test", F.col("_pos") < n_test).drop("_h", "_pos", "_ncls")
+    # The cut of a class lies in one of the coarse hash buckets; only that bucket's rows are ordered.
+    staged = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 52).cast("int"))
+    per = staged.groupBy(stratify, "_b").agg(F.count(F.lit(1)).alias("_n"))        # classes x 4096 rows at most
+    cls = Window.partitionBy(stratify)
+    before = cls.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(stratify, "_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lo"),
+                     F.round(F.sum("_n").over(cls) / float(FOLDS)).alias("_cut"))
+    edge = reliable_checkpoint(per.where((F.col("_lo") < F.col("_cut")) & (F.col("_cut") <= F.col("_lo") + F.col("_n"))))
+    inside = staged.join(F.broadcast(edge), [stratify, "_b"])                         # one bucket a class
+    place = Window.partitionBy(stratify).orderBy("_h", key)
+    last = (inside.withColumn("_p", F.row_number().over(place) + F.col("_lo")).where("_p = _cut")
+            .select(stratify, F.col("_h").alias("_lh"), F.col(key).alias("_lk")))
+    last = F.broadcast(reliable_checkpoint(last))
+    joined = staged.join(last, stratify, "left")
+    test = (F.col("_h") < F.col("_lh")) | ((F.col("_h") == F.col("_lh")) & (F.col(key) <= F.col("_lk")))
+    return joined.withColumn("is_test", F.coalesce(test, F.lit(False))).select(*df.columns, "is_test")
 
 
 @dataclass
@@ -95,9 +113,12 @@ def fit_regression(df: DataFrame, y: str, xs: Sequence[str], key: str, kind: str
         stages.append(LinearRegression(featuresCol="features", labelCol="label", solver="normal", regParam=0.0))
         model = Pipeline(stages=stages).fit(train)
         pred = model.transform(test)
-        ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
-        m = {"r2": ev.setMetricName("r2").evaluate(pred), "rmse": ev.setMetricName("rmse").evaluate(pred),
-             "mae": ev.setMetricName("mae").evaluate(pred)}
+        err = F.col("label") - F.col("prediction")
+        e = pred.agg(F.count(err).alias("n"), F.sum(err * err).alias("sse"), F.avg(F.abs(err)).alias("mae"),
+                     F.var_pop("label").alias("var")).first()
+        sst = (e["var"] or 0.0) * e["n"]
+        m = {"r2": 1 - e["sse"] / sst if sst else float("nan"), "mae": e["mae"] if e["n"] else float("nan"),
+             "rmse": (e["sse"] / e["n"]) ** 0.5 if e["n"] else float("nan")}
         lr = model.stages[-1]
         scaler = model.stages[1]
         std, mean = list(scaler.std), list(scaler.mean)
@@ -120,12 +141,14 @@ def fit_regression(df: DataFrame, y: str, xs: Sequence[str], key: str, kind: str
                                          regParam=1.0 / total_w, elasticNetParam=0.0, standardization=False,
                                          maxIter=1000, tol=1e-6))
         model = Pipeline(stages=stages).fit(train)
-        pred = model.transform(test).withColumn("score", vector_to_array("probability")[1])
-        n_classes = test.select("label").distinct().count()
-        auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score",
-                                            metricName="areaUnderROC", numBins=0).evaluate(pred) if n_classes > 1 else 0.5
-        acc = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
-        m = {"accuracy": acc, "auc": auc}
+        # the scored fold is written once; metrics and results read it
+        pred = reliable_checkpoint(model.transform(test).select(
+            key, "label", "prediction", vector_to_array("probability")[1].alias("score")))
+        e = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc"),
+                     F.min("label").alias("lo"), F.max("label").alias("hi")).first()
+        auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score", metricName="areaUnderROC",
+                                            numBins=0).evaluate(pred) if e["lo"] != e["hi"] else 0.5
+        m = {"accuracy": e["acc"] if e["acc"] is not None else float("nan"), "auc": auc}
         lr = model.stages[-1]
         rows = [("intercept", float(lr.intercept), None)] + [(x, float(c), None) for x, c in zip(xs, lr.coefficients)]
         coefs = spark.createDataFrame(rows, "term string, coef double, coef_raw double")
@@ -139,10 +162,11 @@ def fit_regression(df: DataFrame, y: str, xs: Sequence[str], key: str, kind: str
 
 def residual_audit(predictions: DataFrame, key: str, k: int = 50) -> DataFrame:
     """Test rows with the largest |error|: key, actual, predicted, error,
-    error_pct = error/(actual + 0.001)·100 (1 place); top k."""
+    error_pct = error/(actual + 0.001)·100 (1 place, null where that is 0);
+    top k. Ties follow the key, so pass one that is unique."""
     err = F.col("actual") - F.col("predicted")
     out = predictions.select(key, "actual", "predicted", err.alias("error"),
-                             F.round(err / (F.col("actual") + ERR_GUARD) * 100.0, 1).alias("error_pct"))
+                             F.round(F.try_divide(err, F.col("actual") + ERR_GUARD) * 100.0, 1).alias("error_pct"))
     return out.orderBy(F.abs("error").desc(), F.col(key).asc()).limit(k)
 
 
@@ -156,18 +180,19 @@ def residual_risk(predictions: DataFrame) -> DataFrame:
     j = predictions.withColumn("_k", F.lit(0)).join(bounded_broadcast(s.withColumn("_k", F.lit(0)), 1, "risk"), "_k")
     c = j.groupBy("mae", "mean", "sigma", "threshold", "_n").agg(
         F.sum((F.abs(err) >= F.col("threshold")).cast("long")).alias("n_high"))
-    return c.select("mae", "mean", "sigma", "threshold", "n_high", (F.col("n_high") / F.col("_n") * 100.0).alias("pct_high"))
+    return c.select("mae", "mean", "sigma", "threshold", "n_high", (F.try_divide("n_high", "_n") * 100.0).alias("pct_high"))
 
 
 def roc_curve(predictions: DataFrame, score: str = "probability", label: str = "actual") -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first; running
-    positive/negative counts come from the distributed ordered prefix."""
+    positive/negative counts come from the distributed ordered prefix. A rate
+    whose class is absent is null."""
     per = predictions.groupBy(F.col(score).alias("threshold")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("_tp"), F.sum((F.col(label) != 1).cast("long")).alias("_fp"))
     pre = ordered_prefix(per, [("threshold", False)], {"_ctp": F.col("_tp"), "_cfp": F.col("_fp")})
     tot = per.agg(F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N")).withColumn("_k", F.lit(0))
     j = pre.withColumn("_k", F.lit(0)).join(bounded_broadcast(tot, 1, "class totals"), "_k")
-    return j.select("threshold", (F.col("_cfp") / F.col("_N")).alias("fpr"), (F.col("_ctp") / F.col("_P")).alias("tpr"))
+    return j.select("threshold", F.try_divide("_cfp", "_N").alias("fpr"), F.try_divide("_ctp", "_P").alias("tpr"))
 
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:

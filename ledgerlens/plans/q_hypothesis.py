@@ -100,8 +100,23 @@ def q_anova_oneway(spark, sf_dir):
                     *_r("eta2", "omega2", "levene_p", d=9), "strength", "best_group")
 
 
-@register("posthoc_welch_holm")
+@register("posthoc_welch_holm", _gy_sql("WITH " + SALES_FACT_SQL + ",", "sales_fact", "p_brand") + """,
+st AS (SELECT g, COUNT(*) AS n, AVG(y) AS mean, VAR_SAMP(y) AS var FROM gy GROUP BY g),
+o AS (SELECT *, row_number() OVER (ORDER BY mean DESC, g ASC) AS r FROM st),
+p AS (SELECT a.g AS group_a, b.g AS group_b, a.mean - b.mean AS mean_diff, a.var / a.n AS sa, b.var / b.n AS sb, a.n AS na, b.n AS nb
+      FROM o a JOIN o b ON a.r < b.r WHERE a.n >= 2 AND b.n >= 2)
+SELECT group_a, group_b, round(mean_diff / sqrt(sa + sb), 6) AS t,
+       round(power(sa + sb, 2) / (sa * sa / (na - 1) + sb * sb / (nb - 1)), 4) AS dof, round(mean_diff, 6) AS mean_diff
+FROM p""")
 def q_posthoc_welch_holm(spark, sf_dir):
+    """Welch t, dof and mean difference of all pairs of brands (top 10 + Other)."""
+    p = posthoc_welch_holm(sales_fact(spark, sf_dir), Y, "p_brand")
+    return p.select("group_a", "group_b", F.round("t", 6).alias("t"), F.round("dof", 4).alias("dof"),
+                    F.round("mean_diff", 6).alias("mean_diff"))
+
+
+@register("posthoc_welch_holm_p")
+def q_posthoc_welch_holm_p(spark, sf_dir):
     """Pairwise Welch tests of price across brands (top 10 + Other), Holm-adjusted."""
     return posthoc_welch_holm(sales_fact(spark, sf_dir), Y, "p_brand")
 
@@ -202,8 +217,28 @@ def q_kruskal(spark, sf_dir):
                     F.round("eps2", 9).alias("eps2"), "strength")
 
 
-@register("posthoc_mw_holm")
+@register("posthoc_mw_holm", _gy_sql("WITH " + SALES_FACT_SQL + ",", "sales_fact", "c_mktsegment") + """,
+o AS (SELECT g, row_number() OVER (ORDER BY quantile_cont(y, 0.5) DESC, g ASC) AS r FROM gy GROUP BY g),
+p AS (SELECT a.g AS group_a, b.g AS group_b FROM o a JOIN o b ON a.r < b.r),
+e AS (SELECT group_a, group_b, g = group_a AS is_a, y FROM p JOIN gy ON gy.g IN (group_a, group_b)),
+rk AS (SELECT *, RANK() OVER (PARTITION BY group_a, group_b ORDER BY y)
+                 + (COUNT(*) OVER (PARTITION BY group_a, group_b, y) - 1) / 2.0 AS r FROM e),
+s AS (SELECT group_a, group_b, SUM(CASE WHEN is_a THEN r ELSE 0 END) AS r1, CAST(SUM(CASE WHEN is_a THEN 1 ELSE 0 END) AS DOUBLE) AS n1,
+             CAST(SUM(CASE WHEN is_a THEN 0 ELSE 1 END) AS DOUBLE) AS n2, CAST(COUNT(*) AS DOUBLE) AS n FROM rk GROUP BY 1, 2),
+t AS (SELECT group_a, group_b, SUM(power(CAST(c AS DOUBLE), 3) - c) AS ties
+      FROM (SELECT group_a, group_b, y, COUNT(*) AS c FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1 FROM s JOIN t USING (group_a, group_b))
+SELECT group_a, group_b, round(u1, 6) AS u,
+       round(greatest((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))), 0.0), 9) AS z
+FROM u""")
 def q_posthoc_mw_holm(spark, sf_dir):
+    """Mann-Whitney U and z of price for all pairs of market segments."""
+    p = posthoc_mw_holm(sales_fact(spark, sf_dir), Y, "c_mktsegment")
+    return p.select("group_a", "group_b", F.round("u", 6).alias("u"), F.round("z", 9).alias("z"))
+
+
+@register("posthoc_mw_holm_p")
+def q_posthoc_mw_holm_p(spark, sf_dir):
     """Pairwise Mann-Whitney of price across market segments, Holm-adjusted."""
     return posthoc_mw_holm(sales_fact(spark, sf_dir), Y, "c_mktsegment")
 
@@ -264,7 +299,39 @@ def q_friedman(spark, sf_dir):
                     F.round("w_ref", 9).alias("w_ref"), F.round("kendall_w", 9).alias("kendall_w"), "strength")
 
 
-@register("posthoc_wilcoxon_holm")
+@register("posthoc_wilcoxon_holm", _SC_SQL + """,
+d AS (SELECT a.cond AS group_a, b.cond AS group_b, a.y - b.y AS d FROM sc a JOIN sc b ON a.id = b.id AND a.cond < b.cond),
+nz AS (SELECT *, abs(d) AS a FROM d WHERE d <> 0),
+rk AS (SELECT *, RANK() OVER (PARTITION BY group_a, group_b ORDER BY a)
+                 + (COUNT(*) OVER (PARTITION BY group_a, group_b, a) - 1) / 2.0 AS r FROM nz),
+s AS (SELECT group_a, group_b, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, SUM(CASE WHEN d > 0 THEN 0 ELSE r END) AS wm,
+             CAST(COUNT(*) AS DOUBLE) AS nr FROM rk GROUP BY 1, 2),
+t AS (SELECT group_a, group_b, SUM(power(CAST(c AS DOUBLE), 3) - c) AS ties
+      FROM (SELECT group_a, group_b, a, COUNT(*) AS c FROM nz GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT group_a, group_b, round(least(wp, wm), 6) AS w,
+       round(abs((least(wp, wm) - nr * (nr + 1) / 4.0) / sqrt(nr * (nr + 1) * (2 * nr + 1) / 24.0 - ties / 48.0)), 9) AS z
+FROM s JOIN t USING (group_a, group_b)""")
 def q_posthoc_wilcoxon_holm(spark, sf_dir):
+    """Wilcoxon W and z of user means for all pairs of event types."""
+    p = posthoc_wilcoxon_holm(load(spark, sf_dir, "events"), "value", "user_id", "event_type")
+    return p.select("group_a", "group_b", F.round("w", 6).alias("w"), F.round("z", 9).alias("z"))
+
+
+@register("posthoc_wilcoxon_holm_p")
+def q_posthoc_wilcoxon_holm_p(spark, sf_dir):
     """Pairwise Wilcoxon of user means across event types, Holm-adjusted."""
     return posthoc_wilcoxon_holm(load(spark, sf_dir, "events"), "value", "user_id", "event_type")
+
+
+# ------------------------------------------------------------ degenerate groups
+@register("anova_constant_groups", """
+WITH v AS (SELECT l_linestatus AS g, CASE WHEN l_linestatus = 'F' THEN 3.0 ELSE 5.0 END AS y FROM lineitem)
+SELECT CAST('Infinity' AS DOUBLE) AS f, 0.0 AS p_value, 1.0 AS eta2, 'strong' AS strength,
+       (SELECT g FROM v GROUP BY g ORDER BY AVG(y) DESC LIMIT 1) AS best_group
+FROM (SELECT 1) WHERE (SELECT COUNT(DISTINCT g) FROM v) = 2""")
+def q_anova_constant_groups(spark, sf_dir):
+    """One-way ANOVA of a value that is constant inside each line status: infinite F, p 0."""
+    li = load(spark, sf_dir, "lineitem").select("l_linestatus", F.when(F.col("l_linestatus") == "F", 3.0).otherwise(5.0)
+                                                .alias("y"))
+    a = anova_oneway(li, "y", "l_linestatus")
+    return a.select("f", "p_value", F.round("eta2", 9).alias("eta2"), "strength", "best_group")

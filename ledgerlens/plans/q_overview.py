@@ -259,6 +259,25 @@ def q_region_channel(spark, sf_dir):
     return out.select("region", "channel", *_dbl("value"), "share_pct")
 
 
+@register("region_channel_gaps", "WITH " + SALES_FACT_SQL + f""",
+f AS (SELECT CASE WHEN r_name = 'ASIA' THEN '(NA)' ELSE r_name END AS region,
+             CASE WHEN o_orderpriority LIKE '5%' THEN '(NA)' WHEN o_orderpriority LIKE '1%' THEN 'Other' ELSE o_orderpriority END AS ch,
+             {REV} AS v FROM sales_fact),
+kept AS (SELECT ch FROM f GROUP BY 1 ORDER BY SUM(v) DESC, ch ASC LIMIT 2),
+cells AS (SELECT region, CASE WHEN ch IN (SELECT ch FROM kept) THEN ch ELSE 'Other' END AS channel, SUM(v) AS value FROM f GROUP BY 1, 2),
+grid AS (SELECT r.region, c.channel, COALESCE(cells.value, 0) AS value FROM (SELECT DISTINCT region FROM cells) r
+         CROSS JOIN (SELECT DISTINCT channel FROM cells) c LEFT JOIN cells ON cells.region = r.region AND cells.channel = c.channel)
+SELECT region, channel, CAST(value AS DOUBLE) AS value,
+       CAST(value AS DOUBLE) / CAST(SUM(value) OVER (PARTITION BY region) AS DOUBLE) * 100.0 AS share_pct FROM grid""")
+def q_region_channel_gaps(spark, sf_dir):
+    """Region x channel with a missing region, a missing channel and a real channel called 'Other'."""
+    f = fact(spark, sf_dir).withColumn("region", F.when(F.col("r_name") != "ASIA", F.col("r_name"))).withColumn(
+        "channel", F.when(F.col("o_orderpriority").startswith("1"), "Other")
+        .when(~F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority")))
+    out = region_channel(f, "region", "channel", "revenue", 2)
+    return out.select("region", "channel", *_dbl("value"), "share_pct")
+
+
 @register("custom_pivot_share", "WITH " + SALES_FACT_SQL + f""",
 s AS (SELECT date_trunc('quarter', l_shipdate) AS x, SUM(l_extendedprice) AS y FROM sales_fact
       WHERE {VALID_T} GROUP BY 1)

@@ -66,7 +66,7 @@ def q_data_quality(spark, sf_dir):
 
 
 @register("infer_column_types", """
-WITH h AS (SELECT strftime(ts, '%Y-%m-%d') AS day_text, props, event_type FROM events LIMIT 3000),
+WITH h AS (SELECT strftime(ts, '%Y-%m-%d') AS day_text, props, event_type FROM events),
 r AS (SELECT avg(CASE WHEN TRY_CAST(day_text AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS r_day,
              avg(CASE WHEN TRY_CAST(props AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS r_props,
              avg(CASE WHEN TRY_CAST(event_type AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS r_type FROM h)
@@ -226,15 +226,17 @@ def q_histogram(spark, sf_dir):
 
 
 @register("tukey_outliers", """
-WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
-       round(q1 - 1.5 * (q3 - q1), 6) AS fence_lo, round(q3 + 1.5 * (q3 - q1), 6) AS fence_hi
-FROM lineitem, q WHERE l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)""")
+WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice * l_discount * l_tax AS v FROM lineitem),
+q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM t)
+SELECT l_orderkey, l_linenumber, v, round(q1 - 1.5 * (q3 - q1), 6) AS fence_lo, round(q3 + 1.5 * (q3 - q1), 6) AS fence_hi
+FROM t, q WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)""")
 def q_tukey_outliers(spark, sf_dir):
-    """Lines whose price lies outside the Tukey fences."""
-    t = tukey_outliers(load(spark, sf_dir, "lineitem"), "l_extendedprice")
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-                    *_r(["fence_lo", "fence_hi"]))
+    """Lines whose tax on the discount (a skewed amount) lies outside the Tukey fences."""
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber",
+                                                (F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax")).alias("v"))
+    t = tukey_outliers(li, "v")
+    return t.select("l_orderkey", "l_linenumber", "v", F.round("fence_lo", 6).alias("fence_lo"),
+                    F.round("fence_hi", 6).alias("fence_hi"))
 
 
 # ------------------------------------------------------------ Benford
@@ -367,11 +369,11 @@ def q_benford_quality(spark, sf_dir):
 
 
 @register("benford_drilldown", _benford_sql("events", "value", 1) + f""",
-flag AS (SELECT digit FROM bt WHERE abs(diff_pp) >= 2.0)
+flag AS (SELECT digit FROM bt WHERE abs(diff_pp) >= 0.05)
 SELECT CAST(substr({digits_sql('value')}, 1, 1) AS INTEGER) AS digit, event_id, user_id, event_type, value
 FROM events WHERE {valid_sql('value')} AND length({digits_sql('value')}) >= 1
   AND CAST(substr({digits_sql('value')}, 1, 1) AS INTEGER) IN (SELECT digit FROM flag)""")
 def q_benford_drilldown(spark, sf_dir):
-    """Events whose first digit deviates from Benford by at least 2 points (all such rows)."""
+    """Events whose first digit deviates from Benford by at least 0.05 points (all such rows)."""
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    return benford_drilldown(e, "value", 1, min_pp=2.0).select("digit", "event_id", "user_id", "event_type", "value")
+    return benford_drilldown(e, "value", 1, min_pp=0.05).select("digit", "event_id", "user_id", "event_type", "value")

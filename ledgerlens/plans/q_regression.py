@@ -22,7 +22,7 @@ bo AS (SELECT o_orderkey, CAST(o_totalprice > m AS INTEGER) AS is_large, n_lines
 
 
 @register("regression_type", BINARY_ORDERS_SQL + """
-SELECT COUNT(DISTINCT is_large) AS n_distinct,
+SELECT CAST(MIN(is_large) AS DOUBLE) AS lo, CAST(MAX(is_large) AS DOUBLE) AS hi, 0 AS n_between,
        CASE WHEN COUNT(DISTINCT is_large) = 2 THEN 'logistic' ELSE 'linear' END AS kind FROM bo""")
 def q_regression_type(spark, sf_dir):
     """Target kind of the large-order flag (binary → logistic)."""
@@ -30,8 +30,9 @@ def q_regression_type(spark, sf_dir):
 
 
 @register("regression_type_linear", """
-SELECT COUNT(DISTINCT l_extendedprice) AS n_distinct,
-       CASE WHEN COUNT(DISTINCT l_extendedprice) = 2 THEN 'logistic' ELSE 'linear' END AS kind FROM lineitem""")
+SELECT lo, hi, (SELECT COUNT(*) FROM lineitem WHERE l_extendedprice > lo AND l_extendedprice < hi) AS n_between,
+       CASE WHEN (SELECT COUNT(DISTINCT l_extendedprice) FROM lineitem) = 2 THEN 'logistic' ELSE 'linear' END AS kind
+FROM (SELECT MIN(l_extendedprice) AS lo, MAX(l_extendedprice) AS hi FROM lineitem)""")
 def q_regression_type_linear(spark, sf_dir):
     """Target kind of the extended price (continuous → linear)."""
     return regression_type(load(spark, sf_dir, "lineitem"), "l_extendedprice")
@@ -44,7 +45,8 @@ def q_train_test_split(spark, sf_dir):
     return train_test_split(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", method="mod")
 
 
-@register("train_test_split_stratified")
+@register("train_test_split_stratified", BINARY_ORDERS_SQL + """
+SELECT is_large, COUNT(*) AS n, CAST(round(COUNT(*) / 5.0) AS BIGINT) AS n_test FROM bo GROUP BY is_large""")
 def q_train_test_split_stratified(spark, sf_dir):
     """Stratified hash split of large/small orders: rows and test rows per class."""
     s = train_test_split(binary_orders(spark, sf_dir), "o_orderkey", stratify="is_large")
@@ -56,6 +58,22 @@ def _linear_one(spark, sf_dir):
                           kind="linear", split="mod")
 
 
+def _lines(spark, sf_dir):
+    """Lines under one unique number each."""
+    return load(spark, sf_dir, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+
+
+def _linear_line(spark, sf_dir):
+    return fit_regression(_lines(spark, sf_dir), "l_extendedprice", ["l_quantity"], "line", kind="linear", split="mod")
+
+
+LINE_FIT_SQL = f"""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_quantity AS x, l_extendedprice AS y,
+                  (l_orderkey * 10 + l_linenumber) % 5 = 0 AS is_test
+           FROM lineitem WHERE {valid_sql('l_quantity')} AND {valid_sql('l_extendedprice')}),
+fit AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d WHERE NOT is_test),
+e AS (SELECT line, y AS actual, a + b * x AS predicted, y - (a + b * x) AS error FROM d, fit WHERE is_test)"""
+
+
 @register("linear_regression", f"""
 WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, l_orderkey % 5 = 0 AS is_test FROM lineitem
            WHERE {valid_sql('l_quantity')} AND {valid_sql('l_extendedprice')}),
@@ -82,8 +100,20 @@ def _logistic(spark, sf_dir):
     return fit_regression(binary_orders(spark, sf_dir), "is_large", LOG_X, "o_orderkey")
 
 
-@register("linear_regression_metrics")
+@register("linear_regression_metrics", LINE_FIT_SQL + """,
+m AS (SELECT 1 - SUM(error * error) / SUM(power(actual - (SELECT AVG(actual) FROM e), 2)) AS r2,
+             sqrt(AVG(error * error)) AS rmse, AVG(abs(error)) AS mae FROM e)
+SELECT 'r2' AS metric, round(r2, 6) AS value FROM m UNION ALL SELECT 'rmse', round(rmse, 4) FROM m
+UNION ALL SELECT 'mae', round(mae, 4) FROM m""")
 def q_linear_regression_metrics(spark, sf_dir):
+    """R², RMSE and MAE of price on quantity (line number mod 5)."""
+    m = _linear_line(spark, sf_dir).metrics
+    return m.select("metric", F.when(F.col("metric") == "r2", F.round("value", 6)).otherwise(F.round("value", 4))
+                    .alias("value"))
+
+
+@register("linear_regression_metrics_multi")
+def q_linear_regression_metrics_multi(spark, sf_dir):
     """R², RMSE and MAE of price on three drivers (hash split)."""
     return _linear_multi(spark, sf_dir).metrics
 
@@ -106,35 +136,78 @@ def q_logistic_coefficients(spark, sf_dir):
     return _logistic(spark, sf_dir).coefficients
 
 
-@register("residual_audit")
+@register("residual_audit", LINE_FIT_SQL + """
+SELECT line, actual, round(predicted, 4) AS predicted, round(error, 4) AS error FROM e ORDER BY abs(error) DESC, line LIMIT 50""")
 def q_residual_audit(spark, sf_dir):
     """50 test lines with the largest price residuals."""
-    return residual_audit(_linear_multi(spark, sf_dir).predictions, "l_orderkey", 50)
+    r = residual_audit(_linear_line(spark, sf_dir).predictions, "line", 50)
+    return r.select("line", "actual", F.round("predicted", 4).alias("predicted"), F.round("error", 4).alias("error"))
 
 
-@register("residual_risk")
+@register("residual_risk", LINE_FIT_SQL + """,
+s AS (SELECT AVG(abs(error)) AS mae, AVG(error) AS mean, STDDEV_SAMP(error) AS sigma, COUNT(*) AS n FROM e)
+SELECT round(mae, 4) AS mae, round(mean, 4) AS mean, round(sigma, 4) AS sigma, round(2 * sigma, 4) AS threshold,
+       (SELECT COUNT(*) FROM e, s WHERE abs(error) >= 2 * sigma) AS n_high,
+       round((SELECT COUNT(*) FROM e, s WHERE abs(error) >= 2 * sigma) * 100.0 / n, 6) AS pct_high FROM s""")
 def q_residual_risk(spark, sf_dir):
     """Residual MAE, mean, σ and share beyond 2σ."""
-    return residual_risk(_linear_multi(spark, sf_dir).predictions)
+    r = residual_risk(_linear_line(spark, sf_dir).predictions)
+    return r.select(*[F.round(c, 4).alias(c) for c in ("mae", "mean", "sigma", "threshold")], "n_high",
+                    F.round("pct_high", 6).alias("pct_high"))
 
 
-@register("roc_curve")
+def _scored_orders(spark, sf_dir):
+    """Orders with a fixed score (share of a large total quantity) in place of a model's."""
+    return binary_orders(spark, sf_dir).select(
+        "o_orderkey", F.col("is_large").cast("double").alias("actual"),
+        F.round(F.least(F.col("sum_qty") / 300.0, F.lit(1.0)), 2).alias("probability"),
+        (F.col("sum_qty") >= 150).cast("double").alias("predicted"))
+
+
+_SCORED_SQL = BINARY_ORDERS_SQL + """,
+sc AS (SELECT CAST(is_large AS DOUBLE) AS actual, round(least(sum_qty / 300.0, 1.0), 2) AS probability,
+              CAST(sum_qty >= 150 AS DOUBLE) AS predicted FROM bo)"""
+
+
+@register("roc_curve", _SCORED_SQL + """,
+p AS (SELECT probability AS threshold, SUM(actual) AS tp, SUM(1 - actual) AS fp FROM sc GROUP BY 1)
+SELECT threshold, round(SUM(fp) OVER (ORDER BY threshold DESC) / SUM(fp) OVER (), 9) AS fpr,
+       round(SUM(tp) OVER (ORDER BY threshold DESC) / SUM(tp) OVER (), 9) AS tpr FROM p""")
 def q_roc_curve(spark, sf_dir):
+    """ROC points of a fixed score of orders."""
+    r = roc_curve(_scored_orders(spark, sf_dir))
+    return r.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
+@register("roc_curve_model")
+def q_roc_curve_model(spark, sf_dir):
     """ROC points of the large-order model on the test fold."""
     return roc_curve(_logistic(spark, sf_dir).predictions)
 
 
-@register("confusion_matrix")
+@register("confusion_matrix", _SCORED_SQL + """
+SELECT actual AS label, predicted AS prediction, COUNT(*) AS n FROM sc GROUP BY 1, 2""")
 def q_confusion_matrix(spark, sf_dir):
+    """Actual x predicted counts of a fixed rule on orders."""
+    return confusion_matrix(_scored_orders(spark, sf_dir))
+
+
+@register("confusion_matrix_model")
+def q_confusion_matrix_model(spark, sf_dir):
     """Actual x predicted counts of the large-order model."""
     return confusion_matrix(_logistic(spark, sf_dir).predictions)
 
 
-@register("score_scenarios")
+@register("score_scenarios", LINE_FIT_SQL + """,
+m AS (SELECT AVG(l_extendedprice) AS m FROM lineitem),
+s AS (SELECT l_returnflag, AVG(l_quantity) AS l_quantity FROM lineitem GROUP BY 1)
+SELECT l_returnflag, round(l_quantity, 6) AS l_quantity, round(a + b * l_quantity, 4) AS prediction,
+       round(a + b * l_quantity - m, 4) AS diff, round((a + b * l_quantity - m) / m * 100.0, 6) AS diff_pct FROM s, fit, m""")
 def q_score_scenarios(spark, sf_dir):
     """Score per-return-flag average lines (what-if scenarios) with the price model."""
     li = load(spark, sf_dir, "lineitem")
-    fit = _linear_multi(spark, sf_dir)
-    scen = li.groupBy("l_returnflag").agg(*[F.avg(c).alias(c) for c in LIN_X])
+    scen = li.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("l_quantity"))
     mean_y = li.agg(F.avg("l_extendedprice")).first()[0]
-    return score_scenarios(fit, scen, mean_y)
+    out = score_scenarios(_linear_line(spark, sf_dir), scen, mean_y)
+    return out.select("l_returnflag", F.round("l_quantity", 6).alias("l_quantity"), F.round("prediction", 4)
+                      .alias("prediction"), F.round("diff", 4).alias("diff"), F.round("diff_pct", 6).alias("diff_pct"))

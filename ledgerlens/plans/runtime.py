@@ -106,8 +106,3 @@ def bounded_broadcast(df: DataFrame, bound: int, what: str) -> DataFrame:
     return F.broadcast(df)
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
