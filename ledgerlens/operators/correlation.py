@@ -36,6 +36,15 @@ def strength_label(r_abs: Column) -> Column:
     return out.otherwise("near_perfect")
 
 
+def safe_corr(x: Column, y: Column, over=None) -> Column:
+    """Pearson r in [-1, 1] of two columns that are null together; null where
+    one does not vary (the built-in raises there)."""
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    cov, sx, sy = parts if over is None else [p.over(over) for p in parts]
+    r = F.try_divide(cov, sx * sy)
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def fisher_ci(r: Column, n: Column) -> tuple[Column, Column]:
     ok = (n > 3) & (F.abs(r) < 0.9999)
     z = F.atanh(r)
@@ -87,7 +96,7 @@ def correlation_table(df: DataFrame, y: str, xs: Sequence[str], method: str = "p
         aggs = []
         for i, x in enumerate(xs):
             ok, xc, yc = clean_pair_expr(numeric_of(df, x), yv, drop_neg, drop_zero, log10)
-            aggs += [F.sum(ok.cast("long")).alias(f"n{i}"), F.corr(F.when(ok, xc), F.when(ok, yc)).alias(f"r{i}")]
+            aggs += [F.sum(ok.cast("long")).alias(f"n{i}"), safe_corr(F.when(ok, xc), F.when(ok, yc)).alias(f"r{i}")]
         wide = df.agg(*aggs)
         rows = [F.struct(F.lit(x).alias("x"), F.coalesce(F.col(f"n{i}"), F.lit(0).cast("long")).alias("n"),
                          F.col(f"r{i}").alias("r")) for i, x in enumerate(xs)]
@@ -159,7 +168,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", min
     if method == "pearson":
         both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
         wide = vals.agg(F.count(F.lit(1)).alias("_n"),
-                        *[F.corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias(f"c{i}")
+                        *[safe_corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias(f"c{i}")
                           for i, ((a, b), ok) in enumerate(zip(pairs, both))],
                         *[F.sum(ok.cast("long")).alias(f"n{i}") for i, ok in enumerate(both)])
         wide = wide.where(F.col("_n") >= min_rows) if listwise else wide
@@ -212,7 +221,7 @@ def scatter_fit(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
         ok = xv.isNotNull() & yv.isNotNull()
         xo, yo = F.when(ok, xv), F.when(ok, yv)
         aggs += [F.sum(ok.cast("long")).alias(f"n{i}"), F.regr_slope(yo, xo).alias(f"s{i}"),
-                 F.regr_intercept(yo, xo).alias(f"b{i}"), F.corr(xo, yo).alias(f"r{i}")]
+                 F.regr_intercept(yo, xo).alias(f"b{i}"), safe_corr(xo, yo).alias(f"r{i}")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(x).alias("x"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("slope"),
                      F.col(f"b{i}").alias("intercept"), F.col(f"r{i}").alias("r")) for i, x in enumerate(xs)]
@@ -266,7 +275,9 @@ def rolling_corr(series: DataFrame, win: int = 6) -> DataFrame:
     window): (period, r). ``series`` is a per-period table."""
     w = Window.orderBy("period").rowsBetween(-(win - 1), 0)
     full = F.count("y").over(w) == win
-    return series.select("period", F.when(full, F.corr("y", "x").over(w)).alias("r"))
+    real = F.col("y").isNotNull() & F.col("x").isNotNull()
+    r = safe_corr(F.when(real, F.col("y")), F.when(real, F.col("x")), w)
+    return series.select("period", F.when(full, r).alias("r"))
 
 
 def lagged_corr(series: DataFrame, max_lag: int = 6) -> DataFrame:
@@ -279,7 +290,9 @@ def lagged_corr(series: DataFrame, max_lag: int = 6) -> DataFrame:
     a = s.select("rn", "y", lags)
     b = s.select(F.col("rn").alias("rn_b"), F.col("x").alias("xb"))
     pairs = a.join(b, F.col("rn_b") == F.col("rn") - F.col("lag"))
-    per = pairs.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.corr("y", "xb").alias("r"))
+    real = F.col("y").isNotNull() & F.col("xb").isNotNull()
+    both_y, both_x = F.when(real, F.col("y")), F.when(real, F.col("xb"))
+    per = pairs.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), safe_corr(both_y, both_x).alias("r"))
     per = per.where((F.col("n") >= 3) & F.col("r").isNotNull() & ~F.isnan("r"))
     length = series.agg(F.count(F.lit(1)).alias("_len"))
     j = per.withColumn("_k", F.lit(0)).join(bounded_broadcast(length.withColumn("_k", F.lit(0)), 1, "len"), "_k")

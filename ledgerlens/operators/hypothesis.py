@@ -411,8 +411,8 @@ def wilcoxon(df: DataFrame, y: str, subject: str, cond: str, pair: tuple[str, st
     """Two conditions (name order, or ``pair``; other conditions than a given
     pair's are left out before completeness is judged): w, z, p_value,
     r_effect = z/√(complete subjects), strength. z is the normal form at every
-    size. An error when there are not exactly two conditions; no row without a
-    non-zero difference."""
+    size. An error when there are not exactly two conditions; null statistics
+    without a non-zero difference."""
     if pair is not None:
         df = df.where(F.col(cond).cast("string").isin(*map(str, pair)))
     sc = reliable_checkpoint(subject_condition_means(df, y, subject, cond))
