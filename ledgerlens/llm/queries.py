@@ -94,3 +94,63 @@ def op2_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz backoff score of every document."""
     return katz.katz_scores(documents(spark, sf_dir))
+
+
+def _op1_sql() -> str:
+    """Words with their place; a window's text occurs again in its document (earlier: ``l``); a word is inside when one
+    of the windows over it does."""
+    sizes = [repetition.BASE_WINDOW, *repetition.WINDOW_LIMITS]
+    limit = lambda name, share, whole: f"100 * {name} > {round(100 * share)} * {whole}"
+    parts, measures, joins = [], [], []
+    for n in sizes:
+        gram = " || ' ' || ".join(f"lead(word, {k}) OVER d" for k in range(n))
+        parts.append(f"""g{n} AS (SELECT doc_id, i, word, {gram} AS gram FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+f{n} AS (SELECT doc_id, i, word, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS again,
+         gram IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1 AS later FROM g{n}),
+c{n} AS (SELECT doc_id, word, bool_or(again) OVER r AS a, bool_or(later) OVER r AS l FROM f{n}
+         WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+m{n} AS (SELECT doc_id, count(*) FILTER (a) AS repeat_words, sum(length(word)) FILTER (l) AS chars FROM c{n} GROUP BY doc_id)""")
+        joins.append(f"LEFT JOIN m{n} USING (doc_id)")
+        measures.append(f"coalesce(m{n}.repeat_words, 0) AS n_repeat_words" if n == repetition.BASE_WINDOW
+                        else f"CAST(coalesce(m{n}.chars, 0) AS BIGINT) AS dup_chars_{n}")
+    bad = [limit("n_dup_lines", repetition.LINE_LIMIT, "n_lines"),
+           limit("dup_line_chars", repetition.LINE_CHARS_LIMIT, "word_chars"),
+           limit("n_symbols", repetition.SYMBOL_LIMIT, "n_words"),
+           *(limit(f"dup_chars_{n}", x, "word_chars") for n, x in repetition.WINDOW_LIMITS.items())]
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lists AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM lists),
+{", ".join(parts)},
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) > 1 AS again
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+          WHERE regexp_replace(line, '{space}', '', 'g') <> ''),
+ml AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines,
+              sum(length(regexp_replace(line, '{space}', '', 'g'))) FILTER (again) AS chars FROM lines GROUP BY doc_id),
+x AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(wc.chars, 0) AS BIGINT) AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_lines, 0) AS n_lines, CAST(coalesce(ml.chars, 0) AS BIGINT) AS dup_line_chars, {", ".join(measures)}
+      FROM docs JOIN lists USING (doc_id) LEFT JOIN ml USING (doc_id)
+      LEFT JOIN (SELECT doc_id, sum(length(word)) AS chars FROM words GROUP BY doc_id) wc USING (doc_id) {" ".join(joins)})
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({" OR ".join(bad)}) AS kept FROM x"""
+
+
+ORACLE["op1_repetition_rules"] = _op1_sql()
+ORACLE["op8_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+windows AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d
+                   || ' ' || lead(word, 4) OVER d AS shingle FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, shingle FROM windows WHERE shingle IS NOT NULL
+      UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+          GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
