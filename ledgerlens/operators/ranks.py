@@ -98,21 +98,67 @@ def midranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | No
     return pre.select(*by, value, "_c", (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias("midrank"), "_n")
 
 
+SKETCH = 100_000        # accuracy of the bracketing sketch; groups up to twice as many rows are ordered whole
+MARGIN = 10             # bracket half-width in units of n / SKETCH
+
+
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                       by: Sequence[str] = (), names: Sequence[str] | None = None,
                       weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (position (n-1)p, as in
     pandas, Spark ``percentile`` and SQL ``quantile_cont``), one row per group.
 
-    Works on the distinct-value table with running counts per group, so no
-    task holds a whole group: each needed position is found by the one value
-    whose count interval covers it. Null/NaN-free input is the caller's concern.
+    No task holds a whole group and nothing is sorted globally: a sketch
+    brackets each quantile, one aggregate counts what lies between the brackets
+    and the distinct values inside them, and a running count over that small
+    table finds the one value that covers each needed position. A counted table
+    (``weight``) is ordered by the distributed running count instead.
+    Null/NaN-free input is the caller's concern.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     by = list(by)
-    vc = value_counts(df, value, by, weight)
-    pre = ordered_prefix(vc, [value], {"_before": F.col("_c")}, inclusive=False, partition_by=by,
-                         totals={"_before": "_n"})
+    if weight is None:
+        pre = _bracketed(df, value, probs, by)
+    else:
+        vc = value_counts(df, value, by, weight)
+        pre = ordered_prefix(vc, [value], {"_before": F.col("_c")}, inclusive=False, partition_by=by,
+                             totals={"_before": "_n"})
+    return _covering(pre, value, probs, by, names)
+
+
+def _bracketed(df: DataFrame, value: str, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """(by, value, _c, _before, _n) of the values near the quantiles."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    keys = by or ["_one"]
+    if not by:
+        rows = rows.withColumn("_one", F.lit(0))
+    near = sorted(set(probs))
+    at = [x for p in near for x in (max(0.0, p - MARGIN / SKETCH), min(1.0, p + MARGIN / SKETCH))]
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                   F.percentile_approx("_v", F.array(*map(F.lit, at)), SKETCH).alias("_a"))
+    whole = F.col("_m") <= 2 * SKETCH
+    ends = ends.select(
+        *keys,
+        *[F.when(whole | F.lit(p <= MARGIN / SKETCH), F.col("_lo")).otherwise(F.col("_a")[2 * i]).alias(f"_l{i}")
+          for i, p in enumerate(near)],
+        *[F.when(whole | F.lit(p >= 1 - MARGIN / SKETCH), F.col("_hi")).otherwise(F.col("_a")[2 * i + 1]).alias(f"_h{i}")
+          for i, p in enumerate(near)])
+    joined = rows.join(ends if by else bounded_broadcast(ends, 1, "brackets"), keys)
+    v = F.col("_v")
+    slot = sum(((v >= F.col(f"_l{i}")).cast("int") for i in range(1, len(near))), (v >= F.col("_l0")).cast("int"))
+    inside = F.lit(False)
+    for i in range(len(near)):
+        inside = inside | ((v >= F.col(f"_l{i}")) & (v <= F.col(f"_h{i}")))
+    cells = joined.groupBy(*keys, slot.alias("_slot"), F.when(inside, v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*keys)
+    order = group.orderBy("_slot", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.select(*by, F.col("_v").alias(value), "_c", F.coalesce(F.sum("_c").over(order), F.lit(0)).alias("_before"),
+                        F.sum("_c").over(group).alias("_n"))
+
+
+def _covering(pre: DataFrame, value: str, probs: Sequence[float], by: list[str], names: list[str]) -> DataFrame:
+    """Quantiles from values with their counts before; an error if a position
+    is covered by no value (a bracket that missed)."""
     pos = F.col("_before")
     cover = []
     aggs = []
@@ -132,7 +178,9 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     out = [F.col(b) for b in by]
     for nm in names:
         vlo, vhi, d = F.col(f"_{nm}_lo").cast("double"), F.col(f"_{nm}_hi").cast("double"), F.col(f"_{nm}_d")
-        out.append(F.when(d == 0, vlo).otherwise(vlo + d * (vhi - vlo)).alias(nm))
+        missed = F.col(f"_{nm}_d").isNotNull() & (vlo.isNull() | vhi.isNull())
+        out.append(F.when(missed, F.raise_error(F.lit("a quantile bracket missed"))).when(d == 0, vlo)
+                   .otherwise(vlo + d * (vhi - vlo)).alias(nm))
     return picked.select(*out)
 
 

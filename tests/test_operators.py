@@ -60,6 +60,20 @@ def test_grouped_quantiles_match_numpy(spark, n):
             assert got[g][f"q{i}"] == pytest.approx(np.quantile(part.y, p), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("sketch", [20, 100_000])
+def test_bracketed_quantiles_on_large_and_tied_groups(spark, monkeypatch, sketch):
+    """With a coarse sketch only the values inside the brackets are ordered."""
+    import ledgerlens.operators.ranks as ranks
+    monkeypatch.setattr(ranks, "SKETCH", sketch)
+    monkeypatch.setattr(ranks, "MARGIN", 2)
+    rng = np.random.default_rng(0)
+    vals = np.concatenate([rng.lognormal(size=3000), np.full(2000, 1.5), rng.integers(0, 5, 2000)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "y double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    row = grouped_quantiles(df, "y", probs).collect()[0]
+    assert list(row) == pytest.approx(list(np.quantile(vals, probs)), rel=1e-12)
+
+
 def test_leading_digits_edge_values(spark):
     vals = [0.0, -0.0, 5.0, 50.0, 0.05, 5e-7, 1e20, 0.1 + 0.2, -72.5, 1e15, 1e-5]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
