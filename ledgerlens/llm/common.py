@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: A key is hot when it has more than this fraction (1 / HOT_PARTS) of all rows;
 #: so there are fewer than HOT_PARTS hot keys, whatever the data.
 HOT_PARTS = 500
+HOT_LEAST = 1000
 
 #: White space of the word contracts, as a Java regex class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -114,22 +115,27 @@ def distinct_in_row(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, n
     return rows[first], hashes[first]
 
 
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int,
+           largest: int | None = None) -> DataFrame:
     """Inner join of many rows with a per-key table, safe for hot keys.
 
     ``right`` has one row per key; its column ``weight`` counts the key's rows
     in ``left``, which has ``total`` rows. Keys with more than
-    total / HOT_PARTS rows number fewer than HOT_PARTS: that bound makes their
-    broadcast safe. All other keys are joined by a shuffle in which no key can
-    fill a task. Both sides are read twice, so pass tables or checkpoints.
+    total / HOT_PARTS rows (and at least HOT_LEAST) number fewer than
+    HOT_PARTS: that bound makes their broadcast safe. All other keys are joined
+    by a shuffle in which no key can fill a task. ``largest`` is the greatest
+    weight where it is known. Both sides may be read twice, so pass tables or
+    checkpoints.
     """
     keys = list(keys)
-    cut = max(total // HOT_PARTS, 1)
-    hot = F.broadcast(right.where(F.col(weight) > cut))
-    cold = right.where(F.col(weight) <= cut)
-    known = F.broadcast(right.where(F.col(weight) > cut).select(*keys))
-    return (left.join(hot, keys)
-            .unionByName(left.join(known, keys, "left_anti").join(cold, keys)))
+    cut = max(total // HOT_PARTS, HOT_LEAST)
+    is_hot = F.col(weight) > cut
+    if min(total, total if largest is None else largest) <= cut or (
+            largest is None and not right.where(is_hot).head(1)):
+        return left.join(right, keys)
+    known = F.broadcast(right.where(is_hot).select(*keys))
+    return (left.join(F.broadcast(right.where(is_hot)), keys)
+            .unionByName(left.join(known, keys, "left_anti").join(right.where(~is_hot), keys)))
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:

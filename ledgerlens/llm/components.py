@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import attach
 from ledgerlens.plans.runtime import reliable_checkpoint
 
-BLOCK = 256         # nodes of a block in the closing comparison
-PIVOT_ROUNDS = 3
+BLOCK = 1024            # rows of a block in the closing comparison
+COLUMNS = 4096          # distinct hashes that a block counts at a time
+PIVOT_ROUNDS = 2
+PAIRS_PER_ROW = 4       # once all pairs left are at most so many a row, they are compared in full
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _ends(edges: DataFrame) -> tuple[int, bool, int]:
+    """Number of links (u, v), whether they are stars (no node is a u twice,
+    and none is both a u and a v), and the links of the busiest node."""
+    sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    found = sides.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("only"), F.count("up").alias("n")).agg(
+        F.sum("up"), F.max((F.col("up") > F.col("only")).cast("int")), F.max("n")).first()
+    return found[0] or 0, not found[1], found[2] or 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,87 +36,149 @@ def components(links: DataFrame) -> DataFrame:
     does not gather in a task. An empty table gives an empty one."""
     edges = reliable_checkpoint(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = _state(edges)
-    while seen[0]:
-        both = reliable_checkpoint(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    n, done, most = _ends(edges)
+    while not done:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = reliable_checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"),
                                                         F.count(F.lit(1)).alias("n")))
-        large = (attach(both.where("v > u"), low, ["u"], "n", 2 * seen[0])
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        large = reliable_checkpoint(large)
-        low = reliable_checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-        small = attach(large, low, ["u"], "n", max(large.count(), 1)).where("v <> m").select(
+        large = reliable_checkpoint(
+            attach(both.where("v > u"), low, ["u"], "n", 2 * n, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = attach(large, low, ["u"], "n", n, most).where("v <> m").select(
             F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = reliable_checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        state = _state(edges)
-        if state == seen:
-            break
-        seen = state
+        n, done, most = _ends(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def linked_components(rows: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Callable,
+                      verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components of the nodes that share a bucket and are verified to link.
 
-    ``rows``: (bucket, node, size, pos, rank), a checkpoint; ``fits(a, b)``
-    gives a cheap necessary condition on the struct columns of two rows of a
-    bucket; ``verify`` takes distinct pairs (a, b) and returns those that link.
+    ``rows``: (bucket, node, size, pos, rank), ``sets``: (node, hashes), both
+    checkpoints. Two nodes link when the Jaccard similarity of their sets is
+    ``percent`` or more. ``fits(a, b)`` gives a cheap necessary condition on the
+    struct columns of two rows of a bucket; ``verify`` takes distinct pairs
+    (a, b) and returns those that link.
 
-    Only components are asked for, so pairs already connected are not compared
-    again: in each of the first rounds every bucket's foremost node (by
-    ``rank``) is compared with the others and then leaves the bucket, and
-    buckets of one component are done. What is left in several components is
-    compared in full, in blocks of bucket rows so that no task holds a large
-    bucket. No link between two components can be lost.
+    Only components are asked for, so pairs known to be connected are not
+    compared: in each of the first rounds every bucket's foremost node (by
+    ``rank``) is compared with the others and then leaves the bucket; nodes
+    that link to the same foremost node are connected, and buckets of such
+    nodes alone are done. What is left (or all, once that is little) is
+    compared in full: as distinct pairs if they are few, else in blocks of
+    bucket rows, which carry their sets and count intersections at once, so
+    that neither pairs nor large buckets are shipped. No link between two
+    components is lost.
     """
-    spark = rows.sparkSession
-    labels = links = checked = None
+    links = checked = None
     rows = rows.withColumn("comp", F.col("node"))
-    for turn in range(PIVOT_ROUNDS + 1):
+    turn = 0
+    while True:
         total = rows.count()
         stats = reliable_checkpoint(rows.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.max_by(F.struct("node", "size", "pos", "comp"), F.struct("rank", "node")).alias("p"))
             .where("lo <> hi").drop("lo", "hi"))
-        if not stats.head(1):
+        left, most = stats.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.max("n")).first()
+        if left is None:
+            break
+        few = left <= PAIRS_PER_ROW * total
+        if turn == PIVOT_ROUNDS and not few:
+            found = reliable_checkpoint(_block_links(rows, sets, stats, total, most, percent))
+            links = found if links is None else links.unionByName(found)
             break
-        here = F.struct("node", "size", "pos")
-        if turn < PIVOT_ROUNDS:
-            met = attach(rows, stats, ["bucket"], "n", total)
-            pairs = met.where((F.col("comp") != F.col("p.comp")) & fits(here, F.col("p"))).select(
-                F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+        met = attach(rows, stats, ["bucket"], "n", total, most)
+        if few:
+            pairs = _bucket_pairs(met, fits)
         else:
-            pairs = _block_pairs(rows, stats, total, fits)
+            pairs = met.where((F.col("comp") != F.col("p.comp")) & fits(F.struct("node", "size", "pos"), F.col("p")))
+            pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = reliable_checkpoint(pairs)
         found = reliable_checkpoint(verify(pairs))
         links = found if links is None else links.unionByName(found)
+        if few:
+            break
         checked = pairs if checked is None else checked.unionByName(pairs)
-        labels = reliable_checkpoint(components(links))
-        if turn < PIVOT_ROUNDS:
-            rows = attach(rows, stats, ["bucket"], "n", total).where("node <> p.node").drop("n", "p", "comp")
-            rows = reliable_checkpoint(rows.join(labels, "node", "left")
-                                       .withColumn("comp", F.coalesce("comp", "node")))
-    if labels is None:
-        return spark.createDataFrame([], "node long, comp long")
-    return labels
-
-
-def _block_pairs(rows: DataFrame, stats: DataFrame, total: int, fits: Callable) -> DataFrame:
-    """All pairs of a bucket's rows that lie in different components, made by
-    joining blocks of about BLOCK rows with each other."""
-    met = attach(rows, stats.select("bucket", "n"), ["bucket"], "n", total)
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    met = met.withColumn("_of", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int"))
+        # a label is a node that all nodes with this label link to: equal labels are connected
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(
+            links.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        pivots = stats.select(F.col("p.node").alias("to")) if turn == 0 else pivots.unionByName(
+            stats.select(F.col("p.node").alias("to")))
+        labels = ends.join(pivots.distinct(), "to", "left_semi").groupBy("node").agg(F.min("to").alias("comp"))
+        rows = attach(rows, stats, ["bucket"], "n", total, most).where("node <> p.node").drop("n", "p", "comp")
+        rows = reliable_checkpoint(rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        turn += 1
+    if links is None:
+        return rows.sparkSession.createDataFrame([], "node long, comp long")
+    return components(links)
+
+
+def _bucket_pairs(met: DataFrame, fits: Callable) -> DataFrame:
+    """Pairs of rows of a bucket in different components; for buckets that
+    have few pairs in all."""
+    here = met.select("bucket", F.struct("node", "size", "pos").alias("x"), "comp")
+    left = here.select("bucket", F.col("x").alias("xa"), F.col("comp").alias("ca"))
+    right = here.select("bucket", F.col("x").alias("xb"), F.col("comp").alias("cb"))
+    return (left.join(right, "bucket").where((F.col("xa.node") < F.col("xb.node")) & (F.col("ca") != F.col("cb")))
+            .where(fits(F.col("xa"), F.col("xb"))).select(F.col("xa.node").alias("a"), F.col("xb.node").alias("b")))
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, stats: DataFrame, total: int, most: int, percent: int) -> DataFrame:
+    """Links between rows of a bucket in different components, enough to
+    connect what is linked: blocks of about BLOCK rows meet each other."""
+    met = attach(rows, stats.select("bucket", "n"), ["bucket"], "n", total, most).select("bucket", "node", "comp", "n")
+    uses = reliable_checkpoint(met.groupBy("node").agg(F.count(F.lit(1)).alias("_uses")))
+    met = attach(met, sets.select("node", "hashes").join(uses, "node"), ["node"], "_uses", total)
+    met = met.withColumn("_of", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int"))
     met = met.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
-    keyed = met.select("bucket", F.least("_own", "_with").alias("_i"), F.greatest("_own", "_with").alias("_j"),
-                       F.struct("node", "size", "pos").alias("x"), "comp", "_own")
-    left = keyed.where("_own = _i").select("bucket", "_i", "_j", F.col("x").alias("xa"), F.col("comp").alias("ca"))
-    right = keyed.where("_own = _j").select("bucket", "_i", "_j", F.col("x").alias("xb"), F.col("comp").alias("cb"))
-    pairs = left.join(right, ["bucket", "_i", "_j"]).where(
-        (F.col("ca") != F.col("cb")) & ((F.col("_i") != F.col("_j")) | (F.col("xa.node") < F.col("xb.node"))))
-    return pairs.where(fits(F.col("xa"), F.col("xb"))).select(
-        F.least("xa.node", "xb.node").alias("a"), F.greatest("xa.node", "xb.node").alias("b"))
+    keyed = met.select("bucket", F.least("own", "_with").alias("i"), F.greatest("own", "_with").alias("j"), "own", "node",
+                       "comp", "hashes")
+    return keyed.groupBy("bucket", "i", "j").applyInArrow(_link_block(percent), "a long, b long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted distinct arrays: products
+    of 0/1 matrices, some columns at a time (exact in 32-bit floats)."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    many = times[column] > 1
+    owner, column = owner[many], np.unique(column[many], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[owner[a:b], column[a:b] - at] = 1
+        out += grid @ grid.T
+    return out.astype(np.int64)
+
+
+def _link_block(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, own = (table[c].to_numpy() for c in ("node", "comp", "own"))
+        sets = [np.frombuffer(b, np.uint64) for b in table["hashes"].to_pylist()]
+        size = np.asarray([len(x) for x in sets])
+        both = intersections(sets)
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        linked &= (comp[:, None] != comp[None, :]) & (both > 0)
+        if table["i"][0].as_py() != table["j"][0].as_py():
+            linked &= own[:, None] != own[None, :]
+        # labels: each node takes the smallest place it is linked to, over and over
+        label = np.arange(len(node))
+        while True:
+            new = np.minimum(label, np.where(linked, label[None, :], len(node)).min(axis=1, initial=len(node)))
+            if (new == label).all():
+                break
+            label = new
+        moved = label != np.arange(len(node))
+        return pa.table({"a": pa.array(node[moved]), "b": pa.array(node[label[moved]])})
+    return run

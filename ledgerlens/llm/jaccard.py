@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import shared
+from ledgerlens.llm import common, shared
 from ledgerlens.llm.common import attach, distinct_in_row, mix64, shingle_hashes, text_slices, word_hashes, word_lists
 from ledgerlens.llm.components import linked_components
 from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
@@ -53,7 +53,7 @@ _HEAD = np.dtype([("row_key", "<i8"), ("doc_id", "<i8"), ("null", "u1"), ("n", "
 
 def _send(parts: int, width: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in enumerate(text_slices(batches, SLICE)):
+        for part in text_slices(batches, SLICE):
             m = part.num_rows
             rows, hashes = shingle_sets(part.column("text"), width)
             head = np.zeros(m, _HEAD)
@@ -63,7 +63,7 @@ def _send(parts: int, width: int, wide: bool):
             head["doc_id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
             head["n"] = np.bincount(rows, minlength=m)
             head["d1"], head["d2"] = _digests(rows, hashes, m)
-            yield from shared.scatter(shared.slice_key(number), m, rows, hashes, parts, wide, head.tobytes())
+            yield from shared.scatter(shared.slice_key(part), m, rows, hashes, parts, wide, head.tobytes())
     return run
 
 
@@ -174,12 +174,14 @@ def _verify(percent: int):
 def verifier(sets: DataFrame, percent: int):
     """Exact check of pairs against a table (node, hashes)."""
     def verify(pairs: DataFrame) -> DataFrame:
-        out = pairs
+        out, n = pairs, pairs.count()
         for end, name in (("a", "ha"), ("b", "hb")):
-            n = out.count()
-            uses = reliable_checkpoint(out.groupBy(end).agg(F.count(F.lit(1)).alias("_uses")))
-            own = sets.select(F.col("node").alias(end), F.col("hashes").alias(name)).join(uses, end)
-            out = attach(out, own, [end], "_uses", n).drop("_uses")
+            own = sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
+            if n <= common.HOT_LEAST:       # no node can be in many pairs
+                out = out.join(own, end)
+                continue
+            uses = reliable_checkpoint(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_uses")))
+            out = attach(out, own.join(uses, end), [end], "_uses", n).drop("_uses")
         return out.mapInArrow(_verify(percent), "a long, b long")
     return verify
 
@@ -220,7 +222,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rows = reliable_checkpoint(
         sets.select("node", "size", "rank", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
         .select(F.col("p.prefix").alias("bucket"), "node", "size", F.col("p.places").alias("pos"), "rank"))
-    labels = linked_components(rows, fits(percent), verifier(sets, percent))
+    labels = linked_components(rows, sets, percent, fits(percent), verifier(sets, percent))
 
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = reliable_checkpoint(named)

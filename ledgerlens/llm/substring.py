@@ -41,7 +41,7 @@ MIN_RUN = 16            # words of the shortest stretch of segments that is remo
 MIN_LINE = 16           # words of the shortest line that is compared as a whole
 BAND_ROWS = 4
 RECALL = 0.99
-SLICE = 4 << 20
+SLICE = 3 << 20
 BROADCAST_BYTES = 16 << 20
 SEGMENT, LINE = 0, 1
 
@@ -247,11 +247,11 @@ def _length_fits(x, y):
     return 100 * F.least(x["size"], y["size"]) >= PERCENT * F.greatest(x["size"], y["size"])
 
 
-def _with_text(scan: DataFrame, few: DataFrame, how: str) -> DataFrame:
-    """Join a table of some documents to the scan: sent to it if its measured
-    size is small, else both are shuffled by row."""
-    got = few.agg(F.count(F.lit(1)), F.sum(F.lit(24) + F.octet_length("bits"))).first()
-    return scan.join(F.broadcast(few) if (got[1] or 0) <= BROADCAST_BYTES else few, "row_key", how)
+def _sent_to(scan: DataFrame, few: DataFrame, key: str, blob: str, how: str) -> DataFrame:
+    """Join a table of some rows (key, blob) to the scan: sent to it if its
+    measured size is small, else both are shuffled by row."""
+    size = few.agg(F.sum(F.lit(24) + F.octet_length(blob))).first()[0] or 0
+    return scan.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, key, how)
 
 
 def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -263,7 +263,7 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     flagged = reliable_checkpoint(
         sent.groupBy("part").applyInArrow(_flags, shared.MESSAGE_DDL)
         .groupBy("slice").applyInArrow(_per_doc(min_run), "row_key long, bits binary"))
-    cands = through_table(_with_text(scan, flagged, "inner").mapInArrow(_candidates, _CANDS_DDL)
+    cands = through_table(_sent_to(scan, flagged, "row_key", "bits", "inner").mapInArrow(_candidates, _CANDS_DDL)
                           .withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
     total = max(cands.count(), 1)
 
@@ -273,19 +273,21 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
 
     # lines: classes meet in bands, unless they stand alone in each
-    own = cands.where(F.col("kind") == LINE).join(
-        classes.where(F.col("kind") == LINE).select(F.col("first.uid").alias("uid")), "uid")
-    own = reliable_checkpoint(own.select(F.col("uid").alias("node"), "size", "hashes", "bands"))
+    own = cands.where(F.col("kind") == LINE).select("uid", "size", "hashes", "bands").join(
+        classes.where(F.col("kind") == LINE).select(F.col("first.uid").alias("uid"), "n"), "uid")
+    own = reliable_checkpoint(own.withColumnRenamed("uid", "node"))
+    # the paragraph with the most copies is compared first: its variants are most alike to it
     rows = reliable_checkpoint(own.select(F.explode("bands").alias("bucket"), "node", F.col("size").cast("long"),
-                                          F.lit(0).alias("pos"), F.col("size").cast("double").alias("rank")))
-    labels = linked_components(rows, _length_fits, verifier(own.select("node", "hashes"), PERCENT))
-    named = classes.join(labels, F.col("first.uid") == F.col("node"), "left").withColumn(
-        "comp", F.coalesce("comp", "first.uid")).drop("node")
-    named = reliable_checkpoint(named)
-    firsts = reliable_checkpoint(named.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("n").alias("members"),
-                                                           F.count(F.lit(1)).alias("m")))
-    named = attach(named, firsts.where("members > 1"), ["comp"], "m", total)
-    named = reliable_checkpoint(named.select(*same, "n", F.col("stays.uid").alias("stays")))
+                                          F.lit(0).alias("pos"), F.col("n").cast("double").alias("rank")))
+    labels = reliable_checkpoint(linked_components(rows, own, PERCENT, _length_fits, verifier(own, PERCENT)))
+    # linked classes keep the first paragraph of their component, other classes their own first
+    linked = labels.join(classes.where(F.col("kind") == LINE).select(F.col("first.uid").alias("node"), "first"), "node")
+    firsts = linked.groupBy("comp").agg(F.min("first").alias("of"))
+    moved = labels.join(firsts, "comp").select(F.col("node").alias("_node"), F.col("of.uid").alias("_to"))
+    named = reliable_checkpoint(
+        classes.join(moved, F.col("first.uid") == F.col("_node"), "left")
+        .withColumn("stays", F.coalesce("_to", "first.uid")).where((F.col("n") > 1) | (F.col("stays") != F.col("first.uid")))
+        .select(*same, "n", "stays"))
     return attach(cands.select("uid", "row_key", *same, "start", "length"), named, same, "n", total).where(
         "uid <> stays").select("row_key", "kind", "start", "length")
 
@@ -293,38 +295,58 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _cut(text: str, units: list[tuple[int, int, int]], min_run: int) -> tuple[str, list[list[int]], int]:
-    """Text without the units (kind, start, length), the removed stretches as
-    code point offsets of the old text, and the number of removed words."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    gone = np.zeros(len(at) + 1, np.int64)
+def _stretches(units: list[tuple[int, int, int]], min_run: int) -> list[tuple[int, int]]:
+    """Word stretches [begin, end) to remove, from units (kind, start, length):
+    lines, and unbroken segments of at least ``min_run`` words."""
     seg = sorted((s, n) for k, s, n in units if k == SEGMENT)
     start, length = np.asarray([s for s, _ in seg], np.int64), np.asarray([n for _, n in seg], np.int64)
     good = runs(start, length, min_run)
-    spans = [*zip(start[good].tolist(), length[good].tolist()), *((s, n) for k, s, n in units if k == LINE)]
-    for s, n in spans:
-        gone[s:s + n] = 1
-    edge = np.flatnonzero(np.diff(np.r_[0, gone]))
+    out: list[list[int]] = []
+    for s, n in sorted([*zip(start[good].tolist(), length[good].tolist()), *((s, n) for k, s, n in units if k == LINE)]):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s + n)
+        else:
+            out.append([s, s + n])
+    return [(a, b) for a, b in out]
+
+
+def _merge(min_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for key, units in zip(batch.column("row_key").to_pylist(), batch.column("units").to_pylist()):
+                found = _stretches([(u["kind"], u["start"], u["length"]) for u in units], min_run)
+                if found:
+                    keys.append(key)
+                    out.append(np.asarray(found, "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())],
+                                             names=["row_key", "bits"])
+    return run
+
+
+def _cut(text: str, stretches: np.ndarray) -> tuple[str, list[list[int]], int]:
+    """Text without the word stretches, what went as code point offsets of the
+    old text, and the number of removed words."""
+    at = [m.span() for m in _WORD.finditer(text)]
     out, cuts, done = [], [], 0
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+    for a, b in stretches.tolist():
         first, last = at[a][0], at[b - 1][1]
         while last < len(text) and text[last] in " \t":
             last += 1
         out.append(text[done:first])
         cuts.append([first, last])
         done = last
-    return "".join(out) + text[done:], cuts, int(gone.sum())
+    return "".join(out) + text[done:], cuts, int((stretches[:, 1] - stretches[:, 0]).sum())
 
 
-def _remove(min_run: int, text_at: int, names: list[str]):
+def _remove(text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans, words = [], [], []
-            for text, units in zip(batch.column(text_at).to_pylist(), batch.column("_ll_units").to_pylist()):
-                if units and text is not None:
-                    text, cuts, n = _cut(text, [(u["kind"], u["start"], u["length"]) for u in units], min_run)
-                else:
-                    cuts, n = [], 0
+            for text, blob in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                cuts, n = [], 0
+                if blob is not None and text is not None:
+                    text, cuts, n = _cut(text, np.frombuffer(blob, "<i4").reshape(-1, 2))
                 texts.append(text)
                 spans.append(cuts)
                 words.append(n)
@@ -351,15 +373,17 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     at = docs.columns.index("text")
     scan = docs.select(F.monotonically_increasing_id().alias("row_key"),
                        docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    found = reliable_checkpoint(repeated_paragraphs(scan, min_run).groupBy("row_key").agg(
-        F.collect_list(F.struct("kind", "start", "length")).alias("_ll_units")))    # bounded by a text's length
-    size = found.agg(F.sum(F.lit(24) + 16 * F.size("_ll_units"))).first()[0] or 0
-    found = found.withColumnRenamed("row_key", "_ll_row")
-    joined = docs.withColumn("_ll_row", F.monotonically_increasing_id()).join(
-        F.broadcast(found) if size <= BROADCAST_BYTES else found, "_ll_row", "left").drop("_ll_row")
+    # a row's units are bounded by its text; merged stretches take a few bytes a row
+    found = reliable_checkpoint(
+        repeated_paragraphs(scan, min_run).groupBy("row_key")
+        .agg(F.collect_list(F.struct("kind", "start", "length")).alias("units"))
+        .mapInArrow(_merge(min_run), "row_key long, bits binary"))
+    found = found.withColumnRenamed("row_key", "_ll_row").withColumnRenamed("bits", "_ll_stretches")
+    joined = _sent_to(docs.withColumn("_ll_row", F.monotonically_increasing_id()), found, "_ll_row", "_ll_stretches",
+                      "left").drop("_ll_row")
     schema = T.StructType([*docs.schema.fields, T.StructField("_ll_spans", T.ArrayType(T.ArrayType(T.LongType()))),
                            T.StructField("_ll_removed", T.LongType())])
-    return joined.mapInArrow(_remove(min_run, at, schema.names), schema)
+    return joined.mapInArrow(_remove(at, schema.names), schema)
 
 
 def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

@@ -92,7 +92,16 @@ def test_jaccard_components(docs, wide, rows, none):
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
-@pytest.mark.parametrize("rounds,per_row", [(0, 0), (1, 0), (3, 0)])
+def test_intersections(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(components, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(25)]
+    assert components.intersections(sets).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+
+
+@pytest.mark.parametrize("rounds,per_row", [(0, 0), (1, 0), (3, 0), (1, 100)])
 def test_jaccard_chains_and_large_groups(spark, tmp_path, monkeypatch, rounds, per_row):
     """Chains of near copies whose ends are not alike, hot buckets, and blocks of two rows."""
     monkeypatch.setattr(components, "PIVOT_ROUNDS", rounds)
