@@ -16,7 +16,6 @@ from ledgerlens.plans.runtime import reliable_checkpoint
 BLOCK = 1024            # rows of a block in the closing comparison
 COLUMNS = 4096          # distinct hashes that a block counts at a time
 PIVOT_ROUNDS = 2
-PAIRS_PER_ROW = 4       # once all pairs left are at most so many a row, they are compared in full
 
 
 def _ends(edges: DataFrame) -> tuple[int, bool, int]:
@@ -67,11 +66,10 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
     compared: in each of the first rounds every bucket's foremost node (by
     ``rank``) is compared with the others and then leaves the bucket; nodes
     that link to the same foremost node are connected, and buckets of such
-    nodes alone are done. What is left (or all, once that is little) is
-    compared in full: as distinct pairs if they are few, else in blocks of
-    bucket rows, which carry their sets and count intersections at once, so
-    that neither pairs nor large buckets are shipped. No link between two
-    components is lost.
+    nodes alone are done. What is left is
+    compared in full, in blocks of bucket rows: as distinct fitting pairs, or,
+    where those would ship more, in blocks that carry their sets and count
+    intersections at once. No link between two components is lost.
     """
     links = checked = None
     rows = rows.withColumn("comp", F.col("node"))
@@ -82,16 +80,19 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
             F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.max_by(F.struct("node", "size", "pos", "comp"), F.struct("rank", "node")).alias("p"))
             .where("lo <> hi").drop("lo", "hi"))
-        left, most = stats.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.max("n")).first()
-        if left is None:
-            break
-        few = left <= PAIRS_PER_ROW * total
-        if turn == PIVOT_ROUNDS and not few:
-            found = reliable_checkpoint(_block_links(rows, sets, stats, total, most, percent))
-            links = found if links is None else links.unionByName(found)
+        most = stats.agg(F.max("n")).first()[0]
+        if most is None:
             break
         met = attach(rows, stats, ["bucket"], "n", total, most)
-        if few:
+        closing = turn == PIVOT_ROUNDS
+        if closing:
+            # pairs ship two sets each, blocks every row's set to all blocks of its bucket: the lesser is done
+            shipped = stats.agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(BLOCK)))).first()[0]
+            n_pairs = _bucket_pairs(met, fits).agg(F.approx_count_distinct(F.xxhash64("a", "b"))).first()[0]
+            if 2 * n_pairs > shipped:
+                found = reliable_checkpoint(_block_links(met, sets, total, percent))
+                links = found if links is None else links.unionByName(found)
+                break
             pairs = _bucket_pairs(met, fits)
         else:
             pairs = met.where((F.col("comp") != F.col("p.comp")) & fits(F.struct("node", "size", "pos"), F.col("p")))
@@ -102,7 +103,7 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
         pairs = reliable_checkpoint(pairs)
         found = reliable_checkpoint(verify(pairs))
         links = found if links is None else links.unionByName(found)
-        if few:
+        if closing:
             break
         checked = pairs if checked is None else checked.unionByName(pairs)
         # a label is a node that all nodes with this label link to: equal labels are connected
@@ -119,27 +120,34 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
     return components(links)
 
 
-def _bucket_pairs(met: DataFrame, fits: Callable) -> DataFrame:
-    """Pairs of rows of a bucket in different components; for buckets that
-    have few pairs in all."""
-    here = met.select("bucket", F.struct("node", "size", "pos").alias("x"), "comp")
-    left = here.select("bucket", F.col("x").alias("xa"), F.col("comp").alias("ca"))
-    right = here.select("bucket", F.col("x").alias("xb"), F.col("comp").alias("cb"))
-    return (left.join(right, "bucket").where((F.col("xa.node") < F.col("xb.node")) & (F.col("ca") != F.col("cb")))
-            .where(fits(F.col("xa"), F.col("xb"))).select(F.col("xa.node").alias("a"), F.col("xb.node").alias("b")))
+def _blocks(met: DataFrame) -> DataFrame:
+    """Rows of a bucket of n, dealt to blocks of about BLOCK, each once for
+    every block it meets: keys bucket, i <= j, and the row's own block."""
+    met = met.withColumn("_of", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int"))
+    met = met.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    return met.withColumn("i", F.least("own", "_with")).withColumn("j", F.greatest("own", "_with"))
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, stats: DataFrame, total: int, most: int, percent: int) -> DataFrame:
+def _bucket_pairs(met: DataFrame, fits: Callable) -> DataFrame:
+    """Fitting pairs of rows of a bucket in different components, block by block."""
+    here = _blocks(met).select("bucket", "i", "j", "own", F.struct("node", "size", "pos").alias("x"), "comp")
+    keys = ["bucket", "i", "j"]
+    left = here.where("own = i").select(*keys, F.col("x").alias("xa"), F.col("comp").alias("ca"))
+    right = here.where("own = j").select(*keys, F.col("x").alias("xb"), F.col("comp").alias("cb"))
+    pairs = left.join(right, keys).where(
+        (F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("xa.node") < F.col("xb.node"))))
+    return pairs.where(fits(F.col("xa"), F.col("xb"))).select(
+        F.least("xa.node", "xb.node").alias("a"), F.greatest("xa.node", "xb.node").alias("b"))
+
+
+def _block_links(met: DataFrame, sets: DataFrame, total: int, percent: int) -> DataFrame:
     """Links between rows of a bucket in different components, enough to
-    connect what is linked: blocks of about BLOCK rows meet each other."""
-    met = attach(rows, stats.select("bucket", "n"), ["bucket"], "n", total, most).select("bucket", "node", "comp", "n")
+    connect what is linked: blocks with their sets meet each other."""
+    met = met.select("bucket", "node", "comp", "n")
     uses = reliable_checkpoint(met.groupBy("node").agg(F.count(F.lit(1)).alias("_uses")))
     met = attach(met, sets.select("node", "hashes").join(uses, "node"), ["node"], "_uses", total)
-    met = met.withColumn("_of", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int"))
-    met = met.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
-    keyed = met.select("bucket", F.least("own", "_with").alias("i"), F.greatest("own", "_with").alias("j"), "own", "node",
-                       "comp", "hashes")
+    keyed = _blocks(met).select("bucket", "i", "j", "own", "node", "comp", "hashes")
     return keyed.groupBy("bucket", "i", "j").applyInArrow(_link_block(percent), "a long, b long")
 
 

@@ -258,7 +258,7 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(row_key, kind, start, length) of the paragraphs to remove, in words of
     the row: all of a component but the first by doc_id (null last), row and
     place. ``scan``: (row_key, doc_id, text)."""
-    parts = 2 * shuffle_partitions(scan.sparkSession)
+    parts = shuffle_partitions(scan.sparkSession)
     sent = scan.select("row_key", "text").mapInArrow(_send(parts), shared.MESSAGE_DDL)
     flagged = reliable_checkpoint(
         sent.groupBy("part").applyInArrow(_flags, shared.MESSAGE_DDL)

@@ -101,12 +101,11 @@ def test_intersections(monkeypatch):
     assert components.intersections(sets).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
 
 
-@pytest.mark.parametrize("rounds,per_row", [(0, 0), (1, 0), (3, 0), (1, 100)])
-def test_jaccard_chains_and_large_groups(spark, tmp_path, monkeypatch, rounds, per_row):
+@pytest.mark.parametrize("rounds,block", [(0, 2), (0, 1000), (1, 2)])
+def test_jaccard_chains_and_large_groups(spark, tmp_path, monkeypatch, rounds, block):
     """Chains of near copies whose ends are not alike, hot buckets, and blocks of two rows."""
     monkeypatch.setattr(components, "PIVOT_ROUNDS", rounds)
-    monkeypatch.setattr(components, "PAIRS_PER_ROW", per_row)
-    monkeypatch.setattr(components, "BLOCK", 2)
+    monkeypatch.setattr(components, "BLOCK", block)
     monkeypatch.setattr("ledgerlens.llm.common.HOT_LEAST", 1)
     monkeypatch.setattr("ledgerlens.llm.common.HOT_PARTS", 5)
     monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
