@@ -15,7 +15,6 @@ from ledgerlens.plans.runtime import reliable_checkpoint
 
 BLOCK = 1024            # rows of a block in the closing comparison
 COLUMNS = 4096          # distinct hashes that a block counts at a time
-PIVOT_ROUNDS = 2
 
 
 def _ends(edges: DataFrame) -> tuple[int, bool, int]:
@@ -53,23 +52,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Callable,
-                      verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+                      verify: Callable[[DataFrame], DataFrame], rounds: int, as_pairs: bool) -> DataFrame:
     """Components of the nodes that share a bucket and are verified to link.
 
     ``rows``: (bucket, node, size, pos, rank), ``sets``: (node, hashes), both
     checkpoints. Two nodes link when the Jaccard similarity of their sets is
     ``percent`` or more. ``fits(a, b)`` gives a cheap necessary condition on the
     struct columns of two rows of a bucket; ``verify`` takes distinct pairs
-    (a, b) and returns those that link.
+    (a, b) and returns those that link. ``as_pairs`` says that ``fits`` leaves
+    few pairs of a bucket, so that what the rounds leave is compared as pairs.
 
     Only components are asked for, so pairs known to be connected are not
-    compared: in each of the first rounds every bucket's foremost node (by
+    compared: in each of the first ``rounds`` every bucket's foremost node (by
     ``rank``) is compared with the others and then leaves the bucket; nodes
     that link to the same foremost node are connected, and buckets of such
     nodes alone are done. What is left is
-    compared in full, in blocks of bucket rows: as distinct fitting pairs, or,
-    where those would ship more, in blocks that carry their sets and count
-    intersections at once. No link between two components is lost.
+    compared in full, in blocks of bucket rows: as distinct fitting pairs
+    (``as_pairs``), or in blocks that carry their sets and count intersections
+    at once. No link between two components is lost.
     """
     links = checked = None
     rows = rows.withColumn("comp", F.col("node"))
@@ -84,15 +84,12 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
         if most is None:
             break
         met = attach(rows, stats, ["bucket"], "n", total, most)
-        closing = turn == PIVOT_ROUNDS
+        closing = turn == rounds
+        if closing and not as_pairs:
+            found = reliable_checkpoint(_block_links(met, sets, total, percent))
+            links = found if links is None else links.unionByName(found)
+            break
         if closing:
-            # pairs ship two sets each, blocks every row's set to all blocks of its bucket: the lesser is done
-            shipped = stats.agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(BLOCK)))).first()[0]
-            n_pairs = _bucket_pairs(met, fits).agg(F.approx_count_distinct(F.xxhash64("a", "b"))).first()[0]
-            if 2 * n_pairs > shipped:
-                found = reliable_checkpoint(_block_links(met, sets, total, percent))
-                links = found if links is None else links.unionByName(found)
-                break
             pairs = _bucket_pairs(met, fits)
         else:
             pairs = met.where((F.col("comp") != F.col("p.comp")) & fits(F.struct("node", "size", "pos"), F.col("p")))

@@ -30,6 +30,7 @@ PERCENT = 80
 SLICE = 8 << 20
 BROADCAST_BYTES = 8 << 20
 SUFFIX_DEPTH = 3
+PIVOT_ROUNDS = 2
 
 
 def shingle_sets(text: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +223,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rows = reliable_checkpoint(
         sets.select("node", "size", "rank", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
         .select(F.col("p.prefix").alias("bucket"), "node", "size", F.col("p.places").alias("pos"), "rank"))
-    labels = linked_components(rows, sets, percent, fits(percent), verifier(sets, percent))
+    labels = linked_components(rows, sets, percent, fits(percent), verifier(sets, percent), PIVOT_ROUNDS, True)
 
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = reliable_checkpoint(named)

@@ -279,7 +279,7 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     # the paragraph with the most copies is compared first: its variants are most alike to it
     rows = reliable_checkpoint(own.select(F.explode("bands").alias("bucket"), "node", F.col("size").cast("long"),
                                           F.lit(0).alias("pos"), F.col("n").cast("double").alias("rank")))
-    labels = reliable_checkpoint(linked_components(rows, own, PERCENT, _length_fits, verifier(own, PERCENT)))
+    labels = reliable_checkpoint(linked_components(rows, own, PERCENT, _length_fits, verifier(own, PERCENT), 1, False))
     # linked classes keep the first paragraph of their component, other classes their own first
     linked = labels.join(classes.where(F.col("kind") == LINE).select(F.col("first.uid").alias("node"), "first"), "node")
     firsts = linked.groupBy("comp").agg(F.min("first").alias("of"))

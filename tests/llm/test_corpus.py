@@ -101,10 +101,11 @@ def test_intersections(monkeypatch):
     assert components.intersections(sets).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
 
 
-@pytest.mark.parametrize("rounds,block", [(0, 2), (0, 1000), (1, 2)])
-def test_jaccard_chains_and_large_groups(spark, tmp_path, monkeypatch, rounds, block):
+@pytest.mark.parametrize("rounds,block,as_pairs", [(0, 2, True), (0, 2, False), (1, 1000, False)])
+def test_jaccard_chains_and_large_groups(spark, tmp_path, monkeypatch, rounds, block, as_pairs):
     """Chains of near copies whose ends are not alike, hot buckets, and blocks of two rows."""
-    monkeypatch.setattr(components, "PIVOT_ROUNDS", rounds)
+    plain = jaccard.linked_components
+    monkeypatch.setattr(jaccard, "linked_components", lambda *a: plain(*a[:-2], rounds, as_pairs))
     monkeypatch.setattr(components, "BLOCK", block)
     monkeypatch.setattr("ledgerlens.llm.common.HOT_LEAST", 1)
     monkeypatch.setattr("ledgerlens.llm.common.HOT_PARTS", 5)
