@@ -188,7 +188,7 @@ def verifier(sets: DataFrame, percent: int):
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: (row_key, doc_id, n_shingles, component_id).
+    """One row per document: (row_key, doc_id, n_shingles, component_id, component_key).
 
     Needs ``doc_id`` and ``text``; other columns are not read. Two documents
     link when 100 |A and B| >= percent |A or B| for their sets of distinct
@@ -197,7 +197,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     links. A null, empty or blank text has no shingle and links with nothing;
     a row with a null doc_id is linked like others and never names a component
     that has a doc_id. Repeated rows are one class. An empty table gives an
-    empty result. ``row_key`` is the row's place in the scan of ``docs``.
+    empty result. ``row_key`` is the row's place in the scan of ``docs``, and
+    ``component_key`` the row_key of one of the component's rows: it tells
+    components apart, which a doc_id (null or of several rows) does not.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -231,20 +233,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     names = reliable_checkpoint(names)
     named = reliable_checkpoint(attach(named, names, ["comp"], "n_classes", max(n_classes, 1)))
     n_live = live.count()
-    members = attach(live.select("row_key", *same), named.select(*same, "copies", "component_id"), same, "copies",
-                     max(n_live, 1)).select("row_key", "component_id")
+    members = attach(live.select("row_key", *same), named.select(*same, "copies", "component_id", "comp"), same,
+                     "copies", max(n_live, 1)).select("row_key", "component_id", "comp")
     return table.join(members, "row_key", "left").select(
-        "row_key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "row_key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("comp", "row_key").alias("component_key"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` of which each component's first (smallest doc_id,
     then first of the scan) stays, with all their columns."""
     found = reliable_checkpoint(jaccard_components(docs, width, percent))
-    stays = found.where("n_shingles > 0").groupBy("component_id").agg(
+    stays = found.where("n_shingles > 0").groupBy("component_key").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("_f"), F.count(F.lit(1)).alias("_n"))
-    stays = reliable_checkpoint(stays.where("_n > 1 and component_id is not null"))
-    gone = attach(found.where("n_shingles > 0"), stays, ["component_id"], "_n", max(found.count(), 1)).where(
+    stays = reliable_checkpoint(stays.where("_n > 1"))
+    gone = attach(found.where("n_shingles > 0"), stays, ["component_key"], "_n", max(found.count(), 1)).where(
         "row_key <> _f.row_key").select(F.col("row_key").alias("_ll_row"))
     return (docs.withColumn("_ll_row", F.monotonically_increasing_id())
             .join(gone, "_ll_row", "left_anti").drop("_ll_row"))

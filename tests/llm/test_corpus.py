@@ -92,6 +92,16 @@ def test_jaccard_components(docs, wide, rows, none):
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_keep_one_tells_components_apart(spark, tmp_path):
+    """One doc_id on unrelated texts, and near copies that have no doc_id."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    near = lambda c: text(c).replace(f"{c}59", "other")
+    rows = [(1, text("a"), "en", "s", 0), (1, text("b"), "en", "s", 0), (2, near("b"), "en", "s", 0),
+            (None, text("c"), "en", "s", 0), (None, near("c"), "en", "s", 0), (None, text("d"), "en", "s", 0)]
+    got = collections.Counter((r.doc_id, r.text[0]) for r in jaccard.keep_one(frame(spark, rows, tmp_path)).collect())
+    assert got == collections.Counter([(1, "a"), (1, "b"), (None, "c"), (None, "d")])
+
+
 def test_intersections(monkeypatch):
     import numpy as np
 
