@@ -14,7 +14,10 @@ Counts are held in hash partitions. Slices of the corpus send packed words to
 their partitions and get frequency ranks back (the count of a word follows
 from its rank and one small step table); word pairs then go to partitions by
 their first word, very frequent first words by both, where pairs are counted,
-scored and summed by document.
+scored and summed by document. A pair that a slice has OFTEN times or more is
+sent once, with its count, as a document of its own behind the slice's
+documents; its score comes back once, and the slice adds it to the documents
+that have the pair. So one pair is fewer than OFTEN entries a slice.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
 K = 5                   # counts up to K are discounted
 FOLDS, HELD_OUT = 7, 2
 SLICE = 8 << 20
+OFTEN = 1024            # occurrences in a slice from which a pair is sent once
 UNKNOWN, START = 0xFFFFFFFE, 0xFFFFFFFF
 
 
@@ -225,9 +229,21 @@ def _pairs(model, parts: int):
         alone = v == UNKNOWN
         out["score"] = np.bincount(doc[alone], weights=np.log10(p[alone]), minlength=m)
         key = table["slice"][0].as_py()
-        rows = [(key, -1 - key % parts, b"", out.tobytes())]
-        v, w = v[~alone], w[~alone]
-        mark = (doc[~alone] * 2 + (docs["held"][doc[~alone]] == 0)).astype(np.uint32)
+        v, w, doc = v[~alone], w[~alone], doc[~alone]
+        train = docs["held"][doc] == 0
+        # frequent pairs: a document m, m + 1, ... for each, with the training count
+        pair, back, each = np.unique(v.astype(np.uint64) << np.uint64(32) | w, return_inverse=True, return_counts=True)
+        many = np.flatnonzero(each >= OFTEN)
+        once = each[back] < OFTEN
+        weight = np.bincount(back, weights=train, minlength=len(pair)).astype(np.int64)[many]
+        place = np.searchsorted(many, back[~once])
+        spot, times = np.unique(doc[~once].astype(np.int64) << 32 | place, return_counts=True)
+        rows = [(key, -1 - key % parts, np.asarray([len(many), len(spot)], "<i8").tobytes() + spot.astype("<i8").tobytes()
+                 + times.astype("<u4").tobytes(), out.tobytes())]
+        v = np.concatenate([v[once], (pair[many] >> np.uint64(32)).astype(np.uint32)])
+        w = np.concatenate([w[once], (pair[many] & np.uint64(0xFFFFFFFF)).astype(np.uint32)])
+        mark = np.concatenate([doc[once] * 2 + train[once], (m + np.arange(len(many))) * 2 + (weight > 0)]).astype(np.uint32)
+        weight = np.concatenate([np.ones(int(once.sum()), np.int64), weight])
         mixed = mix64(v.astype(np.uint64) * np.uint64(3) + np.uint64(1))
         often = (v < hot) | (v == START)
         mixed[often] = mix64(mixed[often] ^ w[often])
@@ -238,8 +254,10 @@ def _pairs(model, parts: int):
             own = order[ends[k]:ends[k + 1]]
             if len(own):
                 vs, size = np.unique(v[own], return_counts=True)
-                kind = "<u2" if 2 * m < 1 << 16 else "<u4"
-                rows.append((key, k, np.asarray([len(vs), len(own), int(kind[-1])], "<i8").tobytes(),
+                kind = "<u2" if 2 * (m + len(many)) < 1 << 16 else "<u4"
+                counted = weight[own[mark[own] >> 1 >= m]]
+                rows.append((key, k, np.asarray([len(vs), len(own), int(kind[-1]), m], "<i8").tobytes()
+                             + counted.astype("<u4").tobytes(),
                              vs.astype("<u4").tobytes() + size.astype("<u4").tobytes() + w[own].astype("<u4").tobytes()
                              + mark[own].astype(kind).tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), shared.MESSAGE)], schema=shared.MESSAGE)
@@ -253,19 +271,25 @@ def _score(model, starts: int):
     def run(table: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table["part"][0].as_py() < 0:
-            rows = [(DOCS, s, b, None, None, None) for s, b in
-                    zip(table["slice"].to_pylist(), table["hashes"].to_pylist())]
+            rows = [(DOCS, s, c + b, None, None, None) for s, c, b in
+                    zip(*(table[x].to_pylist() for x in ("slice", "counts", "hashes")))]
             return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _STATS)], schema=_STATS)
-        v, w, mark, piece = [], [], [], []
+        v, w, mark, piece, counted = [], [], [], [], []
         for k, (head, blob) in enumerate(zip(table["counts"].to_pylist(), table["hashes"].to_pylist())):
-            a, n, width = np.frombuffer(head, "<i8").tolist()
+            a, n, width, m = np.frombuffer(head, "<i8", 4).tolist()
             v.append(np.repeat(np.frombuffer(blob, "<u4", a), np.frombuffer(blob, "<u4", a, 4 * a)))
             w.append(np.frombuffer(blob, "<u4", n, 8 * a))
             mark.append(np.frombuffer(blob, f"<u{width}", n, 8 * a + 4 * n).astype(np.uint32))
             piece.append(np.full(n, k, np.int64))
+            sent = np.flatnonzero(mark[-1] >> 1 >= m)
+            counted.append((v[-1][sent].astype(np.uint64) << np.uint64(32) | w[-1][sent],
+                            np.frombuffer(head, "<u4", -1, 32).astype(np.int64)))
         v, w, mark, piece = map(np.concatenate, (v, w, mark, piece))
         key = v.astype(np.uint64) << np.uint64(32) | w
         pair, number = np.unique(key[mark & 1 == 1], return_counts=True)
+        for keys, times in counted:         # one of them is in already
+            own = times > 0
+            np.add.at(number, np.searchsorted(pair, keys[own]), times[own] - 1)
         at = np.minimum(np.searchsorted(pair, key), max(len(pair) - 1, 0))
         c = np.where(pair[at] == key, number[at], 0) if len(pair) else np.zeros(len(key), np.int64)
         del key
@@ -373,8 +397,11 @@ _RESULT_DDL = ("doc_id long, held_out boolean, n_tokens long, n_known long, trai
 def _finish(tokens: int, d: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_pylist()
-        docs = np.frombuffer(table["blob"][kinds.index(DOCS)].as_py(), _BASE)
-        score, gap = docs["score"].copy(), np.zeros(K)
+        blob = table["blob"][kinds.index(DOCS)].as_py()
+        many, n = np.frombuffer(blob, "<i8", 2).tolist()
+        spot, times = np.frombuffer(blob, "<i8", n, 16), np.frombuffer(blob, "<u4", n, 16 + 8 * n)
+        docs = np.frombuffer(blob, _BASE, -1, 16 + 12 * n)
+        score, gap = np.concatenate([docs["score"], np.zeros(many)]), np.zeros(K)
         gap[:len(d) - 1] = np.log10(d[1:])
         for kind, blob in zip(kinds, table["blob"].to_pylist()):
             if kind == SUMS:
@@ -383,6 +410,8 @@ def _finish(tokens: int, d: np.ndarray):
                 doc = np.frombuffer(blob, "<u4", n, 8)
                 counts = np.frombuffer(blob, f"<u{width}", n * K, 8 + 12 * n).reshape(n, K)
                 score[doc] += np.frombuffer(blob, "<f8", n, 8 + 4 * n) + counts @ gap
+        np.add.at(score, spot >> 32, times * score[len(docs) + (spot & 0xFFFFFFFF)])
+        score = score[:len(docs)]
         return pa.table([pa.array(docs["doc_id"], mask=docs["null"].astype(bool)), pa.array(docs["held"].astype(bool)),
                          pa.array(docs["tokens"]), pa.array(docs["known"]),
                          pa.array(np.full(len(docs), tokens, np.int64)), pa.array(docs["base"]), pa.array(score)],

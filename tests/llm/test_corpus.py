@@ -245,6 +245,39 @@ def test_katz_tiny_tables(spark, tmp_path):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 and abs(a[6] - b[6]) < 1e-9
 
 
+def test_katz_sends_a_frequent_pair_once(spark, tmp_path):
+    """A pair that is most of the corpus, in training and held-out texts, and one that held-out texts alone have."""
+    sizes, plain = [], katz._pairs
+
+    def pairs(model, parts):
+        def run(table):
+            out = plain(model, parts)(table)
+            for head, part in zip(out["counts"].to_pylist(), out["part"].to_pylist()):
+                if part >= 0:
+                    sizes.append(int.from_bytes(head[8:16], "little"))
+            return out
+        return run
+
+    held = [d for d in range(40) if zlib.crc32(str(d).encode()) % 7 == 2]
+    rows = [(d, "junk " * 300 + f"a{d} b c", "en", "s", 0) for d in range(40)]
+    rows += [(held[0], "only here " * 1200, "en", "s", 0), (held[1], "b a1 " * 100, "en", "s", 0)]
+    got = sorted(tuple(r) for r in katz.katz_scores(frame(spark, rows, tmp_path)).collect())
+    for a, b in zip(got, sorted(plain_katz(rows)), strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
+    # a slice of the same kind, by hand: all occurrences of the pair are one entry
+    import numpy as np
+    import pyarrow as pa
+
+    docs = np.zeros(3, katz._DOC)
+    docs["words"] = 1000
+    head = np.asarray([3, 2], "<i8").tobytes() + docs.tobytes() + np.zeros(2, "<u4").tobytes()
+    table = pa.table({"slice": [0, 0], "part": [-1, 0], "counts": pa.array([head, b""], pa.binary()),
+                      "hashes": pa.array([np.zeros(3000, "<u4").tobytes(), np.asarray([0, 1], "<u4").tobytes()],
+                                         pa.binary())})
+    pairs((katz.Unigrams([(3000, 1), (3, 1)]), 0), 1)(table)
+    assert sum(sizes) < 3 * 3
+
+
 # --- classifier --------------------------------------------------------------------------------
 
 def test_classifier(spark, tmp_path, none):
