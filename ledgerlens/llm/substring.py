@@ -1,17 +1,19 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Two kinds of paragraphs are compared: lines of some length, and short segments
-whose borders depend on the words near them alone (a border lies before the
-word pair with the smallest hash among its neighbours), so that a passage put
-into another text keeps its inner segments wherever it stands.
-
-A paragraph's 5-word shingles give its bands: for a line a MinHash signature
-whose number of bands is tuned for recall; a segment has too few shingles for
-two different sets to reach the similarity often, so its one band is the set
-itself. Paragraphs with a band in common are found by packed counting, then
-verified by exact Jaccard, and components decide: a component's first
-paragraph stays, the others are removed (segments only in stretches of
-``min_run`` words, so that chance repeats of a few words stay).
+Texts are cut into short segments whose borders depend on the words near them
+alone (a border lies before the word pair with the smallest hash among its
+neighbours), so that a passage put into another text keeps its inner segments
+wherever it stands. Two kinds of paragraphs are compared, each with its own:
+runs (from every segment on, the fewest segments in a row with ``min_run``
+words) and lines.
+
+A run is compared as it is: its one band is its word sequence. Of the others
+the 5-word shingles give a MinHash signature whose number of bands is tuned
+for recall. Paragraphs with a band in common are found by packed counting,
+then verified by exact Jaccard, and components decide: a component's first
+paragraph stays, the others are removed. A run that stays for another's sake
+stays whole, whatever else is found in its text, so every removed run is still
+there, unbroken, in one text. A line that stays loses nothing but runs.
 """
 
 from __future__ import annotations
@@ -37,13 +39,13 @@ from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
 WIDTH = 5
 PERCENT = 80
 REACH = 4               # words to either side that decide a segment border
-MIN_RUN = 16            # words of the shortest stretch of segments that is removed
-MIN_LINE = 16           # words of the shortest line that is compared as a whole
+MIN_RUN = 16            # words of the shortest run of segments
+MIN_LINE = 16           # words of the shortest line that is compared
 BAND_ROWS = 4
 RECALL = 0.99
 SLICE = 3 << 20
 BROADCAST_BYTES = 16 << 20
-SEGMENT, LINE = 0, 1
+RUN, LINE = range(2)
 
 
 def tuned_bands(similarity: float, rows: int, recall: float) -> int:
@@ -55,7 +57,7 @@ def tuned_bands(similarity: float, rows: int, recall: float) -> int:
 BANDS = tuned_bands(PERCENT / 100, BAND_ROWS, RECALL)
 
 
-def _borders(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _borders(rows: np.ndarray, hashes: np.ndarray, reach: int) -> np.ndarray:
     """Mask of words that begin a segment."""
     n = len(rows)
     value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -63,7 +65,7 @@ def _borders(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     value[:-1][pair] = mix64(hashes[:-1] * np.uint64(3) ^ hashes[1:])[pair]
     first = np.r_[True, ~pair] if n else np.zeros(0, bool)
     low = value < np.iinfo(np.uint64).max
-    for k in range(1, min(REACH, n - 1) + 1):
+    for k in range(1, min(reach, n - 1) + 1):
         same = rows[k:] == rows[:-k]
         low[k:] &= ~same | (value[k:] < value[:-k])
         low[:-k] &= ~same | (value[:-k] <= value[k:])
@@ -71,47 +73,65 @@ def _borders(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """Paragraphs of the texts of a slice: kind, row, start word, words, and
-    their shingle sets as (unit, hash) pairs sorted by unit."""
+    """Paragraphs of the texts of a slice: kind, row, start word, words; and
+    for all but runs their shingle sets as (unit, hash) pairs sorted by unit."""
 
-    def __init__(self, text: pa.Array):
+    def __init__(self, text: pa.Array, min_run: int):
         m = len(text)
         text = pc.ascii_lower(pc.fill_null(text, ""))
         rows, words = word_lists(text)
         hashes = word_hashes(words)
         self.words_of_row = np.bincount(rows, minlength=m)
         base = np.r_[0, np.cumsum(self.words_of_row)]
-        start = np.flatnonzero(_borders(rows, hashes))
-        end = np.r_[start[1:], len(rows)] if len(start) else start
+        n = len(rows)
+        segment = np.flatnonzero(_borders(rows, hashes, REACH))
+        # a run ends with the segment that brings it to so many words, in the same text
+        ends = np.r_[segment[1:], n] if n else segment
+        last = np.minimum(np.searchsorted(ends, segment + min_run), max(len(ends) - 1, 0))
+        whole = (ends[last] - segment >= min_run) & (ends[last] <= base[rows[segment] + 1]) if n else np.zeros(0, bool)
+        spans = [(RUN, rows[segment[whole]], segment[whole], ends[last][whole])]
         lines = pc.split_pattern(text, "\n")
         line_rows = pc.list_parent_indices(lines).to_numpy(zero_copy_only=False)
         per_line, _ = word_lists(pc.list_flatten(lines))
         count = np.bincount(per_line, minlength=len(line_rows))
         line_end = np.cumsum(count)
-        keep = count >= MIN_LINE
-        self.row = np.concatenate([rows[start], line_rows[keep]]).astype(np.int64)
-        self.kind = np.repeat([SEGMENT, LINE], [len(start), keep.sum()])
-        first = np.concatenate([start, (line_end - count)[keep]])
-        self.length = np.concatenate([end - start, count[keep]])
+        spans.append((LINE, line_rows, line_end - count, line_end))
+        self.kind = np.repeat([k for k, *_ in spans], [len(r) for _, r, *_ in spans])
+        self.row, first, stop = (np.concatenate([x[k] for x in spans]).astype(np.int64) for k in (1, 2, 3))
+        keep = stop - first >= np.where(self.kind == RUN, min_run, MIN_LINE)
+        self.kind, self.row, first, stop = self.kind[keep], self.row[keep], first[keep], stop[keep]
+        self.length = stop - first
         self.start = first - base[self.row]
         order = np.lexsort((self.start, self.kind, self.row))
         self.row, self.kind, self.start, self.length = (x[order] for x in (self.row, self.kind, self.start, self.length))
         first = first[order]
-        # words of every unit, one unit after the other
-        unit = np.repeat(np.arange(len(first)), self.length)
-        at = np.arange(len(unit)) - np.repeat(np.cumsum(self.length) - self.length, self.length) + first[unit]
+        self._first, self._hashes = first, hashes
+        # words of every unit but runs, one unit after the other
+        length = np.where(self.kind == RUN, 0, self.length)
+        unit = np.repeat(np.arange(len(first)), length)
+        at = np.arange(len(unit)) - np.repeat(np.cumsum(length) - length, length) + first[unit]
         self.unit, self.shingle = distinct_in_row(*shingle_hashes(unit, hashes[at], WIDTH))
         self.size = np.bincount(self.unit, minlength=len(first))
         self.begin = np.cumsum(self.size) - self.size
+        self.size = np.where(self.kind == RUN, self.length, self.size)
 
     def digest(self, salt: int) -> np.ndarray:
+        """Hash of every unit's shingle set, or of a run's words in order."""
         total = np.zeros(len(self.row), np.uint64)
+        sets = np.flatnonzero(self.kind != RUN)
         if len(self.unit):
-            total = np.add.reduceat(mix64(self.shingle ^ np.uint64(salt)), self.begin)
+            total[sets] = np.add.reduceat(mix64(self.shingle ^ np.uint64(salt)), self.begin[sets])
+        run = np.flatnonzero(self.kind == RUN)
+        if len(run):
+            begin = np.cumsum(self.length[run]) - self.length[run]
+            offset = np.arange(self.length[run].sum()) - np.repeat(begin, self.length[run])
+            words = self._hashes[np.repeat(self._first[run], self.length[run]) + offset]
+            total[run] = np.add.reduceat(mix64(mix64(words ^ np.uint64(salt)) * np.uint64(3) + offset.astype(np.uint64)),
+                                         begin)
         return total
 
     def bands(self, of: np.ndarray) -> np.ndarray:
-        """Band hashes of the units ``of`` (lines), one row each."""
+        """Band hashes of the units ``of`` (no runs), one row each; kinds have no band in common."""
         out = np.zeros((len(of), BANDS), np.uint64)
         if not len(of):
             return out
@@ -119,7 +139,7 @@ class Units:
         at = np.repeat(self.begin[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         sets, begin = self.shingle[at], np.cumsum(size) - size
         for band in range(BANDS):
-            value = np.full(len(of), np.uint64(band + 1))
+            value = (band + 1 + BANDS * self.kind[of]).astype(np.uint64)
             for k in range(BAND_ROWS):
                 salt = np.uint64((0x9E3779B97F4A7C15 * (band * BAND_ROWS + k + 1)) & 0xFFFFFFFFFFFFFFFF)
                 value = mix64(value ^ np.minimum.reduceat(mix64(sets ^ salt), begin))
@@ -128,47 +148,41 @@ class Units:
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """(unit, band hash) of all units in order."""
-        lines = np.flatnonzero(self.kind == LINE)
-        each = np.where(self.kind == LINE, BANDS, 1)
+        run = self.kind == RUN
+        each = np.where(run, 1, BANDS)
         unit = np.repeat(np.arange(len(each)), each)
         hashes = np.empty(len(unit), np.uint64)
-        hashes[(self.kind == SEGMENT)[unit]] = self.digest(1)[self.kind == SEGMENT]
-        hashes[(self.kind == LINE)[unit]] = self.bands(lines).ravel()
+        hashes[run[unit]] = self.digest(1)[run]
+        hashes[~run[unit]] = self.bands(np.flatnonzero(~run)).ravel()
         return unit, hashes
 
 
-def runs(start: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
-    """Mask of the segments (of one text, in order) in unbroken stretches of at least so many words."""
-    if not len(start):
-        return np.zeros(0, bool)
-    new = np.r_[True, start[1:] != start[:-1] + length[:-1]]
-    run = np.cumsum(new) - 1
-    return np.bincount(run, weights=length)[run] >= least
-
-
 _HEAD = np.dtype([("row_key", "<i8"), ("units", "<i4")])
-_UNIT = np.dtype([("kind", "u1"), ("length", "<u4")])
 
 
-def _send(parts: int):
+def _send(parts: int, min_run: int):
+    """A hash goes out of a slice once; a slice knows by itself of those it has twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE):
-            units = Units(part.column("text"))
+            units = Units(part.column("text"), min_run)
             unit, hashes = units.entries()
+            _, first, same, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            sent = np.zeros(len(hashes), bool)
+            sent[first] = True
+            home = np.where(sent, shared.part_of(hashes, parts), parts)
             head = np.zeros(part.num_rows, _HEAD)
             head["row_key"] = part.column("row_key").to_numpy(zero_copy_only=False)
             head["units"] = np.bincount(units.row, minlength=part.num_rows)
-            body = np.zeros(len(units.row), _UNIT)
-            body["kind"], body["length"] = units.kind, units.length
-            blob = (np.asarray([part.num_rows], "<i8").tobytes() + head.tobytes() + body.tobytes()
-                    + units.start.astype("<u4").tobytes() + shared.part_of(hashes, parts).astype("<u4").tobytes())
-            yield from shared.scatter(shared.slice_key(part), 1, np.zeros(len(unit), np.int64), hashes, parts, False,
-                                      blob)
+            blob = (np.asarray([part.num_rows, len(hashes)], "<i8").tobytes() + head.tobytes()
+                    + units.kind.astype("u1").tobytes() + np.packbits(times[same] > 1).tobytes()
+                    + home.astype("<u2" if parts < 1 << 16 else "<u4").tobytes())
+            yield from shared.scatter(shared.slice_key(part), 1, np.zeros(int(sent.sum()), np.int64), hashes[sent], parts,
+                                      False, blob)
     return run
 
 
 def _flags(table: pa.Table) -> pa.Table:
-    """Answers: for each hash sent, whether it occurs again (bits)."""
+    """Answers: for each hash sent, whether another slice has it, too (bits)."""
     if table["part"][0].as_py() < 0:
         return table
     sent = [np.frombuffer(b, np.uint32) for b in table["hashes"].to_pylist()]
@@ -181,35 +195,31 @@ def _flags(table: pa.Table) -> pa.Table:
 _FLAGGED = pa.schema([("row_key", pa.int64()), ("bits", pa.binary())])
 
 
-def _per_doc(min_run: int):
+def _per_doc(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        """Documents with a repeated line or stretch of segments, with a bit for each unit."""
+        """Documents with a repeated unit, with a bit for each unit."""
         blob = shared.header_of(table)
-        m = int(np.frombuffer(blob, "<i8", 1)[0])
-        head = np.frombuffer(blob, _HEAD, m, 8)
-        at, n = 8 + m * _HEAD.itemsize, int(head["units"].sum())
-        body = np.frombuffer(blob, _UNIT, n, at)
-        start = np.frombuffer(blob, "<u4", n, at + n * _UNIT.itemsize).astype(np.int64)
-        part = np.frombuffer(blob, "<u4", -1, at + n * (_UNIT.itemsize + 4))
+        m, entries = np.frombuffer(blob, "<i8", 2).tolist()
+        head = np.frombuffer(blob, _HEAD, m, 16)
+        at, n = 16 + m * _HEAD.itemsize, int(head["units"].sum())
+        kind = np.frombuffer(blob, "u1", n, at)
+        again = np.frombuffer(blob, np.uint8, -(-entries // 8), at + n)
+        part = np.frombuffer(blob, "<u2" if parts < 1 << 16 else "<u4", entries, at + n + len(again))
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(int(part.max(initial=0)) + 2))
-        entry = np.zeros(len(part), bool)
+        entry = np.unpackbits(again, count=entries).astype(bool)
         for p, bits in zip(table["part"].to_pylist(), table["hashes"].to_pylist()):
             if p >= 0:
                 own = order[ends[p]:ends[p + 1]]
-                entry[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-        each = np.where(body["kind"] == LINE, BANDS, 1)
+                entry[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+        each = np.where(kind == RUN, 1, BANDS)
         unit = np.logical_or.reduceat(entry, np.cumsum(each) - each) if n else entry
         keys, out = [], []
         stop = np.cumsum(head["units"])
         for k in np.unique(np.searchsorted(stop, np.flatnonzero(unit), side="right")).tolist():
             a, b = int(stop[k] - head["units"][k]), int(stop[k])
-            found = unit[a:b].copy()
-            seg = np.flatnonzero(found & (body["kind"][a:b] == SEGMENT))
-            found[seg] = runs(start[a:b][seg], body["length"][a:b][seg].astype(np.int64), min_run)
-            if found.any():
-                keys.append(int(head["row_key"][k]))
-                out.append(np.packbits(found).tobytes())
+            keys.append(int(head["row_key"][k]))
+            out.append(np.packbits(unit[a:b]).tobytes())
         return pa.table([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], schema=_FLAGGED)
     return run
 
@@ -221,26 +231,28 @@ _CANDS_DDL = ("row_key long, doc_id long, kind byte, start int, length int, size
               "bands array<long>, hashes binary")
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The flagged units of documents: digests, and for lines bands and shingles."""
-    for part in text_slices(batches, SLICE):
-        units = Units(part.column("text"))
-        count = np.bincount(units.row, minlength=part.num_rows)
-        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(c)).astype(bool)
-                for b, c in zip(part.column("bits").to_pylist(), count)]
-        pick = np.flatnonzero(np.concatenate(bits)) if bits else np.zeros(0, int)
-        lines = pick[units.kind[pick] == LINE]
-        bands = dict(zip(lines.tolist(), units.bands(lines).view(np.int64)))
-        keys = part.column("row_key").to_numpy(zero_copy_only=False)[units.row[pick]]
-        docs = part.column("doc_id").take(pa.array(units.row[pick]))
-        sets = [units.shingle[units.begin[u]:units.begin[u] + units.size[u]].tobytes() if u in bands else None
-                for u in pick.tolist()]
-        d1, d2 = units.digest(1).astype(np.int64)[pick], units.digest(2).astype(np.int64)[pick]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), docs, pa.array(units.kind[pick], pa.int8()), pa.array(units.start[pick], pa.int32()),
-             pa.array(units.length[pick], pa.int32()), pa.array(units.size[pick], pa.int32()), pa.array(d1),
-             pa.array(d2), pa.array([bands.get(u) for u in pick.tolist()], pa.list_(pa.int64())),
-             pa.array(sets, pa.binary())], schema=_CANDS)
+def _candidates(min_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The flagged units of documents: digests, and for all but runs bands and shingles."""
+        for part in text_slices(batches, SLICE):
+            units = Units(part.column("text"), min_run)
+            count = np.bincount(units.row, minlength=part.num_rows)
+            bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(c)).astype(bool)
+                    for b, c in zip(part.column("bits").to_pylist(), count)]
+            pick = np.flatnonzero(np.concatenate(bits)) if bits else np.zeros(0, int)
+            lines = pick[units.kind[pick] != RUN]
+            bands = dict(zip(lines.tolist(), units.bands(lines).view(np.int64)))
+            keys = part.column("row_key").to_numpy(zero_copy_only=False)[units.row[pick]]
+            docs = part.column("doc_id").take(pa.array(units.row[pick]))
+            sets = [units.shingle[units.begin[u]:units.begin[u] + units.size[u]].tobytes() if u in bands else None
+                    for u in pick.tolist()]
+            d1, d2 = units.digest(1).astype(np.int64)[pick], units.digest(2).astype(np.int64)[pick]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), docs, pa.array(units.kind[pick], pa.int8()), pa.array(units.start[pick], pa.int32()),
+                 pa.array(units.length[pick], pa.int32()), pa.array(units.size[pick], pa.int32()), pa.array(d1),
+                 pa.array(d2), pa.array([bands.get(u) for u in pick.tolist()], pa.list_(pa.int64())),
+                 pa.array(sets, pa.binary())], schema=_CANDS)
+    return run
 
 
 def _length_fits(x, y):
@@ -255,15 +267,16 @@ def _sent_to(scan: DataFrame, few: DataFrame, key: str, blob: str, how: str) ->
 
 
 def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """(row_key, kind, start, length) of the paragraphs to remove, in words of
-    the row: all of a component but the first by doc_id (null last), row and
-    place. ``scan``: (row_key, doc_id, text)."""
+    """(row_key, kind, start, length, stays) of the paragraphs that have equal
+    or near-equal ones, in words of the row: of a component the first by doc_id
+    (null last), row and place stays, the others go. ``scan``: (row_key,
+    doc_id, text)."""
     parts = shuffle_partitions(scan.sparkSession)
-    sent = scan.select("row_key", "text").mapInArrow(_send(parts), shared.MESSAGE_DDL)
+    sent = scan.select("row_key", "text").mapInArrow(_send(parts, min_run), shared.MESSAGE_DDL)
     flagged = reliable_checkpoint(
         sent.groupBy("part").applyInArrow(_flags, shared.MESSAGE_DDL)
-        .groupBy("slice").applyInArrow(_per_doc(min_run), "row_key long, bits binary"))
-    cands = through_table(_sent_to(scan, flagged, "row_key", "bits", "inner").mapInArrow(_candidates, _CANDS_DDL)
+        .groupBy("slice").applyInArrow(_per_doc(parts), "row_key long, bits binary"))
+    cands = through_table(_sent_to(scan, flagged, "row_key", "bits", "inner").mapInArrow(_candidates(min_run), _CANDS_DDL)
                           .withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
     total = max(cands.count(), 1)
 
@@ -272,42 +285,43 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     classes = reliable_checkpoint(cands.groupBy(*same).agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
 
-    # lines: classes meet in bands, unless they stand alone in each
-    own = cands.where(F.col("kind") == LINE).select("uid", "size", "hashes", "bands").join(
-        classes.where(F.col("kind") == LINE).select(F.col("first.uid").alias("uid"), "n"), "uid")
+    # all but runs: classes meet in bands, unless they stand alone in each
+    own = cands.where(F.col("kind") != RUN).select("uid", "size", "hashes", "bands").join(
+        classes.where(F.col("kind") != RUN).select(F.col("first.uid").alias("uid"), "n"), "uid")
     own = reliable_checkpoint(own.withColumnRenamed("uid", "node"))
     # the paragraph with the most copies is compared first: its variants are most alike to it
     rows = reliable_checkpoint(own.select(F.explode("bands").alias("bucket"), "node", F.col("size").cast("long"),
                                           F.lit(0).alias("pos"), F.col("n").cast("double").alias("rank")))
     labels = reliable_checkpoint(linked_components(rows, own, PERCENT, _length_fits, verifier(own, PERCENT), 1, False))
     # linked classes keep the first paragraph of their component, other classes their own first
-    linked = labels.join(classes.where(F.col("kind") == LINE).select(F.col("first.uid").alias("node"), "first"), "node")
+    linked = labels.join(classes.where(F.col("kind") != RUN).select(F.col("first.uid").alias("node"), "first"), "node")
     firsts = linked.groupBy("comp").agg(F.min("first").alias("of"))
     moved = labels.join(firsts, "comp").select(F.col("node").alias("_node"), F.col("of.uid").alias("_to"))
     named = reliable_checkpoint(
         classes.join(moved, F.col("first.uid") == F.col("_node"), "left")
-        .withColumn("stays", F.coalesce("_to", "first.uid")).where((F.col("n") > 1) | (F.col("stays") != F.col("first.uid")))
+        .withColumn("stays", F.coalesce("_to", "first.uid")).where((F.col("n") > 1) | F.col("_to").isNotNull())
         .select(*same, "n", "stays"))
-    return attach(cands.select("uid", "row_key", *same, "start", "length"), named, same, "n", total).where(
-        "uid <> stays").select("row_key", "kind", "start", "length")
+    return attach(cands.select("uid", "row_key", *same, "start", "length"), named, same, "n", total).select(
+        "row_key", "kind", "start", "length", (F.col("uid") == F.col("stays")).alias("stays"))
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _stretches(units: list[tuple[int, int, int]], min_run: int) -> list[tuple[int, int]]:
-    """Word stretches [begin, end) to remove, from units (kind, start, length):
-    lines, and unbroken segments of at least ``min_run`` words."""
-    seg = sorted((s, n) for k, s, n in units if k == SEGMENT)
-    start, length = np.asarray([s for s, _ in seg], np.int64), np.asarray([n for _, n in seg], np.int64)
-    good = runs(start, length, min_run)
-    out: list[list[int]] = []
-    for s, n in sorted([*zip(start[good].tolist(), length[good].tolist()), *((s, n) for k, s, n in units if k == LINE)]):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + n)
-        else:
-            out.append([s, s + n])
-    return [(a, b) for a, b in out]
+def _stretches(units: list[tuple[int, int, int, bool]], min_run: int) -> list[tuple[int, int]]:
+    """Word stretches [begin, end) to remove, from units (kind, start, length,
+    stays): near-equal ones that go, without what stays; runs that go, without
+    runs that stay. Beside what stays a rest of fewer than ``min_run`` words
+    stays, too."""
+    gone = np.zeros(max(s + n for _, s, n, _ in units) + 2, np.int8)
+    for run, keeps, value in ((False, False, 1), (False, True, -1), (True, False, 1), (True, True, -1)):
+        for kind, s, n, stays in units:
+            if (kind == RUN) == run and stays == keeps:
+                gone[s + 1:s + n + 1] = value
+    begin = np.flatnonzero((gone[1:] == 1) & (gone[:-1] != 1))
+    end = np.flatnonzero((gone[1:] != 1) & (gone[:-1] == 1))
+    return [(a, b) for a, b in zip(begin.tolist(), end.tolist())
+            if b - a >= min_run or (gone[a] >= 0 and gone[b + 1] >= 0)]
 
 
 def _merge(min_run: int):
@@ -315,7 +329,7 @@ def _merge(min_run: int):
         for batch in batches:
             keys, out = [], []
             for key, units in zip(batch.column("row_key").to_pylist(), batch.column("units").to_pylist()):
-                found = _stretches([(u["kind"], u["start"], u["length"]) for u in units], min_run)
+                found = _stretches([(u["kind"], u["start"], u["length"], u["stays"]) for u in units], min_run)
                 if found:
                     keys.append(key)
                     out.append(np.asarray(found, "<i4").tobytes())
@@ -364,8 +378,8 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     Of every component of equal or near-equal paragraphs (Jaccard of 5-word
     shingles of 0.8 or more, A-Z lower-cased) the first by doc_id (null last),
-    row and place stays. Lines count from MIN_LINE words on; other passages
-    when their unbroken repeated segments have ``min_run`` words. Rows are
+    row and place stays. Lines count from MIN_LINE words on; other passages when
+    unbroken segments of ``min_run`` words occur together elsewhere. Rows are
     kept, even if nothing is left of the text. Null, empty and blank texts
     stay as they are; repeated rows lose all paragraphs but one row's; other
     columns are carried along; an empty table gives an empty result.
@@ -376,7 +390,7 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     # a row's units are bounded by its text; merged stretches take a few bytes a row
     found = reliable_checkpoint(
         repeated_paragraphs(scan, min_run).groupBy("row_key")
-        .agg(F.collect_list(F.struct("kind", "start", "length")).alias("units"))
+        .agg(F.collect_list(F.struct("kind", "start", "length", "stays")).alias("units"))
         .mapInArrow(_merge(min_run), "row_key long, bits binary"))
     found = found.withColumnRenamed("row_key", "_ll_row").withColumnRenamed("bits", "_ll_stretches")
     joined = _sent_to(docs.withColumn("_ll_row", F.monotonically_increasing_id()), found, "_ll_row", "_ll_stretches",

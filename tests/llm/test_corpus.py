@@ -185,6 +185,36 @@ def test_near_equal_lines_and_clean_texts(spark, tmp_path):
     assert got[3] == rows[2][1] and got[4] == got[5] == "short line said often"
 
 
+def junk(d, n=40):
+    return " ".join(f"j{d}x{k}" for k in range(n))
+
+
+def test_phrases_of_different_texts_stay(spark, tmp_path):
+    """Every 15 words of a clean text are in some earlier text, 16 words in none."""
+    w = [f"w{k}" for k in range(60)]
+    rows = [(k, f"{junk(k)} {' '.join(w[k:k + 15])} {junk(k + 100)}", "en", "s", 0) for k in range(46)]
+    rows.append((500, f"{junk(500)} {' '.join(w)} {junk(501)}", "en", "s", 0))
+    assert {r._ll_removed for r in substring.remove_repeats(frame(spark, rows, tmp_path)).collect()} == {0}
+
+
+def test_what_stays_for_another_text_stays_whole(spark, tmp_path):
+    """Halves of a passage are in earlier texts; their joint has to stay in one of the two texts that have it."""
+    w = [f"w{k}" for k in range(60)]
+    rows = [(d, f"{junk(d)} {' '.join(x)} {junk(d + 100)}", "en", "s", 0) for d, x in
+            enumerate([w[:34], w[26:], w, w])]
+    got = {r.doc_id: r for r in substring.remove_repeats(frame(spark, rows, tmp_path)).collect()}
+    assert got[3]._ll_removed >= 40 and sum(" ".join(w[25:36]) in r.text for r in got.values()) == 1
+
+
+def test_a_slice_sends_a_hash_once():
+    import pyarrow as pa
+
+    part = pa.RecordBatch.from_pydict({"row_key": list(range(50)), "text": [junk(1, 100)] * 50})
+    message = next(substring._send(4, 16)(iter([part]))).to_pydict()
+    sent = sum(len(b) // 4 for p, b in zip(message["part"], message["hashes"]) if p >= 0)
+    assert sent == len(set(substring.Units(part.column("text"), 16).entries()[1].tolist()))
+
+
 def test_bands_reach_the_recall():
     for rows in (1, 2, 4, 6):
         bands = substring.tuned_bands(0.8, rows, 0.99)
