@@ -3,9 +3,10 @@
 Texts are cut into short segments whose borders depend on the words near them
 alone (a border lies before the word pair with the smallest hash among its
 neighbours), so that a passage put into another text keeps its inner segments
-wherever it stands. Two kinds of paragraphs are compared, each with its own:
+wherever it stands. Four kinds of paragraphs are compared, each with its own:
 runs (from every segment on, the fewest segments in a row with ``min_run``
-words) and lines.
+words), lines, paragraphs (unbroken short lines together; a long line by
+itself), and chunks of these (segments with borders farther apart).
 
 A run is compared as it is: its one band is its word sequence. Of the others
 the 5-word shingles give a MinHash signature whose number of bands is tuned
@@ -13,7 +14,8 @@ for recall. Paragraphs with a band in common are found by packed counting,
 then verified by exact Jaccard, and components decide: a component's first
 paragraph stays, the others are removed. A run that stays for another's sake
 stays whole, whatever else is found in its text, so every removed run is still
-there, unbroken, in one text. A line that stays loses nothing but runs.
+there, unbroken, in one text. A line, paragraph or chunk that stays loses
+nothing but runs.
 """
 
 from __future__ import annotations
@@ -39,13 +41,15 @@ from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
 WIDTH = 5
 PERCENT = 80
 REACH = 4               # words to either side that decide a segment border
+FAR = 20                # words to either side that decide a chunk border
 MIN_RUN = 16            # words of the shortest run of segments
-MIN_LINE = 16           # words of the shortest line that is compared
+WRAPPED = 24            # shorter lines are joined to paragraphs
+MIN_LINE = WIDTH        # words of the shortest line or paragraph that is compared
 BAND_ROWS = 4
 RECALL = 0.99
 SLICE = 3 << 20
 BROADCAST_BYTES = 16 << 20
-RUN, LINE = range(2)
+RUN, LINE, PARAGRAPH, CHUNK = range(4)
 
 
 def tuned_bands(similarity: float, rows: int, recall: float) -> int:
@@ -58,7 +62,7 @@ BANDS = tuned_bands(PERCENT / 100, BAND_ROWS, RECALL)
 
 
 def _borders(rows: np.ndarray, hashes: np.ndarray, reach: int) -> np.ndarray:
-    """Mask of words that begin a segment."""
+    """Mask of words that begin a segment (or chunk)."""
     n = len(rows)
     value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     pair = rows[1:] == rows[:-1]
@@ -96,9 +100,19 @@ class Units:
         count = np.bincount(per_line, minlength=len(line_rows))
         line_end = np.cumsum(count)
         spans.append((LINE, line_rows, line_end - count, line_end))
+        # paragraphs: unbroken short lines, up to a blank or a long one; a long line is one by itself
+        full, short = count > 0, (count > 0) & (count < WRAPPED)
+        joined = np.r_[False, short[1:] & short[:-1] & (line_rows[1:] == line_rows[:-1])]
+        top = np.flatnonzero(full & ~joined)
+        bottom = np.flatnonzero(full & ~np.r_[joined[1:], False])
+        spans.append((PARAGRAPH, line_rows[top], (line_end - count)[top], line_end[bottom]))
+        border = _borders(rows, hashes, FAR)
+        border[(line_end - count)[top]] = True
+        chunk = np.flatnonzero(border)
+        spans.append((CHUNK, rows[chunk], chunk, np.r_[chunk[1:], n] if n else chunk))
         self.kind = np.repeat([k for k, *_ in spans], [len(r) for _, r, *_ in spans])
         self.row, first, stop = (np.concatenate([x[k] for x in spans]).astype(np.int64) for k in (1, 2, 3))
-        keep = stop - first >= np.where(self.kind == RUN, min_run, MIN_LINE)
+        keep = stop - first >= np.where((self.kind == RUN) | (self.kind == CHUNK), min_run, MIN_LINE)
         self.kind, self.row, first, stop = self.kind[keep], self.row[keep], first[keep], stop[keep]
         self.length = stop - first
         self.start = first - base[self.row]
@@ -378,7 +392,8 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     Of every component of equal or near-equal paragraphs (Jaccard of 5-word
     shingles of 0.8 or more, A-Z lower-cased) the first by doc_id (null last),
-    row and place stays. Lines count from MIN_LINE words on; other passages when
+    row and place stays. Lines and paragraphs
+    count from MIN_LINE words on, chunks from ``min_run``; other passages when
     unbroken segments of ``min_run`` words occur together elsewhere. Rows are
     kept, even if nothing is left of the text. Null, empty and blank texts
     stay as they are; repeated rows lose all paragraphs but one row's; other

@@ -206,6 +206,20 @@ def test_what_stays_for_another_text_stays_whole(spark, tmp_path):
     assert got[3]._ll_removed >= 40 and sum(" ".join(w[25:36]) in r.text for r in got.values()) == 1
 
 
+def test_wrapped_paragraphs_and_short_lines(spark, tmp_path):
+    """Near-equal paragraphs over short lines, near-equal chunks inside long lines, lines of 5 to 15 words."""
+    w = [f"w{k}" for k in range(40)]
+    wrap = lambda x, n: "\n".join(" ".join(x[k:k + n]) for k in range(0, len(x), n))
+    edit = ["other" if k == 2 else x for k, x in enumerate(w)]
+    rows = [(1, f"{junk(1)}\n\n{wrap(w, 10)}\n\n{junk(2)}", "en", "s", 0),
+            (2, f"{junk(3)}\n\n{wrap(edit, 7)}\n\n{junk(4)}", "en", "s", 0),
+            (3, junk(5) + "\nsix words of one short line", "en", "s", 0),
+            (4, junk(6) + "\nsix words of one short line", "en", "s", 0)]
+    got = {r.doc_id: r.text for r in substring.remove_repeats(frame(spark, rows, tmp_path)).collect()}
+    assert got[1] == rows[0][1] and got[2].split() == f"{junk(3)} {junk(4)}".split()
+    assert got[3] == rows[2][1] and got[4].strip() == junk(6)
+
+
 def test_a_slice_sends_a_hash_once():
     import pyarrow as pa
 
