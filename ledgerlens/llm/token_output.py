@@ -21,6 +21,7 @@ from ledgerlens.llm.common import text_slices
 
 ROW = 2048
 BLOCK_BYTES = 8 << 20       # bytes of text of a block, about
+PIECE_BYTES = 64            # what a row counts besides its text
 
 
 class CapacityTree:
@@ -143,13 +144,13 @@ def packed_rows(docs: DataFrame, path: str | None = None, size: int = ROW, end_i
     text is the end id alone. Documents longer than a row are cut into full
     rows and a rest; ``starts`` puts them together again, so nothing is lost.
     Repeated rows and null doc_ids are packed like others. The number of blocks
-    follows the bytes of text, pieces are dealt to blocks by a hash of their
+    follows the bytes of text and the number of rows, pieces are dealt to blocks by a hash of their
     place, and ids are shuffled once. An empty table gives an empty result.
     """
     path = path or vocabulary()
     kind = "<u2" if len(encoder(path).token) <= 1 << 16 else "<u4"
     end = end_id.to_bytes(4, "little")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(PIECE_BYTES))).first()[0] or 0
     blocks = total // block_bytes + 1
     short, long_ = split_by_length(docs)
     short = short.withColumn("row_key", F.monotonically_increasing_id())

@@ -204,6 +204,14 @@ def test_packed_rows_round_trip(wide, rows, library):
     assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in exp.items()}
 
 
+def test_blocks_of_empty_texts_are_bounded(spark):
+    df = spark.createDataFrame([(k, None if k % 2 else "") for k in range(600)], "doc_id long, text string")
+    pieces = collections.Counter()
+    for r in token_output.packed_rows(df, size=128, block_bytes=4000).collect():
+        pieces[r.block] += len(r.doc_ids)
+    assert sum(pieces.values()) == 600 and max(pieces.values()) <= 3 * 4000 // token_output.PIECE_BYTES
+
+
 # --- sharding ----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [1, 2, 3, 24, 25, 1000, 4097])
