@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (bpe, classifier, exact, jaccard, katz, packing, repetition, sharding, substring,
-                            token_output)
+from ledgerlens.llm import (bpe, classifier, exact, jaccard, katz, merkle, packing, repetition, sharding, substring,
+                            token_output, whitening)
 from ledgerlens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,65 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document, a fifth of them tampered with."""
+    return merkle.audit(merkle.manifest(documents(spark, sf_dir)))
+
+
+@_query
+def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every usable embedding."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _merkle_levels(name: str, leaves: str, key: str, steps: int) -> str:
+    """``name``0 .. ``name``steps: nodes (key, i, d) of each level, and their runs; a tree of one node stays as it is."""
+    parts = [f"{name}0 AS (SELECT {key}, i, d, count(*) OVER (PARTITION BY {key}) AS n FROM {leaves})"]
+    for k in range(steps):
+        parts.append(f"{name}r{k} AS (SELECT {key}, i // 16 AS i, list(d ORDER BY i) AS run, any_value(n) AS n FROM {name}{k} GROUP BY {key}, i // 16)")
+        parts.append(f"{name}{k + 1} AS (SELECT {key}, i, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS d, (n + 15) // 16 AS n FROM {name}r{k})")
+    return ",\n".join(parts)
+
+
+def _merkle_fold(name: str, start: str, key: str, steps: int) -> str:
+    """Each row's digest and the siblings passed, carried from its leaf to the tree's root."""
+    parts, before = [], start
+    for k in range(steps):
+        at = f"(b.i // {16 ** k}) % 16"
+        parts.append(f"""{name}f{k} AS (SELECT b.* REPLACE (
+    CASE WHEN r.n > 1 THEN sha256(array_to_string(run[1:{at}], '') || b.now || array_to_string(run[{at} + 2:], '')) ELSE b.now END AS now,
+    CASE WHEN r.n > 1 THEN b.seen || array_to_string(run[1:{at}], '') || array_to_string(run[{at} + 2:], '') ELSE b.seen END AS seen)
+  FROM {before} b JOIN {name}r{k} r ON r.{key} = b.{key} AND r.i = b.i // {16 ** (k + 1)})""")
+        before = f"{name}f{k}"
+    return ",\n".join(parts)
+
+
+def _op11_sql(steps: int = 5, top: int = 3) -> str:
+    """Levels are unrolled: up to 16 ** steps rows a source and 16 ** top sources."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    bits = "list_reduce([xor(crc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))"
+    crc = ("xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),"
+           f" lambda s: CAST(ascii(s) AS BIGINT)), lambda crc, byte: {bits}))")
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce('+' || source, '') AS s, {leaf('text')} AS leaf,
+                  CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS now FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST, leaf) - 1 AS i FROM t),
+base AS (SELECT s, i, leaf AS d FROM l),
+{_merkle_levels('a', 'base', 's', steps)},
+subs AS (SELECT s, d AS subroot, 1 AS one, row_number() OVER (ORDER BY encode(s)) - 1 AS i FROM a{steps}),
+topnodes AS (SELECT one, i, subroot AS d FROM subs),
+{_merkle_levels('b', 'topnodes', 'one', top)},
+x AS (SELECT doc_id, s, i, leaf, now, '' AS seen FROM l),
+{_merkle_fold('a', 'x', 's', steps)},
+y AS (SELECT doc_id, leaf, now, seen, subroot, subs.i AS i, 1 AS one FROM af{steps - 1} JOIN subs USING (s)),
+{_merkle_fold('b', 'y', 'one', top)}
+SELECT doc_id, leaf, subroot, b{top}.d AS root, sha256(seen) AS proof_sha256, now AS folded_root, now = b{top}.d AS verified
+FROM bf{top - 1} CROSS JOIN b{top}"""
+
+
+ORACLE["op11_merkle_manifest"] = _op11_sql()
