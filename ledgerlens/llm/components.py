@@ -52,7 +52,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Callable,
-                      verify: Callable[[DataFrame], DataFrame], rounds: int, as_pairs: bool) -> DataFrame:
+                      verify: Callable[[DataFrame], DataFrame], rounds: int, as_pairs: bool,
+                      group: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """Components of the nodes that share a bucket and are verified to link.
 
     ``rows``: (bucket, node, size, pos, rank), ``sets``: (node, hashes), both
@@ -61,6 +62,7 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
     struct columns of two rows of a bucket; ``verify`` takes distinct pairs
     (a, b) and returns those that link. ``as_pairs`` says that ``fits`` leaves
     few pairs of a bucket, so that what the rounds leave is compared as pairs.
+    ``group`` finds the components (node, comp) of the verified links.
 
     Only components are asked for, so pairs known to be connected are not
     compared: in each of the first ``rounds`` every bucket's foremost node (by
@@ -114,7 +116,7 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
         turn += 1
     if links is None:
         return rows.sparkSession.createDataFrame([], "node long, comp long")
-    return components(links)
+    return group(links)
 
 
 def _blocks(met: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (bpe, classifier, exact, jaccard, katz, merkle, packing, repetition, sharding, substring,
-                            token_output, whitening)
+                            superminhash, token_output, whitening)
 from ledgerlens.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,30 +138,43 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 
 
 ORACLE["op1_repetition_rules"] = _op1_sql()
-ORACLE["op8_ngram_jaccard_join"] = r"""
+def _components_sql(width: int, last: str) -> str:
+    """Components of shingle sets with Jaccard of 0.8 or more; ``last``: further columns of the result."""
+    gram = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER d" for k in range(1, width))])
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
-windows AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d
-                   || ' ' || lead(word, 4) OVER d AS shingle FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (SELECT doc_id, {gram} AS shingle FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 s AS (SELECT DISTINCT doc_id, shingle FROM windows WHERE shingle IS NOT NULL
-      UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+      UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND {width - 1}),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
           GROUP BY 1, 2),
 links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id{last}
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
 
 
+ORACLE["op8_ngram_jaccard_join"] = _components_sql(5, "")
+ORACLE["op12_superminhash_dedup"] = _components_sql(2, ", d.doc_id = c.component_id AS kept")
+
+
 @_query
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and folded root of every document, a fifth of them tampered with."""
     return merkle.audit(merkle.manifest(documents(spark, sf_dir)))
 
 
+@_query
+def op12_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 2-word shingle Jaccard of 0.8 or more, and whether it names it."""
+    found = superminhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @_query
 def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened leading components of every usable embedding."""
