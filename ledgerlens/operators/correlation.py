@@ -3,14 +3,16 @@
 Pearson statistics for every driver come from **one** aggregation (a
 ``corr`` and a pair count per driver, each over that pair's own cleaned
 rows). Spearman counts every pair's cleaned (x, y) values first, ranks the
-counted values with the distributed midrank (all pairs share one
-range-partitioned pass) and correlates the ranks by weighted sums.
+counted values in place (all pairs share one range-partitioned pass a side)
+and correlates the ranks by weighted sums. Correlation matrices come from one
+Gram-matrix pass, whatever the number of columns.
 Trend windows (rolling, lagged) run on the aggregated period series, whose
 length is bounded by the calendar.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +22,9 @@ from ledgerlens.functions.clean import clean_pair_expr, clean_time_of, numeric_o
 from ledgerlens.functions.dist import t_p2
 from ledgerlens.operators.filters import period_start
 from ledgerlens.operators.profile import normality_p
-from ledgerlens.operators.ranks import grouped_quantiles, midranks
-from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint
+from ledgerlens.operators.gram import pair_sums
+from ledgerlens.operators.ranks import attach_midranks, grouped_quantiles
+from ledgerlens.plans.runtime import bounded_broadcast
 
 # Normal 97.5 % quantile for the Fisher interval and the
 # strength cut points on |r|.
@@ -72,15 +75,13 @@ def _pairs_long(df: DataFrame, y: str, xs: Sequence[str], drop_neg: bool, drop_z
 def _spearman_pairs(long: DataFrame, key: str = "x") -> DataFrame:
     """(key, n, r) with r the Pearson correlation of within-pair midranks.
 
-    Rows are first counted by (key, xv, yv). Ranks join these counts as two
-    sums over values: the joint table is cut to (value, count) pairs, so no
-    raw row is ever joined, and AQE may split a value with many partners. r
-    comes from weighted sums of the centred ranks, whose mean is (n + 1) / 2."""
-    joint = reliable_checkpoint(long.groupBy(key, "xv", "yv").agg(F.count(F.lit(1)).alias("w")))
-    rx = midranks(joint, "xv", by=[key], weight="w").select(key, "xv", F.col("midrank").alias("rx"),
-                                                            F.col("_n").alias("n"))
-    ry = midranks(joint, "yv", by=[key], weight="w").select(key, "yv", F.col("midrank").alias("ry"))
-    ranked = joint.join(rx, [key, "xv"]).join(ry, [key, "yv"])
+    Rows are first counted by (key, xv, yv); then both ranks are written beside
+    the counted rows, one range-partitioned pass each: nothing is joined on a
+    value. r comes from weighted sums of the centred ranks, whose mean is
+    (n + 1) / 2."""
+    joint = long.groupBy(key, "xv", "yv").agg(F.count(F.lit(1)).alias("w"))
+    ranked = attach_midranks(joint, "xv", "rx", by=[key], weight="w", size="n")
+    ranked = attach_midranks(ranked, "yv", "ry", by=[key], weight="w")
     dx, dy = F.col("rx") - (F.col("n") + 1) / 2.0, F.col("ry") - (F.col("n") + 1) / 2.0
     sums = ranked.groupBy(key).agg(F.sum("w").alias("n"), F.sum(F.col("w") * dx * dy).alias("_xy"),
                                    F.sum(F.col("w") * dx * dx).alias("_xx"), F.sum(F.col("w") * dy * dy).alias("_yy"))
@@ -162,37 +163,38 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", min
         cols = [c for i, c in enumerate(cols) if spread[f"lo{i}"] is not None and spread[f"lo{i}"] < spread[f"hi{i}"]]
         vals = vals.select(*cols)
     schema = "a string, b string, r double"
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], schema)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if method == "pearson":
-        both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
-        wide = vals.agg(F.count(F.lit(1)).alias("_n"),
-                        *[safe_corr(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias(f"c{i}")
-                          for i, ((a, b), ok) in enumerate(zip(pairs, both))],
-                        *[F.sum(ok.cast("long")).alias(f"n{i}") for i, ok in enumerate(both)])
-        wide = wide.where(F.col("_n") >= min_rows) if listwise else wide
-        rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                         F.when((F.col(f"n{i}") >= min_rows) & ~F.isnan(F.col(f"c{i}")), F.col(f"c{i}")).alias("r"))
-                for i, (a, b) in enumerate(pairs)]
-        upper = wide.select(F.inline(F.array(*rows))) if pairs else df.sparkSession.createDataFrame([], schema)
-    else:
-        items = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
-                        F.struct(F.lit(i).alias("x"), F.col(a).alias("xv"), F.col(b).alias("yv")))
-                 for i, (a, b) in enumerate(pairs)]
-        names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
-                                                "x int, a string, b string")
-        if pairs:
-            long = vals.select(F.explode(F.array(*items)).alias("_p")).where("_p is not null").select("_p.*")
-            per = _spearman_pairs(long).where(F.col("n") >= min_rows)
-            upper = names.join(per, "x", "inner" if listwise else "left").select("a", "b", "r")
-        else:
-            upper = names.select("a", "b", F.lit(None).cast("double").alias("r"))
-    lw = vals.agg(F.count(F.lit(1)).alias("_n"))
-    diag = (lw.where(F.col("_n") >= min_rows) if listwise else lw).select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r")) for c in cols])))
-    lower = upper.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return upper.unionByName(lower).unionByName(diag)
+        return spark.createDataFrame([], schema)
+    if method == "spearman" and not listwise:
+        return _pairwise_spearman(vals, cols, min_rows)
+    weight = None
+    if method == "spearman":        # listwise: one set of rows serves all columns, so each is ranked once, in place
+        vals, weight = vals.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")), "_w"
+        for i, c in enumerate(cols):
+            vals = attach_midranks(vals, c, f"_r{i}", weight=weight)
+        vals = vals.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)], weight)
+    n, r = pair_sums(vals, cols, weight)
+    if listwise and (not n.size or n[0, 0] < min_rows):
+        return spark.createDataFrame([], schema)
+    rows = [(a, b, 1.0 if i == j else float(r[i, j]) if n[i, j] >= min_rows and r[i, j] == r[i, j] else None)
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(rows, schema)
+
+
+def _pairwise_spearman(vals: DataFrame, cols: list[str], min_rows: int) -> DataFrame:
+    """Every pair ranked over its own complete rows: all pairs in one counted table."""
+    spark = vals.sparkSession
+    pairs = [(i, a, b) for i, (a, b) in enumerate(itertools.combinations(cols, 2))]
+    diag = spark.createDataFrame([(c, c, 1.0) for c in cols], "a string, b string, r double")
+    if not pairs:
+        return diag
+    items = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
+                    F.struct(F.lit(i).alias("x"), F.col(a).alias("xv"), F.col(b).alias("yv"))) for i, a, b in pairs]
+    long = vals.select(F.explode(F.array(*items)).alias("_p")).where("_p is not null").select("_p.*")
+    names = spark.createDataFrame(pairs, "x int, a string, b string")
+    upper = names.join(_spearman_pairs(long).where(F.col("n") >= min_rows), "x", "left").select("a", "b", "r")
+    return upper.unionByName(upper.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")).unionByName(diag)
 
 
 def collinearity_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson", k: int = 10,

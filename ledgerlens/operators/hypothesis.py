@@ -6,25 +6,27 @@ adjusted post-hoc pairs.
 The fact table is read once: ``group_counts`` aggregates it to (group, value,
 count) and checkpoints that; the top levels, the merge of the others, the
 moments, medians and midranks all come from this table. Groups are bucketed to
-the top levels plus 'Other', so every table joined or windowed after that has
-at most top + 1 group rows or their pairs; the two-way ANOVA solves its least
-squares on the cells of the kept levels on the driver. Statistics that are not
+the top levels plus 'Other', so a test's sufficient statistics are at most
+top + 1 group rows or their pairs: they come to the driver, where the test is
+a closed form (or a least squares on the cells of the two-way design). Statistics that are not
 defined (zero variance, all values tied, one group) come out as null.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.clean import numeric_of
-from ledgerlens.functions.dist import chi2_p, f_p, f_sf, norm_p2, t_p2
+from ledgerlens.functions.dist import chi2_p, chi2_sf, f_p, f_sf, mw_test, t_sf2, wilcoxon_test
 from ledgerlens.operators.filters import NA_LABEL, as_text, bucket_other
-from ledgerlens.operators.ranks import grouped_quantiles, midranks
+from ledgerlens.operators.ranks import attach_midranks, grouped_quantiles
 from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint
 
 # Group levels kept before 'Other' (factor A / factor B of the
@@ -48,43 +50,54 @@ def group_counts(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, keep_na:
         txt = F.coalesce(txt, F.lit(NA_LABEL))
     counted = reliable_checkpoint(df.select(txt.alias("g"), numeric_of(df, y).alias("y")).where("g is not null")
                                   .groupBy("g", "y").agg(F.count(F.lit(1)).alias("c")))
-    levels = (counted.groupBy("g").agg(F.sum("c").alias("_w")).orderBy(F.col("_w").desc(), F.col("g").asc())
-              .limit(top).select("g", F.lit(True).alias("_keep")))
-    merged = counted.where("y is not null").join(bounded_broadcast(levels, top, "top levels"), "g", "left")
-    bucket = F.when(F.col("_keep"), F.col("g")).otherwise(F.lit("Other"))
-    return merged.groupBy(bucket.alias("g"), "y").agg(F.sum("c").alias("c"))
+    sizes = counted.groupBy("g").agg(F.sum("c").alias("_w")).orderBy(F.col("_w").desc(), F.col("g").asc())
+    levels = [r["g"] for r in sizes.limit(top + 1).collect()]
+    counted = counted.where("y is not null")
+    if len(levels) <= top:
+        return counted
+    bucket = F.when(F.col("g").isin(levels[:top]), F.col("g")).otherwise(F.lit("Other"))
+    return reliable_checkpoint(counted.groupBy(bucket.alias("g"), "y").agg(F.sum("c").alias("c")))
 
 
 def _one(df: DataFrame) -> DataFrame:
     return df.withColumn("_k", F.lit(0))
 
 
-def group_stats(gc: DataFrame, top: int = TOP_GROUPS) -> DataFrame:
-    """(g, n, mean, var) per group of a counted table; var is null for n = 1.
-    Squares are summed about the group mean."""
+class GroupStats(NamedTuple):
+    g: str
+    n: int
+    mean: float
+    var: float | None       # n − 1; None for n = 1
+
+
+def group_stats(gc: DataFrame) -> list[GroupStats]:
+    """Per group of a counted table, highest mean first (name on ties): at most
+    top + 1 rows, on the driver. Squares are summed about the group mean."""
     mean = gc.groupBy("g").agg((F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("mean"))
     dev = F.col("c") * (F.col("y") - F.col("mean")) ** 2
-    return (gc.join(bounded_broadcast(mean, top + 1, "group means"), "g").groupBy("g", "mean")
-            .agg(F.sum("c").alias("n"), F.sum(dev).alias("_m2"))
-            .select("g", "n", "mean", F.try_divide("_m2", (F.col("n") - 1).cast("double")).alias("var")))
+    rows = gc.join(F.broadcast(mean), "g").groupBy("g", "mean").agg(F.sum("c").alias("n"), F.sum(dev).alias("m2")).collect()
+    return sorted((GroupStats(r["g"], r["n"], r["mean"], r["m2"] / (r["n"] - 1) if r["n"] > 1 else None) for r in rows),
+                  key=lambda x: (-x.mean, x.g))
 
 
-def group_medians(gc: DataFrame, name: str = "_med") -> DataFrame:
-    return grouped_quantiles(gc, "y", [0.5], by=["g"], names=[name], weight="c")
+def group_medians(gc: DataFrame) -> dict[str, float]:
+    """Median of each group, highest first (name on ties)."""
+    rows = grouped_quantiles(gc, "y", [0.5], by=["g"], names=["med"], weight="c", distinct=True).collect()
+    return dict(sorted(((r["g"], r["med"]) for r in rows), key=lambda x: (-x[1], x[0])))
 
 
 def group_summary(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
     """Per group: n, mean, std (n−1), median, se, ci95 (= 1.96·se);
     undefined values shown as 0."""
     gc = group_counts(df, y, g, top)
-    st = group_stats(gc, top).select("g", "n", "mean", F.sqrt("var").alias("std"))
-    j = st.join(group_medians(gc, "median"), "g")
-    se = F.col("std") / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double"))
-
-    def z(c: Column) -> Column:
-        return F.when(c.isNull() | F.isnan(c), F.lit(0.0)).otherwise(c)
-    return j.select(F.col("g").alias("grp"), "n", z(F.col("mean")).alias("mean"), z(F.col("std")).alias("std"),
-                    z(F.col("median")).alias("median"), z(se).alias("se"), z(CI_MULT * se).alias("ci95"))
+    medians = group_medians(gc)
+    rows = []
+    for st in group_stats(gc):
+        std = math.sqrt(st.var or 0.0)
+        se = std / math.sqrt(st.n)
+        rows.append((st.g, st.n, st.mean, std, float(medians[st.g]), se, CI_MULT * se))
+    return df.sparkSession.createDataFrame(rows, "grp string, n long, mean double, std double, median double, se double, "
+                                                 "ci95 double")
 
 
 def cell_means(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
@@ -96,41 +109,32 @@ def cell_means(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ parametric
-def _welch(ma, va, na, mb, vb, nb):
-    """t and dof; null when both groups have no variance."""
-    sa, sb = va / na, vb / nb
-    t = F.try_divide(ma - mb, F.sqrt(sa + sb))
-    dof = F.try_divide((sa + sb) * (sa + sb), F.try_divide(sa * sa, na - 1) + F.try_divide(sb * sb, nb - 1))
-    return t, dof
+def _div(a: float, b: float) -> float | None:
+    return a / b if b else None
 
 
-def _ordered_stats(gc: DataFrame, top: int) -> DataFrame:
-    """Group stats with their rank by mean (descending, name on ties) and the number of groups."""
-    w = Window.orderBy(F.col("mean").desc(), F.col("g").asc())
-    return group_stats(gc, top).withColumn("_r", F.row_number().over(w)).withColumn(
-        "_k_groups", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+def _welch(a: GroupStats, b: GroupStats) -> tuple[float | None, float | None, float | None]:
+    """t, dof and p; None when both groups have no variance."""
+    sa, sb = a.var / a.n, b.var / b.n
+    t = _div(a.mean - b.mean, math.sqrt(sa + sb))
+    dof = _div((sa + sb) ** 2, sa * sa / (a.n - 1) + sb * sb / (b.n - 1))
+    return t, dof, None if t is None or dof is None else t_sf2(t, dof)
 
 
 def welch_t(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
     """Welch t-test of exactly two groups (higher mean first): group_a,
     group_b, t, dof, p_value. No row when there are not two groups, or when
     one has a single value; null t where neither group varies."""
-    st = _ordered_stats(group_counts(df, y, g, top), top).where("_k_groups = 2")
-    a = st.where(F.col("_r") == 1).select(*[F.col(c).alias(f"{c}_a") for c in ("g", "n", "mean", "var")])
-    b = st.where(F.col("_r") == 2).select(*[F.col(c).alias(f"{c}_b") for c in ("g", "n", "mean", "var")])
-    j = _one(a).join(_one(b), "_k").where((F.col("n_a") >= 2) & (F.col("n_b") >= 2))
-    t, dof = _welch(F.col("mean_a"), F.col("var_a"), F.col("n_a"), F.col("mean_b"), F.col("var_b"), F.col("n_b"))
-    return j.select(F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), t.alias("t"), dof.alias("dof"),
-                    t_p2(t, dof).alias("p_value"))
+    st = group_stats(group_counts(df, y, g, top))
+    rows = [(st[0].g, st[1].g, *_welch(*st))] if len(st) == 2 and min(x.n for x in st) >= 2 else []
+    return df.sparkSession.createDataFrame(rows, "group_a string, group_b string, t double, dof double, p_value double")
 
 
-def _anova_from_stats(st: DataFrame) -> DataFrame:
-    """One row: ssb, ssw, n, k from per-group (n, mean, var)."""
-    tot = st.agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n").cast("double")).alias("_gm"))
-    j = _one(st).join(bounded_broadcast(_one(tot), 1, "grand mean"), "_k")
-    return j.agg(F.sum(F.col("n") * (F.col("mean") - F.col("_gm")) ** 2).alias("ssb"),
-                 F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"),
-                 F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+def _between_within(st: list[GroupStats]) -> tuple[float, float]:
+    n = sum(x.n for x in st)
+    grand = math.fsum(x.n * x.mean for x in st) / n
+    return (math.fsum(x.n * (x.mean - grand) ** 2 for x in st),
+            math.fsum((x.n - 1) * x.var for x in st if x.var is not None))
 
 
 def anova_oneway(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
@@ -139,32 +143,26 @@ def anova_oneway(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFr
     (p 0) where groups differ but do not vary inside, null where nothing
     varies; levene_p is null where the deviations do not vary."""
     gc = group_counts(df, y, g, top)
-    st = reliable_checkpoint(group_stats(gc, top))      # at most top + 1 rows
-    a = _anova_from_stats(st)
-    dev = gc.join(bounded_broadcast(group_medians(gc), top + 1, "group medians"), "g") \
-            .select("g", F.abs(F.col("y") - F.col("_med")).alias("y"), "c")
-    lev = _anova_from_stats(reliable_checkpoint(group_stats(dev, top))).select(
-        F.col("ssb").alias("l_ssb"), F.col("ssw").alias("l_ssw"), F.col("n").alias("l_n"), F.col("k").alias("l_k"))
-    best = st.orderBy(F.col("mean").desc(), F.col("g").asc()).limit(1).select(F.col("g").alias("best_group"))
-    j = _one(a).join(_one(lev), "_k").join(_one(best), "_k")
-    df1 = (F.col("k") - 1).cast("double")
-    df2 = F.greatest(F.col("n") - F.col("k"), F.lit(1)).cast("double")
-    msb, msw = F.col("ssb") / F.greatest(df1, F.lit(1.0)), F.col("ssw") / df2
-    sst = F.col("ssb") + F.col("ssw")
-    fstat = F.coalesce(F.try_divide(msb, msw), F.when(msb > 0, F.lit(float("inf"))))
-    l_df1 = (F.col("l_k") - 1).cast("double")
-    l_df2 = F.greatest(F.col("l_n") - F.col("l_k"), F.lit(1)).cast("double")
-    l_f = F.try_divide(F.col("l_ssb") / F.greatest(l_df1, F.lit(1.0)), F.col("l_ssw") / l_df2)
-    eta2 = F.try_divide(F.col("ssb"), sst)
-    ok = (F.col("k") >= 2) & (F.col("n") >= 3)
-    return j.where(ok).select(
-        fstat.alias("f"), F.when(msw > 0, f_p(fstat, df1, df2)).when(msb > 0, F.lit(0.0)).alias("p_value"),
-        df1.alias("df1"), df2.alias("df2"), eta2.alias("eta2"),
-        F.try_divide(F.col("ssb") - df1 * msw, sst + msw).alias("omega2"),
-        f_p(l_f, l_df1, l_df2).alias("levene_p"),
-        F.when(eta2 < ETA_BANDS[0], "weak").when(eta2 < ETA_BANDS[1], "medium").when(eta2.isNotNull(), "strong")
-        .alias("strength"),
-        "best_group")
+    st = group_stats(gc)
+    schema = ("f double, p_value double, df1 double, df2 double, eta2 double, omega2 double, levene_p double, "
+              "strength string, best_group string")
+    k, n = len(st), sum(x.n for x in st)
+    if k < 2 or n < 3:
+        return df.sparkSession.createDataFrame([], schema)
+    medians = group_medians(gc)
+    med = df.sparkSession.createDataFrame(list(medians.items()), "g string, _med double")
+    deviations = gc.join(bounded_broadcast(med, top + 1, "group medians"), "g")
+    lev = group_stats(deviations.select("g", F.abs(F.col("y") - F.col("_med")).alias("y"), "c"))
+    df1, df2 = float(k - 1), float(max(n - k, 1))
+    ssb, ssw = _between_within(st)
+    l_ssb, l_ssw = _between_within(lev)
+    msw, eta2 = ssw / df2, _div(ssb, ssb + ssw)
+    f = ssb / df1 / msw if msw > 0 else math.inf if ssb > 0 else None
+    l_f = _div(l_ssb / df1, l_ssw / df2)
+    strength = None if eta2 is None else "weak" if eta2 < ETA_BANDS[0] else "medium" if eta2 < ETA_BANDS[1] else "strong"
+    row = (f, None if f is None else f_sf(f, df1, df2), df1, df2, eta2, _div(ssb - df1 * msw, ssb + ssw + msw),
+           None if l_f is None else f_sf(l_f, df1, df2), strength, st[0].g)
+    return df.sparkSession.createDataFrame([row], schema)
 
 
 def _holm(pairs: DataFrame, p: str = "p_raw") -> DataFrame:
@@ -187,16 +185,11 @@ def _first_pairs(out: DataFrame, k: int | None) -> DataFrame:
 
 def posthoc_welch_holm(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, k: int | None = None) -> DataFrame:
     """All pairs of the kept groups (both n ≥ 2, order by mean descending): t,
-    dof, Welch p, Holm adjustment, mean difference; smallest adjusted p first.
-    The ordered group table (at most top + 1 rows) is joined with itself."""
-    st = reliable_checkpoint(_ordered_stats(group_counts(df, y, g, top), top))
-    a = st.select(*[F.col(c).alias(f"{c}_a") for c in ("g", "n", "mean", "var", "_r")])
-    b = st.select(*[F.col(c).alias(f"{c}_b") for c in ("g", "n", "mean", "var", "_r")])
-    pairs = a.join(bounded_broadcast(b, top + 1, "group stats"), F.col("_r_a") < F.col("_r_b")) \
-             .where((F.col("n_a") >= 2) & (F.col("n_b") >= 2))
-    t, dof = _welch(F.col("mean_a"), F.col("var_a"), F.col("n_a"), F.col("mean_b"), F.col("var_b"), F.col("n_b"))
-    pp = pairs.select(F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), t.alias("t"), dof.alias("dof"),
-                      t_p2(t, dof).alias("p_raw"), (F.col("mean_a") - F.col("mean_b")).alias("mean_diff"))
+    dof, Welch p, Holm adjustment, mean difference; smallest adjusted p first."""
+    st = [x for x in group_stats(group_counts(df, y, g, top)) if x.n >= 2]
+    rows = [(a.g, b.g, *_welch(a, b), a.mean - b.mean) for a, b in itertools.combinations(st, 2)]
+    pp = df.sparkSession.createDataFrame(rows, "group_a string, group_b string, t double, dof double, p_raw double, "
+                                               "mean_diff double")
     return _first_pairs(_holm(pp), k).select("group_a", "group_b", "t", "dof", "p_raw", "p_adj_holm", "mean_diff")
 
 
@@ -288,71 +281,70 @@ def anova_rm(df: DataFrame, y: str, subject: str, cond: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ rank tests
-def _rank_sums(gc: DataFrame, by_pair: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rank sums per group from pooled midranks of a counted table, plus (n,
-    tie term) per pool. With ``by_pair`` the input carries a 'pair' column and
-    ranks are pooled within each pair."""
-    by = ["pair"] if by_pair else []
-    mr = midranks(gc, "y", by=by, weight="c")
-    sums = gc.join(mr.select(*by, "y", "midrank"), [*by, "y"]) \
-        .groupBy(*by, "g").agg(F.sum(F.col("c") * F.col("midrank")).alias("rank_sum"), F.sum("c").alias("n_g"))
-    pool = mr.groupBy(*by).agg(F.sum("_c").alias("n"),
-                               F.sum(F.col("_c").cast("double") ** 3 - F.col("_c")).alias("ties"))
-    return sums, pool
-
-
-def _mw_from(sums: DataFrame, pool: DataFrame, first: Column, by: list[str]) -> DataFrame:
-    """U of the first group, |z| (continuity-corrected, tie-corrected) and n;
-    z is null when all values are tied."""
-    a = sums.where(first).select(*by, F.col("rank_sum").alias("r1"), F.col("n_g").alias("n1"))
-    b = sums.where(~first).select(*by, F.col("n_g").alias("n2"))
-    j = a.join(b, by) if by else _one(a).join(_one(b), "_k").drop("_k")
-    j = j.join(pool, by) if by else _one(j).join(_one(pool), "_k").drop("_k")
-    n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("n").cast("double")
-    u1 = F.col("r1") - n1 * (n1 + 1) / 2
-    u = F.greatest(u1, n1 * n2 - u1)
-    sd = F.sqrt(F.greatest(n1 * n2 / 12.0 * ((n + 1) - F.try_divide("ties", n * (n - 1))), F.lit(0.0)))
-    z = F.try_divide(u - n1 * n2 / 2.0 - 0.5, sd)
-    return j.select(*by, u1.alias("u"), F.when(z.isNotNull(), F.greatest(z, F.lit(0.0))).alias("z"), F.col("n"))
-
-
-def _r_strength(reff: Column) -> Column:
-    return (F.when(reff >= R_BANDS[1], "strong").when(reff >= R_BANDS[0], "medium").when(reff.isNotNull(), "weak")
-            .alias("strength"))
+def _rank_sums(gc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, g, rank_sum, n_g, n, ties) of a counted table: rank sums of pooled
+    midranks written beside the counted values, the pool's size, and the
+    group's share of the pool's tie term (c tied values of t carry c (t² − 1))."""
+    ranked = attach_midranks(gc, "y", "midrank", by=by, weight="c", size="n", ties="t")
+    t = F.col("t").cast("double")
+    return ranked.groupBy(*by, "g").agg(F.sum(F.col("c") * F.col("midrank")).alias("rank_sum"), F.sum("c").alias("n_g"),
+                                        F.first("n").alias("n"), F.sum(F.col("c") * (t * t - 1)).alias("ties"))
+
+
+def _mw(a: Row, b: Row) -> tuple[float, float | None, float | None]:
+    """U of group a, z and p. z is the tie- and continuity-corrected normal
+    deviate; for a small untied sample p is exact and z taken back from it.
+    None when all values are tied."""
+    n1, n2 = a["n_g"], b["n_g"]
+    n, ties = float(n1 + n2), a["ties"] + b["ties"]
+    u = a["rank_sum"] - n1 * (n1 + 1) / 2
+    var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))
+    if var <= 1e-12 * n1 * n2 * n:
+        return u, None, None
+    z = max((max(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / math.sqrt(var), 0.0)
+    return u, *mw_test(u, z, n1, n2, ties > 0)
+
+
+def _r_strength(r: float | None) -> str | None:
+    return None if r is None else "strong" if r >= R_BANDS[1] else "medium" if r >= R_BANDS[0] else "weak"
 
 
 def mann_whitney(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
-    """Exactly two groups (order: median descending): u (of the first group), z
-    (tie- and continuity-corrected normal deviate, at every size), p_value,
-    r_effect = z/√n, strength (.3 / .5). No row when there are not two groups;
+    """Exactly two groups (order: median descending): u (of the first group),
+    z, p_value, r_effect = z/√n, strength (.3 / .5). p is exact for an untied
+    sample whose smaller group has at most 8 values (and n1·n2 at most a
+    million), and z is taken back from it; else z is the tie- and
+    continuity-corrected normal deviate. No row when there are not two groups;
     null z when all values are tied."""
+    schema = "u double, z double, p_value double, r_effect double, strength string"
     gc = group_counts(df, y, g, top)
-    med = reliable_checkpoint(group_medians(gc))
-    first = med.orderBy(F.col("_med").desc(), F.col("g").asc()).limit(1).select(F.col("g").alias("_first"))
-    two = med.agg(F.count(F.lit(1)).alias("_groups")).where("_groups = 2")
-    sums, pool = _rank_sums(gc)
-    sums = _one(sums).join(bounded_broadcast(_one(first), 1, "first group"), "_k") \
-        .join(bounded_broadcast(_one(two), 1, "two groups"), "_k", "left_semi").drop("_k")
-    r = _mw_from(sums, pool, F.col("g") == F.col("_first"), [])
-    reff = F.col("z") / F.sqrt(F.col("n").cast("double"))
-    return r.select("u", "z", norm_p2(F.col("z")).alias("p_value"), reff.alias("r_effect"), _r_strength(reff))
+    medians = list(group_medians(gc))
+    if len(medians) != 2:
+        return df.sparkSession.createDataFrame([], schema)
+    sums = {r["g"]: r for r in _rank_sums(gc).collect()}
+    a, b = (sums[x] for x in medians)
+    u, z, p = _mw(a, b)
+    r = None if z is None else z / math.sqrt(a["n"])
+    return df.sparkSession.createDataFrame([(u, z, p, r, _r_strength(r))], schema)
 
 
 def kruskal(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS) -> DataFrame:
     """h (tie-corrected), dof = k−1, p_value (χ²), eps2 = (H−(k−1))/(n−k),
     strength (.06 / .14 on eps2). No row below two groups; null h when all
     values are tied."""
-    gc = group_counts(df, y, g, top)
-    sums, pool = _rank_sums(gc)
-    s = sums.agg(F.sum(F.col("rank_sum") ** 2 / F.col("n_g")).alias("_s"), F.count(F.lit(1)).alias("k"))
-    j = _one(s.where("k >= 2")).join(_one(pool), "_k")
-    n = F.col("n").cast("double")
-    h = F.try_divide(12.0 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1), 1 - F.try_divide("ties", n * n * n - n))
-    dof = F.col("k") - 1
-    eps2 = F.when(n - F.col("k") > 0, F.try_divide(h - dof, n - F.col("k")))
-    return j.select(h.alias("h"), dof.alias("dof"), chi2_p(h, dof).alias("p_value"), eps2.alias("eps2"),
-                    F.when(eps2.isNull() | (eps2 < ETA_BANDS[0]), "weak").when(eps2 < ETA_BANDS[1], "medium")
-                    .otherwise("strong").alias("strength"))
+    schema = "h double, dof long, p_value double, eps2 double, strength string"
+    sums = sorted(_rank_sums(group_counts(df, y, g, top)).collect(), key=lambda r: r["g"])
+    k = len(sums)
+    if k < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    n = float(sums[0]["n"])
+    left = 1 - math.fsum(r["ties"] for r in sums) / (n * n * n - n)
+    h = None
+    if left > 1e-12:
+        h = (12.0 / (n * (n + 1)) * math.fsum(r["rank_sum"] ** 2 / r["n_g"] for r in sums) - 3 * (n + 1)) / left
+    eps2 = None if h is None or n <= k else (h - (k - 1)) / (n - k)
+    strength = "weak" if eps2 is None or eps2 < ETA_BANDS[0] else "medium" if eps2 < ETA_BANDS[1] else "strong"
+    return df.sparkSession.createDataFrame([(h, k - 1, None if h is None else chi2_sf(h, k - 1), eps2, strength)], schema)
 
 
 def posthoc_mw_holm(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, k: int | None = None) -> DataFrame:
@@ -360,23 +352,18 @@ def posthoc_mw_holm(df: DataFrame, y: str, g: str, top: int = TOP_GROUPS, k: int
     Holm adjustment; smallest adjusted p first. Every counted value is copied
     into the ≤ top pairs of its group and ranked within each pair."""
     gc = group_counts(df, y, g, top)
-    med = group_medians(gc).orderBy(F.col("_med").desc(), F.col("g").asc())
-    levels = [r["g"] for r in med.collect()]        # at most top + 1 rows
+    levels = list(group_medians(gc))        # at most top + 1
     pairs = list(itertools.combinations(levels, 2))
-    schema = "group_a string, group_b string, u double, z double, p_raw double, p_adj_holm double"
-    if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
-    member = {lv: [i for i, (a, b) in enumerate(pairs) if lv in (a, b)] for lv in levels}
-    mapping = F.create_map(*[x for lv, ids in member.items() for x in (F.lit(lv), F.array(*[F.lit(i) for i in ids]))])
-    exploded = gc.select("g", "y", "c", F.explode(F.element_at(mapping, F.col("g"))).alias("pair"))
-    sums, pool = _rank_sums(exploded, by_pair=True)
     spark = df.sparkSession
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, group_a string, group_b string")
-    names = bounded_broadcast(names, (top + 1) * top // 2, "pairs")
-    sums = sums.join(names, "pair")
-    r = _mw_from(sums, pool, F.col("g") == F.col("group_a"), ["pair"]).join(names, "pair")
-    pp = r.select("group_a", "group_b", "u", "z", norm_p2(F.col("z")).alias("p_raw"))
-    return _first_pairs(_holm(pp), k)
+    rows = []
+    if pairs:
+        member = {lv: [i for i, pair in enumerate(pairs) if lv in pair] for lv in levels}
+        mapping = F.create_map(*[x for lv, ids in member.items() for x in (F.lit(lv), F.array(*map(F.lit, ids)))])
+        copies = gc.select("g", "y", "c", F.explode(F.element_at(mapping, F.col("g"))).alias("pair"))
+        sums = {(r["pair"], r["g"]): r for r in _rank_sums(copies, ["pair"]).collect()}
+        rows = [(a, b, *_mw(sums[i, a], sums[i, b])) for i, (a, b) in enumerate(pairs)]
+    pp = spark.createDataFrame(rows, "group_a string, group_b string, u double, z double, p_raw double")
+    return _first_pairs(_holm(pp), k).select("group_a", "group_b", "u", "z", "p_raw", "p_adj_holm")
 
 
 def _paired_diffs(sc: DataFrame, a: str, b: str) -> DataFrame:
@@ -384,35 +371,41 @@ def _paired_diffs(sc: DataFrame, a: str, b: str) -> DataFrame:
                                  - F.max(F.when(F.col("cond") == b, F.col("y")))).alias("d"))
 
 
-def _signed_rank(diffs: DataFrame, by: list[str]) -> DataFrame:
-    """W = min(W+, W−) over non-zero differences, z (normal, tie-corrected,
-    no continuity correction), with the number of complete subjects."""
-    nz = diffs.where(F.col("d") != 0).select(*by, F.abs("d").alias("y"), (F.col("d") > 0).alias("pos"))
-    mr = midranks(nz, "y", by=by)
-    counts = nz.groupBy(*by, "y").agg(F.sum(F.col("pos").cast("long")).alias("_np"), F.count(F.lit(1)).alias("_nt"))
-    j = counts.join(mr.select(*by, "y", "midrank"), [*by, "y"])
-    s = j.groupBy(*by).agg(F.sum(F.col("_np") * F.col("midrank")).alias("w_plus"),
-                           F.sum((F.col("_nt") - F.col("_np")) * F.col("midrank")).alias("w_minus"),
-                           F.sum("_nt").alias("nr"))
-    ties = mr.groupBy(*by).agg(F.sum(F.col("_c").cast("double") ** 3 - F.col("_c")).alias("ties"))
-    tot = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_subjects"))
-    if by:
-        j2 = s.join(ties, by).join(tot, by)
-    else:
-        j2 = _one(s).join(_one(ties), "_k").join(_one(tot), "_k").drop("_k")
-    nr = F.col("nr").cast("double")
-    w = F.least("w_plus", "w_minus")
-    se = F.sqrt(F.greatest(nr * (nr + 1) * (2 * nr + 1) / 24.0 - F.col("ties") / 48.0, F.lit(0.0)))
-    z = F.try_divide(w - nr * (nr + 1) / 4.0, se)
-    return j2.select(*by, w.alias("w"), F.abs(z).alias("z"), "n_subjects")
+def _signed_rank(diffs: DataFrame, by: list[str]) -> dict[tuple, tuple]:
+    """By key: W = min(W+, W−) over non-zero differences, z and p, and the
+    number of complete subjects. z is the tie-corrected normal deviate without
+    continuity correction; for up to 50 untied differences without a zero p is
+    exact and z taken back from it. None without a non-zero difference."""
+    zero = F.col("d") == 0
+    counted = diffs.groupBy(*by, F.abs("d").alias("y")).agg(
+        F.sum((F.col("d") > 0).cast("long")).alias("pos"), F.count(F.lit(1)).alias("c"))
+    ranked = attach_midranks(counted.where("y > 0"), "y", "rank", by=by, weight="c", ties="t")
+    t = F.col("t").cast("double")
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("pos") * F.col("rank")).alias("plus"), F.sum("c").alias("nr"),
+                                   F.sum((F.col("c") - F.col("pos")) * F.col("rank")).alias("minus"),
+                                   F.sum(F.col("c") * (t * t - 1)).alias("ties"))
+    found = {tuple(r[b] for b in by): r for r in sums.collect()}
+    out = {}
+    for r in diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(zero).alias("zeros")).collect():
+        key = tuple(r[b] for b in by)
+        if key not in found or not found[key]["nr"]:
+            out[key] = (None, None, None, r["n"])
+            continue
+        s = found[key]
+        n, w = float(s["nr"]), min(s["plus"], s["minus"])
+        var = n * (n + 1) * (2 * n + 1) / 24.0 - s["ties"] / 48.0
+        z = abs(w - n * (n + 1) / 4.0) / math.sqrt(var)
+        out[key] = (w, *wilcoxon_test(w, z, s["nr"], not r["zeros"] and s["ties"] == 0), r["n"])
+    return out
 
 
 def wilcoxon(df: DataFrame, y: str, subject: str, cond: str, pair: tuple[str, str] | None = None) -> DataFrame:
     """Two conditions (name order, or ``pair``; other conditions than a given
     pair's are left out before completeness is judged): w, z, p_value,
-    r_effect = z/√(complete subjects), strength. z is the normal form at every
-    size. An error when there are not exactly two conditions; null statistics
-    without a non-zero difference."""
+    r_effect = z/√(complete subjects), strength. p is exact for up to 50 untied
+    non-zero differences, and z taken back from it; else the normal form. An
+    error when there are not exactly two conditions; null statistics without a
+    non-zero difference."""
     if pair is not None:
         df = df.where(F.col(cond).cast("string").isin(*map(str, pair)))
     sc = reliable_checkpoint(subject_condition_means(df, y, subject, cond))
@@ -420,9 +413,10 @@ def wilcoxon(df: DataFrame, y: str, subject: str, cond: str, pair: tuple[str, st
     if len(levels) != 2:
         raise ValueError("wilcoxon needs exactly two conditions; name them with pair=(a, b)")
     a, b = map(str, pair) if pair is not None else levels
-    r = _signed_rank(_paired_diffs(sc, a, b), [])
-    reff = F.col("z") / F.sqrt(F.col("n_subjects").cast("double"))
-    return r.select("w", "z", norm_p2(F.col("z")).alias("p_value"), reff.alias("r_effect"), _r_strength(reff))
+    w, z, p, n = _signed_rank(_paired_diffs(sc, a, b), [])[()]
+    r = None if z is None else z / math.sqrt(n)
+    return df.sparkSession.createDataFrame([(w, z, p, r, _r_strength(r))],
+                                           "w double, z double, p_value double, r_effect double, strength string")
 
 
 def posthoc_wilcoxon_holm(df: DataFrame, y: str, subject: str, cond: str, k: int | None = None,
@@ -450,12 +444,9 @@ def posthoc_wilcoxon_holm(df: DataFrame, y: str, subject: str, cond: str, k: int
         "id", F.least("i", "o").alias("a"), F.greatest("i", "o").alias("b"),
         F.when(F.col("i") < F.col("o"), F.col("y")).otherwise(-F.col("y")).alias("sy"))
     diffs = ex.groupBy("a", "b", "id").agg(F.sum("sy").alias("d"))
-    r = _signed_rank(diffs, ["a", "b"])
-    for end, name in (("a", "group_a"), ("b", "group_b")):
-        r = r.join(bounded_broadcast(place.select(F.col("i").alias(end), F.col("cond").alias(name)), max_conditions,
-                                     "conditions"), end)
-    pp = r.select("group_a", "group_b", "w", "z", norm_p2(F.col("z")).alias("p_raw"))
-    return _first_pairs(_holm(pp), k)
+    rows = [(levels[i], levels[j], w, z, p) for (i, j), (w, z, p, _) in _signed_rank(reliable_checkpoint(diffs), ["a", "b"]).items()]
+    pp = spark.createDataFrame(rows, "group_a string, group_b string, w double, z double, p_raw double")
+    return _first_pairs(_holm(pp), k).select("group_a", "group_b", "w", "z", "p_raw", "p_adj_holm")
 
 
 def friedman(df: DataFrame, y: str, subject: str, cond: str) -> DataFrame:

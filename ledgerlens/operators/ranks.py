@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint, shuffle_partitions
+from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint, shuffle_partitions, small_side
 
 _PID = "_ll_pid"
 
@@ -98,36 +98,89 @@ def midranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | No
     return pre.select(*by, value, "_c", (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias("midrank"), "_n")
 
 
-SKETCH = 100_000        # accuracy of the bracketing sketch; groups up to twice as many rows are ordered whole
-MARGIN = 10             # bracket half-width in units of n / SKETCH
+def attach_midranks(df: DataFrame, value: str, out: str, by: Sequence[str] = (), weight: str | None = None,
+                    size: str | None = None, ties: str | None = None) -> DataFrame:
+    """``df`` with the midrank of ``value`` (its average rank within the ``by``
+    group, over ``weight`` copies of each row) written beside every row, the
+    group's size as ``size`` and the weight of the row's value in the group as
+    ``ties``. Rows with a null value are dropped.
+
+    Nothing is joined on a value. Rows are range-partitioned on (group, value,
+    hash of the row), so a value that many rows share goes to several
+    partitions; inside one, a frame over the value's peers gives running and
+    tied weights. Each partition reports its total and its first and last
+    value with their weights: a table of at most partitions + groups rows that
+    gives offsets, and the whole weight of values that straddle a border.
+    Repeated rows have one hash: count them first and pass ``weight``.
+    """
+    spark = df.sparkSession
+    by, keep = list(by), df.columns
+    w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = df.where(F.col(value).isNotNull()).withColumn("_ll_w", w)
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in keep])
+    ranged = rows.repartitionByRange(shuffle_partitions(spark), *by, value, spread).withColumn(_PID, F.spark_partition_id())
+    part = Window.partitionBy(_PID, *by)
+    # the place of a row follows from its own columns, so the ids stay if a task runs again
+    placed = reliable_checkpoint(ranged.select(
+        *keep, _PID, "_ll_w", F.sum("_ll_w").over(part.orderBy(value)).alias("_ll_le"),
+        F.sum("_ll_w").over(Window.partitionBy(_PID, *by, value)).alias("_ll_tie")))
+
+    ends = placed.groupBy(_PID, *by).agg(F.sum("_ll_w").alias("t"), F.min(F.struct(F.col(value).alias("v"), "_ll_tie")).alias("lo"),
+                                         F.max(F.struct(F.col(value).alias("v"), "_ll_tie")).alias("hi"))
+    order = Window.partitionBy(*by).orderBy(_PID)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("off", F.coalesce(F.sum("t").over(before), F.lit(0))).withColumn(
+        "n", F.sum("t").over(Window.partitionBy(*by)))
+    edge = ends.select(_PID, *by, "off", "n", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e"))
+    run = Window.partitionBy(*by, "e.v")
+    edge = edge.select(_PID, *by, "off", "n", "e.v", F.sum("e._ll_tie").over(run).alias("all"), F.coalesce(
+        F.sum("e._ll_tie").over(run.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("early"))
+    edge = reliable_checkpoint(edge.groupBy(_PID, *by).agg(
+        F.first("off").alias("_ll_off"), F.first("n").alias("_ll_n"),
+        F.min(F.struct("v", "all", "early")).alias("_ll_a"), F.max(F.struct("v", "all")).alias("_ll_b")))
+    joined = placed.join(small_side(edge), [_PID, *by])
+    v, first, last = F.col(value), F.col("_ll_a"), F.col("_ll_b")
+    less = F.col("_ll_off") + F.when(v == first["v"], -first["early"]).otherwise(F.col("_ll_le") - F.col("_ll_tie"))
+    tied = F.when(v == first["v"], first["all"]).when(v == last["v"], last["all"]).otherwise(F.col("_ll_tie"))
+    return joined.select(*keep, (less + (tied + 1) / F.lit(2.0)).alias(out),
+                         *([F.col("_ll_n").alias(size)] if size else []), *([tied.alias(ties)] if ties else []))
+
+
+SKETCH = 100_000        # accuracy of the bracketing sketch
+MARGIN = 10             # bracket half-width in units of n / SKETCH: ten times the sketch's error
+ORDERED = 1 << 16       # distinct values of a bracket that one task may order; a longer one is narrowed
+PIVOTS = 32             # parts that a narrowing round cuts a bracket into
 
 
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                       by: Sequence[str] = (), names: Sequence[str] | None = None,
-                      weight: str | None = None) -> DataFrame:
+                      weight: str | None = None, distinct: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (position (n-1)p, as in
     pandas, Spark ``percentile`` and SQL ``quantile_cont``), one row per group.
 
-    No task holds a whole group and nothing is sorted globally: a sketch
-    brackets each quantile, one aggregate counts what lies between the brackets
-    and the distinct values inside them, and a running count over that small
-    table finds the one value that covers each needed position. A counted table
-    (``weight``) is ordered by the distributed running count instead.
-    Null/NaN-free input is the caller's concern.
+    Selection without sorting: a sketch brackets each quantile, one aggregate
+    counts what lies between the brackets and the distinct values inside, and
+    rounds of pivots cut every bracket that holds more than ``ORDERED``
+    distinct values to the part with the wanted position. So a task orders at
+    most that many values, whatever a group's size, and the work after the
+    first aggregate shrinks PIVOTS-fold a round. A counted table (``weight``)
+    is one bracket a group; ``distinct`` says that it has each value of a group
+    once and no null. Null/NaN-free input is the caller's concern.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     by = list(by)
     if weight is None:
-        pre = _bracketed(df, value, probs, by)
+        cells = _bracketed(df, value, probs, by)
     else:
-        vc = value_counts(df, value, by, weight)
-        pre = ordered_prefix(vc, [value], {"_before": F.col("_c")}, inclusive=False, partition_by=by,
-                             totals={"_before": "_n"})
-    return _covering(pre, value, probs, by, names)
+        cells = (df.withColumnRenamed(weight, "_c") if distinct else value_counts(df, value, by, weight)).select(
+            *(by or [F.lit(0).alias("_one")]), F.lit(0).cast("long").alias("_slot"), F.col(value).alias("_v"), "_c")
+    return _covering(_narrowed(reliable_checkpoint(cells), probs, by or ["_one"]).withColumnRenamed("_v", value),
+                     value, probs, by, names)
 
 
 def _bracketed(df: DataFrame, value: str, probs: Sequence[float], by: list[str]) -> DataFrame:
-    """(by, value, _c, _before, _n) of the values near the quantiles."""
+    """(by, _slot, _v, _c): counts of the values inside the quantiles' brackets,
+    and with a null _v of what follows a bracket up to the next."""
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
     keys = by or ["_one"]
     if not by:
@@ -136,7 +189,7 @@ def _bracketed(df: DataFrame, value: str, probs: Sequence[float], by: list[str])
     at = [x for p in near for x in (max(0.0, p - MARGIN / SKETCH), min(1.0, p + MARGIN / SKETCH))]
     ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                    F.percentile_approx("_v", F.array(*map(F.lit, at)), SKETCH).alias("_a"))
-    whole = F.col("_m") <= 2 * SKETCH
+    whole = F.col("_m") <= ORDERED
     ends = ends.select(
         *keys,
         *[F.when(whole | F.lit(p <= MARGIN / SKETCH), F.col("_lo")).otherwise(F.col("_a")[2 * i]).alias(f"_l{i}")
@@ -145,15 +198,54 @@ def _bracketed(df: DataFrame, value: str, probs: Sequence[float], by: list[str])
           for i, p in enumerate(near)])
     joined = rows.join(ends if by else bounded_broadcast(ends, 1, "brackets"), keys)
     v = F.col("_v")
-    slot = sum(((v >= F.col(f"_l{i}")).cast("int") for i in range(1, len(near))), (v >= F.col("_l0")).cast("int"))
+    slot = sum(((v >= F.col(f"_l{i}")).cast("long") for i in range(1, len(near))), (v >= F.col("_l0")).cast("long"))
     inside = F.lit(False)
     for i in range(len(near)):
         inside = inside | ((v >= F.col(f"_l{i}")) & (v <= F.col(f"_h{i}")))
-    cells = joined.groupBy(*keys, slot.alias("_slot"), F.when(inside, v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return joined.groupBy(*keys, slot.alias("_slot"), F.when(inside, v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _holds(probs: Sequence[float], before: Column, inside: Column, n: Column) -> Column:
+    """Whether a wanted position lies among ``inside`` rows after ``before``."""
+    out = F.lit(False)
+    for p in probs:
+        h = (n - 1).cast("double") * F.lit(float(p))
+        for at in (F.floor(h), F.ceil(h)):
+            out = out | ((before <= at) & (at < before + inside))
+    return out
+
+
+def _narrowed(cells: DataFrame, probs: Sequence[float], keys: list[str]) -> DataFrame:
+    """(keys, _v, _c, _before, _n) of the values in the slots that hold a wanted
+    position, each slot cut to at most ORDERED distinct values."""
+    inside = F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.lit(0)))
+    slots = cells.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_t"), inside.alias("_in"), F.count("_v").alias("_vals"))
     group = Window.partitionBy(*keys)
-    order = group.orderBy("_slot", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.select(*by, F.col("_v").alias(value), "_c", F.coalesce(F.sum("_c").over(order), F.lit(0)).alias("_before"),
-                        F.sum("_c").over(group).alias("_n"))
+    before = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*keys, "_slot", "_in", "_vals", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_low"),
+                         F.sum("_t").over(group).alias("_n"))
+    live = reliable_checkpoint(slots.where(_holds(probs, F.col("_low"), F.col("_in"), F.col("_n"))))
+    cells = cells.where(F.col("_v").isNotNull())
+    longest, n_live = live.agg(F.max("_vals"), F.count(F.lit(1))).first()
+    while (longest or 0) > ORDERED:
+        long = live.where(F.col("_vals") > ORDERED).select(*keys, "_slot")
+        grid = F.array(*[F.lit((k + 1) / PIVOTS) for k in range(PIVOTS - 1)])
+        pivots = cells.join(small_side(long, n_live), [*keys, "_slot"], "left_semi").groupBy(*keys, "_slot").agg(
+            F.percentile_approx("_v", grid, 50 * PIVOTS).alias("_p"))
+        cells = cells.join(small_side(live.select(*keys, "_slot", "_low", "_n"), n_live), [*keys, "_slot"]).join(
+            small_side(reliable_checkpoint(pivots), n_live), [*keys, "_slot"], "left")
+        part = F.coalesce(F.size(F.filter("_p", lambda x: x < F.col("_v"))), F.lit(0))
+        cells = cells.withColumn("_old", F.col("_slot")).withColumn("_slot", F.col("_slot") * PIVOTS + part)
+        parts = cells.groupBy(*keys, "_old", "_slot", "_low", "_n").agg(F.sum("_c").alias("_in"), F.count("_v").alias("_vals"))
+        before = Window.partitionBy(*keys, "_old").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_low", F.col("_low") + F.coalesce(F.sum("_in").over(before), F.lit(0)))
+        live = reliable_checkpoint(parts.where(_holds(probs, F.col("_low"), F.col("_in"), F.col("_n"))).drop("_old"))
+        longest, n_live = live.agg(F.max("_vals"), F.count(F.lit(1))).first()
+        cells = reliable_checkpoint(cells.select(*keys, "_slot", "_v", "_c").join(
+            small_side(live.select(*keys, "_slot"), n_live), [*keys, "_slot"], "left_semi"))
+    order = Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.join(small_side(live.select(*keys, "_slot", "_low", "_n"), n_live), [*keys, "_slot"]).select(
+        *keys, "_v", "_c", (F.col("_low") + F.coalesce(F.sum("_c").over(order), F.lit(0))).alias("_before"), "_n")
 
 
 def _covering(pre: DataFrame, value: str, probs: Sequence[float], by: list[str], names: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from ledgerlens.operators.correlation import (collinearity_pairs, corr_insights,
                                               lagged_corr, rolling_corr, scatter_fit, spearman_recommended,
                                               trend_series)
 from ledgerlens.plans.registry import SALES_FACT_SQL, register
-from ledgerlens.plans.sqlgen import k2_pvalue_sql, valid_sql
+from ledgerlens.plans.sqlgen import k2_pvalue_sql, t_p2_sql, valid_sql
 from ledgerlens.sources.fixtures import sales_fact
 from ledgerlens.sources.tables import load
 
@@ -67,10 +67,19 @@ def q_correlation_table_log(spark, sf_dir):
     return _table_out(correlation_table(load(spark, sf_dir, "lineitem"), Y, XS, "pearson", drop_zero=True, log10=True))
 
 
-@register("correlation_table_p")
+_CORR_P_SQL = f"""WITH t AS ({_pearson_sql()}),
+raw AS (""" + "\nUNION ALL ".join(f"SELECT '{x}' AS x, COUNT(*) AS m, corr({x}, {Y}) AS rr FROM lineitem WHERE {_pair_where(x)}"
+                                   for x in XS) + f"""),
+p AS (SELECT t.*, {t_p2_sql('rr * sqrt((m - 2) / (1 - rr * rr))', 'm - 2')} AS p FROM t JOIN raw USING (x))"""
+
+
+@register("correlation_table_p", _CORR_P_SQL + """
+SELECT x, n, r, round(p, 7) AS p_value, ci_low, ci_high, abs_r, direction, strength FROM p""")
 def q_correlation_table_p(spark, sf_dir):
     """Pearson table including t-based p-values."""
-    return correlation_table(load(spark, sf_dir, "lineitem"), Y, XS, "pearson")
+    t = correlation_table(load(spark, sf_dir, "lineitem"), Y, XS, "pearson")
+    return t.select("x", "n", F.round("r", 9).alias("r"), F.round("p_value", 7).alias("p_value"),
+                    *_r9("ci_low", "ci_high", "abs_r"), "direction", "strength")
 
 
 def _spearman_sql():
@@ -90,16 +99,26 @@ def q_correlation_spearman(spark, sf_dir):
     return t.select("x", "n", *_r9("r", "abs_r"), "direction", "strength")
 
 
-@register("corr_kpis")
+@register("corr_kpis", _CORR_P_SQL + """
+SELECT COUNT(*) AS n_x, MAX(n) AS max_n, MAX(abs_r) AS best_abs_r,
+       round(AVG(CASE WHEN p < 0.05 THEN 100.0 ELSE 0.0 END), 9) AS pct_significant FROM p""")
 def q_corr_kpis(spark, sf_dir):
     """Number of drivers, max n, strongest |r| and share significant."""
-    return corr_kpis(correlation_table(load(spark, sf_dir, "lineitem"), Y, XS, "pearson"))
+    k = corr_kpis(correlation_table(load(spark, sf_dir, "lineitem"), Y, XS, "pearson"))
+    return k.select("n_x", "max_n", *_r9("best_abs_r", "pct_significant"))
 
 
-@register("corr_insights")
+@register("corr_insights", _CORR_P_SQL + """,
+k AS (SELECT 'top_positive' AS kind, * FROM p WHERE r > 0 UNION ALL SELECT 'top_negative', * FROM p WHERE r < 0
+      UNION ALL SELECT 'ci_crosses_zero', * FROM p WHERE ci_low < 0 AND ci_high > 0
+      UNION ALL SELECT 'weak_but_significant', * FROM p WHERE abs_r < 0.3 AND p < 0.05),
+o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY abs_r DESC, x) AS rank FROM k)
+SELECT kind, x, r, CAST(rank AS INTEGER) AS rank FROM o
+WHERE rank <= CASE WHEN kind LIKE 'top%' THEN 3 ELSE 5 END""")
 def q_corr_insights(spark, sf_dir):
     """Top positive/negative drivers, unstable CIs, weak-but-significant drivers."""
-    return corr_insights(correlation_table(load(spark, sf_dir, "lineitem"), Y, XS, "pearson"))
+    i = corr_insights(correlation_table(load(spark, sf_dir, "lineitem"), Y, XS, "pearson"))
+    return i.select("kind", "x", F.round("r", 9).alias("r"), "rank")
 
 
 MCOLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -123,6 +142,53 @@ def q_corr_matrix(spark, sf_dir):
     return m.select("a", "b", F.round("r", 9).alias("r"))
 
 
+def _spearman_matrix_sql():
+    where = " AND ".join(valid_sql(f"CAST({c} AS DOUBLE)") for c in MCOLS)
+    ranks = ", ".join(f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in MCOLS)
+    cells = "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {'max(1.0)' if a == b else f'round(corr({a}, {b}), 9)'} AS r FROM lw"
+                                for a in MCOLS for b in MCOLS)
+    return f"WITH lw AS (SELECT {ranks} FROM lineitem WHERE {where})\n{cells}"
+
+
+@register("corr_matrix_spearman", _spearman_matrix_sql())
+def q_corr_matrix_spearman(spark, sf_dir):
+    """Listwise Spearman matrix of five lineitem columns (average ranks, all rows)."""
+    m = corr_matrix(load(spark, sf_dir, "lineitem"), MCOLS, "spearman")
+    return m.select("a", "b", F.round("r", 9).alias("r"))
+
+
+SPARSE = {"o_totalprice": "o_totalprice", "n_open": "CASE WHEN o_orderstatus <> 'F' THEN o_totalprice * o_custkey END",
+          "n_urgent": "CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END", "flat": "1.5"}
+
+
+def _sparse_sql(rank: bool):
+    """Pairs over their own complete rows; the constant column is left out."""
+    names = [c for c in SPARSE if c != "flat"]
+    view = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in SPARSE.items())
+    of = (lambda c: f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0") if rank else (lambda c: c)
+    cells = "\nUNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, {'max(1.0)' if a == b else 'round(corr(x, y), 9)'} AS r FROM "
+        f"(SELECT {of(a)} AS x, {of(b)} AS y FROM v WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a in names for b in names)
+    return f"WITH v AS (SELECT {view} FROM orders)\n{cells}"
+
+
+def _sparse(spark, sf_dir, method):
+    v = load(spark, sf_dir, "orders").select(*[F.expr(e).cast("double").alias(c) for c, e in SPARSE.items()])
+    return corr_matrix(v, list(SPARSE), method, listwise=False).select("a", "b", F.round("r", 9).alias("r"))
+
+
+@register("corr_matrix_pairwise", _sparse_sql(False))
+def q_corr_matrix_pairwise(spark, sf_dir):
+    """Pearson matrix, each pair over its own complete rows, constant columns left out."""
+    return _sparse(spark, sf_dir, "pearson")
+
+
+@register("corr_matrix_pairwise_spearman", _sparse_sql(True))
+def q_corr_matrix_pairwise_spearman(spark, sf_dir):
+    """Spearman matrix, each pair ranked over its own complete rows."""
+    return _sparse(spark, sf_dir, "spearman")
+
+
 def _collin_sql():
     pairs = [(a, b) for i, a in enumerate(MCOLS) for b in MCOLS[i + 1:]]
     where = " AND ".join(valid_sql(f"CAST({c} AS DOUBLE)") for c in MCOLS)

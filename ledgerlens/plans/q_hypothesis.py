@@ -5,8 +5,9 @@ Kruskal χ² has 2 dof, both closed forms in SQL), l_linestatus (2 levels),
 p_brand (25 levels, bucketed to top 10 + Other), c_mktsegment (5).
 Repeated measures: events, subject user_id, condition event_type (5, so the
 RM-ANOVA F has 4 numerator dof and the Friedman χ² 4 dof: closed forms).
-Tests whose p-value has no closed form are registered twice: the statistic
-with SQL, and a ``_p`` variant with the p-value under a rows-only check."""
+Where the p-value has no closed form, a ``_p`` variant compares it with a
+numerical integral of the density in SQL, to 7 places. The exact rank tests
+are repeated by enumeration in SQL."""
 
 from __future__ import annotations
 
@@ -17,7 +18,8 @@ from ledgerlens.operators.hypothesis import (anova_oneway, anova_rm, anova_twowa
                                              posthoc_welch_holm, posthoc_wilcoxon_holm, subject_condition_means,
                                              welch_t, wilcoxon)
 from ledgerlens.plans.registry import SALES_FACT_SQL, register
-from ledgerlens.plans.sqlgen import chi2_even_sf_sql, f2_sf_sql, valid_sql
+from ledgerlens.plans.sqlgen import (chi2_even_sf_sql, f2_sf_sql, f_even_sf_sql, holm_sql, norm_p2_sql, t_p2_sql,
+                                     valid_sql)
 from ledgerlens.sources.fixtures import sales_fact
 from ledgerlens.sources.tables import load
 
@@ -66,10 +68,22 @@ def q_welch_t(spark, sf_dir):
     return w.select("group_a", "group_b", F.round("t", 6).alias("t"), F.round("dof", 4).alias("dof"))
 
 
-@register("welch_t_p")
+def _with_p(sql: str, cols: str) -> str:
+    """The main query's CTEs with an unrounded last SELECT."""
+    return sql[:sql.rindex("\nSELECT")] + "\n" + cols
+
+
+_WELCH_TD = """(a.mean - b.mean) / sqrt(a.var / a.n + b.var / b.n) AS t,
+       power(a.var / a.n + b.var / b.n, 2) / (power(a.var / a.n, 2) / (a.n - 1) + power(b.var / b.n, 2) / (b.n - 1)) AS dof"""
+
+
+@register("welch_t_p", f"WITH w AS ({_with_p(_WELCH_SQL, f'SELECT a.g AS group_a, b.g AS group_b, {_WELCH_TD} FROM a, b')})" + f"""
+SELECT group_a, group_b, round(t, 6) AS t, round(dof, 4) AS dof, round({t_p2_sql('t', 'dof')}, 7) AS p_value FROM w""")
 def q_welch_t_p(spark, sf_dir):
     """Welch t-test with its p-value."""
-    return welch_t(load(spark, sf_dir, "lineitem"), Y, "l_linestatus")
+    w = welch_t(load(spark, sf_dir, "lineitem"), Y, "l_linestatus")
+    return w.select("group_a", "group_b", F.round("t", 6).alias("t"), F.round("dof", 4).alias("dof"),
+                    F.round("p_value", 7).alias("p_value"))
 
 
 _ANOVA_SQL = _gy_sql("WITH", "lineitem", "l_returnflag") + f""",
@@ -100,14 +114,17 @@ def q_anova_oneway(spark, sf_dir):
                     *_r("eta2", "omega2", "levene_p", d=9), "strength", "best_group")
 
 
-@register("posthoc_welch_holm", _gy_sql("WITH " + SALES_FACT_SQL + ",", "sales_fact", "p_brand") + """,
+_POSTHOC_WELCH = _gy_sql("WITH " + SALES_FACT_SQL + ",", "sales_fact", "p_brand") + """,
 st AS (SELECT g, COUNT(*) AS n, AVG(y) AS mean, VAR_SAMP(y) AS var FROM gy GROUP BY g),
 o AS (SELECT *, row_number() OVER (ORDER BY mean DESC, g ASC) AS r FROM st),
 p AS (SELECT a.g AS group_a, b.g AS group_b, a.mean - b.mean AS mean_diff, a.var / a.n AS sa, b.var / b.n AS sb, a.n AS na, b.n AS nb
-      FROM o a JOIN o b ON a.r < b.r WHERE a.n >= 2 AND b.n >= 2)
-SELECT group_a, group_b, round(mean_diff / sqrt(sa + sb), 6) AS t,
-       round(power(sa + sb, 2) / (sa * sa / (na - 1) + sb * sb / (nb - 1)), 4) AS dof, round(mean_diff, 6) AS mean_diff
-FROM p""")
+      FROM o a JOIN o b ON a.r < b.r WHERE a.n >= 2 AND b.n >= 2),
+q AS (SELECT group_a, group_b, mean_diff, mean_diff / sqrt(sa + sb) AS t,
+             power(sa + sb, 2) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) AS dof FROM p)"""
+
+
+@register("posthoc_welch_holm", _POSTHOC_WELCH + """
+SELECT group_a, group_b, round(t, 6) AS t, round(dof, 4) AS dof, round(mean_diff, 6) AS mean_diff FROM q""")
 def q_posthoc_welch_holm(spark, sf_dir):
     """Welch t, dof and mean difference of all pairs of brands (top 10 + Other)."""
     p = posthoc_welch_holm(sales_fact(spark, sf_dir), Y, "p_brand")
@@ -115,10 +132,17 @@ def q_posthoc_welch_holm(spark, sf_dir):
                     F.round("mean_diff", 6).alias("mean_diff"))
 
 
-@register("posthoc_welch_holm_p")
+@register("posthoc_welch_holm_p", _POSTHOC_WELCH + f""",
+pr AS (SELECT *, {t_p2_sql('t', 'dof')} AS p_raw FROM q),
+{holm_sql('pr')}
+SELECT group_a, group_b, round(t, 6) AS t, round(dof, 4) AS dof, round(p_raw, 7) AS p_raw, round(p_adj, 6) AS p_adj_holm,
+       round(mean_diff, 6) AS mean_diff FROM h""")
 def q_posthoc_welch_holm_p(spark, sf_dir):
     """Pairwise Welch tests of price across brands (top 10 + Other), Holm-adjusted."""
-    return posthoc_welch_holm(sales_fact(spark, sf_dir), Y, "p_brand")
+    p = posthoc_welch_holm(sales_fact(spark, sf_dir), Y, "p_brand")
+    return p.select("group_a", "group_b", F.round("t", 6).alias("t"), F.round("dof", 4).alias("dof"),
+                    F.round("p_raw", 7).alias("p_raw"), F.round("p_adj_holm", 6).alias("p_adj_holm"),
+                    F.round("mean_diff", 6).alias("mean_diff"))
 
 
 @register("cell_means", "WITH " + SALES_FACT_SQL + f"""
@@ -130,10 +154,34 @@ def q_cell_means(spark, sf_dir):
     return c.select("a", "b", "n", F.round("mean", 6).alias("mean"))
 
 
-@register("anova_twoway")
+_TWOWAY_SQL = "WITH " + SALES_FACT_SQL + f""",
+base AS (SELECT c_mktsegment AS a, l_linestatus AS b, {Y} AS y FROM sales_fact
+         WHERE c_mktsegment IS NOT NULL AND l_linestatus IS NOT NULL AND {valid_sql(Y)}),
+cells AS (SELECT a, b, COUNT(*) AS n, AVG(y) AS m, VAR_POP(y) * COUNT(*) AS w FROM base GROUP BY a, b),
+am AS (SELECT a, SUM(n * m) / SUM(n) AS m FROM cells GROUP BY a), bm AS (SELECT b, SUM(n * m) / SUM(n) AS m FROM cells GROUP BY b),
+v AS (SELECT SUM(w) AS within, SUM(n) AS n, COUNT(*) AS k FROM cells),
+ra AS (SELECT SUM(c.n * power(c.m - am.m, 2)) AS ss FROM cells c JOIN am USING (a)),
+rb AS (SELECT SUM(c.n * power(c.m - bm.m, 2)) AS ss FROM cells c JOIN bm USING (b)),
+d AS (SELECT f.n * o.n / CAST(f.n + o.n AS DOUBLE) AS h, o.m - f.m AS d
+      FROM cells f JOIN cells o ON f.a = o.a AND f.b = 'F' AND o.b = 'O'),
+e AS (SELECT power(SUM(h * d), 2) / SUM(h) AS ss_b FROM d),
+t AS (SELECT 'A' AS term, rb.ss - (ra.ss - ss_b) AS ss, (SELECT COUNT(*) - 1 FROM am) AS df FROM ra, rb, e
+      UNION ALL SELECT 'B', ss_b, 1 FROM e
+      UNION ALL SELECT 'A:B', ra.ss - ss_b, k - (SELECT COUNT(*) FROM am) - 1 FROM ra, e, v),
+f AS (SELECT term, ss, CAST(df AS DOUBLE) AS df, (ss / df) / (within / (n - k)) AS f, CAST(n - k AS DOUBLE) AS rest, within FROM t, v)
+"""
+
+
+@register("anova_twoway", _TWOWAY_SQL + f"""
+SELECT term, round(ss / 1e6, 6) AS sum_sq, df AS dof, round(f, 6) AS f, round(CASE WHEN df = 1 THEN {t_p2_sql('sqrt(f)', 'rest')}
+       ELSE {f_even_sf_sql('f', 4, 'rest')} END, 7) AS p_value, round(ss / (ss + within), 9) AS partial_eta2 FROM f
+UNION ALL SELECT 'Residual', round(within / 1e6, 6), CAST(n - k AS DOUBLE), NULL, NULL, NULL FROM v""")
 def q_anova_twoway(spark, sf_dir):
-    """Type-II two-way ANOVA of price on return flag and market segment with interaction."""
-    return anova_twoway(sales_fact(spark, sf_dir), Y, "l_returnflag", "c_mktsegment")
+    """Type-II two-way ANOVA of price on market segment (5 levels) and line status (2 levels) with interaction; sums
+    of squares in millions."""
+    t = anova_twoway(sales_fact(spark, sf_dir), Y, "c_mktsegment", "l_linestatus")
+    return t.select("term", F.round(F.col("sum_sq") / 1e6, 6).alias("sum_sq"), "dof", F.round("f", 6).alias("f"),
+                    F.round("p_value", 7).alias("p_value"), F.round("partial_eta2", 9).alias("partial_eta2"))
 
 
 # ------------------------------------------------------------ repeated measures
@@ -194,10 +242,38 @@ def q_mann_whitney(spark, sf_dir):
                     "strength")
 
 
-@register("mann_whitney_p")
+@register("mann_whitney_p", _MW_SQL + f"""
+SELECT round(u1, 6) AS u, round(z, 9) AS z, round({norm_p2_sql('z')}, 7) AS p_value, round(z / sqrt(n), 9) AS r_effect FROM z""")
 def q_mann_whitney_p(spark, sf_dir):
     """Mann-Whitney test with its normal-approximation p-value."""
-    return mann_whitney(load(spark, sf_dir, "lineitem"), Y, "l_linestatus")
+    m = mann_whitney(load(spark, sf_dir, "lineitem"), Y, "l_linestatus")
+    return m.select("u", F.round("z", 9).alias("z"), F.round("p_value", 7).alias("p_value"), F.round("r_effect", 9).alias("r_effect"))
+
+
+def _nation_wealth(spark, sf_dir):
+    """Summed account balances of every nation, Asia's nations against the others'."""
+    c = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("y"))
+    n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "y", F.when(F.col("r_name") == "ASIA", "asia").otherwise("else").alias("g"))
+
+
+@register("mann_whitney_exact", """
+WITH RECURSIVE v AS (SELECT CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS y, any_value(CASE WHEN r_name = 'ASIA' THEN 'asia' ELSE 'else' END) AS g
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY c_nationkey),
+rk AS (SELECT g, y, row_number() OVER (ORDER BY y) AS r FROM v),
+top AS (SELECT g FROM v GROUP BY g ORDER BY quantile_cont(y, 0.5) DESC, g LIMIT 1),
+s AS (SELECT SUM(r) FILTER (g = (SELECT g FROM top)) AS r1, COUNT(*) FILTER (g = (SELECT g FROM top)) AS n1, COUNT(*) AS n FROM rk),
+u AS (SELECT r1 - n1 * (n1 + 1) / 2.0 AS u, n1, n - n1 AS n2, n FROM s),
+f(i, j, sum, c) AS (SELECT 0, 0, 0, CAST(1 AS DOUBLE) UNION ALL
+  SELECT i + 1, j + d, sum + d * (i + 1), SUM(c) FROM f, (VALUES (0), (1)) t(d), u WHERE i < u.n AND j + d <= u.n1 GROUP BY 1, 2, 3),
+p AS (SELECT u.u, u.n, least(2 * SUM(c) FILTER (sum - n1 * (n1 + 1) / 2.0 >= greatest(u.u, n1 * n2 - u.u)) / SUM(c), 1.0) AS p
+      FROM f, u WHERE i = u.n AND j = u.n1 GROUP BY u.u, u.n)
+SELECT u, round(p, 9) AS p_value FROM p""")
+def q_mann_whitney_exact(spark, sf_dir):
+    """Exact Mann-Whitney of five nations against the others (summed balances, untied); SQL counts all rank sums."""
+    m = mann_whitney(_nation_wealth(spark, sf_dir), "y", "g")
+    return m.select("u", F.round("p_value", 9).alias("p_value"))
 
 
 @register("kruskal", _gy_sql("WITH", "lineitem", "l_returnflag") + f""",
@@ -217,7 +293,7 @@ def q_kruskal(spark, sf_dir):
                     F.round("eps2", 9).alias("eps2"), "strength")
 
 
-@register("posthoc_mw_holm", _gy_sql("WITH " + SALES_FACT_SQL + ",", "sales_fact", "c_mktsegment") + """,
+_POSTHOC_MW = _gy_sql("WITH " + SALES_FACT_SQL + ",", "sales_fact", "c_mktsegment") + """,
 o AS (SELECT g, row_number() OVER (ORDER BY quantile_cont(y, 0.5) DESC, g ASC) AS r FROM gy GROUP BY g),
 p AS (SELECT a.g AS group_a, b.g AS group_b FROM o a JOIN o b ON a.r < b.r),
 e AS (SELECT group_a, group_b, g = group_a AS is_a, y FROM p JOIN gy ON gy.g IN (group_a, group_b)),
@@ -227,20 +303,28 @@ s AS (SELECT group_a, group_b, SUM(CASE WHEN is_a THEN r ELSE 0 END) AS r1, CAST
              CAST(SUM(CASE WHEN is_a THEN 0 ELSE 1 END) AS DOUBLE) AS n2, CAST(COUNT(*) AS DOUBLE) AS n FROM rk GROUP BY 1, 2),
 t AS (SELECT group_a, group_b, SUM(power(CAST(c AS DOUBLE), 3) - c) AS ties
       FROM (SELECT group_a, group_b, y, COUNT(*) AS c FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2),
-u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1 FROM s JOIN t USING (group_a, group_b))
-SELECT group_a, group_b, round(u1, 6) AS u,
-       round(greatest((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))), 0.0), 9) AS z
-FROM u""")
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1 FROM s JOIN t USING (group_a, group_b)),
+z AS (SELECT group_a, group_b, u1, greatest((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5)
+             / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))), 0.0) AS z FROM u)"""
+
+
+@register("posthoc_mw_holm", _POSTHOC_MW + """
+SELECT group_a, group_b, round(u1, 6) AS u, round(z, 9) AS z FROM z""")
 def q_posthoc_mw_holm(spark, sf_dir):
     """Mann-Whitney U and z of price for all pairs of market segments."""
     p = posthoc_mw_holm(sales_fact(spark, sf_dir), Y, "c_mktsegment")
     return p.select("group_a", "group_b", F.round("u", 6).alias("u"), F.round("z", 9).alias("z"))
 
 
-@register("posthoc_mw_holm_p")
+@register("posthoc_mw_holm_p", _POSTHOC_MW.replace("\ns AS", "\nsr AS").replace("FROM s JOIN t", "FROM sr JOIN t") + f""",
+pr AS (SELECT *, {norm_p2_sql('z')} AS p_raw FROM z),
+{holm_sql('pr')}
+SELECT group_a, group_b, round(u1, 6) AS u, round(z, 9) AS z, round(p_raw, 7) AS p_raw, round(p_adj, 6) AS p_adj_holm FROM h""")
 def q_posthoc_mw_holm_p(spark, sf_dir):
     """Pairwise Mann-Whitney of price across market segments, Holm-adjusted."""
-    return posthoc_mw_holm(sales_fact(spark, sf_dir), Y, "c_mktsegment")
+    p = posthoc_mw_holm(sales_fact(spark, sf_dir), Y, "c_mktsegment")
+    return p.select("group_a", "group_b", F.round("u", 6).alias("u"), F.round("z", 9).alias("z"),
+                    F.round("p_raw", 7).alias("p_raw"), F.round("p_adj_holm", 6).alias("p_adj_holm"))
 
 
 def _two_cond(spark, sf_dir):
@@ -273,10 +357,30 @@ def q_wilcoxon(spark, sf_dir):
                     "strength")
 
 
-@register("wilcoxon_p")
+@register("wilcoxon_p", _WX_SQL + f"""
+SELECT round(w, 6) AS w, round(z, 9) AS z, round({norm_p2_sql('z')}, 7) AS p_value, round(z / sqrt(n), 9) AS r_effect FROM z""")
 def q_wilcoxon_p(spark, sf_dir):
     """Wilcoxon signed-rank with its p-value."""
-    return wilcoxon(_two_cond(spark, sf_dir), "value", "user_id", "event_type")
+    w = wilcoxon(_two_cond(spark, sf_dir), "value", "user_id", "event_type")
+    return w.select("w", F.round("z", 9).alias("z"), F.round("p_value", 7).alias("p_value"), F.round("r_effect", 9).alias("r_effect"))
+
+
+@register("wilcoxon_exact", """
+WITH RECURSIVE m AS (SELECT c_nationkey AS id, l_returnflag AS f, AVG(CAST(l_extendedprice AS DOUBLE)) AS y FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2),
+d AS (SELECT a.y - r.y AS d FROM m a JOIN m r ON a.id = r.id AND a.f = 'A' AND r.f = 'R'),
+rk AS (SELECT d, row_number() OVER (ORDER BY abs(d)) AS r FROM d),
+s AS (SELECT COUNT(*) AS n, least(COALESCE(SUM(r) FILTER (d > 0), 0), COALESCE(SUM(r) FILTER (d < 0), 0)) AS w FROM rk),
+f(i, sum, c) AS (SELECT 0, 0, CAST(1 AS DOUBLE) UNION ALL
+  SELECT i + 1, sum + x * (i + 1), SUM(c) FROM f, (VALUES (0), (1)) t(x), s WHERE i < s.n GROUP BY 1, 2)
+SELECT CAST(s.w AS DOUBLE) AS w, round(least(2 * SUM(c) FILTER (sum <= s.w) / SUM(c), 1.0), 9) AS p_value
+FROM f, s WHERE i = s.n GROUP BY s.w""")
+def q_wilcoxon_exact(spark, sf_dir):
+    """Exact signed-rank test of nations' mean price, accepted against returned lines; SQL counts all subset sums."""
+    li = load(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
+    rows = (li.join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")))
+    return wilcoxon(rows, Y, "c_nationkey", "l_returnflag").select("w", F.round("p_value", 9).alias("p_value"))
 
 
 @register("friedman", _SC_SQL + f""",
@@ -299,7 +403,7 @@ def q_friedman(spark, sf_dir):
                     F.round("w_ref", 9).alias("w_ref"), F.round("kendall_w", 9).alias("kendall_w"), "strength")
 
 
-@register("posthoc_wilcoxon_holm", _SC_SQL + """,
+_POSTHOC_WX = _SC_SQL + """,
 d AS (SELECT a.cond AS group_a, b.cond AS group_b, a.y - b.y AS d FROM sc a JOIN sc b ON a.id = b.id AND a.cond < b.cond),
 nz AS (SELECT *, abs(d) AS a FROM d WHERE d <> 0),
 rk AS (SELECT *, RANK() OVER (PARTITION BY group_a, group_b ORDER BY a)
@@ -307,20 +411,28 @@ rk AS (SELECT *, RANK() OVER (PARTITION BY group_a, group_b ORDER BY a)
 s AS (SELECT group_a, group_b, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, SUM(CASE WHEN d > 0 THEN 0 ELSE r END) AS wm,
              CAST(COUNT(*) AS DOUBLE) AS nr FROM rk GROUP BY 1, 2),
 t AS (SELECT group_a, group_b, SUM(power(CAST(c AS DOUBLE), 3) - c) AS ties
-      FROM (SELECT group_a, group_b, a, COUNT(*) AS c FROM nz GROUP BY 1, 2, 3) GROUP BY 1, 2)
-SELECT group_a, group_b, round(least(wp, wm), 6) AS w,
-       round(abs((least(wp, wm) - nr * (nr + 1) / 4.0) / sqrt(nr * (nr + 1) * (2 * nr + 1) / 24.0 - ties / 48.0)), 9) AS z
-FROM s JOIN t USING (group_a, group_b)""")
+      FROM (SELECT group_a, group_b, a, COUNT(*) AS c FROM nz GROUP BY 1, 2, 3) GROUP BY 1, 2),
+z AS (SELECT group_a, group_b, least(wp, wm) AS w, abs((least(wp, wm) - nr * (nr + 1) / 4.0)
+             / sqrt(nr * (nr + 1) * (2 * nr + 1) / 24.0 - ties / 48.0)) AS z FROM s JOIN t USING (group_a, group_b))"""
+
+
+@register("posthoc_wilcoxon_holm", _POSTHOC_WX + """
+SELECT group_a, group_b, round(w, 6) AS w, round(z, 9) AS z FROM z""")
 def q_posthoc_wilcoxon_holm(spark, sf_dir):
     """Wilcoxon W and z of user means for all pairs of event types."""
     p = posthoc_wilcoxon_holm(load(spark, sf_dir, "events"), "value", "user_id", "event_type")
     return p.select("group_a", "group_b", F.round("w", 6).alias("w"), F.round("z", 9).alias("z"))
 
 
-@register("posthoc_wilcoxon_holm_p")
+@register("posthoc_wilcoxon_holm_p", _POSTHOC_WX.replace("\ns AS", "\nsr AS").replace("FROM s JOIN t", "FROM sr JOIN t") + f""",
+pr AS (SELECT *, {norm_p2_sql('z')} AS p_raw FROM z),
+{holm_sql('pr')}
+SELECT group_a, group_b, round(w, 6) AS w, round(z, 9) AS z, round(p_raw, 7) AS p_raw, round(p_adj, 6) AS p_adj_holm FROM h""")
 def q_posthoc_wilcoxon_holm_p(spark, sf_dir):
     """Pairwise Wilcoxon of user means across event types, Holm-adjusted."""
-    return posthoc_wilcoxon_holm(load(spark, sf_dir, "events"), "value", "user_id", "event_type")
+    p = posthoc_wilcoxon_holm(load(spark, sf_dir, "events"), "value", "user_id", "event_type")
+    return p.select("group_a", "group_b", F.round("w", 6).alias("w"), F.round("z", 9).alias("z"),
+                    F.round("p_raw", 7).alias("p_raw"), F.round("p_adj_holm", 6).alias("p_adj_holm"))
 
 
 # ------------------------------------------------------------ degenerate groups

@@ -135,12 +135,13 @@ mon2 AS (SELECT *, -CAST(discount AS DOUBLE) / CAST(sales AS DOUBLE) * 100.0 AS
 
 @register("discount_kpis", _MON_SQL + """,
 yr AS (SELECT MAX(year(month)) AS y FROM mon2)
-SELECT CAST(y AS INTEGER) AS year, AVG(discount_pct) AS avg_monthly_pct,
-       -CAST(SUM(discount) AS DOUBLE) / CAST(SUM(sales) AS DOUBLE) * 100.0 AS year_pct
+SELECT CAST(y AS INTEGER) AS year, round(AVG(discount_pct), 9) AS avg_monthly_pct,
+       round(-CAST(SUM(discount) AS DOUBLE) / CAST(SUM(sales) AS DOUBLE) * 100.0, 9) AS year_pct
 FROM mon2 JOIN yr ON year(month) = y GROUP BY y""")
 def q_discount_kpis(spark, sf_dir):
     """Mean monthly Discount% and year Discount% (latest year)."""
-    return discount_kpis(ledger_b(spark, sf_dir), "l_shipdate", "sales_b", "disc_b")
+    k = discount_kpis(ledger_b(spark, sf_dir), "l_shipdate", "sales_b", "disc_b")
+    return k.select("year", *[F.round(c, 9).alias(c) for c in ("avg_monthly_pct", "year_pct")])
 
 
 @register("monthly_discount", _MON_SQL + """

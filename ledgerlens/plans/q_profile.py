@@ -10,7 +10,7 @@ from ledgerlens.operators.profile import (PROFILE_NAMES, category_freq, distribu
                                           numeric_profile, profile_verdicts, tukey_outliers)
 from ledgerlens.operators.quality import data_quality, infer_column_types
 from ledgerlens.plans.registry import register
-from ledgerlens.plans.sqlgen import chi2_even_sf_sql, digits_sql, k2_pvalue_sql, valid_sql
+from ledgerlens.plans.sqlgen import chi2_even_sf_sql, chi2_sf_sql, digits_sql, k2_pvalue_sql, valid_sql
 from ledgerlens.sources.tables import load
 
 R6 = 6
@@ -289,10 +289,10 @@ s AS (SELECT CAST(SUM(observed) AS BIGINT) AS n, SUM(power(observed - expected,
     status = ("CASE WHEN max_diff_pp / 100.0 >= 0.1 THEN 'Red' WHEN max_diff_pp / 100.0 >= 0.05 THEN 'Yellow' "
               "ELSE 'Green' END AS diff_status")
     if with_p:
-        p = chi2_even_sf_sql("chi2", dof)
+        p = chi2_even_sf_sql("chi2", dof) if dof % 2 == 0 else chi2_sf_sql("chi2", dof)
         return head + f""",
 s2 AS (SELECT *, {p} AS p_value FROM s)
-SELECT n, round(chi2, 6) AS chi2, {dof} AS dof, round(p_value, 9) AS p_value, round(mad, 9) AS mad,
+SELECT n, round(chi2, 6) AS chi2, {dof} AS dof, round(p_value, 7) AS p_value, round(mad, 9) AS mad,
        round(max_diff_pp, 9) AS max_diff_pp, {status},
        CASE WHEN p_value < 0.01 OR mad > 0.015 THEN 'Red' WHEN p_value < 0.05 OR mad > 0.012 THEN 'Yellow'
             ELSE 'Green' END AS severity FROM s2"""
@@ -305,8 +305,8 @@ FROM s"""
 def q_benford_summary_1d(spark, sf_dir):
     """χ² (8 dof), p, MAD, largest gap, status and severity of the first-digit test."""
     s = benford_summary(load(spark, sf_dir, "events"), "value", 1)
-    return s.select("n", F.round("chi2", 6).alias("chi2"), "dof", *_r(["p_value", "mad", "max_diff_pp"], 9),
-                    "diff_status", "severity")
+    return s.select("n", F.round("chi2", 6).alias("chi2"), "dof", F.round("p_value", 7).alias("p_value"),
+                    *_r(["mad", "max_diff_pp"], 9), "diff_status", "severity")
 
 
 @register("benford_summary_2d", _summary_sql("events", "value", 2, False))
@@ -316,10 +316,12 @@ def q_benford_summary_2d(spark, sf_dir):
     return s.select("n", F.round("chi2", 6).alias("chi2"), "dof", *_r(["mad", "max_diff_pp"], 9), "diff_status")
 
 
-@register("benford_summary_2d_p")
+@register("benford_summary_2d_p", _summary_sql("events", "value", 2, True))
 def q_benford_summary_2d_p(spark, sf_dir):
-    """Two-digit test with the χ²(89) p-value and severity."""
-    return benford_summary(load(spark, sf_dir, "events"), "value", 2)
+    """χ² (89 dof), p, MAD, largest gap, status and severity of the two-digit test."""
+    s = benford_summary(load(spark, sf_dir, "events"), "value", 2)
+    return s.select("n", F.round("chi2", 6).alias("chi2"), "dof", F.round("p_value", 7).alias("p_value"),
+                    *_r(["mad", "max_diff_pp"], 9), "diff_status", "severity")
 
 
 def _ready_sql(table, col):

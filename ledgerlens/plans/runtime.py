@@ -107,3 +107,13 @@ def bounded_broadcast(df: DataFrame, bound: int, what: str) -> DataFrame:
     return F.broadcast(df)
 
 
+SMALL_ROWS = 10_000
+
+
+def small_side(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of a few numbers a row, with a broadcast hint when it has at
+    most SMALL_ROWS rows (``rows`` where that is known, else they are counted);
+    else as it is, for a shuffle join."""
+    if rows is None:
+        rows = table.limit(SMALL_ROWS + 1).count()
+    return F.broadcast(table) if rows <= SMALL_ROWS else table

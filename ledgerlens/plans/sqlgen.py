@@ -51,3 +51,50 @@ def digits_sql(v: str) -> str:
 
 def valid_sql(v: str) -> str:
     return f"({v} IS NOT NULL AND NOT isnan({v}) AND NOT isinf({v}))"
+
+
+def _simpson_sql(f, top: str, steps: int = 4000) -> str:
+    """Simpson's rule of f(u) from 0 to ``top``; ``f`` gives SQL for an SQL abscissa."""
+    at = f"(({top}) * k / {float(steps)})"
+    weight = f"(CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"(({top}) / {3.0 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda k: {weight} * {f(at)})))"
+
+
+def t_p2_sql(t: str, dof: str) -> str:
+    """Two-sided p of Student's t with any dof: 1 less the integral of cos^(dof - 1) up to atan(t / sqrt(dof)),
+    over the whole integral. Where the tails are thin, |t| beyond 40 adds nothing."""
+    reach = f"atan((CASE WHEN ({dof}) > 100 THEN least(abs({t}), 40.0) ELSE abs({t}) END) / sqrt({dof}))"
+    whole = f"(sqrt(pi()) / 2.0 * exp(lgamma(({dof}) / 2.0) - lgamma((({dof}) + 1) / 2.0)))"
+    return f"greatest(1 - {_simpson_sql(lambda u: f'power(cos({u}), ({dof}) - 1)', reach)} / {whole}, 0.0)"
+
+
+def norm_p2_sql(z: str) -> str:
+    """Two-sided normal p."""
+    inside = _simpson_sql(lambda u: f"exp(-0.5 * {u} * {u})", f"least(abs({z}), 40.0)")
+    return f"greatest(1 - 2.0 / sqrt(2 * pi()) * {inside}, 0.0)"
+
+
+def chi2_sf_sql(x: str, dof: int) -> str:
+    """Upper tail of chi-square with 3 or more dof."""
+    scale = f"(lgamma({dof / 2.0}) + {dof / 2.0} * ln(2.0))"
+    inside = _simpson_sql(lambda u: f"(CASE WHEN {u} > 0 THEN exp({dof / 2.0 - 1} * ln(greatest({u}, 1e-300)) - {u} / 2 - {scale}) ELSE 0 END)",
+                          f"least({x}, {dof + 60 * (2 * dof) ** 0.5})")
+    return f"greatest(1 - {inside}, 0.0)"
+
+
+def f_even_sf_sql(f: str, d1: int, d2: str) -> str:
+    """Upper tail of F(d1, d2) with even d1: x^(d2/2) times a sum of d1/2 terms, x = d2 / (d2 + d1 f)."""
+    assert d1 % 2 == 0
+    x = f"(({d2}) / (({d2}) + {d1} * ({f})))"
+    terms, rising = [], "1.0"
+    for j in range(d1 // 2):
+        terms.append(f"{rising} / {float(_fact(j))} * power(1 - {x}, {j})")
+        rising += f" * (({d2}) / 2.0 + {j})"
+    return f"(power({x}, ({d2}) / 2.0) * ({' + '.join(terms)}))"
+
+
+def holm_sql(table: str, p: str = "p_raw") -> str:
+    """CTEs s, h over ``table`` (group_a, group_b, p): Holm-adjusted p as p_adj."""
+    return f"""s AS (SELECT *, (count(*) OVER () - row_number() OVER w + 1) * {p} AS step, row_number() OVER w AS place
+  FROM {table} WINDOW w AS (ORDER BY {p}, group_a, group_b)),
+h AS (SELECT *, least(max(step) OVER (ORDER BY place), 1.0) AS p_adj FROM s)"""

@@ -180,3 +180,105 @@ def test_data_quality_counts(spark):
     dq = {r.column: r for r in data_quality(df).collect()}
     assert dq["s"].type == "Text" and dq["s"].blank == 1 and dq["s"].valid == 2 and dq["s"].nan == 1
     assert dq["v"].type == "Numeric" and dq["v"].zero == 1 and dq["v"].nan == 2 and dq["v"].n_unique == 2
+
+
+def test_exact_rank_tests_against_enumeration():
+    import itertools
+
+    from ledgerlens.functions.dist import mw_exact_p2, mw_test, rank_sum_counts, wilcoxon_exact_p2, wilcoxon_test
+
+    for n1, n2 in ((1, 1), (3, 5), (5, 3), (4, 4), (2, 7)):
+        us = [sum(c) - n1 * (n1 - 1) // 2 for c in itertools.combinations(range(n1 + n2), n1)]
+        assert rank_sum_counts(n1, n2) == [us.count(u) for u in range(n1 * n2 + 1)]
+        for u in range(n1 * n2 + 1):
+            top = max(u, n1 * n2 - u)
+            want = min(1.0, 2 * sum(x >= top for x in us) / len(us))
+            assert mw_exact_p2(u, n1, n2) == pytest.approx(want)
+            z, p = mw_test(u, -1.0, n1, n2, False)
+            assert p == pytest.approx(want) and (p == 1.0 or 2 * (1 - 0.5 * math.erfc(-z / 2 ** 0.5)) == pytest.approx(p))
+    for n in (1, 4, 9):
+        sums = [sum(c) for k in range(n + 1) for c in itertools.combinations(range(1, n + 1), k)]
+        for w in range(n * (n + 1) // 4 + 1):
+            assert wilcoxon_exact_p2(w, n) == pytest.approx(min(1.0, 2 * sum(s <= w for s in sums) / 2 ** n))
+    # ties, zeros and larger samples keep the normal form
+    assert mw_test(10.0, 1.5, 4, 5, True)[0] == 1.5 and mw_test(10.0, 1.5, 9, 9, False)[0] == 1.5
+    assert wilcoxon_test(3.0, 1.5, 8, False)[0] == 1.5 and wilcoxon_test(3.0, 1.5, 51, True)[0] == 1.5
+
+
+def test_small_samples_are_exact(spark):
+    from ledgerlens.operators.hypothesis import mann_whitney, wilcoxon
+
+    rows = [("a", float(v)) for v in (1.1, 2.2, 3.3)] + [("b", float(v)) for v in (4.4, 5.5, 6.6, 0.5)]
+    r = mann_whitney(spark.createDataFrame(rows, "g string, y double"), "y", "g").first()
+    assert r.u == 9.0 and r.p_value == pytest.approx(2 * 7 / 35)      # U of b: 9 of 12
+    rows = [(i, c, float(v)) for i, (x, y) in enumerate([(1, 3), (2, 5.5), (4, 3.5), (6, 9)]) for c, v in (("x", x), ("y", y))]
+    r = wilcoxon(spark.createDataFrame(rows, "id int, c string, y double"), "y", "id", "c").first()
+    assert r.w == 1.0 and r.p_value == pytest.approx(2 * 2 / 16)
+
+
+def test_midranks_in_place_with_a_hot_value(spark):
+    """One value on a third of the rows straddles partitions; no join on a value is in the plan."""
+    from ledgerlens.operators.ranks import attach_midranks
+
+    rng = np.random.default_rng(5)
+    v = np.r_[np.full(1000, 7.0), rng.integers(0, 40, 1000), rng.normal(size=1000)]
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 3000), "v": v, "z": rng.permutation(3000)})
+    df = spark.createDataFrame(pdf).withColumn("w", F.lit(2))
+    for by in ([], ["g"]):
+        out = attach_midranks(df, "v", "r", by=by, weight="w", size="n", ties="t")
+        got = out.toPandas()
+        twice = pd.concat([got, got])
+        of = twice.groupby("g").v if by else twice.v
+        assert np.allclose(got.r, of.rank().iloc[:3000])
+        assert (got.t == (twice.groupby([*by, "v"]).v.transform("size")).iloc[:3000]).all()
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "_ll_pid" in plan[plan.index("Join"):].splitlines()[0]
+    assert attach_midranks(df.where("false"), "v", "r").count() == 0
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_quantile_brackets_are_narrowed(spark, monkeypatch, counted):
+    """Rounds of pivots until a slot has at most ORDERED distinct values, in groups of any size."""
+    from ledgerlens.operators import ranks
+
+    for name, value in (("SKETCH", 100), ("MARGIN", 3), ("ORDERED", 16), ("PIVOTS", 3)):
+        monkeypatch.setattr(ranks, name, value)
+    held = []
+    narrowed = ranks._narrowed
+    monkeypatch.setattr(ranks, "_narrowed", lambda *a: held.append(narrowed(*a)) or held[-1])
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 4000, p=[0.8, 0.19, 0.01]),
+                        "v": np.r_[rng.normal(size=2500), np.full(1500, 0.25)]})
+    df = spark.createDataFrame(pdf)
+    if counted:
+        df = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
+    probs = [0.0, 0.01, 0.5, 0.77, 1.0]
+    got = {r.g: r[1:] for r in grouped_quantiles(df, "v", probs, by=["g"], weight="w" if counted else None).collect()}
+    want = pdf.groupby("g").v.quantile(probs).unstack()
+    assert {g: pytest.approx(list(r)) for g, r in got.items()} == {g: list(want.loc[g]) for g in "abc"}
+    # what a window orders: a slot's distinct values
+    assert held[0].groupBy("g").agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] <= 16 * 2 * len(probs)
+
+
+def test_matrix_of_many_columns(spark):
+    """200 columns in one pass, equal to the pairwise form; constant columns and missing values."""
+    from ledgerlens.operators.correlation import corr_matrix
+    from ledgerlens.operators.gram import pair_sums
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 200)) @ rng.normal(size=(200, 200)) * 0.05 + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 3.0
+    cols = [f"c{i}" for i in range(200)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols))
+    clean = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
+    n, r = pair_sums(clean, cols)
+    want = pd.DataFrame(x, columns=cols).corr()
+    there = (~np.isnan(x)).astype(int)
+    assert (n == there.T @ there).all()
+    assert np.nanmax(np.abs(r - want.to_numpy())) < 1e-9 and np.isnan(r[7]).all()
+    few = cols[:6] + ["c7"]
+    got = {(a.a, a.b): a.r for a in corr_matrix(df, few, "spearman", listwise=False).collect()}
+    rank = pd.DataFrame(x, columns=cols)[cols[:6]].corr("spearman")
+    assert set(got) == {(a, b) for a in cols[:6] for b in cols[:6]}
+    assert all(got[a, b] == pytest.approx(rank.loc[a, b]) for a, b in got)
