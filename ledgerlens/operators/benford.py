@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.clean import numeric_of
 from ledgerlens.functions.dist import chi2_p
-from ledgerlens.plans.runtime import bounded_broadcast
+from ledgerlens.plans.runtime import bounded_broadcast, shuffle_partitions
 
 # Fixed values of the test: digit domains, the status threshold on the
 # largest gap (as a ratio, Red at twice it), severity cut-offs on p and MAD,
@@ -139,12 +139,18 @@ def benford_drilldown(df: DataFrame, col: str, digits: int = 1, min_pp: float =
                       cap: int | None = None, order: list[str] | None = None) -> DataFrame:
     """Source rows whose leading digit deviates by at least ``min_pp``
     percentage points, tagged with the digit. ``cap`` keeps the first rows
-    per digit in ``order`` (a display limit); by default every row is kept."""
+    per digit in ``order`` (a display limit; ties by the row's hash); by default
+    every row is kept. The first rows are chosen in two levels, in hashed parts
+    of a digit and then among those, so a digit is not one task."""
     flagged = benford(df, col, digits).where(F.abs(F.col("diff_pp")) >= min_pp).select("digit")
     lo, hi = DIGIT_RANGE[digits]
     tagged = df.withColumn("digit", leading_digits(numeric_of(df, col), digits))
     out = tagged.join(bounded_broadcast(flagged, hi - lo + 1, "flagged digits"), "digit", "left_semi")
     if cap is not None:
-        w = Window.partitionBy("digit").orderBy(*(order or df.columns))
-        out = out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+        whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        out = out.withColumn("_h", whole).withColumn("_part", F.pmod("_h", F.lit(shuffle_partitions(df.sparkSession))))
+        for level in (["digit", "_part"], ["digit"]):
+            first = Window.partitionBy(*level).orderBy(*(order or df.columns), "_h")
+            out = out.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= cap).drop("_rn")
+        out = out.drop("_h", "_part")
     return out

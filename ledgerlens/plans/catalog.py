@@ -2,6 +2,7 @@
 
 from ledgerlens.plans import (  # noqa: F401
     q_concentration,
+    q_load,
     q_overview,
     q_profile,
     q_correlation,

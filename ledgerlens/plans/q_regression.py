@@ -93,11 +93,61 @@ def q_linear_regression(spark, sf_dir):
 
 
 def _linear_multi(spark, sf_dir):
-    return fit_regression(load(spark, sf_dir, "lineitem"), "l_extendedprice", LIN_X, "l_orderkey", kind="linear")
+    return fit_regression(load(spark, sf_dir, "lineitem"), "l_extendedprice", LIN_X, "l_orderkey", kind="linear", split="mod")
 
 
 def _logistic(spark, sf_dir):
-    return fit_regression(binary_orders(spark, sf_dir), "is_large", LOG_X, "o_orderkey")
+    return fit_regression(binary_orders(spark, sf_dir), "is_large", LOG_X, "o_orderkey", split="mod")
+
+
+def _solve_sql(source: str, k: int, carry: str) -> str:
+    """SELECT of ``carry`` and x0 .. x(k-1) with H x = g, from one-row-a-system columns h{i}_{j} (i <= j) and g{i}:
+    elimination, one nested query a column, then back-substitution."""
+    h = lambda i, j: f"h{min(i, j)}_{max(i, j)}"
+    sql = f"SELECT * FROM {source}"
+    for p in range(k - 1):
+        new = [f"{h(i, j)} - {h(p, i)} * {h(p, j)} / {h(p, p)} AS {h(i, j)}" for i in range(p + 1, k) for j in range(i, k)]
+        new += [f"g{i} - {h(p, i)} * g{p} / {h(p, p)} AS g{i}" for i in range(p + 1, k)]
+        sql = f"SELECT * REPLACE ({', '.join(new)}) FROM ({sql})"
+    for p in reversed(range(k)):
+        known = "".join(f" - {h(p, j)} * x{j}" for j in range(p + 1, k))
+        sql = f"SELECT *, (g{p}{known}) / {h(p, p)} AS x{p} FROM ({sql})"
+    return f"SELECT {carry}, {', '.join(f'x{i}' for i in range(k))} FROM ({sql})"
+
+
+def _lin_multi_sql() -> str:
+    d = ", ".join(f"{x} AS x{i}" for i, x in enumerate(LIN_X))
+    where = " AND ".join(valid_sql(c) for c in [*LIN_X, "l_extendedprice"])
+    k = len(LIN_X)
+    means = ", ".join(f"AVG(x{i}) AS m{i}, STDDEV_POP(x{i}) AS s{i}" for i in range(k))
+    cov = [f"SUM((x{i} - m{i}) * (x{j} - m{j})) AS h{i}_{j}" for i in range(k) for j in range(i, k)]
+    cov += [f"SUM((x{i} - m{i}) * (y - my)) AS g{i}" for i in range(k)]
+    fit = " + ".join(f"b.x{i} * (d.x{i} - m{i})" for i in range(k))
+    return f"""WITH d AS (SELECT l_orderkey % 5 = 0 AS is_test, l_extendedprice AS y, {d} FROM lineitem WHERE {where}),
+m AS (SELECT AVG(y) AS my, {means} FROM d WHERE NOT is_test),
+h AS (SELECT {', '.join(cov)} FROM d, m WHERE NOT is_test),
+b AS ({_solve_sql('h', k, '1 AS one')}),
+e AS (SELECT y, y - my - ({fit}) AS error FROM d, m, b WHERE is_test)"""
+
+
+def _newton_sql(steps: int = 15) -> str:
+    """Newton steps of the class-balanced L2 logistic model by a recursive CTE: z are standardised features, z0 = 1."""
+    k = len(LOG_X)
+    sums = [f"SUM(w * p * (1 - p) * z{i} * z{j}) + {1.0 if i == j and i else 0.0} AS h{i}_{j}" for i in range(k + 1) for j in range(i, k + 1)]
+    sums += [f"SUM(w * (y - p) * z{i}) - {f't{i}' if i else '0.0'} AS g{i}" for i in range(k + 1)]
+    t = [f"t{i}" for i in range(k + 1)]
+    line = lambda t_: " + ".join(f"{t_}{i} * z{i}" for i in range(k + 1))
+    source = f"""(SELECT it, {', '.join(t)}, {', '.join(sums)} FROM (SELECT f.*, z.*, 1 / (1 + exp(-({line('f.t')}))) AS p FROM f, z
+    WHERE it < {steps} AND NOT is_test) GROUP BY it, {', '.join(t)})"""
+    return BINARY_ORDERS_SQL.replace("WITH med", "WITH RECURSIVE med") + f""",
+d AS (SELECT o_orderkey, is_large AS y, o_orderkey % 5 = 0 AS is_test, {', '.join(f'CAST({x} AS DOUBLE) AS x{i}' for i, x in enumerate(LOG_X))} FROM bo),
+m AS (SELECT {', '.join(f'AVG(x{i}) AS m{i}, STDDEV_POP(x{i}) AS s{i}' for i in range(k))}, AVG(y) AS share FROM d WHERE NOT is_test),
+z AS (SELECT o_orderkey, y, is_test, CASE WHEN y = 1 THEN 0.5 / share ELSE 0.5 / (1 - share) END AS w, 1.0 AS z0,
+             {', '.join(f'(x{i} - m{i}) / s{i} AS z{i + 1}' for i in range(k))} FROM d, m),
+f(it, {', '.join(t)}) AS (SELECT 0, {', '.join('CAST(0 AS DOUBLE)' for _ in t)} UNION ALL
+  SELECT it + 1, {', '.join(f't{i} + x{i}' for i in range(k + 1))} FROM ({_solve_sql(source, k + 1, 'it, ' + ', '.join(t))})),
+b AS (SELECT * FROM f WHERE it = {steps}),
+sc AS (SELECT o_orderkey, y, 1 / (1 + exp(-({line('b.t')}))) AS p FROM z, b WHERE is_test)"""
 
 
 @register("linear_regression_metrics", LINE_FIT_SQL + """,
@@ -112,28 +162,40 @@ def q_linear_regression_metrics(spark, sf_dir):
                     .alias("value"))
 
 
-@register("linear_regression_metrics_multi")
+@register("linear_regression_metrics_multi", _lin_multi_sql() + """,
+m2 AS (SELECT 1 - SUM(error * error) / SUM(power(y - (SELECT AVG(y) FROM e), 2)) AS r2, sqrt(AVG(error * error)) AS rmse, AVG(abs(error)) AS mae FROM e)
+SELECT 'r2' AS metric, round(r2, 6) AS value FROM m2 UNION ALL SELECT 'rmse', round(rmse, 4) FROM m2 UNION ALL SELECT 'mae', round(mae, 4) FROM m2""")
 def q_linear_regression_metrics_multi(spark, sf_dir):
-    """R², RMSE and MAE of price on three drivers (hash split)."""
-    return _linear_multi(spark, sf_dir).metrics
+    """R², RMSE and MAE of price on three drivers (order number mod 5)."""
+    m = _linear_multi(spark, sf_dir).metrics
+    return m.select("metric", F.when(F.col("metric") == "r2", F.round("value", 6)).otherwise(F.round("value", 4)).alias("value"))
 
 
-@register("linear_coefficients")
+@register("linear_coefficients", _lin_multi_sql() + """
+SELECT 'intercept' AS term, round(my, 3) AS coef, round(my - (""" + " + ".join(f"x{i} * m{i}" for i in range(len(LIN_X))) + """), 3) AS coef_raw FROM b, m
+""" + "\n".join(f"UNION ALL SELECT '{x}', round(x{i} * s{i}, 3), round(x{i}, 3) FROM b, m" for i, x in enumerate(LIN_X)))
 def q_linear_coefficients(spark, sf_dir):
     """Standardised and raw coefficients of the three-driver price model."""
-    return _linear_multi(spark, sf_dir).coefficients
+    return _linear_multi(spark, sf_dir).coefficients.select("term", F.round("coef", 3).alias("coef"), F.round("coef_raw", 3).alias("coef_raw"))
 
 
-@register("logistic_regression")
+@register("logistic_regression", _newton_sql() + """,
+rk AS (SELECT y, p, RANK() OVER (ORDER BY round(p, 12)) + (COUNT(*) OVER (PARTITION BY round(p, 12)) - 1) / 2.0 AS r FROM sc),
+a AS (SELECT AVG(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy, SUM(y) AS n1, COUNT(*) - SUM(y) AS n0,
+             SUM(CASE WHEN y = 1 THEN r END) AS r1 FROM rk)
+SELECT 'accuracy' AS metric, round(accuracy, 6) AS value FROM a
+UNION ALL SELECT 'auc', round((r1 - n1 * (n1 + 1) / 2.0) / (CAST(n1 AS DOUBLE) * n0), 6) FROM a""")
 def q_logistic_regression(spark, sf_dir):
     """Accuracy and ROC-AUC of the class-balanced logistic model for large orders."""
-    return _logistic(spark, sf_dir).metrics
+    return _logistic(spark, sf_dir).metrics.select("metric", F.round("value", 6).alias("value"))
 
 
-@register("logistic_coefficients")
+@register("logistic_coefficients", _newton_sql() + """
+SELECT 'intercept' AS term, round(t0, 6) AS coef FROM b
+""" + "\n".join(f"UNION ALL SELECT '{x}', round(t{i + 1}, 6) FROM b" for i, x in enumerate(LOG_X)))
 def q_logistic_coefficients(spark, sf_dir):
     """Log-odds coefficients of the large-order model by |coef|."""
-    return _logistic(spark, sf_dir).coefficients
+    return _logistic(spark, sf_dir).coefficients.select("term", F.round("coef", 6).alias("coef"))
 
 
 @register("residual_audit", LINE_FIT_SQL + """
@@ -179,10 +241,15 @@ def q_roc_curve(spark, sf_dir):
     return r.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
-@register("roc_curve_model")
+@register("roc_curve_model", _newton_sql() + """,
+pt AS (SELECT round(p, 6) AS threshold, SUM(y) AS tp, SUM(1 - y) AS fp FROM sc GROUP BY 1)
+SELECT threshold, round(SUM(fp) OVER (ORDER BY threshold DESC) / SUM(fp) OVER (), 9) AS fpr,
+       round(SUM(tp) OVER (ORDER BY threshold DESC) / SUM(tp) OVER (), 9) AS tpr FROM pt""")
 def q_roc_curve_model(spark, sf_dir):
-    """ROC points of the large-order model on the test fold."""
-    return roc_curve(_logistic(spark, sf_dir).predictions)
+    """ROC points of the large-order model (probabilities to 6 places) on the test fold."""
+    scored = _logistic(spark, sf_dir).predictions.withColumn("probability", F.round("probability", 6))
+    r = roc_curve(scored)
+    return r.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
 @register("confusion_matrix", _SCORED_SQL + """
@@ -192,7 +259,8 @@ def q_confusion_matrix(spark, sf_dir):
     return confusion_matrix(_scored_orders(spark, sf_dir))
 
 
-@register("confusion_matrix_model")
+@register("confusion_matrix_model", _newton_sql() + """
+SELECT CAST(y AS DOUBLE) AS label, CAST(p > 0.5 AS DOUBLE) AS prediction, COUNT(*) AS n FROM sc GROUP BY 1, 2""")
 def q_confusion_matrix_model(spark, sf_dir):
     """Actual x predicted counts of the large-order model."""
     return confusion_matrix(_logistic(spark, sf_dir).predictions)

@@ -203,3 +203,92 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = filters.year_scope(spark.read.parquet(path).where("k = 1"), "id", "All").select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,1)" in plan and "other" not in plan
+
+
+@pytest.mark.parametrize("digit", [2, 12])
+def test_split_by_radix_descent(spark, monkeypatch, digit):
+    """Exact shares per class whatever the digit size, a null class, repeated keys together, and no window over rows."""
+    monkeypatch.setattr(regression, "DIGIT", digit)
+    rows = [(k, "a" if k % 3 else ("b" if k % 2 else None)) for k in range(900)] + [(5000, "c")] * 5 + [(6000, "d")]
+    got = regression.train_test_split(spark.createDataFrame(rows, "id long, g string"), "id", stratify="g").collect()
+    tested = {}
+    for r in got:
+        tested.setdefault(r.g, []).append(r.is_test)
+    assert {g: sum(v) for g, v in tested.items()} == {"a": 120, "b": 30, None: 30, "c": 5, "d": 0}
+    from pyspark.sql.functions import xxhash64
+
+    df = spark.createDataFrame([r for r in rows if r[1] == "a"], "id long, g string")
+    first = [r.id for r in df.orderBy(xxhash64("id", F.lit(regression.SEED))).limit(120).collect()]
+    assert {r.id for r in got if r.g == "a" and r.is_test} == set(first)
+    many = spark.range(1200).selectExpr("id", "cast(id as string) as g")
+    with pytest.raises(ValueError):
+        regression.train_test_split(many, "id", stratify="g")
+    assert regression.train_test_split(many.where("false"), "id", stratify="g").count() == 0
+
+
+def test_logistic_against_gradient(spark):
+    """The fitted coefficients make the gradient of the penalised loss vanish; both classes named by their values."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3)) * [1, 5, 0.1] + [3, -2, 1000]
+    y = np.where(x[:, 0] + 0.1 * x[:, 1] + rng.normal(size=400) > 3, 7.0, 2.0)
+    df = spark.createDataFrame([(k, *map(float, r), float(v)) for k, (r, v) in enumerate(zip(x, y))],
+                               "id long, a double, b double, c double, y double")
+    fit = regression.fit_regression(df.repartition(5), "y", ["a", "b", "c"], "id", split="mod")
+    train = np.arange(400) % 5 != 0
+    z = (x - x[train].mean(axis=0)) / x[train].std(axis=0)
+    c = {r.term: r.coef for r in fit.coefficients.collect()}
+    theta = np.array([c["intercept"], c["a"], c["b"], c["c"]])
+    full = np.column_stack([np.ones(400), z])
+    p = 1 / (1 + np.exp(-full @ theta))
+    t = (y == 7).astype(float)
+    w = np.where(t == 1, train.sum() / (2 * t[train].sum()), train.sum() / (2 * (1 - t[train]).sum()))
+    gradient = ((w * (p - t))[:, None] * full)[train].sum(axis=0) + np.r_[0, theta[1:]]
+    assert np.abs(gradient).max() < 1e-8
+    got = {r.id: (r.predicted, r.probability) for r in fit.predictions.collect()}
+    assert set(got) == set(range(0, 400, 5))
+    assert all(got[k] == (7.0 if p[k] > 0.5 else 2.0, pytest.approx(p[k])) for k in got)
+    pos, neg = p[~train & (t == 1)], p[~train & (t == 0)]
+    m = {r.metric: r.value for r in fit.metrics.collect()}
+    assert m["auc"] == pytest.approx((pos[:, None] > neg).mean()) and m["accuracy"] == pytest.approx(((p > 0.5) == t)[~train].mean())
+    scored = regression.score_scenarios(fit, df.select("id", "a", "b", "c").where("id < 3")).collect()
+    assert [r.probability for r in sorted(scored, key=lambda r: r.id)] == pytest.approx(list(p[:3]))
+    with pytest.raises(ValueError):
+        regression.fit_regression(df.where("y = 7"), "y", ["a"], "id", kind="logistic")
+
+
+def test_separated_classes_settle(spark):
+    df = spark.createDataFrame([(k, float(k), float(k >= 50)) for k in range(100)], "id long, x double, y double")
+    fit = regression.fit_regression(df, "y", ["x"], "id", split="mod")
+    m = {r.metric: r.value for r in fit.metrics.collect()}
+    assert m["auc"] == 1.0 and m["accuracy"] >= 0.95
+
+
+def test_quality_of_a_hundred_columns(spark):
+    """Distinct counts without an Expand, equal to plain ones: zeros of both signs, NaN, nulls, text, arrays and maps."""
+    from ledgerlens.operators.quality import data_quality
+
+    rng = np.random.default_rng(1)
+    kinds = [lambda v: float(v) * (-0.0 if v == 0 else 1.0), lambda v: None if v % 3 == 0 else f"t{v}", lambda v: [v, v + 1],
+             lambda v: float("nan") if v == 1 else v / 7]
+    cols = [rng.integers(0, k + 1, 60) for k in range(100)]
+    rows = [tuple(kinds[k % 4](int(c[i])) for k, c in enumerate(cols)) for i in range(60)]
+    ddl = ", ".join(f"c{k} {('double', 'string', 'array<int>', 'double')[k % 4]}" for k in range(100))
+    out = data_quality(spark.createDataFrame(rows, ddl).withColumn("m", F.create_map(F.lit("k"), "c0")))
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.column: r.n_unique for r in out.collect()}
+    for k in range(100):
+        seen = {str(r[k]).replace("-0.0", "0.0") for r in rows if r[k] is not None and r[k] == r[k]}
+        assert got[f"c{k}"] == len(seen)
+    assert got["m"] == got["c0"]
+
+
+def test_capped_drilldown_is_the_window(spark):
+    from ledgerlens.operators.benford import benford_drilldown
+
+    df = spark.range(3000).select("id", ((F.col("id") % 50) + 100).cast("double").alias("v"))
+    out = benford_drilldown(df, "v", 1, cap=40, order=["v", "id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+    want = sorted((int(r.v), r.id) for r in df.collect())[:40]
+    assert sorted((int(r.v), r.id) for r in out.collect()) == want
+    assert out.columns == ["id", "v", "digit"]
