@@ -115,6 +115,26 @@ def distinct_in_row(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, n
     return rows[first], hashes[first]
 
 
+def distinct_of_rows(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) pairs without repeats, in their order; ``rows`` ascends. One
+    plain sort of shortened pairs tells which rows may have repeats; only those
+    are compared in full."""
+    if not len(rows) or int(rows[-1]) >= 1 << 24:
+        return distinct_in_row(rows, hashes)
+    short = np.sort(rows.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
+    again = short[1:][short[1:] == short[:-1]]
+    if not len(again):
+        return rows, hashes
+    has = np.zeros(int(rows[-1]) + 1, bool)
+    has[(again >> np.uint64(40)).astype(np.int64)] = True
+    at = np.flatnonzero(has[rows])
+    order = at[np.lexsort((hashes[at], rows[at]))]
+    same = (rows[order[1:]] == rows[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
+    keep = np.ones(len(rows), bool)
+    keep[order[1:][same]] = False
+    return rows[keep], hashes[keep]
+
+
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int,
            largest: int | None = None) -> DataFrame:
     """Inner join of many rows with a per-key table, safe for hot keys.
@@ -138,8 +158,21 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
             .unionByName(left.join(known, keys, "left_anti").join(right.where(~is_hot), keys)))
 
 
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the session's shared checkpoint folder and read it again."""
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the session's shared checkpoint folder: the
+    table read again, and its path. Unlike a checkpoint its size estimate is
+    the files', so loops that build on their own results can use it."""
     import uuid
 
     from ledgerlens.plans.runtime import ensure_checkpoint_dir
@@ -147,4 +180,16 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def through_table(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for a table that is kept."""
+    return stored(df, name)[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from ledgerlens.plans.runtime import reliable_checkpoint
 
 BLOCK = 1024            # rows of a block in the closing comparison
 COLUMNS = 4096          # distinct hashes that a block counts at a time
+ONE_TASK = 1 << 20      # links that one task joins by union-find
 
 
 def _ends(edges: DataFrame) -> tuple[int, bool, int]:
@@ -27,13 +28,44 @@ def _ends(edges: DataFrame) -> tuple[int, bool, int]:
     return found[0] or 0, not found[1], found[2] or 0
 
 
+def smallest_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find over links (a, b), all at once: the nodes, and the smallest
+    node that each reaches. Roots are hung under smaller roots, then all paths
+    are halved until they end in a root."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    a, b = (np.concatenate([np.asarray(h.column(c)) for h in held]) if held else np.zeros(0, np.int64) for c in ("u", "v"))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in smallest_labels(a, b)], names=["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``links`` (a, b): comp is the smallest
     node of its component. Alternating large-star and small-star steps; a
     node's links are only ever aggregated or joined with one row, so a hub
-    does not gather in a task. An empty table gives an empty one."""
+    does not gather in a task. As soon as no more than ONE_TASK links are left
+    one task finishes them by union-find: the same result without the further
+    steps. An empty table gives an empty one."""
     edges = reliable_checkpoint(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return reliable_checkpoint(edges.coalesce(1).mapInArrow(_finish, "node long, comp long"))
     n, done, most = _ends(edges)
     while not done:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -52,8 +84,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Callable,
-                      verify: Callable[[DataFrame], DataFrame], rounds: int, as_pairs: bool,
-                      group: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
+                      verify: Callable[[DataFrame], DataFrame], rounds: int, as_pairs: bool) -> DataFrame:
     """Components of the nodes that share a bucket and are verified to link.
 
     ``rows``: (bucket, node, size, pos, rank), ``sets``: (node, hashes), both
@@ -62,7 +93,6 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
     struct columns of two rows of a bucket; ``verify`` takes distinct pairs
     (a, b) and returns those that link. ``as_pairs`` says that ``fits`` leaves
     few pairs of a bucket, so that what the rounds leave is compared as pairs.
-    ``group`` finds the components (node, comp) of the verified links.
 
     Only components are asked for, so pairs known to be connected are not
     compared: in each of the first ``rounds`` every bucket's foremost node (by
@@ -116,7 +146,7 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
         turn += 1
     if links is None:
         return rows.sparkSession.createDataFrame([], "node long, comp long")
-    return group(links)
+    return components(links)
 
 
 def _blocks(met: DataFrame) -> DataFrame:

@@ -21,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, distinct_in_row, mix64, shingle_hashes, text_slices, word_hashes, word_lists
-from ledgerlens.llm.components import components, linked_components
+from ledgerlens.llm import jaccard, shared
+from ledgerlens.llm.common import (attach, discard, distinct_in_row, mix64, shingle_hashes, stored, text_slices,
+                                   word_hashes, word_lists)
+from ledgerlens.llm.components import components, smallest_labels
 from ledgerlens.llm.jaccard import verifier
-from ledgerlens.plans.runtime import reliable_checkpoint
+from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
 
 WIDTH = 2
 PERCENT = 80
@@ -35,7 +38,8 @@ SIGNATURE = 96          # entries
 BAND = 4                # entries of a band: at 0.8 a pair shares none of 24 bands with probability 3e-6
 SLICE = 4 << 20         # bytes of text that a task hashes at a time
 BROADCAST_BYTES = 8 << 20
-PIVOT_ROUNDS = 2
+ROUNDS = 1              # of pivots, before what is left is compared
+BLOCK = 1024            # rows of a block of that comparison
 FOREST = 1 << 20        # links that a task's union-find holds at a time
 
 _FRACTION = np.uint64(40)       # bits of r under the step number
@@ -117,22 +121,9 @@ def _set_rows(width: int):
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union-find over links (a, b): every node that is not its tree's root, and the root (its smallest node)."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for u, v in zip(at[:len(a)].tolist(), at[len(a):].tolist()):
-        u, v = find(u), find(v)
-        if u != v:
-            parent[max(u, v)] = min(u, v)
-    root = np.array([find(x) for x in range(len(nodes))], np.int64)
-    inner = root != np.arange(len(nodes))
-    return nodes[inner], nodes[root[inner]]
+    nodes, root = smallest_labels(a, b)
+    inner = nodes != root
+    return nodes[inner], root[inner]
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +151,151 @@ def union_find(links: DataFrame) -> DataFrame:
     return components(links.mapInArrow(_forest, "a long, b long"))
 
 
-def _similar_sizes(percent: int):
-    def cond(x: Column, y: Column) -> Column:
-        return 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
-    return cond
+def _similar_sizes(percent: int, x: Column, y: Column) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with comp replaced by its new component (old, new)."""
+    merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
+    if 16 * merged.count() <= BROADCAST_BYTES:
+        merged = F.broadcast(merged)
+    return rows.join(merged, "comp", "left").withColumn("comp", F.coalesce("_new", "comp")).drop("_new")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linking ones of distinct pairs (node, other), as (a, b). While the
+    pairs are few the sets of the nodes are read where they lie and only those
+    that pairs ask for move, once a pair, to the sets of the others."""
+    n = pairs.count()
+    if 16 * n > BROADCAST_BYTES:
+        return verifier(sets, percent)(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    uses = reliable_checkpoint(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("_uses")))
+    left = sets.select("node", F.col("hashes").alias("ha")).join(F.broadcast(pairs.select("node", "other")), "node")
+    right = sets.select(F.col("node").alias("other"), F.col("hashes").alias("hb")).join(F.broadcast(uses), "other")
+    met = attach(left, right, ["other"], "_uses", max(n, 1))
+    return met.select(F.col("node").alias("a"), F.col("other").alias("b"), "ha", "hb").mapInArrow(
+        jaccard._verify(percent), "a long, b long")
+
+
+def grouped_nodes(rows: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """(node, comp) of the nodes that share a bucket and are verified to link.
+
+    ``rows``: (bucket, node, size, rank), ``sets``: (node, hashes), both
+    checkpoints. Only components are asked for, so nodes known to be connected
+    are not compared. A round takes the foremost node (by ``rank``) of each
+    bucket's largest component, compares it with the bucket's nodes of other
+    components, and joins the components of all links found (union-find), also
+    those found in other buckets. The foremost node then has met all it could
+    and leaves the bucket; a bucket of one component is done.
+
+    What the rounds leave are nodes that are near a family but not near enough
+    to its foremost nodes. Most of their pairs would fail, so buckets give way
+    to an exact filter: the shingles of the nodes left are counted, and nodes
+    of different components are compared only where they share a shingle of
+    their rare-first prefixes at places that leave room for the wanted
+    intersection. No link between two components is lost.
+    """
+    rows = rows.withColumn("comp", F.col("node"))
+    links = checked = held = None
+    total, spark, paths = rows.count(), rows.sparkSession, []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table, path = stored(df, name)
+        paths.append(path)
+        return table
+
+    for turn in range(rounds + 1):
+        per = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(
+            "rank", "node", "size")).alias("p"))
+        stats = keep(per.groupBy("bucket").agg(
+            F.sum("n").alias("w"), F.count(F.lit(1)).alias("_comps"),
+            F.max(F.struct("n", "p", "comp")).alias("best")).where("_comps > 1").select(
+            "bucket", "w", F.col("best.p.node").alias("pivot"), F.col("best.p.size").alias("pivot_size"),
+            F.col("best.comp").alias("pivot_comp")), "buckets")
+        most = stats.agg(F.max("w")).first()[0]
+        if most is None:
+            break
+        closing = turn == rounds
+        met = attach(rows, stats, ["bucket"], "w", total, most)
+        if not closing:
+            pairs = met.where((F.col("comp") != F.col("pivot_comp")) & _similar_sizes(percent, F.col("size"), F.col("pivot_size")))
+            pairs = pairs.select("node", F.col("pivot").alias("other"), "comp", F.col("pivot_comp").alias("other_comp"))
+        else:
+            nodes = keep(met.select("node", "comp").distinct(), "nodes")
+            own = keep(sets.join(nodes, "node"), "sets")
+            near = _prefix_rows(own.select("node", "hashes"), percent).join(nodes, "node")
+            near = keep(near.select(F.explode(F.arrays_zip("prefix", "places")).alias("p"), "node", "size", "comp")
+                        .select(F.col("p.prefix").alias("bucket"), "node", "size", F.col("p.places").alias("pos"), "comp"), "prefixes")
+            shared_ = keep(near.groupBy("bucket").agg(F.count(F.lit(1)).alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                           .where("lo <> hi").drop("lo", "hi"), "shingles")
+            pairs = _all_pairs(attach(near, shared_, ["bucket"], "w", max(near.count(), 1)), percent)
+        pairs = pairs.distinct()
+        if checked is not None:
+            pairs = pairs.join(checked, ["node", "other"], "left_anti")
+        pairs = keep(pairs, "pairs")
+        found = keep(_verified(pairs, sets, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        if closing:
+            break
+        both = pairs.select("node", "other").unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other")))
+        checked = both if checked is None else checked.unionByName(both)
+        merged = found.join(pairs.select(F.col("node").alias("a"), F.col("other").alias("b"), "comp", "other_comp"), ["a", "b"])
+        merged = union_find(merged.select(F.col("comp").alias("a"), F.col("other_comp").alias("b")).distinct())
+        rows, path = stored(_relabelled(met.where("node <> pivot").select("bucket", "node", "size", "rank", "comp"), merged),
+                            "rows")
+        if held:
+            discard(spark, held)
+        held = path
+    out = union_find(links) if links is not None else spark.createDataFrame([], "node long, comp long")
+    discard(spark, *paths, *([held] if held else []))
+    return out
+
+
+def _scatter_sets(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of a slice of nodes as messages to the hash partitions."""
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch.column("hashes")).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts[:-1], cuts[1:]):
+                sets = [np.frombuffer(b, np.uint64) for b in batch.column("hashes").slice(at, end - at).to_pylist()]
+                if not sets:
+                    continue
+                head = np.zeros(len(sets), jaccard._HEAD)
+                head["row_key"] = batch.column("node").slice(at, end - at).to_numpy(zero_copy_only=False)
+                head["n"] = [len(x) for x in sets]
+                yield from shared.scatter(int(head["row_key"][0]), len(sets), np.repeat(np.arange(len(sets)), head["n"]),
+                                          np.concatenate(sets), parts, True, head.tobytes())
+    return run
+
+
+def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, size, prefix, places) of a table of sets: the shingles of a set
+    in the order of their counts among these sets, and those of the prefix that
+    another set has with their places. A set that shares under ``percent`` of
+    its shingles can link with none and is left out."""
+    parts = shuffle_partitions(sets.sparkSession)
+    counted = shared.count_hashes(sets.mapInArrow(_scatter_sets(parts), shared.MESSAGE_DDL), parts)
+    return counted.groupBy("slice").applyInArrow(jaccard._order_sets(percent), jaccard._SETS_DDL).select(
+        "node", "size", "prefix", "places")
+
+
+def _all_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's nodes in different components whose sizes and places
+    allow a link, block by block. Rows: (bucket, node, size, pos, comp, w)."""
+    met = met.withColumn("_of", F.ceil(F.col("w") / F.lit(BLOCK)).cast("int"))
+    met = met.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int"))
+    met = met.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    here = met.select("bucket", F.least("_own", "_with").alias("i"), F.greatest("_own", "_with").alias("j"), "_own",
+                      F.struct("node", "size", "pos", "comp").alias("x"))
+    keys = ["bucket", "i", "j"]
+    x = here.where("_own = i").select(*keys, "x")
+    y = here.where("_own = j").select(*keys, F.col("x").alias("y"))
+    fits = jaccard.fits(percent)
+    pairs = x.join(y, keys).where(((F.col("i") != F.col("j")) | (F.col("x.node") < F.col("y.node")))
+                                  & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x"), F.col("y")))
+    return pairs.select(F.least("x.node", "y.node").alias("node"), F.greatest("x.node", "y.node").alias("other"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, m: int = SIGNATURE,
@@ -200,14 +332,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     rows = reliable_checkpoint(attach(banded, shared, ["bucket"], "_w", max(n_classes * (m // band), 1)).drop("_w"))
     # the node that meets others in the most bands is its buckets' foremost one
     nodes = reliable_checkpoint(rows.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("rank")))
-    rows = reliable_checkpoint(rows.join(nodes, "node").withColumn("pos", F.lit(0)))
+    rows = reliable_checkpoint(rows.join(nodes, "node"))
     wanted = nodes.select(F.col("node").alias("row_key"))
     if 8 * nodes.count() <= BROADCAST_BYTES:        # else the texts are shuffled to the list
         wanted = F.broadcast(wanted)
     sets = reliable_checkpoint(scan.join(wanted, "row_key", "left_semi").mapInArrow(
         _set_rows(width), "node long, hashes binary"))
-    labels = linked_components(rows, sets, percent, _similar_sizes(percent), verifier(sets, percent), PIVOT_ROUNDS, True,
-                               union_find)
+    labels = grouped_nodes(rows, sets, percent)
 
     named = classes.drop("bands").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = reliable_checkpoint(named)

@@ -86,9 +86,14 @@ def test_groups(docs, wide, rows, none):
     assert superminhash.near_duplicates(none).count() == 0
 
 
-def test_chains_hot_buckets_and_short_texts(spark, tmp_path, monkeypatch):
-    """A chain of edits whose ends are not alike, a large family of near copies, and texts of one to six words."""
-    monkeypatch.setattr(components, "BLOCK", 4)
+@pytest.mark.parametrize("rounds,one_task", [(0, 1 << 20), (1, 0), (10, 1 << 20)])
+def test_chains_hot_buckets_and_short_texts(spark, tmp_path, monkeypatch, rounds, one_task):
+    """A chain of edits whose ends are not alike, a large family of near copies, and texts of one to six words; with
+    the prefix filter alone, one round of pivots (and components by star steps), or as many as it takes."""
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    plain_groups = superminhash.grouped_nodes
+    monkeypatch.setattr(superminhash, "grouped_nodes", lambda *a: plain_groups(*a, rounds))
+    monkeypatch.setattr(superminhash, "BLOCK", 4)
     monkeypatch.setattr("ledgerlens.llm.common.HOT_LEAST", 1)
     monkeypatch.setattr("ledgerlens.llm.common.HOT_PARTS", 4)
     rnd = random.Random(8)
