@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SPACE_CLASS, attach
+from ledgerlens.llm.common import SPACE_CLASS, attach, free_names
 from ledgerlens.plans.runtime import reliable_checkpoint
 
 PREFIX = 256                    # characters of the normal form in the prefix hash
@@ -63,10 +63,10 @@ def progressive_groups(docs: DataFrame) -> DataFrame:
     hashed = texts.select("row_key", F.unhex(full_hash(F.col("text"))).alias("full"))
     members = reliable_checkpoint(by_prefix.join(hashed, "row_key"))
 
-    best = F.struct(F.col("points"), F.col("doc_id").isNotNull(), -F.col("doc_id"), -F.col("row_key"))
+    first = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     groups = reliable_checkpoint(
         members.groupBy("size", "full")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max_by(F.struct("doc_id", "row_key"), best).alias("_best"))
+        .agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("_best"))
         .where("group_size > 1"))
     copies = attach(members, groups, ["size", "full"], "group_size", max(total, 1)).select(
         "row_key", "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size",
@@ -87,6 +87,6 @@ def row_places(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = progressive_groups(docs).where(~F.col("kept")).select(F.col("row_key").alias("_ll_row"))
-    return (docs.withColumn("_ll_row", F.monotonically_increasing_id())
-            .join(gone, "_ll_row", "left_anti").drop("_ll_row"))
+    key, = free_names(docs, "_ll_row")
+    gone = progressive_groups(docs).where(~F.col("kept")).select(F.col("row_key").alias(key))
+    return docs.withColumn(key, F.monotonically_increasing_id()).join(gone, key, "left_anti").drop(key)

@@ -248,6 +248,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("_f"), F.count(F.lit(1)).alias("_n"))
     stays = reliable_checkpoint(stays.where("_n > 1"))
     gone = attach(found.where("n_shingles > 0"), stays, ["component_key"], "_n", max(found.count(), 1)).where(
-        "row_key <> _f.row_key").select(F.col("row_key").alias("_ll_row"))
-    return (docs.withColumn("_ll_row", F.monotonically_increasing_id())
-            .join(gone, "_ll_row", "left_anti").drop("_ll_row"))
+        "row_key <> _f.row_key")
+    key, = common.free_names(docs, "_ll_row")
+    return (docs.withColumn(key, F.monotonically_increasing_id())
+            .join(gone.select(F.col("row_key").alias(key)), key, "left_anti").drop(key))
