@@ -109,14 +109,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     """Weights fitted on about ``rows`` labelled documents (all, if there are
     fewer): those whose hash of the doc_id lies below a bound. ``labels``
     (doc_id, label) without null labels; the sample's size is bounded by
-    ``rows``, which makes its broadcast and the one training task safe."""
+    ``rows``, which makes its broadcast and the one training task safe. Of the
+    rows of one doc_id a single text teaches, the one with the least hash."""
     total = labels.count()
     scale = 1 << 30
     order = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
     share = min(1.0, rows / max(total, 1))
     sample = labels.select("doc_id", "label", order.alias("order")).where(F.col("order") < int(share * scale))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    vectors = (texts.join(F.broadcast(sample), "doc_id").select("order", "label", "text")
+    texts = docs.select(F.monotonically_increasing_id().alias("row_key"), docs["doc_id"].cast("long").alias("doc_id"),
+                        docs["text"].alias("text"))
+    one = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "row_key")).alias("f"))
+    taught = one.select("doc_id", F.col("f.row_key").alias("row_key")).join(F.broadcast(sample), "doc_id").drop("doc_id")
+    vectors = (texts.join(F.broadcast(taught), "row_key").select("order", "label", "text")
                .mapInArrow(_rows_task, "order long, label int, col binary, val binary"))
     model = vectors.repartition(1).mapInArrow(_train_task, "weights binary").collect()
     return np.frombuffer(model[0]["weights"], "<f4") if model else np.zeros((1 << BITS) + 1, "<f4")
