@@ -3,19 +3,24 @@
 Texts are cut into short segments whose borders depend on the words near them
 alone (a border lies before the word pair with the smallest hash among its
 neighbours), so that a passage put into another text keeps its inner segments
-wherever it stands. Four kinds of paragraphs are compared, each with its own:
+wherever it stands. Two kinds of paragraphs are compared, each with its own:
 runs (from every segment on, the fewest segments in a row with ``min_run``
-words), lines, paragraphs (unbroken short lines together; a long line by
-itself), and chunks of these (segments with borders farther apart).
-
-A run is compared as it is: its one band is its word sequence. Of the others
-the 5-word shingles give a MinHash signature whose number of bands is tuned
-for recall. Paragraphs with a band in common are found by packed counting,
-then verified by exact Jaccard, and components decide: a component's first
-paragraph stays, the others are removed. A run that stays for another's sake
+words), and spans: short lines, paragraphs (unbroken short lines together; a
+long line by itself), and chunks of these (segments with borders farther
+apart). A stretch that is a line, a paragraph and a chunk is one span of three
+forms.
+
+A run is compared as it is: its one band is its word sequence. Of a span the
+5-word shingles give a MinHash signature whose number of bands is tuned for
+recall; the bands of each of its forms are its own, so that a span does not
+meet those it lies in. Sets too small to be near-equal without being equal have
+one band, the set itself. Paragraphs with a band in common are found by packed counting,
+those that are equal become one class, and the classes' foremost members are
+read again for their bands and sets, verified by exact Jaccard, and put into
+components: a component's first paragraph stays (of two that begin at one
+place the longer), the others are removed. A run that stays for another's sake
 stays whole, whatever else is found in its text, so every removed run is still
-there, unbroken, in one text. A line, paragraph or chunk that stays loses
-nothing but runs.
+there, unbroken, in one text. A span that stays loses nothing but runs.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm import shared
-from ledgerlens.llm.common import (attach, distinct_in_row, mix64, shingle_hashes, text_slices, through_table,
-                                   word_hashes, word_lists)
+from ledgerlens.llm.common import (attach, discard, distinct_of_rows, free_names, mix64, shingle_hashes, stored,
+                                   text_slices, word_hashes, word_lists)
 from ledgerlens.llm.components import linked_components
 from ledgerlens.llm.jaccard import verifier
 from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
@@ -45,11 +50,13 @@ FAR = 20                # words to either side that decide a chunk border
 MIN_RUN = 16            # words of the shortest run of segments
 WRAPPED = 24            # shorter lines are joined to paragraphs
 MIN_LINE = WIDTH        # words of the shortest line or paragraph that is compared
-BAND_ROWS = 4
+BAND_ROWS = 3
 RECALL = 0.99
 SLICE = 3 << 20
 BROADCAST_BYTES = 16 << 20
-RUN, LINE, PARAGRAPH, CHUNK = range(4)
+SMALL = PERCENT // (100 - PERCENT) - 1      # largest sets of which near-equal ones are equal
+RUN, SPAN = range(2)
+LINE, PARAGRAPH, CHUNK = 1, 2, 4    # forms of a span, as bits
 
 
 def tuned_bands(similarity: float, rows: int, recall: float) -> int:
@@ -93,38 +100,47 @@ class Units:
         ends = np.r_[segment[1:], n] if n else segment
         last = np.minimum(np.searchsorted(ends, segment + min_run), max(len(ends) - 1, 0))
         whole = (ends[last] - segment >= min_run) & (ends[last] <= base[rows[segment] + 1]) if n else np.zeros(0, bool)
-        spans = [(RUN, rows[segment[whole]], segment[whole], ends[last][whole])]
+        spans = [(0, rows[segment[whole]], segment[whole], ends[last][whole])]
         lines = pc.split_pattern(text, "\n")
         line_rows = pc.list_parent_indices(lines).to_numpy(zero_copy_only=False)
         per_line, _ = word_lists(pc.list_flatten(lines))
         count = np.bincount(per_line, minlength=len(line_rows))
         line_end = np.cumsum(count)
-        spans.append((LINE, line_rows, line_end - count, line_end))
+        long = (count >= MIN_LINE) & (count < WRAPPED)
+        spans.append((LINE, line_rows[long], (line_end - count)[long], line_end[long]))
         # paragraphs: unbroken short lines, up to a blank or a long one; a long line is one by itself
         full, short = count > 0, (count > 0) & (count < WRAPPED)
         joined = np.r_[False, short[1:] & short[:-1] & (line_rows[1:] == line_rows[:-1])]
         top = np.flatnonzero(full & ~joined)
         bottom = np.flatnonzero(full & ~np.r_[joined[1:], False])
-        spans.append((PARAGRAPH, line_rows[top], (line_end - count)[top], line_end[bottom]))
+        long = line_end[bottom] - (line_end - count)[top] >= MIN_LINE
+        spans.append((PARAGRAPH, line_rows[top][long], (line_end - count)[top][long], line_end[bottom][long]))
         border = _borders(rows, hashes, FAR)
         border[(line_end - count)[top]] = True
         chunk = np.flatnonzero(border)
-        spans.append((CHUNK, rows[chunk], chunk, np.r_[chunk[1:], n] if n else chunk))
-        self.kind = np.repeat([k for k, *_ in spans], [len(r) for _, r, *_ in spans])
+        stop = np.r_[chunk[1:], n] if n else chunk
+        long = stop - chunk >= min_run
+        spans.append((CHUNK, rows[chunk[long]], chunk[long], stop[long]))
+        self.forms = np.repeat(np.array([f for f, *_ in spans], np.uint8), [len(r) for _, r, *_ in spans])
         self.row, first, stop = (np.concatenate([x[k] for x in spans]).astype(np.int64) for k in (1, 2, 3))
-        keep = stop - first >= np.where((self.kind == RUN) | (self.kind == CHUNK), min_run, MIN_LINE)
-        self.kind, self.row, first, stop = self.kind[keep], self.row[keep], first[keep], stop[keep]
+        # in the order of row, kind, first word, longest first; a stretch of several forms once
+        order = np.lexsort((-stop, first, self.forms > 0, self.row))
+        self.forms, self.row, first, stop = self.forms[order], self.row[order], first[order], stop[order]
+        new = np.ones(len(first), bool)
+        new[1:] = ((self.forms[1:] > 0) != (self.forms[:-1] > 0)) | (first[1:] != first[:-1]) | (stop[1:] != stop[:-1])
+        new[1:] |= self.row[1:] != self.row[:-1]
+        once = np.flatnonzero(new)
+        self.forms = np.bitwise_or.reduceat(self.forms, once) if len(once) else self.forms
+        self.row, first, stop = self.row[once], first[once], stop[once]
+        self.kind = np.where(self.forms > 0, SPAN, RUN)
         self.length = stop - first
         self.start = first - base[self.row]
-        order = np.lexsort((self.start, self.kind, self.row))
-        self.row, self.kind, self.start, self.length = (x[order] for x in (self.row, self.kind, self.start, self.length))
-        first = first[order]
         self._first, self._hashes = first, hashes
         # words of every unit but runs, one unit after the other
         length = np.where(self.kind == RUN, 0, self.length)
         unit = np.repeat(np.arange(len(first)), length)
         at = np.arange(len(unit)) - np.repeat(np.cumsum(length) - length, length) + first[unit]
-        self.unit, self.shingle = distinct_in_row(*shingle_hashes(unit, hashes[at], WIDTH))
+        self.unit, self.shingle = distinct_of_rows(*shingle_hashes(unit, hashes[at], WIDTH))
         self.size = np.bincount(self.unit, minlength=len(first))
         self.begin = np.cumsum(self.size) - self.size
         self.size = np.where(self.kind == RUN, self.length, self.size)
@@ -145,7 +161,7 @@ class Units:
         return total
 
     def bands(self, of: np.ndarray) -> np.ndarray:
-        """Band hashes of the units ``of`` (no runs), one row each; kinds have no band in common."""
+        """Band hashes of the spans ``of``, one row each."""
         out = np.zeros((len(of), BANDS), np.uint64)
         if not len(of):
             return out
@@ -153,22 +169,33 @@ class Units:
         at = np.repeat(self.begin[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         sets, begin = self.shingle[at], np.cumsum(size) - size
         for band in range(BANDS):
-            value = (band + 1 + BANDS * self.kind[of]).astype(np.uint64)
+            value = np.full(len(of), band + 1, np.uint64)
             for k in range(BAND_ROWS):
                 salt = np.uint64((0x9E3779B97F4A7C15 * (band * BAND_ROWS + k + 1)) & 0xFFFFFFFFFFFFFFFF)
                 value = mix64(value ^ np.minimum.reduceat(mix64(sets ^ salt), begin))
             out[:, band] = value
         return out
 
+    @property
+    def banded(self) -> np.ndarray:
+        """How many sets of bands each unit has: one for every form, none for runs and small sets."""
+        forms = np.unpackbits(self.forms[:, None], axis=1).sum(axis=1)
+        return np.where(self.size > SMALL, forms, 0).astype(np.uint8)
+
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """(unit, band hash) of all units in order."""
-        run = self.kind == RUN
-        each = np.where(run, 1, BANDS)
-        unit = np.repeat(np.arange(len(each)), each)
-        hashes = np.empty(len(unit), np.uint64)
-        hashes[run[unit]] = self.digest(1)[run]
-        hashes[~run[unit]] = self.bands(np.flatnonzero(~run)).ravel()
-        return unit, hashes
+        sets = self.banded
+        each = np.where(sets > 0, sets.astype(np.int64) * BANDS, 1)
+        begin = np.cumsum(each) - each
+        hashes = np.empty(int(each.sum()), np.uint64)
+        one, many = np.flatnonzero(sets == 0), np.flatnonzero(sets)
+        hashes[begin[one]] = mix64(self.digest(1) ^ self.kind.astype(np.uint64))[one]
+        bands, place = self.bands(many), begin[many].copy()
+        for form in (LINE, PARAGRAPH, CHUNK):
+            own = self.forms[many] & form > 0
+            hashes[place[own][:, None] + np.arange(BANDS)] = mix64(bands[own] ^ np.uint64(form))
+            place[own] += BANDS
+        return np.repeat(np.arange(len(each)), each), hashes
 
 
 _HEAD = np.dtype([("row_key", "<i8"), ("units", "<i4")])
@@ -188,7 +215,7 @@ def _send(parts: int, min_run: int):
             head["row_key"] = part.column("row_key").to_numpy(zero_copy_only=False)
             head["units"] = np.bincount(units.row, minlength=part.num_rows)
             blob = (np.asarray([part.num_rows, len(hashes)], "<i8").tobytes() + head.tobytes()
-                    + units.kind.astype("u1").tobytes() + np.packbits(times[same] > 1).tobytes()
+                    + units.banded.tobytes() + np.packbits(times[same] > 1).tobytes()
                     + home.astype("<u2" if parts < 1 << 16 else "<u4").tobytes())
             yield from shared.scatter(shared.slice_key(part), 1, np.zeros(int(sent.sum()), np.int64), hashes[sent], parts,
                                       False, blob)
@@ -216,9 +243,10 @@ def _per_doc(parts: int):
         m, entries = np.frombuffer(blob, "<i8", 2).tolist()
         head = np.frombuffer(blob, _HEAD, m, 16)
         at, n = 16 + m * _HEAD.itemsize, int(head["units"].sum())
-        kind = np.frombuffer(blob, "u1", n, at)
-        again = np.frombuffer(blob, np.uint8, -(-entries // 8), at + n)
-        part = np.frombuffer(blob, "<u2" if parts < 1 << 16 else "<u4", entries, at + n + len(again))
+        banded = np.frombuffer(blob, np.uint8, n, at).astype(np.int64)
+        at += n
+        again = np.frombuffer(blob, np.uint8, -(-entries // 8), at)
+        part = np.frombuffer(blob, "<u2" if parts < 1 << 16 else "<u4", entries, at + len(again))
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(int(part.max(initial=0)) + 2))
         entry = np.unpackbits(again, count=entries).astype(bool)
@@ -226,7 +254,7 @@ def _per_doc(parts: int):
             if p >= 0:
                 own = order[ends[p]:ends[p + 1]]
                 entry[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-        each = np.where(kind == RUN, 1, BANDS)
+        each = np.where(banded > 0, banded * BANDS, 1)
         unit = np.logical_or.reduceat(entry, np.cumsum(each) - each) if n else entry
         keys, out = [], []
         stop = np.cumsum(head["units"])
@@ -238,34 +266,67 @@ def _per_doc(parts: int):
     return run
 
 
-_CANDS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int8()), ("start", pa.int32()),
-                    ("length", pa.int32()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()),
-                    ("bands", pa.list_(pa.int64())), ("hashes", pa.binary())])
-_CANDS_DDL = ("row_key long, doc_id long, kind byte, start int, length int, size int, d1 long, d2 long, "
-              "bands array<long>, hashes binary")
+_CANDS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.int32()), ("kind", pa.int8()),
+                    ("forms", pa.int8()), ("start", pa.int32()), ("length", pa.int32()), ("size", pa.int32()),
+                    ("d1", pa.int64()), ("d2", pa.int64())])
+_CANDS_DDL = "row_key long, doc_id long, unit int, kind byte, forms byte, start int, length int, size int, d1 long, d2 long"
 
 
 def _candidates(min_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The flagged units of documents: digests, and for all but runs bands and shingles."""
+        """The flagged units of documents (numbered inside their row) with digests of their sets or word sequences."""
         for part in text_slices(batches, SLICE):
             units = Units(part.column("text"), min_run)
             count = np.bincount(units.row, minlength=part.num_rows)
             bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(c)).astype(bool)
                     for b, c in zip(part.column("bits").to_pylist(), count)]
             pick = np.flatnonzero(np.concatenate(bits)) if bits else np.zeros(0, int)
-            lines = pick[units.kind[pick] != RUN]
-            bands = dict(zip(lines.tolist(), units.bands(lines).view(np.int64)))
+            number = pick - (np.cumsum(count) - count)[units.row[pick]]
             keys = part.column("row_key").to_numpy(zero_copy_only=False)[units.row[pick]]
             docs = part.column("doc_id").take(pa.array(units.row[pick]))
-            sets = [units.shingle[units.begin[u]:units.begin[u] + units.size[u]].tobytes() if u in bands else None
-                    for u in pick.tolist()]
             d1, d2 = units.digest(1).astype(np.int64)[pick], units.digest(2).astype(np.int64)[pick]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), docs, pa.array(units.kind[pick], pa.int8()), pa.array(units.start[pick], pa.int32()),
-                 pa.array(units.length[pick], pa.int32()), pa.array(units.size[pick], pa.int32()), pa.array(d1),
-                 pa.array(d2), pa.array([bands.get(u) for u in pick.tolist()], pa.list_(pa.int64())),
-                 pa.array(sets, pa.binary())], schema=_CANDS)
+                [pa.array(keys), docs, pa.array(number, pa.int32()), pa.array(units.kind[pick], pa.int8()),
+                 pa.array(units.forms[pick].astype(np.int8)), pa.array(units.start[pick], pa.int32()), pa.array(units.length[pick], pa.int32()),
+                 pa.array(units.size[pick], pa.int32()), pa.array(d1), pa.array(d2)], schema=_CANDS)
+    return run
+
+
+_MEMBERS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("rank", pa.float64()), ("forms", pa.int64()),
+                      ("hashes", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_MEMBERS_DDL = "node long, size long, rank double, forms long, hashes binary, bands array<long>"
+_PICK = np.dtype([("unit", "<i4"), ("node", "<i8"), ("copies", "<i8"), ("forms", "<i8")])
+
+
+def _pack_picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs = []
+        for picks in batch.column("picks").to_pylist():
+            own = np.zeros(len(picks), _PICK)
+            for name in _PICK.names:
+                own[name] = [x[name] for x in picks]
+            blobs.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(blobs, pa.binary())], names=["row_key", "bits"])
+
+
+def _members(min_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets and bands of the picked spans."""
+        for part in text_slices(batches, SLICE):
+            units = Units(part.column("text"), min_run)
+            begin = np.searchsorted(units.row, np.arange(part.num_rows))
+            picks = [np.frombuffer(b, _PICK) for b in part.column("bits").to_pylist()]
+            of = np.concatenate([x["unit"] + b for x, b in zip(picks, begin.tolist())]) if picks else np.zeros(0, int)
+            if not len(of):
+                continue
+            sets = [units.shingle[units.begin[u]:units.begin[u] + units.size[u]].tobytes() for u in of.tolist()]
+            bands = units.bands(of).view(np.int64)
+            ends = np.arange(0, bands.size + 1, BANDS, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([x["node"] for x in picks])), pa.array(units.size[of].astype(np.int64)),
+                 pa.array(np.concatenate([x["copies"] for x in picks]).astype(np.float64)),
+                 pa.array(np.concatenate([x["forms"] for x in picks])), pa.array(sets, pa.binary()),
+                 pa.ListArray.from_arrays(ends, bands.ravel())], schema=_MEMBERS)
     return run
 
 
@@ -280,43 +341,57 @@ def _sent_to(scan: DataFrame, few: DataFrame, key: str, blob: str, how: str) ->
     return scan.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, key, how)
 
 
-def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFrame, list[str]]:
     """(row_key, kind, start, length, stays) of the paragraphs that have equal
     or near-equal ones, in words of the row: of a component the first by doc_id
-    (null last), row and place stays, the others go. ``scan``: (row_key,
-    doc_id, text)."""
-    parts = shuffle_partitions(scan.sparkSession)
+    (null last), row, place and length stays, the others go. ``scan``:
+    (row_key, doc_id, text). Second: tables to discard once the result has been
+    used."""
+    spark = scan.sparkSession
+    parts = shuffle_partitions(spark)
     sent = scan.select("row_key", "text").mapInArrow(_send(parts, min_run), shared.MESSAGE_DDL)
     flagged = reliable_checkpoint(
         sent.groupBy("part").applyInArrow(_flags, shared.MESSAGE_DDL)
         .groupBy("slice").applyInArrow(_per_doc(parts), "row_key long, bits binary"))
-    cands = through_table(_sent_to(scan, flagged, "row_key", "bits", "inner").mapInArrow(_candidates(min_run), _CANDS_DDL)
-                          .withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
+    cands, path = stored(_sent_to(scan, flagged, "row_key", "bits", "inner").mapInArrow(_candidates(min_run), _CANDS_DDL)
+                         .withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
     total = max(cands.count(), 1)
 
     same = ["kind", "size", "d1", "d2"]
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "start", "uid")
-    classes = reliable_checkpoint(cands.groupBy(*same).agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
-
-    # all but runs: classes meet in bands, unless they stand alone in each
-    own = cands.where(F.col("kind") != RUN).select("uid", "size", "hashes", "bands").join(
-        classes.where(F.col("kind") != RUN).select(F.col("first.uid").alias("uid"), "n"), "uid")
-    own = reliable_checkpoint(own.withColumnRenamed("uid", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "start", (-F.col("length")).alias("back"),
+                     "uid", "unit")
+    extent = [F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"), F.min("end").alias("end")]
+    classes = reliable_checkpoint(cands.select(
+        "*", F.col("row_key").alias("low"), F.col("row_key").alias("high"), F.col("start").alias("last"),
+        (F.col("start") + F.col("length")).alias("end")).groupBy(*same).agg(
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.bit_or("forms").cast("long").alias("forms"), *extent))
+
+    # spans that may have near-equal ones: the foremost member of each class is read again
+    near = classes.where((F.col("kind") == SPAN) & (F.col("size") > SMALL))
+    picks = near.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(     # a row's units: bounded by its text
+        F.col("first.unit").alias("unit"), F.col("first.uid").alias("node"), F.col("n").alias("copies"), "forms")).alias("picks"))
+    picks = reliable_checkpoint(picks.mapInArrow(_pack_picks, "row_key long, bits binary"))
+    own = reliable_checkpoint(_sent_to(scan, picks, "row_key", "bits", "inner").mapInArrow(_members(min_run), _MEMBERS_DDL))
     # the paragraph with the most copies is compared first: its variants are most alike to it
-    rows = reliable_checkpoint(own.select(F.explode("bands").alias("bucket"), "node", F.col("size").cast("long"),
-                                          F.lit(0).alias("pos"), F.col("n").cast("double").alias("rank")))
-    labels = reliable_checkpoint(linked_components(rows, own, PERCENT, _length_fits, verifier(own, PERCENT), 1, False))
-    # linked classes keep the first paragraph of their component, other classes their own first
-    linked = labels.join(classes.where(F.col("kind") != RUN).select(F.col("first.uid").alias("node"), "first"), "node")
-    firsts = linked.groupBy("comp").agg(F.min("first").alias("of"))
-    moved = labels.join(firsts, "comp").select(F.col("node").alias("_node"), F.col("of.uid").alias("_to"))
-    named = reliable_checkpoint(
-        classes.join(moved, F.col("first.uid") == F.col("_node"), "left")
-        .withColumn("stays", F.coalesce("_to", "first.uid")).where((F.col("n") > 1) | F.col("_to").isNotNull())
-        .select(*same, "n", "stays"))
+    formed = own.withColumn("form", F.explode(F.array(*[F.lit(f) for f in (LINE, PARAGRAPH, CHUNK)]))).where(
+        F.col("forms").bitwiseAND(F.col("form")) > 0)
+    banded = formed.select(F.explode("bands").alias("band"), "form", "node", "size", "rank").select(
+        F.xxhash64("band", "form").alias("bucket"), "node", "size", F.lit(0).alias("pos"), "rank")
+    met = reliable_checkpoint(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_w")).where("_w > 1"))
+    rows = reliable_checkpoint(attach(banded, met, ["bucket"], "_w", max(3 * BANDS * own.count(), 1)).drop("_w"))
+    sets = own.select("node", "size", "hashes")
+    labels = reliable_checkpoint(linked_components(rows, sets, PERCENT, _length_fits, verifier(sets, PERCENT), 1, False))
+    # a component keeps its first paragraph; one whose members all lie over each other in one row is no repeat
+    tagged = reliable_checkpoint(classes.join(labels, F.col("first.uid") == F.col("node"), "left").withColumn(
+        "comp", F.coalesce("comp", "first.uid")).drop("node"))
+    comps = reliable_checkpoint(tagged.groupBy("comp").agg(
+        F.min("first").alias("of"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("_k"), *extent)
+        .where((F.col("members") > 1) & ((F.col("low") < F.col("high")) | (F.col("end") <= F.col("last"))))
+        .select("comp", "_k", F.col("of.uid").alias("stays")))
+    named = reliable_checkpoint(attach(tagged.select(*same, "n", "comp"), comps, ["comp"], "_k", max(tagged.count(), 1))
+                                .select(*same, "n", "stays"))
     return attach(cands.select("uid", "row_key", *same, "start", "length"), named, same, "n", total).select(
-        "row_key", "kind", "start", "length", (F.col("uid") == F.col("stays")).alias("stays"))
+        "row_key", "kind", "start", "length", (F.col("uid") == F.col("stays")).alias("stays")), [path]
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -387,31 +462,34 @@ def _remove(text_at: int, names: list[str]):
 
 def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with ``text`` freed of repeated paragraphs, and two further
-    columns: _ll_spans (removed stretches [begin, end) in code points of the
-    old text) and _ll_removed (removed words).
+    columns, the last ones: _ll_spans (removed stretches [begin, end) in code
+    points of the old text) and _ll_removed (removed words); an underscore more
+    where ``docs`` has a column of that name.
 
     Of every component of equal or near-equal paragraphs (Jaccard of 5-word
     shingles of 0.8 or more, A-Z lower-cased) the first by doc_id (null last),
-    row and place stays. Lines and paragraphs
-    count from MIN_LINE words on, chunks from ``min_run``; other passages when
-    unbroken segments of ``min_run`` words occur together elsewhere. Rows are
-    kept, even if nothing is left of the text. Null, empty and blank texts
-    stay as they are; repeated rows lose all paragraphs but one row's; other
-    columns are carried along; an empty table gives an empty result.
+    row and place (then the longest) stays. Lines and paragraphs count from
+    MIN_LINE words on, chunks from ``min_run``; other passages when unbroken
+    segments of ``min_run`` words occur together elsewhere. Rows are kept, even
+    if nothing is left of the text. Null, empty and blank texts stay as they
+    are; repeated rows lose all paragraphs but one row's; very long texts are
+    cut to units whole, one text at a time if need be; other columns are
+    carried along; an empty table gives an empty result.
     """
     at = docs.columns.index("text")
     scan = docs.select(F.monotonically_increasing_id().alias("row_key"),
                        docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    found, paths = repeated_paragraphs(scan, min_run)
     # a row's units are bounded by its text; merged stretches take a few bytes a row
-    found = reliable_checkpoint(
-        repeated_paragraphs(scan, min_run).groupBy("row_key")
-        .agg(F.collect_list(F.struct("kind", "start", "length", "stays")).alias("units"))
+    key, blob, spans, removed = free_names(docs, "_ll_row", "_ll_stretches", "_ll_spans", "_ll_removed")
+    merged = reliable_checkpoint(
+        found.groupBy("row_key").agg(F.collect_list(F.struct("kind", "start", "length", "stays")).alias("units"))
         .mapInArrow(_merge(min_run), "row_key long, bits binary"))
-    found = found.withColumnRenamed("row_key", "_ll_row").withColumnRenamed("bits", "_ll_stretches")
-    joined = _sent_to(docs.withColumn("_ll_row", F.monotonically_increasing_id()), found, "_ll_row", "_ll_stretches",
-                      "left").drop("_ll_row")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_ll_spans", T.ArrayType(T.ArrayType(T.LongType()))),
-                           T.StructField("_ll_removed", T.LongType())])
+    discard(docs.sparkSession, *paths)
+    merged = merged.withColumnRenamed("row_key", key).withColumnRenamed("bits", blob)
+    joined = _sent_to(docs.withColumn(key, F.monotonically_increasing_id()), merged, key, blob, "left").drop(key)
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(T.ArrayType(T.LongType()))),
+                           T.StructField(removed, T.LongType())])
     return joined.mapInArrow(_remove(at, schema.names), schema)
 
 
@@ -419,6 +497,6 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``remove_repeats`` with the columns of ``docs`` alone; ``n_chars``, if there, follows the new text."""
     out = remove_repeats(docs, min_run)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_ll_removed") > 0, F.length("text").cast(
+        out = out.withColumn("n_chars", F.when(F.col(out.columns[-1]) > 0, F.length("text").cast(
             docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
