@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again as the next one's ``docs``. Every stage but the last
 returns the columns of ``documents``. Other columns than doc_id and text are
 carried along; null texts count as empty, null doc_ids are rows like others,
-empty tables stay empty.
+repeated rows are rows of their own until a dedup stage takes them for copies,
+very long texts are worked on whole, empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import exact, jaccard, packing, repetition, substring
-from ledgerlens.llm.common import documents, through_table
+from ledgerlens.llm.common import discard, documents, stored
 
 #: The stages use tokenizers, hashing of word windows and packing, which SQL cannot express;
 #: tests/llm holds the result against a brute-force version.
@@ -49,10 +50,11 @@ STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("n-gr
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` table."""
-    docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = through_table(docs, name)
-    return docs
+    """All stages over the ``documents`` table. A stage's table goes when the next one's is written."""
+    docs, path = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        docs, new = stored(stage(spark, docs, sf_dir), name)
+        if path:
+            discard(spark, path)
+        path = new
+    return STAGES[-1][1](spark, docs, sf_dir)
