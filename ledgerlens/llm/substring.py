@@ -15,9 +15,9 @@ A run is compared as it is: its one band is its word sequence. Of a span the
 recall; the bands of each of its forms are its own, so that a span does not
 meet those it lies in. Sets too small to be near-equal without being equal have
 one band, the set itself. Paragraphs with a band in common are found by packed counting,
-those that are equal become one class, and the classes' foremost members are
-read again for their bands and sets, verified by exact Jaccard, and put into
-components: a component's first paragraph stays (of two that begin at one
+those that are equal become one class, and of classes that share a band with another
+one (told by 16 bits of their digests) the foremost members are read again for
+their bands and sets, verified by exact Jaccard, and put into components: a component's first paragraph stays (of two that begin at one
 place the longer), the others are removed. A run that stays for another's sake
 stays whole, whatever else is found in its text, so every removed run is still
 there, unbroken, in one text. A span that stays loses nothing but runs.
@@ -202,35 +202,69 @@ _HEAD = np.dtype([("row_key", "<i8"), ("units", "<i4")])
 
 
 def _send(parts: int, min_run: int):
-    """A hash goes out of a slice once; a slice knows by itself of those it has twice."""
+    """A hash goes out of a slice once for each tag (16 bits of the unit's
+    digest) it has there; a slice knows by itself of those it has twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE):
             units = Units(part.column("text"), min_run)
             unit, hashes = units.entries()
-            _, first, same, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            tags = (units.digest(2) & np.uint64(0xFFFF)).astype("<u2")[unit]
+            order = np.lexsort((tags, hashes))
+            new_hash, new_tag = np.ones(len(order), bool), np.ones(len(order), bool)
+            new_hash[1:] = hashes[order[1:]] != hashes[order[:-1]]
+            new_tag[1:] = new_hash[1:] | (tags[order[1:]] != tags[order[:-1]])
+            begin = np.flatnonzero(new_hash)
+            of = np.cumsum(new_hash) - 1
+            again, mixed = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            if len(order):
+                again[order] = (np.diff(np.r_[begin, len(order)]) > 1)[of]
+                mixed[order] = (np.add.reduceat(new_tag.astype(np.int64), begin) > 1)[of]
             sent = np.zeros(len(hashes), bool)
-            sent[first] = True
+            sent[order[new_tag]] = True
             home = np.where(sent, shared.part_of(hashes, parts), parts)
             head = np.zeros(part.num_rows, _HEAD)
             head["row_key"] = part.column("row_key").to_numpy(zero_copy_only=False)
             head["units"] = np.bincount(units.row, minlength=part.num_rows)
             blob = (np.asarray([part.num_rows, len(hashes)], "<i8").tobytes() + head.tobytes()
-                    + units.banded.tobytes() + np.packbits(times[same] > 1).tobytes()
+                    + units.banded.tobytes() + np.packbits(again).tobytes() + np.packbits(mixed).tobytes()
                     + home.astype("<u2" if parts < 1 << 16 else "<u4").tobytes())
-            yield from shared.scatter(shared.slice_key(part), 1, np.zeros(int(sent.sum()), np.int64), hashes[sent], parts,
-                                      False, blob)
+            by_home = np.argsort(home, kind="stable")
+            ends = np.searchsorted(home[by_home], np.arange(parts + 1))
+            rest = ((hashes // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            key = shared.slice_key(part)
+            out = [(key, -1 - key % parts, b"", blob)]
+            for p in range(parts):
+                own = by_home[ends[p]:ends[p + 1]]
+                if len(own):
+                    out.append((key, p, tags[own].tobytes(), rest[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shared.MESSAGE)],
+                                             schema=shared.MESSAGE)
     return run
 
 
 def _flags(table: pa.Table) -> pa.Table:
-    """Answers: for each hash sent, whether another slice has it, too (bits)."""
+    """Answers: for each hash sent, whether it was sent elsewhere, too, and whether with another tag (bits)."""
     if table["part"][0].as_py() < 0:
         return table
-    sent = [np.frombuffer(b, np.uint32) for b in table["hashes"].to_pylist()]
-    many = shared._count(np.concatenate(sent)) > 1
+    sent = [np.frombuffer(b, "<u4") for b in table["hashes"].to_pylist()]
+    tags = np.concatenate([np.frombuffer(b, "<u2") for b in table["counts"].to_pylist()])
+    hashes = np.concatenate(sent)
+    order = np.lexsort((tags, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    begin, of = np.flatnonzero(new), np.cumsum(new) - 1
+    last = np.r_[begin[1:], len(order)] - 1
+    many, other = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    many[order] = (last > begin)[of]
+    other[order] = (tags[order[begin]] != tags[order[last]])[of]
     ends = np.cumsum([len(h) for h in sent])
-    out = [np.packbits(x).tobytes() for x in np.split(many, ends[:-1])]
-    return pa.table([table["slice"], table["part"], table["counts"], pa.array(out, pa.binary())], schema=shared.MESSAGE)
+    out = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(many, ends[:-1]), np.split(other, ends[:-1]))]
+    return pa.table([table["slice"], table["part"], pa.array([b""] * len(out), pa.binary()), pa.array(out, pa.binary())],
+                    schema=shared.MESSAGE)
+
+
+def _bits(blob: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), at), count=n).astype(bool)
 
 
 _FLAGGED = pa.schema([("row_key", pa.int64()), ("bits", pa.binary())])
@@ -238,38 +272,42 @@ _FLAGGED = pa.schema([("row_key", pa.int64()), ("bits", pa.binary())])
 
 def _per_doc(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        """Documents with a repeated unit, with a bit for each unit."""
+        """Documents with a repeated unit, with two bits for each unit: repeated, and near-equal to another one."""
         blob = shared.header_of(table)
         m, entries = np.frombuffer(blob, "<i8", 2).tolist()
         head = np.frombuffer(blob, _HEAD, m, 16)
         at, n = 16 + m * _HEAD.itemsize, int(head["units"].sum())
         banded = np.frombuffer(blob, np.uint8, n, at).astype(np.int64)
         at += n
-        again = np.frombuffer(blob, np.uint8, -(-entries // 8), at)
-        part = np.frombuffer(blob, "<u2" if parts < 1 << 16 else "<u4", entries, at + len(again))
+        wide = -(-entries // 8)
+        entry, near = _bits(blob, entries, at), _bits(blob, entries, at + wide)
+        part = np.frombuffer(blob, "<u2" if parts < 1 << 16 else "<u4", entries, at + 2 * wide)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(int(part.max(initial=0)) + 2))
-        entry = np.unpackbits(again, count=entries).astype(bool)
-        for p, bits in zip(table["part"].to_pylist(), table["hashes"].to_pylist()):
+        for p, answer in zip(table["part"].to_pylist(), table["hashes"].to_pylist()):
             if p >= 0:
                 own = order[ends[p]:ends[p + 1]]
-                entry[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+                entry[own] |= _bits(answer, len(own))
+                near[own] |= _bits(answer, len(own), -(-len(own) // 8))
         each = np.where(banded > 0, banded * BANDS, 1)
-        unit = np.logical_or.reduceat(entry, np.cumsum(each) - each) if n else entry
+        begin = np.cumsum(each) - each
+        unit = np.logical_or.reduceat(entry, begin) if n else entry
+        # a span whose bands only equal sets have needs no comparison
+        near = (np.logical_or.reduceat(near, begin) if n else near) & (banded > 0)
         keys, out = [], []
         stop = np.cumsum(head["units"])
         for k in np.unique(np.searchsorted(stop, np.flatnonzero(unit), side="right")).tolist():
             a, b = int(stop[k] - head["units"][k]), int(stop[k])
             keys.append(int(head["row_key"][k]))
-            out.append(np.packbits(unit[a:b]).tobytes())
+            out.append(np.packbits(unit[a:b]).tobytes() + np.packbits(near[a:b]).tobytes())
         return pa.table([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], schema=_FLAGGED)
     return run
 
 
 _CANDS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.int32()), ("kind", pa.int8()),
-                    ("forms", pa.int8()), ("start", pa.int32()), ("length", pa.int32()), ("size", pa.int32()),
+                    ("forms", pa.int8()), ("near", pa.bool_()), ("start", pa.int32()), ("length", pa.int32()), ("size", pa.int32()),
                     ("d1", pa.int64()), ("d2", pa.int64())])
-_CANDS_DDL = "row_key long, doc_id long, unit int, kind byte, forms byte, start int, length int, size int, d1 long, d2 long"
+_CANDS_DDL = "row_key long, doc_id long, unit int, kind byte, forms byte, near boolean, start int, length int, size int, d1 long, d2 long"
 
 
 def _candidates(min_run: int):
@@ -278,16 +316,16 @@ def _candidates(min_run: int):
         for part in text_slices(batches, SLICE):
             units = Units(part.column("text"), min_run)
             count = np.bincount(units.row, minlength=part.num_rows)
-            bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(c)).astype(bool)
-                    for b, c in zip(part.column("bits").to_pylist(), count)]
-            pick = np.flatnonzero(np.concatenate(bits)) if bits else np.zeros(0, int)
+            blobs = list(zip(part.column("bits").to_pylist(), count.tolist()))
+            pick = np.flatnonzero(np.concatenate([_bits(b, c) for b, c in blobs])) if blobs else np.zeros(0, int)
+            near = np.concatenate([_bits(b, c, -(-c // 8)) for b, c in blobs])[pick] if blobs else np.zeros(0, bool)
             number = pick - (np.cumsum(count) - count)[units.row[pick]]
             keys = part.column("row_key").to_numpy(zero_copy_only=False)[units.row[pick]]
             docs = part.column("doc_id").take(pa.array(units.row[pick]))
             d1, d2 = units.digest(1).astype(np.int64)[pick], units.digest(2).astype(np.int64)[pick]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), docs, pa.array(number, pa.int32()), pa.array(units.kind[pick], pa.int8()),
-                 pa.array(units.forms[pick].astype(np.int8)), pa.array(units.start[pick], pa.int32()), pa.array(units.length[pick], pa.int32()),
+                 pa.array(units.forms[pick].astype(np.int8)), pa.array(near), pa.array(units.start[pick], pa.int32()), pa.array(units.length[pick], pa.int32()),
                  pa.array(units.size[pick], pa.int32()), pa.array(d1), pa.array(d2)], schema=_CANDS)
     return run
 
@@ -364,10 +402,11 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFr
     classes = reliable_checkpoint(cands.select(
         "*", F.col("row_key").alias("low"), F.col("row_key").alias("high"), F.col("start").alias("last"),
         (F.col("start") + F.col("length")).alias("end")).groupBy(*same).agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.bit_or("forms").cast("long").alias("forms"), *extent))
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.bit_or("forms").cast("long").alias("forms"), F.max("near").alias("near"),
+        *extent))
 
     # spans that may have near-equal ones: the foremost member of each class is read again
-    near = classes.where((F.col("kind") == SPAN) & (F.col("size") > SMALL))
+    near = classes.where(F.col("near"))
     picks = near.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(     # a row's units: bounded by its text
         F.col("first.unit").alias("unit"), F.col("first.uid").alias("node"), F.col("n").alias("copies"), "forms")).alias("picks"))
     picks = reliable_checkpoint(picks.mapInArrow(_pack_picks, "row_key long, bits binary"))
