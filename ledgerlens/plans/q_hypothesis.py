@@ -18,8 +18,8 @@ from ledgerlens.operators.hypothesis import (anova_oneway, anova_rm, anova_twowa
                                              posthoc_welch_holm, posthoc_wilcoxon_holm, subject_condition_means,
                                              welch_t, wilcoxon)
 from ledgerlens.plans.registry import SALES_FACT_SQL, register
-from ledgerlens.plans.sqlgen import (chi2_even_sf_sql, f2_sf_sql, f_even_sf_sql, holm_sql, norm_p2_sql, t_p2_sql,
-                                     valid_sql)
+from ledgerlens.plans.sqlgen import (chi2_even_sf_sql, f2_sf_sql, f_even_sf_sql, holm_sql, norm_isf_sql, norm_p2_sql,
+                                     t_p2_sql, valid_sql)
 from ledgerlens.sources.fixtures import sales_fact
 from ledgerlens.sources.tables import load
 
@@ -331,7 +331,20 @@ def _two_cond(spark, sf_dir):
     return load(spark, sf_dir, "events").where(F.col("event_type").isin("view", "purchase"))
 
 
-_WX_SQL = """WITH cells AS (SELECT user_id AS id, CAST(event_type AS VARCHAR) AS cond, AVG(value) AS y FROM events
+#: How many subsets of 1..i have each sum: the null distribution of W for i untied differences.
+_SUBSETS = """f(i, sum, c) AS (SELECT 0, 0, CAST(1 AS DOUBLE) UNION ALL
+  SELECT i + 1, sum + x * (i + 1), SUM(c) FROM f, (VALUES (0), (1)) t(x) WHERE i < 50 GROUP BY 1, 2)"""
+
+
+def _exact_z(table: str) -> str:
+    """CTE z over ``table`` (w, z, nr, ties, n, ...): exact p and its z for up to 50 differences, none zero or tied."""
+    return f"""ex AS (SELECT *, CASE WHEN nr <= 50 AND nr = n AND ties = 0 THEN
+  least(1.0, 2 * (SELECT SUM(c) FROM f WHERE i = nr AND sum <= w) / power(2.0, nr)) END AS pe FROM {table}),
+z AS (SELECT * REPLACE (CASE WHEN pe IS NULL THEN z ELSE zi END AS z), COALESCE(pe, {norm_p2_sql('z')}) AS p
+      FROM ({norm_isf_sql('ex', 'pe')}))"""
+
+
+_WX_SQL = f"WITH RECURSIVE {_SUBSETS}, " + """cells AS (SELECT user_id AS id, CAST(event_type AS VARCHAR) AS cond, AVG(value) AS y FROM events
   WHERE event_type IN ('view', 'purchase') AND user_id IS NOT NULL AND """ + valid_sql("value") + """ GROUP BY 1, 2),
 complete AS (SELECT id FROM cells GROUP BY id HAVING COUNT(*) = (SELECT COUNT(DISTINCT cond) FROM cells)),
 d AS (SELECT id, MAX(CASE WHEN cond = 'purchase' THEN y END) - MAX(CASE WHEN cond = 'view' THEN y END) AS d
@@ -342,8 +355,9 @@ s AS (SELECT SUM(CASE WHEN pos THEN r ELSE 0 END) AS wp, SUM(CASE WHEN pos THEN
              CAST(COUNT(*) AS DOUBLE) AS nr FROM rk),
 t AS (SELECT COALESCE(SUM(power(CAST(c AS DOUBLE), 3) - c), 0) AS ties FROM (SELECT a, COUNT(*) AS c FROM nz GROUP BY a)),
 ns AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM d),
-z AS (SELECT least(wp, wm) AS w, abs((least(wp, wm) - nr * (nr + 1) / 4.0)
-             / sqrt(nr * (nr + 1) * (2 * nr + 1) / 24.0 - ties / 48.0)) AS z, n FROM s, t, ns)"""
+zn AS (SELECT least(wp, wm) AS w, abs((least(wp, wm) - nr * (nr + 1) / 4.0)
+             / sqrt(nr * (nr + 1) * (2 * nr + 1) / 24.0 - ties / 48.0)) AS z, n, nr, ties FROM s, t, ns),
+""" + _exact_z("zn")
 
 
 @register("wilcoxon", _WX_SQL + """
@@ -358,7 +372,7 @@ def q_wilcoxon(spark, sf_dir):
 
 
 @register("wilcoxon_p", _WX_SQL + f"""
-SELECT round(w, 6) AS w, round(z, 9) AS z, round({norm_p2_sql('z')}, 7) AS p_value, round(z / sqrt(n), 9) AS r_effect FROM z""")
+SELECT round(w, 6) AS w, round(z, 9) AS z, round(p, 7) AS p_value, round(z / sqrt(n), 9) AS r_effect FROM z""")
 def q_wilcoxon_p(spark, sf_dir):
     """Wilcoxon signed-rank with its p-value."""
     w = wilcoxon(_two_cond(spark, sf_dir), "value", "user_id", "event_type")
@@ -403,17 +417,20 @@ def q_friedman(spark, sf_dir):
                     F.round("w_ref", 9).alias("w_ref"), F.round("kendall_w", 9).alias("kendall_w"), "strength")
 
 
-_POSTHOC_WX = _SC_SQL + """,
+_POSTHOC_WX = _SC_SQL.replace("WITH cells", f"WITH RECURSIVE {_SUBSETS}, cells", 1) + """,
 d AS (SELECT a.cond AS group_a, b.cond AS group_b, a.y - b.y AS d FROM sc a JOIN sc b ON a.id = b.id AND a.cond < b.cond),
 nz AS (SELECT *, abs(d) AS a FROM d WHERE d <> 0),
 rk AS (SELECT *, RANK() OVER (PARTITION BY group_a, group_b ORDER BY a)
                  + (COUNT(*) OVER (PARTITION BY group_a, group_b, a) - 1) / 2.0 AS r FROM nz),
-s AS (SELECT group_a, group_b, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, SUM(CASE WHEN d > 0 THEN 0 ELSE r END) AS wm,
+sr AS (SELECT group_a, group_b, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, SUM(CASE WHEN d > 0 THEN 0 ELSE r END) AS wm,
              CAST(COUNT(*) AS DOUBLE) AS nr FROM rk GROUP BY 1, 2),
 t AS (SELECT group_a, group_b, SUM(power(CAST(c AS DOUBLE), 3) - c) AS ties
       FROM (SELECT group_a, group_b, a, COUNT(*) AS c FROM nz GROUP BY 1, 2, 3) GROUP BY 1, 2),
-z AS (SELECT group_a, group_b, least(wp, wm) AS w, abs((least(wp, wm) - nr * (nr + 1) / 4.0)
-             / sqrt(nr * (nr + 1) * (2 * nr + 1) / 24.0 - ties / 48.0)) AS z FROM s JOIN t USING (group_a, group_b))"""
+ns AS (SELECT group_a, group_b, COUNT(*) AS n FROM d GROUP BY 1, 2),
+zn AS (SELECT group_a, group_b, least(wp, wm) AS w, abs((least(wp, wm) - nr * (nr + 1) / 4.0)
+             / sqrt(nr * (nr + 1) * (2 * nr + 1) / 24.0 - ties / 48.0)) AS z, n, nr, ties
+       FROM sr JOIN t USING (group_a, group_b) JOIN ns USING (group_a, group_b)),
+""" + _exact_z("zn")
 
 
 @register("posthoc_wilcoxon_holm", _POSTHOC_WX + """
@@ -424,8 +441,8 @@ def q_posthoc_wilcoxon_holm(spark, sf_dir):
     return p.select("group_a", "group_b", F.round("w", 6).alias("w"), F.round("z", 9).alias("z"))
 
 
-@register("posthoc_wilcoxon_holm_p", _POSTHOC_WX.replace("\ns AS", "\nsr AS").replace("FROM s JOIN t", "FROM sr JOIN t") + f""",
-pr AS (SELECT *, {norm_p2_sql('z')} AS p_raw FROM z),
+@register("posthoc_wilcoxon_holm_p", _POSTHOC_WX + f""",
+pr AS (SELECT *, p AS p_raw FROM z),
 {holm_sql('pr')}
 SELECT group_a, group_b, round(w, 6) AS w, round(z, 9) AS z, round(p_raw, 7) AS p_raw, round(p_adj, 6) AS p_adj_holm FROM h""")
 def q_posthoc_wilcoxon_holm_p(spark, sf_dir):

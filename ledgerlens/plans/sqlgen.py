@@ -74,6 +74,16 @@ def norm_p2_sql(z: str) -> str:
     return f"greatest(1 - 2.0 / sqrt(2 * pi()) * {inside}, 0.0)"
 
 
+def norm_isf_sql(source: str, p: str, steps: int = 14) -> str:
+    """SELECT of ``source`` with zi, the z whose two-sided normal p is column ``p``: Newton steps from 0, which
+    approach from below as the tail is convex."""
+    sql = f"SELECT *, CAST(0 AS DOUBLE) AS zi FROM {source}"
+    for _ in range(steps):
+        step = f"({norm_p2_sql('zi')} - {p}) / (2 * exp(-0.5 * zi * zi) / sqrt(2 * pi()))"
+        sql = f"SELECT * REPLACE (CASE WHEN {p} IS NULL THEN zi ELSE zi + {step} END AS zi) FROM ({sql})"
+    return sql
+
+
 def chi2_sf_sql(x: str, dof: int) -> str:
     """Upper tail of chi-square with 3 or more dof."""
     scale = f"(lgamma({dof / 2.0}) + {dof / 2.0} * ln(2.0))"
