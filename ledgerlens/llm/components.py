@@ -96,10 +96,9 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
 
     Only components are asked for, so pairs known to be connected are not
     compared: in each of the first ``rounds`` every bucket's foremost node (by
-    ``rank``) is compared with the others and then leaves the bucket; nodes
-    that link to the same foremost node are connected, and buckets of such
-    nodes alone are done. What is left is
-    compared in full, in blocks of bucket rows: as distinct fitting pairs
+    ``rank``) is compared with the others and then leaves the bucket; buckets
+    of nodes that are connected by the links found so far, in whatever bucket,
+    are done. What is left is compared in full, in blocks of bucket rows: as distinct fitting pairs
     (``as_pairs``), or in blocks that carry their sets and count intersections
     at once. No link between two components is lost.
     """
@@ -135,12 +134,7 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int, fits: Call
         if closing:
             break
         checked = pairs if checked is None else checked.unionByName(pairs)
-        # a label is a node that all nodes with this label link to: equal labels are connected
-        ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(
-            links.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        pivots = stats.select(F.col("p.node").alias("to")) if turn == 0 else pivots.unionByName(
-            stats.select(F.col("p.node").alias("to")))
-        labels = ends.join(pivots.distinct(), "to", "left_semi").groupBy("node").agg(F.min("to").alias("comp"))
+        labels = components(links)      # of all links so far, also those of other buckets
         rows = attach(rows, stats, ["bucket"], "n", total, most).where("node <> p.node").drop("n", "p", "comp")
         rows = reliable_checkpoint(rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         turn += 1
