@@ -399,11 +399,11 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFr
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "start", (-F.col("length")).alias("back"),
                      "uid", "unit")
     extent = [F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"), F.min("end").alias("end")]
-    classes = reliable_checkpoint(cands.select(
+    classes, classes_path = stored(cands.select(
         "*", F.col("row_key").alias("low"), F.col("row_key").alias("high"), F.col("start").alias("last"),
         (F.col("start") + F.col("length")).alias("end")).groupBy(*same).agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.bit_or("forms").cast("long").alias("forms"), F.max("near").alias("near"),
-        *extent))
+        *extent), "classes")
 
     # spans that may have near-equal ones: the foremost member of each class is read again
     near = classes.where(F.col("near"))
@@ -421,16 +421,18 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFr
     sets = own.select("node", "size", "hashes")
     labels = reliable_checkpoint(linked_components(rows, sets, PERCENT, _length_fits, verifier(sets, PERCENT), 1, False))
     # a component keeps its first paragraph; one whose members all lie over each other in one row is no repeat
-    tagged = reliable_checkpoint(classes.join(labels, F.col("first.uid") == F.col("node"), "left").withColumn(
-        "comp", F.coalesce("comp", "first.uid")).drop("node"))
+    tagged, tagged_path = stored(classes.join(labels, F.col("first.uid") == F.col("node"), "left").withColumn(
+        "comp", F.coalesce("comp", "first.uid")).drop("node", "near", "forms"), "tagged")
+    discard(spark, classes_path)
     comps = reliable_checkpoint(tagged.groupBy("comp").agg(
         F.min("first").alias("of"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("_k"), *extent)
         .where((F.col("members") > 1) & ((F.col("low") < F.col("high")) | (F.col("end") <= F.col("last"))))
         .select("comp", "_k", F.col("of.uid").alias("stays")))
-    named = reliable_checkpoint(attach(tagged.select(*same, "n", "comp"), comps, ["comp"], "_k", max(tagged.count(), 1))
-                                .select(*same, "n", "stays"))
+    named, named_path = stored(attach(tagged.select(*same, "n", "comp"), comps, ["comp"], "_k", max(tagged.count(), 1))
+                               .select(*same, "n", "stays"), "named")
+    discard(spark, tagged_path)
     return attach(cands.select("uid", "row_key", *same, "start", "length"), named, same, "n", total).select(
-        "row_key", "kind", "start", "length", (F.col("uid") == F.col("stays")).alias("stays")), [path]
+        "row_key", "kind", "start", "length", (F.col("uid") == F.col("stays")).alias("stays")), [path, named_path]
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
