@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import shared
-from ledgerlens.llm.common import mix64, text_slices, through_table, word_lists
+from ledgerlens.llm.common import discard, mix64, stored, text_slices, through_table, word_lists
 from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
 
 K = 5                   # counts up to K are discounted
@@ -103,6 +103,18 @@ def _read(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, np.nd
     return docs, rows, distinct, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _halves(x: np.ndarray) -> bytes:
+    """32-bit numbers as all lower, then all upper halves: the upper ones are
+    mostly small and alike, which the shuffle's compression then sees."""
+    x = x.astype("<u4")
+    return (x & np.uint32(0xFFFF)).astype("<u2").tobytes() + (x >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def _whole(blob: bytes, n: int, at: int = 0) -> np.ndarray:
+    low, high = np.frombuffer(blob, "<u2", n, at), np.frombuffer(blob, "<u2", n, at + 2 * n)
+    return low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16)
+
+
 def _parts(words: list[bytes], parts: int) -> np.ndarray:
     import xxhash
 
@@ -179,7 +191,7 @@ def _send_stream(parts: int):
             head = np.asarray([len(docs), len(home)], "<i8").tobytes() + docs.tobytes() + home.astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shared.slice_key(part)]), pa.array([-1]), pa.array([head], pa.binary()),
-                 pa.array([at.astype("<u4").tobytes()], pa.binary())], schema=shared.MESSAGE)
+                 pa.array([_halves(at)], pa.binary())], schema=shared.MESSAGE)
     return run
 
 
@@ -201,7 +213,8 @@ def _pairs(model, parts: int):
         m, n = np.frombuffer(head, "<i8", 2).tolist()
         docs = np.frombuffer(head, _DOC, m, 16)
         home = np.frombuffer(head, "<u4", n, 16 + m * _DOC.itemsize)
-        stream = np.frombuffer(table["hashes"][at].as_py(), "<u4")
+        blob = table["hashes"][at].as_py()
+        stream = _whole(blob, len(blob) // 4)
         ids = np.empty(n, np.uint32)
         order = np.argsort(home, kind="stable")
         ends = np.searchsorted(home[order], np.arange(parts + 1))
@@ -258,12 +271,35 @@ def _pairs(model, parts: int):
                 counted = weight[own[mark[own] >> 1 >= m]]
                 rows.append((key, k, np.asarray([len(vs), len(own), int(kind[-1]), m], "<i8").tobytes()
                              + counted.astype("<u4").tobytes(),
-                             vs.astype("<u4").tobytes() + size.astype("<u4").tobytes() + w[own].astype("<u4").tobytes()
+                             vs.astype("<u4").tobytes() + size.astype("<u4").tobytes() + _halves(w[own])
                              + mark[own].astype(kind).tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), shared.MESSAGE)], schema=shared.MESSAGE)
     return run
 
 
+def _pack_sums(docs: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> bytes:
+    """Documents of a slice (16 bits where they fit) with their sums, and how
+    many of their pairs have each discounted count: a bit for each that is not
+    zero, and those numbers alone (8 bits where they fit)."""
+    some = counts > 0
+    values = counts[some]
+    narrow, small = docs.max(initial=0) < 1 << 16, values.max(initial=0) < 1 << 8
+    head = np.asarray([len(docs), len(values), narrow, small], "<i4").tobytes()
+    return (head + sums.astype("<f8").tobytes() + docs.astype("<u2" if narrow else "<u4").tobytes()
+            + np.packbits(some, axis=1).tobytes() + values.astype("<u1" if small else "<u4").tobytes())
+
+
+def _unpack_sums(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m, narrow, small = np.frombuffer(blob, "<i4", 4).tolist()
+    sums, at = np.frombuffer(blob, "<f8", n, 16), 16 + 8 * n
+    docs = np.frombuffer(blob, "<u2" if narrow else "<u4", n, at)
+    at += n * (2 if narrow else 4)
+    some = np.unpackbits(np.frombuffer(blob, np.uint8, n, at).reshape(n, 1), axis=1, count=K).astype(bool)
+    counts = np.zeros((n, K))
+    counts[some] = np.frombuffer(blob, "<u1" if small else "<u4", m, at + n)
+    return docs, sums, counts
+
+
 def _score(model, starts: int):
     """Counting and scoring of a partition of word pairs; ``starts``: training texts."""
     uni, hot = model
@@ -278,7 +314,7 @@ def _score(model, starts: int):
         for k, (head, blob) in enumerate(zip(table["counts"].to_pylist(), table["hashes"].to_pylist())):
             a, n, width, m = np.frombuffer(head, "<i8", 4).tolist()
             v.append(np.repeat(np.frombuffer(blob, "<u4", a), np.frombuffer(blob, "<u4", a, 4 * a)))
-            w.append(np.frombuffer(blob, "<u4", n, 8 * a))
+            w.append(_whole(blob, n, 8 * a))
             mark.append(np.frombuffer(blob, f"<u{width}", n, 8 * a + 4 * n).astype(np.uint32))
             piece.append(np.full(n, k, np.int64))
             sent = np.flatnonzero(mark[-1] >> 1 >= m)
@@ -321,11 +357,7 @@ def _score(model, starts: int):
         ends = np.searchsorted(places, np.arange(table.num_rows + 1) << 32)
         for k, s in enumerate(table["slice"].to_pylist()):
             a, b = ends[k], ends[k + 1]
-            rows.append((SUMS, s, np.asarray([b - a], "<i8").tobytes() + (places[a:b] & 0xFFFFFFFF).astype("<u4").tobytes()
-                         + sums[a:b].tobytes() + np.minimum(counts[a:b], 65535).astype("<u2").tobytes()
-                         if counts[a:b].max(initial=0) < 65536 else
-                         np.asarray([a - b], "<i8").tobytes() + (places[a:b] & 0xFFFFFFFF).astype("<u4").tobytes()
-                         + sums[a:b].tobytes() + counts[a:b].astype("<u4").tobytes(), None, None, None))
+            rows.append((SUMS, s, _pack_sums(places[a:b] & 0xFFFFFFFF, sums[a:b], counts[a:b]), None, None, None))
         # contexts of unseen pairs by document
         lost = np.flatnonzero(~found)
         if len(lost):
@@ -379,9 +411,8 @@ def _back_off(model, starts: int, d: np.ndarray, frequent: dict[int, tuple[list[
                 for s, a, b in zip(values.tolist(), begin.tolist(), [*begin[1:].tolist(), n]):
                     own = order[a:b]
                     docs, slot = np.unique(doc[own], return_inverse=True)
-                    out.append((SUMS, s, np.asarray([len(docs)], "<i8").tobytes() + docs.astype("<u4").tobytes()
-                                + np.bincount(slot, weights=log[own]).tobytes()
-                                + np.zeros((len(docs), K), "<u2").tobytes()))
+                    out.append((SUMS, s, _pack_sums(docs, np.bincount(slot, weights=log[own]),
+                                                    np.zeros((len(docs), K), np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in
                                                   enumerate((pa.int32(), pa.int64(), pa.binary()))],
                                                  names=["kind", "slice", "blob"])
@@ -405,11 +436,8 @@ def _finish(tokens: int, d: np.ndarray):
         gap[:len(d) - 1] = np.log10(d[1:])
         for kind, blob in zip(kinds, table["blob"].to_pylist()):
             if kind == SUMS:
-                n = int(np.frombuffer(blob, "<i8", 1)[0])
-                width, n = (2, n) if n >= 0 else (4, -n)
-                doc = np.frombuffer(blob, "<u4", n, 8)
-                counts = np.frombuffer(blob, f"<u{width}", n * K, 8 + 12 * n).reshape(n, K)
-                score[doc] += np.frombuffer(blob, "<f8", n, 8 + 4 * n) + counts @ gap
+                doc, sums, counts = _unpack_sums(blob)
+                score[doc] += sums + counts @ gap
         np.add.at(score, spot >> 32, times * score[len(docs) + (spot & 0xFFFFFFFF)])
         score = score[:len(docs)]
         return pa.table([pa.array(docs["doc_id"], mask=docs["null"].astype(bool)), pa.array(docs["held"].astype(bool)),
@@ -434,7 +462,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.monotonically_increasing_id().alias("row_key"),
                        docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
 
-    words = through_table(slim.mapInArrow(_send_words(parts), shared.MESSAGE_DDL), "words")
+    words, words_path = stored(slim.mapInArrow(_send_words(parts), shared.MESSAGE_DDL), "words")
     by_part = words.groupBy("part")
     counts = reliable_checkpoint(by_part.applyInArrow(_count_words, "part long, c long, n long"))
     # distinct counts: fewer than sqrt(2 N) of N tokens
@@ -454,6 +482,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     stream = slim.mapInArrow(_send_stream(parts), shared.MESSAGE_DDL)
     pairs = ranked.unionByName(stream).groupBy("slice").applyInArrow(_pairs(model, parts), shared.MESSAGE_DDL)
     stats = through_table(pairs.groupBy("part").applyInArrow(_score(model, starts), _STATS_DDL), "pairs")
+    discard(spark, words_path)
 
     sums = [F.sum(F.element_at("numbers", r)).alias(f"n{r}") for r in range(1, K + 2)]
     row = stats.where(F.col("kind") == COUNTS).agg(*sums).first()
