@@ -24,7 +24,7 @@ from ledgerlens.operators.filters import period_start
 from ledgerlens.operators.profile import normality_p
 from ledgerlens.operators.gram import pair_sums
 from ledgerlens.operators.ranks import attach_midranks, grouped_quantiles
-from ledgerlens.plans.runtime import bounded_broadcast
+from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint
 
 # Normal 97.5 % quantile for the Fisher interval and the
 # strength cut points on |r|.
@@ -246,25 +246,28 @@ def trend_series(df: DataFrame, time: str, y: str, x: str, y_agg: str = "sum", x
                  freq: str = "M", min_periods: int = 12, drop_neg: bool = False, drop_zero: bool = False,
                  log10: bool = False) -> DataFrame:
     """Y and X aggregated (sum or mean) per period; the frequency used is the
-    first of [freq, Q, M] giving at least ``min_periods`` periods (the
-    distinct-period counts of all three come from one aggregation). Adds
-    index_100 columns (value / first period's value · 100; null when that is 0)."""
+    first of [freq, Q, M] giving at least ``min_periods`` periods. The rows are
+    read once, into checkpointed month sums (bounded by the calendar); period
+    counts and coarser periods come from these. Adds index_100 columns
+    (value / first period's value · 100; null when that is 0)."""
     t = clean_time_of(df, time)
     ok, xc, yc = clean_pair_expr(numeric_of(df, x), numeric_of(df, y), drop_neg, drop_zero, log10)
     base = df.select(t.alias("_t"), yc.alias("y"), xc.alias("x"), ok.alias("_ok")).where(
         F.col("_t").isNotNull() & F.col("_ok"))
     order = [freq] + [f for f in ("Q", "M") if f != freq]
-    counts = base.agg(*[F.count_distinct(period_start(F.col("_t"), FREQ_CODES[c])).alias(c)
-                        for c in order]).first()
+    months = reliable_checkpoint(base.groupBy(period_start(F.col("_t"), "month").alias("_t")).agg(
+        F.sum("y").alias("y"), F.sum("x").alias("x"), F.count(F.lit(1)).alias("_n")))
+    counts = months.agg(*[F.count_distinct(period_start(F.col("_t"), FREQ_CODES[c])).alias(c)
+                          for c in order]).first()
     used = next((c for c in order if counts[c] >= min_periods), None)
     if used is None:
         return base.sparkSession.createDataFrame(
             [], "freq string, period timestamp, y double, x double, y_index double, x_index double")
 
     def agg(kind, c):
-        return F.sum(c) if kind == "sum" else F.avg(c)
+        return F.sum(c) if kind == "sum" else F.sum(c) / F.sum("_n")
 
-    g = base.groupBy(period_start(F.col("_t"), FREQ_CODES[used]).alias("period")).agg(
+    g = months.groupBy(period_start(F.col("_t"), FREQ_CODES[used]).alias("period")).agg(
         agg(y_agg, F.col("y")).alias("y"), agg(x_agg, F.col("x")).alias("x"))
     w = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return g.select(F.lit(used).alias("freq"), "period", "y", "x",
