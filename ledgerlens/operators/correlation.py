@@ -12,6 +12,7 @@ length is bounded by the calendar.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 
@@ -23,12 +24,13 @@ from ledgerlens.functions.dist import t_p2
 from ledgerlens.operators.filters import period_start
 from ledgerlens.operators.profile import normality_p
 from ledgerlens.operators.gram import pair_sums
-from ledgerlens.operators.ranks import attach_midranks, grouped_quantiles
-from ledgerlens.plans.runtime import bounded_broadcast, reliable_checkpoint
+from ledgerlens.operators.ranks import attach_midranks, grouped_quantiles, value_counts
+from ledgerlens.plans.runtime import SMALL_ROWS, bounded_broadcast, reliable_checkpoint, small_side
 
 # Normal 97.5 % quantile for the Fisher interval and the
 # strength cut points on |r|.
 Z975 = 1.959963984540054
+FEW = SMALL_ROWS // 10      # values of a column whose ranks are a small table (an estimate is at most some per cent off)
 STRENGTH_CUTS = [(0.1, "very_weak"), (0.3, "weak"), (0.5, "moderate"), (0.7, "strong"), (0.9, "very_strong")]
 
 
@@ -75,10 +77,41 @@ def _pairs_long(df: DataFrame, y: str, xs: Sequence[str], drop_neg: bool, drop_z
 def _spearman_pairs(long: DataFrame, key: str = "x") -> DataFrame:
     """(key, n, r) with r the Pearson correlation of within-pair midranks.
 
-    Rows are first counted by (key, xv, yv); then both ranks are written beside
-    the counted rows, one range-partitioned pass each: nothing is joined on a
-    value. r comes from weighted sums of the centred ranks, whose mean is
-    (n + 1) / 2."""
+    Keys (pairs of columns) where one side has few values rank that side's
+    value counts and the other side's distinct values (``_few_valued``). The
+    others are first counted by (key, xv, yv); then both ranks are written
+    beside the counted rows, one range-partitioned pass each: nothing is joined
+    on a value. r comes from weighted sums of the centred ranks, whose mean is
+    (n + 1) / 2. The sides' sizes only choose the way, so estimates do."""
+    sizes = long.groupBy(key).agg(F.approx_count_distinct("xv").alias("_x"), F.approx_count_distinct("yv").alias("_y")).collect()
+    few_x = [s[key] for s in sizes if s["_x"] <= min(s["_y"], FEW)]
+    few_y = [s[key] for s in sizes if s["_y"] <= FEW and s[key] not in few_x]
+    rest = [s[key] for s in sizes if s[key] not in few_x + few_y]
+    ways = [(few_x, lambda part: _few_valued(part, key, "xv", "yv")), (few_y, lambda part: _few_valued(part, key, "yv", "xv")),
+            (rest, lambda part: _many_valued(part, key))]
+    found = [way(long.where(F.col(key).isin(keys))) for keys, way in ways if keys]
+    if not found:
+        found = [_many_valued(long, key)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _few_valued(long: DataFrame, key: str, few: str, many: str) -> DataFrame:
+    """(key, n, r) where ``few`` has a small table of values: its centred ranks
+    go to the rows by that table, rows become (key, many) with the sum of these
+    ranks, and only the distinct values of ``many`` are ranked by range."""
+    levels = attach_midranks(value_counts(long, few, [key]), few, "_rf", by=[key], weight="_c", size="n")
+    levels = reliable_checkpoint(levels.select(key, few, "_c", (F.col("_rf") - (F.col("n") + 1) / 2.0).alias("_d")))
+    rows = long.join(small_side(levels.select(key, few, "_d")), [key, few])
+    sums = rows.groupBy(key, many).agg(F.count(F.lit(1)).alias("w"), F.sum("_d").alias("_s"))
+    ranked = attach_midranks(sums, many, "_rm", by=[key], weight="w", size="n")
+    dm = F.col("_rm") - (F.col("n") + 1) / 2.0
+    sums = ranked.groupBy(key).agg(F.sum("w").alias("n"), F.sum(F.col("_s") * dm).alias("_xy"),
+                                   F.sum(F.col("w") * dm * dm).alias("_mm"))
+    own = levels.groupBy(key).agg(F.sum(F.col("_c") * F.col("_d") * F.col("_d")).alias("_ff"))
+    return sums.join(own, key).select(key, "n", F.try_divide("_xy", F.sqrt("_ff") * F.sqrt("_mm")).alias("r"))
+
+
+def _many_valued(long: DataFrame, key: str) -> DataFrame:
     joint = long.groupBy(key, "xv", "yv").agg(F.count(F.lit(1)).alias("w"))
     ranked = attach_midranks(joint, "xv", "rx", by=[key], weight="w", size="n")
     ranked = attach_midranks(ranked, "yv", "ry", by=[key], weight="w")
@@ -170,9 +203,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", min
         return _pairwise_spearman(vals, cols, min_rows)
     weight = None
     if method == "spearman":        # listwise: one set of rows serves all columns, so each is ranked once, in place
-        vals, weight = vals.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")), "_w"
-        for i, c in enumerate(cols):
-            vals = attach_midranks(vals, c, f"_r{i}", weight=weight)
+        vals, weight = _ranked_columns(vals, cols), "_w"
         vals = vals.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)], weight)
     n, r = pair_sums(vals, cols, weight)
     if listwise and (not n.size or n[0, 0] < min_rows):
@@ -182,6 +213,29 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", min
     return spark.createDataFrame(rows, schema)
 
 
+def _ranked_columns(vals: DataFrame, cols: list[str]) -> DataFrame:
+    """Distinct rows of complete ``cols`` with their count ``_w`` and every
+    column's midrank as ``_r0``, ``_r1``, ... A column of few values is ranked in
+    its table of value counts, which is joined to the rows; the others are
+    ranked by a range-partitioned pass each. Estimated sizes choose the way."""
+    sizes = vals.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    few = [i for i in range(len(cols)) if sizes[f"d{i}"] <= FEW]
+    rows = vals.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    if few:
+        long = vals.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(cols[i]).alias("v")) for i in few])).alias("_p"))
+        levels = attach_midranks(value_counts(long.select("_p.*"), "v", ["i"]), "v", "r", by=["i"], weight="_c")
+        levels = reliable_checkpoint(levels.select("i", "v", "r"))
+        for i in few:
+            own = levels.where(F.col("i") == i).select(F.col("v").alias(cols[i]), F.col("r").alias(f"_r{i}"))
+            rows = rows.join(small_side(own), cols[i])
+    many = [i for i in range(len(cols)) if i not in few]
+    if not many:
+        return reliable_checkpoint(rows)
+    for i in many:
+        rows = attach_midranks(rows, cols[i], f"_r{i}", weight="_w")
+    return rows
+
+
 def _pairwise_spearman(vals: DataFrame, cols: list[str], min_rows: int) -> DataFrame:
     """Every pair ranked over its own complete rows: all pairs in one counted table."""
     spark = vals.sparkSession

@@ -158,3 +158,93 @@ def test_lines_move_for_orders_and_parts_only(spark, no_auto_broadcast, tmp_path
     moved = plan[plan.index("hashpartitioning(o_custkey"):]
     scan = moved[moved.index("FileScan parquet"):].split("\n")[0]
     assert "o_orderkey" in scan and "l_orderkey" not in scan
+
+
+@pytest.fixture
+def ranked_rows(monkeypatch):
+    """How many rows each range-partitioned ranking pass is given."""
+    from ledgerlens.operators import correlation, hypothesis, ranks
+
+    seen, plain = [], ranks.attach_midranks
+
+    def look(df, *args, **kwargs):
+        seen.append(df.count())
+        return plain(df, *args, **kwargs)
+    for module in (correlation, hypothesis):
+        monkeypatch.setattr(module, "attach_midranks", look)
+    return seen
+
+
+def pairs_frame(spark, n=600):
+    rows = [(i, float(i * 7919 % n) / 2 if i % 41 else None, float(i * i % 5), float(i * 31 % 4), float(i * 977 % n // 2),
+             -0.0 if i % 2 else 0.0) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, y double, a double, b double, c double, z double")
+
+
+def spearman_of(pdf, x, y):
+    both = pdf[[x, y]].dropna()
+    return both[x].rank().corr(both[y].rank()), len(both)
+
+
+def test_spearman_ranks_few_valued_drivers_by_value(spark, ranked_rows):
+    from ledgerlens.operators.correlation import correlation_table
+
+    df = pairs_frame(spark)
+    pdf = df.toPandas()
+    for y, xs in (("y", ["a", "b"]), ("a", ["y", "b", "c"])):
+        del ranked_rows[:]
+        got = {r.x: r for r in correlation_table(df, y, xs, "spearman").collect()}
+        assert sum(ranked_rows) <= len(xs) * 600 + 20
+        for x in xs:
+            r, n = spearman_of(pdf, x, y)
+            assert got[x].n == n and got[x].r == pytest.approx(r, abs=1e-12)
+
+
+@pytest.mark.parametrize("few", [0, 100, 1000])
+def test_spearman_ways_agree(spark, monkeypatch, few):
+    from ledgerlens.operators import correlation
+
+    monkeypatch.setattr(correlation, "FEW", few)
+    df = pairs_frame(spark)
+    pdf = df.toPandas()
+    got = {r.x: r for r in correlation.correlation_table(df, "y", ["a", "b", "c", "z"], "spearman").collect()}
+    assert got["z"].r is None and got["z"].n == 585
+    for x in "abc":
+        assert got[x].r == pytest.approx(spearman_of(pdf, x, "y")[0], abs=1e-12)
+    cells = {(r.a, r.b): r.r for r in correlation.corr_matrix(df, ["y", "a", "b", "c"], "spearman").collect()}
+    full = pdf[["y", "a", "b", "c"]].dropna()
+    for x in "yabc":
+        for z in "yabc":
+            assert cells[x, z] == pytest.approx(full[x].rank().corr(full[z].rank()), abs=1e-12)
+
+
+def test_spearman_matrix_ranges_only_long_columns(spark, ranked_rows, monkeypatch):
+    from ledgerlens.operators import correlation
+
+    monkeypatch.setattr(correlation, "FEW", 100, raising=False)
+    correlation.corr_matrix(pairs_frame(spark), ["y", "a", "b"], "spearman")
+    assert sorted(ranked_rows)[-1] <= 600 and sum(n > 100 for n in ranked_rows) == 1
+
+
+def test_pairwise_mann_whitney_counts_values_once(spark, ranked_rows, monkeypatch):
+    from ledgerlens.operators import hypothesis
+
+    rows = [(f"g{i % 4}", float(i * 37 % 90) + i % 4) for i in range(400)]
+    given, plain = [], hypothesis.ordered_prefix if hasattr(hypothesis, "ordered_prefix") else None
+
+    def look(df, *args, **kwargs):
+        given.append(df.count())
+        return plain(df, *args, **kwargs)
+    monkeypatch.setattr(hypothesis, "ordered_prefix", look, raising=False)
+    got = hypothesis.posthoc_mw_holm(spark.createDataFrame(rows, "g string, y double"), "y", "g").collect()
+    assert len(got) == 6 and sum(ranked_rows) + sum(given) == len({y for _, y in rows})
+    values = {}
+    for g, y in rows:
+        values.setdefault(g, []).append(y)
+    for r in got:
+        u = sum((a > b) + (a == b) / 2 for a in values[r.group_a] for b in values[r.group_b])
+        pool = values[r.group_a] + values[r.group_b]
+        n1, n2, n = len(values[r.group_a]), len(values[r.group_b]), len(pool)
+        ties = sum(pool.count(v) ** 3 - pool.count(v) for v in set(pool))
+        var = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
+        assert r.u == u and r.z == pytest.approx(max((max(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / var ** 0.5, 0.0))
