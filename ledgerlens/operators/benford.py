@@ -153,4 +153,4 @@ def benford_drilldown(df: DataFrame, col: str, digits: int = 1, min_pp: float =
             first = Window.partitionBy(*level).orderBy(*(order or df.columns), "_h")
             out = out.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= cap).drop("_rn")
         out = out.drop("_h", "_part")
-    return out
+    return out.select(*[c for c in df.columns if c != "digit"], "digit")
