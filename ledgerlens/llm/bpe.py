@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_slices
+from ledgerlens.llm.common import released, released_group, text_slices
 
 LEAF = 4096                 # symbols of a leaf
 LONG_TEXT = 1 << 18         # code points; longer texts are spread over tasks
@@ -341,9 +341,9 @@ def long_text_ids(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     known by its place in the scan, so repeated doc_ids stay apart; the pieces
     of one text meet again in one task, as the text itself did."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    pieces = rows.mapInArrow(_cut_task(path, leaf), _PIECES_DDL)
-    coded = (pieces.repartition("row", "seq").mapInArrow(_code_task(path, leaf), _CODED_DDL))
-    return coded.groupBy("row").applyInArrow(_join_task(path, leaf), "doc_id long, ids binary")
+    pieces = rows.mapInArrow(released(_cut_task(path, leaf)), _PIECES_DDL)
+    coded = (pieces.repartition("row", "seq").mapInArrow(released(_code_task(path, leaf)), _CODED_DDL))
+    return coded.groupBy("row").applyInArrow(released_group(_join_task(path, leaf)), "doc_id long, ids binary")
 
 
 def split_by_length(docs: DataFrame, long_text: int = LONG_TEXT) -> tuple[DataFrame, DataFrame]:
@@ -378,5 +378,5 @@ def encode_digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF,
     """
     path = path or vocabulary()
     short, long_ = split_by_length(docs, long_text)
-    return (short.mapInArrow(_short_task(path, leaf), RESULT_DDL)
-            .unionByName(long_text_ids(long_, path, leaf).mapInArrow(_digest_task(path, leaf), RESULT_DDL)))
+    return (short.mapInArrow(released(_short_task(path, leaf)), RESULT_DDL)
+            .unionByName(long_text_ids(long_, path, leaf).mapInArrow(released(_digest_task(path, leaf)), RESULT_DDL)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 HOT_PARTS = 500
 HOT_LEAST = 1000
 
+#: A group below this leaves too little behind to be worth giving back.
+RELEASE_BYTES = 1 << 20
+
 #: White space of the word contracts, as a Java regex class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -23,6 +28,44 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@lru_cache(maxsize=1)
+def _malloc_trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):    # another C library than glibc
+        return None
+
+
+def release_memory() -> None:
+    """Give freed memory of Arrow and numpy back to the system. Spark keeps a
+    Python worker for the tasks to come; what the allocators hold on to from
+    the largest task so far would stay beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = _malloc_trim()
+    if trim is not None:
+        trim(0)
+
+
+def released(task: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives its memory back at its end."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+    return run
+
+
+def released_group(task: Callable) -> Callable:
+    """A function for ``applyInArrow`` that gives its memory back after a group of some size."""
+    def run(table: pa.Table) -> pa.Table:
+        out = task(table)
+        if table.nbytes >= RELEASE_BYTES:
+            release_memory()
+        return out
+    return run
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches with a ``text`` column into slices of about ``limit``
     bytes of text (one row at least), so that memory follows the slice."""

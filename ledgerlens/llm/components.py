@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach
+from ledgerlens.llm.common import attach, released, released_group
 from ledgerlens.plans.runtime import reliable_checkpoint
 
 BLOCK = 1024            # rows of a block in the closing comparison
@@ -65,7 +65,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = reliable_checkpoint(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if edges.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        return reliable_checkpoint(edges.coalesce(1).mapInArrow(_finish, "node long, comp long"))
+        return reliable_checkpoint(edges.coalesce(1).mapInArrow(released(_finish), "node long, comp long"))
     n, done, most = _ends(edges)
     while not done:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -171,7 +171,7 @@ def _block_links(met: DataFrame, sets: DataFrame, total: int, percent: int) -> D
     uses = reliable_checkpoint(met.groupBy("node").agg(F.count(F.lit(1)).alias("_uses")))
     met = attach(met, sets.select("node", "hashes").join(uses, "node"), ["node"], "_uses", total)
     keyed = _blocks(met).select("bucket", "i", "j", "own", "node", "comp", "hashes")
-    return keyed.groupBy("bucket", "i", "j").applyInArrow(_link_block(percent), "a long, b long")
+    return keyed.groupBy("bucket", "i", "j").applyInArrow(released_group(_link_block(percent)), "a long, b long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import common, shared
-from ledgerlens.llm.common import attach, distinct_in_row, mix64, shingle_hashes, text_slices, word_hashes, word_lists
+from ledgerlens.llm.common import (attach, distinct_in_row, mix64, released, released_group, shingle_hashes, text_slices,
+                                   word_hashes, word_lists)
 from ledgerlens.llm.components import linked_components
 from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
 
@@ -183,7 +184,7 @@ def verifier(sets: DataFrame, percent: int):
                 continue
             uses = reliable_checkpoint(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_uses")))
             out = attach(out, own.join(uses, end), [end], "_uses", n).drop("_uses")
-        return out.mapInArrow(_verify(percent), "a long, b long")
+        return out.mapInArrow(released(_verify(percent)), "a long, b long")
     return verify
 
 
@@ -205,8 +206,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     parts = shuffle_partitions(spark)
     scan = docs.select(F.monotonically_increasing_id().alias("row_key"),
                        docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    sent = scan.mapInArrow(_send(parts, width, False), shared.MESSAGE_DDL)
-    table = reliable_checkpoint(shared.count_shared(sent).groupBy("slice").applyInArrow(_per_doc, _DOCS_DDL))
+    sent = scan.mapInArrow(released(_send(parts, width, False)), shared.MESSAGE_DDL)
+    table = reliable_checkpoint(shared.count_shared(sent).groupBy("slice").applyInArrow(released_group(_per_doc), _DOCS_DDL))
 
     live = table.where((F.col("n") > 0) & (100 * F.col("n_shared") >= percent * F.col("n")))
     same = ["n", "d1", "d2"]
@@ -219,9 +220,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     nodes = classes.select(F.col("node").alias("row_key"))
     if 8 * n_classes <= BROADCAST_BYTES:        # else the texts are shuffled to the list
         nodes = F.broadcast(nodes)
-    again = scan.join(nodes, "row_key", "left_semi").mapInArrow(_send(parts, width, True), shared.MESSAGE_DDL)
+    again = scan.join(nodes, "row_key", "left_semi").mapInArrow(released(_send(parts, width, True)), shared.MESSAGE_DDL)
     sets = reliable_checkpoint(shared.count_hashes(again, parts).groupBy("slice")
-                               .applyInArrow(_order_sets(percent), _SETS_DDL))
+                               .applyInArrow(released_group(_order_sets(percent)), _SETS_DDL))
     rows = reliable_checkpoint(
         sets.select("node", "size", "rank", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
         .select(F.col("p.prefix").alias("bucket"), "node", "size", F.col("p.places").alias("pos"), "rank"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.bpe import LEAF, id_bytes, long_text_ids, split_by_length, vocabulary
-from ledgerlens.llm.common import text_slices
+from ledgerlens.llm.common import released, text_slices
 from ledgerlens.operators.ranks import ordered_prefix
 from ledgerlens.plans.runtime import reliable_checkpoint
 
@@ -66,8 +66,8 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int =
     end = end_id.to_bytes(4, "little")
     short, long_ = split_by_length(docs)
     short = short.withColumn("row_key", F.monotonically_increasing_id())
-    return (short.mapInArrow(_text_task(path, size, end), PIECES_DDL)
-            .unionByName(long_text_ids(long_, path, LEAF).mapInArrow(_ids_task(size, end), PIECES_DDL)))
+    return (short.mapInArrow(released(_text_task(path, size, end)), PIECES_DDL)
+            .unionByName(long_text_ids(long_, path, LEAF).mapInArrow(released(_ids_task(size, end)), PIECES_DDL)))
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]], int]]:

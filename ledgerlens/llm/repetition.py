@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ledgerlens.llm.common import mix64, text_slices, word_lists
+from ledgerlens.llm.common import mix64, released, text_slices, word_lists
 
 #: Largest accepted share of word characters inside repeated
 #: n-word windows, as published for the MassiveText filters.
@@ -158,7 +158,7 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     an empty one. Whole texts are read, whatever their length. No shuffle.
     """
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return slim.mapInArrow(_task, DDL)
+    return slim.mapInArrow(released(_task), DDL)
 
 
 def _keep_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +169,4 @@ def _keep_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text the rules keep, with all their columns; judged row by row where they are
     read, so null or repeated doc_ids do not matter."""
-    return docs.mapInArrow(_keep_task, docs.schema)
+    return docs.mapInArrow(released(_keep_task), docs.schema)

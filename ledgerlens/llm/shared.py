@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerlens.llm.common import released_group
+
 MESSAGE = pa.schema([("slice", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("hashes", pa.binary())])
 MESSAGE_DDL = "slice long, part long, counts binary, hashes binary"
 
@@ -95,11 +97,11 @@ def _per_hash(parts: int):
 
 
 def count_shared(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("part").applyInArrow(_per_row, MESSAGE_DDL)
+    return messages.groupBy("part").applyInArrow(released_group(_per_row), MESSAGE_DDL)
 
 
 def count_hashes(messages: DataFrame, parts: int) -> DataFrame:
-    return messages.groupBy("part").applyInArrow(_per_hash(parts), MESSAGE_DDL)
+    return messages.groupBy("part").applyInArrow(released_group(_per_hash(parts)), MESSAGE_DDL)
 
 
 def per_row_total(table: pa.Table, n_rows: int) -> np.ndarray:

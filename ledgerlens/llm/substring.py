@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm import shared
-from ledgerlens.llm.common import (attach, discard, distinct_of_rows, free_names, mix64, shingle_hashes, stored,
-                                   text_slices, word_hashes, word_lists)
+from ledgerlens.llm.common import (attach, discard, distinct_of_rows, free_names, mix64, released, released_group,
+                                   shingle_hashes, stored, text_slices, word_hashes, word_lists)
 from ledgerlens.llm.components import linked_components
 from ledgerlens.llm.jaccard import verifier
 from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
@@ -387,11 +387,11 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFr
     used."""
     spark = scan.sparkSession
     parts = shuffle_partitions(spark)
-    sent = scan.select("row_key", "text").mapInArrow(_send(parts, min_run), shared.MESSAGE_DDL)
+    sent = scan.select("row_key", "text").mapInArrow(released(_send(parts, min_run)), shared.MESSAGE_DDL)
     flagged = reliable_checkpoint(
-        sent.groupBy("part").applyInArrow(_flags, shared.MESSAGE_DDL)
-        .groupBy("slice").applyInArrow(_per_doc(parts), "row_key long, bits binary"))
-    cands, path = stored(_sent_to(scan, flagged, "row_key", "bits", "inner").mapInArrow(_candidates(min_run), _CANDS_DDL)
+        sent.groupBy("part").applyInArrow(released_group(_flags), shared.MESSAGE_DDL)
+        .groupBy("slice").applyInArrow(released_group(_per_doc(parts)), "row_key long, bits binary"))
+    cands, path = stored(_sent_to(scan, flagged, "row_key", "bits", "inner").mapInArrow(released(_candidates(min_run)), _CANDS_DDL)
                          .withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
     total = max(cands.count(), 1)
 
@@ -409,8 +409,8 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFr
     near = classes.where(F.col("near"))
     picks = near.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(     # a row's units: bounded by its text
         F.col("first.unit").alias("unit"), F.col("first.uid").alias("node"), F.col("n").alias("copies"), "forms")).alias("picks"))
-    picks = reliable_checkpoint(picks.mapInArrow(_pack_picks, "row_key long, bits binary"))
-    own = reliable_checkpoint(_sent_to(scan, picks, "row_key", "bits", "inner").mapInArrow(_members(min_run), _MEMBERS_DDL))
+    picks = reliable_checkpoint(picks.mapInArrow(released(_pack_picks), "row_key long, bits binary"))
+    own = reliable_checkpoint(_sent_to(scan, picks, "row_key", "bits", "inner").mapInArrow(released(_members(min_run)), _MEMBERS_DDL))
     # the paragraph with the most copies is compared first: its variants are most alike to it
     formed = own.withColumn("form", F.explode(F.array(*[F.lit(f) for f in (LINE, PARAGRAPH, CHUNK)]))).where(
         F.col("forms").bitwiseAND(F.col("form")) > 0)
@@ -525,13 +525,13 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     key, blob, spans, removed = free_names(docs, "_ll_row", "_ll_stretches", "_ll_spans", "_ll_removed")
     merged = reliable_checkpoint(
         found.groupBy("row_key").agg(F.collect_list(F.struct("kind", "start", "length", "stays")).alias("units"))
-        .mapInArrow(_merge(min_run), "row_key long, bits binary"))
+        .mapInArrow(released(_merge(min_run)), "row_key long, bits binary"))
     discard(docs.sparkSession, *paths)
     merged = merged.withColumnRenamed("row_key", key).withColumnRenamed("bits", blob)
     joined = _sent_to(docs.withColumn(key, F.monotonically_increasing_id()), merged, key, blob, "left").drop(key)
     schema = T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(T.ArrayType(T.LongType()))),
                            T.StructField(removed, T.LongType())])
-    return joined.mapInArrow(_remove(at, schema.names), schema)
+    return joined.mapInArrow(released(_remove(at, schema.names)), schema)
 
 
 def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
