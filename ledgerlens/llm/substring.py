@@ -26,7 +26,6 @@ there, unbroken, in one text. A span that stays loses nothing but runs.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm import shared
-from ledgerlens.llm.common import (attach, discard, distinct_of_rows, free_names, mix64, released, released_group,
-                                   shingle_hashes, stored, text_slices, word_hashes, word_lists)
+from ledgerlens.llm.common import (attach, discard, free_names, mix64, released, released_group, shingle_hashes,
+                                   stored, text_slices)
 from ledgerlens.llm.components import linked_components
 from ledgerlens.llm.jaccard import verifier
+from ledgerlens.llm.words import mixed, scanned, text_bytes, word_places
 from ledgerlens.plans.runtime import reliable_checkpoint, shuffle_partitions
 
 WIDTH = 5
@@ -53,6 +53,7 @@ MIN_LINE = WIDTH        # words of the shortest line or paragraph that is compar
 BAND_ROWS = 3
 RECALL = 0.99
 SLICE = 3 << 20
+WORDS = 1 << 21         # words of texts whose units are merged at a time, one text at least
 BROADCAST_BYTES = 16 << 20
 SMALL = PERCENT // (100 - PERCENT) - 1      # largest sets of which near-equal ones are equal
 RUN, SPAN = range(2)
@@ -68,55 +69,95 @@ def tuned_bands(similarity: float, rows: int, recall: float) -> int:
 BANDS = tuned_bands(PERCENT / 100, BAND_ROWS, RECALL)
 
 
-def _borders(rows: np.ndarray, hashes: np.ndarray, reach: int) -> np.ndarray:
-    """Mask of words that begin a segment (or chunk)."""
-    n = len(rows)
-    value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+def _sizes(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hash of every word with the next one of its text; the last one's is the largest."""
+    value = np.full(len(rows), np.iinfo(np.uint64).max, np.uint64)
     pair = rows[1:] == rows[:-1]
-    value[:-1][pair] = mix64(hashes[:-1] * np.uint64(3) ^ hashes[1:])[pair]
-    first = np.r_[True, ~pair] if n else np.zeros(0, bool)
-    low = value < np.iinfo(np.uint64).max
-    for k in range(1, min(reach, n - 1) + 1):
-        same = rows[k:] == rows[:-k]
-        low[k:] &= ~same | (value[k:] < value[:-k])
-        low[:-k] &= ~same | (value[:-k] <= value[k:])
+    value[:-1][pair] = mixed(hashes[:-1] * np.uint64(3) ^ hashes[1:])[pair]
+    return value
+
+
+def _borders(rows: np.ndarray, value: np.ndarray, reach: int) -> np.ndarray:
+    """Mask of words that begin a segment (or chunk): those whose ``value`` is
+    the smallest of ``reach`` ones to either side (of equal ones the first)."""
+    if not len(rows):
+        return np.zeros(0, bool)
+    first = np.r_[True, rows[1:] != rows[:-1]]
+    # texts lie ``reach`` places apart, so that no window sees two of them
+    at = np.arange(len(rows)) + np.cumsum(first) * reach
+    least = np.full(int(at[-1]) + reach + 1, np.iinfo(np.uint64).max, np.uint64)
+    least[at] = value
+    wide = 1
+    while wide < reach:         # the smallest of ever more places from each one on
+        step = min(wide, reach - wide)
+        least[:len(least) - step] = np.minimum(least[:len(least) - step], least[step:])
+        wide += step
+    low = (value < least[at - reach]) & (value <= least[at + 1]) & (value < np.iinfo(np.uint64).max)
     return first | low
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _windows(hashes: np.ndarray) -> np.ndarray:
+    """Hash of the WIDTH words from each one on, as of ``shingle_hashes``, whether or not they are of one text."""
+    roll = np.zeros(len(hashes), np.uint64)
+    for k in range(WIDTH):
+        roll *= np.uint64(_BASE)
+        roll[:len(hashes) - k] += hashes[k:]
+    return mixed(roll)
+
+
+def _again(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (ascending) whose value is at an earlier place of the row, too, and the last such place."""
+    if len(rows) and int(rows[-1]) < 1 << 24:
+        short = np.sort(rows.astype(np.uint64) << np.uint64(40) | values >> np.uint64(24))
+        twice = short[1:][short[1:] == short[:-1]]
+        has = np.zeros(int(rows[-1]) + 1, bool)
+        has[(twice >> np.uint64(40)).astype(np.int64)] = True
+        at = np.flatnonzero(has[rows])
+    else:
+        at = np.arange(len(rows))
+    order = at[np.lexsort((values[at], rows[at]))]
+    same = (rows[order[1:]] == rows[order[:-1]]) & (values[order[1:]] == values[order[:-1]])
+    place, before = order[1:][same], order[:-1][same]
+    order = np.argsort(place)
+    return place[order], before[order]
+
+
 class Units:
     """Paragraphs of the texts of a slice: kind, row, start word, words; and
-    for all but runs their shingle sets as (unit, hash) pairs sorted by unit."""
+    for all but runs their shingle sets, as places [begin, stop) among the
+    shingles of the slice without those that repeat inside them."""
 
     def __init__(self, text: pa.Array, min_run: int):
         m = len(text)
-        text = pc.ascii_lower(pc.fill_null(text, ""))
-        rows, words = word_lists(text)
-        hashes = word_hashes(words)
+        rows, line, hashes = scanned(text)
         self.words_of_row = np.bincount(rows, minlength=m)
         base = np.r_[0, np.cumsum(self.words_of_row)]
         n = len(rows)
-        segment = np.flatnonzero(_borders(rows, hashes, REACH))
+        value = _sizes(rows, hashes)
+        segment = np.flatnonzero(_borders(rows, value, REACH))
         # a run ends with the segment that brings it to so many words, in the same text
         ends = np.r_[segment[1:], n] if n else segment
         last = np.minimum(np.searchsorted(ends, segment + min_run), max(len(ends) - 1, 0))
         whole = (ends[last] - segment >= min_run) & (ends[last] <= base[rows[segment] + 1]) if n else np.zeros(0, bool)
         spans = [(0, rows[segment[whole]], segment[whole], ends[last][whole])]
-        lines = pc.split_pattern(text, "\n")
-        line_rows = pc.list_parent_indices(lines).to_numpy(zero_copy_only=False)
-        per_line, _ = word_lists(pc.list_flatten(lines))
-        count = np.bincount(per_line, minlength=len(line_rows))
-        line_end = np.cumsum(count)
+        # lines with words
+        begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if n else np.zeros(0, np.int64)
+        line_end = np.r_[begin[1:], n] if n else begin
+        line_rows, line, count = rows[begin], line[begin], line_end - begin
         long = (count >= MIN_LINE) & (count < WRAPPED)
-        spans.append((LINE, line_rows[long], (line_end - count)[long], line_end[long]))
+        spans.append((LINE, line_rows[long], begin[long], line_end[long]))
         # paragraphs: unbroken short lines, up to a blank or a long one; a long line is one by itself
-        full, short = count > 0, (count > 0) & (count < WRAPPED)
-        joined = np.r_[False, short[1:] & short[:-1] & (line_rows[1:] == line_rows[:-1])]
-        top = np.flatnonzero(full & ~joined)
-        bottom = np.flatnonzero(full & ~np.r_[joined[1:], False])
-        long = line_end[bottom] - (line_end - count)[top] >= MIN_LINE
-        spans.append((PARAGRAPH, line_rows[top][long], (line_end - count)[top][long], line_end[bottom][long]))
-        border = _borders(rows, hashes, FAR)
-        border[(line_end - count)[top]] = True
+        short = count < WRAPPED
+        joined = np.r_[False, short[1:] & short[:-1] & (line[1:] == line[:-1] + 1) & (line_rows[1:] == line_rows[:-1])][:len(begin)]
+        top = begin[~joined]
+        bottom = line_end[~np.r_[joined[1:], False][:len(begin)]]
+        long = bottom - top >= MIN_LINE
+        spans.append((PARAGRAPH, rows[top][long], top[long], bottom[long]))
+        border = _borders(rows, value, FAR)
+        border[top] = True
         chunk = np.flatnonzero(border)
         stop = np.r_[chunk[1:], n] if n else chunk
         long = stop - chunk >= min_run
@@ -135,29 +176,52 @@ class Units:
         self.kind = np.where(self.forms > 0, SPAN, RUN)
         self.length = stop - first
         self.start = first - base[self.row]
-        self._first, self._hashes = first, hashes
-        # words of every unit but runs, one unit after the other
-        length = np.where(self.kind == RUN, 0, self.length)
-        unit = np.repeat(np.arange(len(first)), length)
-        at = np.arange(len(unit)) - np.repeat(np.cumsum(length) - length, length) + first[unit]
-        self.unit, self.shingle = distinct_of_rows(*shingle_hashes(unit, hashes[at], WIDTH))
-        self.size = np.bincount(self.unit, minlength=len(first))
-        self.begin = np.cumsum(self.size) - self.size
-        self.size = np.where(self.kind == RUN, self.length, self.size)
+        self._first, self._stop, self._hashes = first, stop, hashes
+        # the shingles from each word on; a span of fewer words has one, behind all others
+        self._shingles = _windows(hashes)
+        few = np.flatnonzero((self.kind == SPAN) & (self.length < WIDTH))
+        self._begin, self._end = first.copy(), np.where(self.kind == SPAN, stop - WIDTH + 1, first)
+        if len(few):
+            words = np.concatenate([hashes[a:b] for a, b in zip(first[few].tolist(), stop[few].tolist())])
+            alone = shingle_hashes(np.repeat(np.arange(len(few)), self.length[few]), words, WIDTH)[1]
+            self._begin[few], self._end[few] = n + np.arange(len(few)), n + np.arange(len(few)) + 1
+            self._shingles = np.concatenate([self._shingles, alone])
+        # what repeats inside a span: (span, place)
+        inside = np.arange(n) <= base[rows + 1] - WIDTH
+        places = np.flatnonzero(inside)
+        place, before = _again(rows[places], self._shingles[places])
+        place, before = places[place], places[before]
+        low, high = np.searchsorted(place, self._begin), np.searchsorted(place, self._end)
+        many = high - low
+        of = np.repeat(np.arange(len(first)), many)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
+        real = before[at] >= self._begin[of]
+        self._twice_of, self._twice_at = of[real], place[at[real]]
+        self.size = np.where(self.kind == RUN, self.length,
+                             self._end - self._begin - np.bincount(self._twice_of, minlength=len(first)))
+
+    def set_of(self, unit: int) -> np.ndarray:
+        """Shingles of a span, each once."""
+        a, b = self._begin[unit], self._end[unit]
+        low, high = np.searchsorted(self._twice_of, [unit, unit + 1])
+        return np.delete(self._shingles[a:b], self._twice_at[low:high] - a)
 
     def digest(self, salt: int) -> np.ndarray:
         """Hash of every unit's shingle set, or of a run's words in order."""
-        total = np.zeros(len(self.row), np.uint64)
-        sets = np.flatnonzero(self.kind != RUN)
-        if len(self.unit):
-            total[sets] = np.add.reduceat(mix64(self.shingle ^ np.uint64(salt)), self.begin[sets])
+        value = mixed(self._shingles, salt)
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(value)]
+        total = sums[self._end] - sums[self._begin]
+        if len(self._twice_of):
+            begin = np.flatnonzero(np.r_[True, self._twice_of[1:] != self._twice_of[:-1]])
+            total[self._twice_of[begin]] -= np.add.reduceat(value[self._twice_at], begin)
+        # a run's words are the coefficients of a polynomial: a difference of sums over all words before
         run = np.flatnonzero(self.kind == RUN)
-        if len(run):
-            begin = np.cumsum(self.length[run]) - self.length[run]
-            offset = np.arange(self.length[run].sum()) - np.repeat(begin, self.length[run])
-            words = self._hashes[np.repeat(self._first[run], self.length[run]) + offset]
-            total[run] = np.add.reduceat(mix64(mix64(words ^ np.uint64(salt)) * np.uint64(3) + offset.astype(np.uint64)),
-                                         begin)
+        n = len(self._hashes)
+        power, back = (np.multiply.accumulate(np.r_[np.ones(1, np.uint64), np.full(n, b, np.uint64)])
+                       for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))))
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mixed(self._hashes, salt) * power[:n])]
+        first, stop = self._first[run], self._stop[run]
+        total[run] = mixed((sums[stop] - sums[first]) * back[first] + self.length[run].astype(np.uint64))
         return total
 
     def bands(self, of: np.ndarray) -> np.ndarray:
@@ -165,15 +229,16 @@ class Units:
         out = np.zeros((len(of), BANDS), np.uint64)
         if not len(of):
             return out
-        size = self.size[of]
-        at = np.repeat(self.begin[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        sets, begin = self.shingle[at], np.cumsum(size) - size
+        order = np.argsort(self._begin[of], kind="stable")
+        # every second stretch is a span, the others lie between two
+        cuts = np.stack([self._begin[of[order]], self._end[of[order]]], axis=1).ravel()
+        sets = np.append(self._shingles, np.uint64(0))
         for band in range(BANDS):
             value = np.full(len(of), band + 1, np.uint64)
             for k in range(BAND_ROWS):
-                salt = np.uint64((0x9E3779B97F4A7C15 * (band * BAND_ROWS + k + 1)) & 0xFFFFFFFFFFFFFFFF)
-                value = mix64(value ^ np.minimum.reduceat(mix64(sets ^ salt), begin))
-            out[:, band] = value
+                salt = (_BASE * (band * BAND_ROWS + k + 1)) & 0xFFFFFFFFFFFFFFFF
+                value = mix64(value ^ np.minimum.reduceat(mixed(sets, salt), cuts)[::2])
+            out[order, band] = value
         return out
 
     @property
@@ -209,25 +274,25 @@ def _send(parts: int, min_run: int):
             units = Units(part.column("text"), min_run)
             unit, hashes = units.entries()
             tags = (units.digest(2) & np.uint64(0xFFFF)).astype("<u2")[unit]
-            order = np.lexsort((tags, hashes))
-            new_hash, new_tag = np.ones(len(order), bool), np.ones(len(order), bool)
-            new_hash[1:] = hashes[order[1:]] != hashes[order[:-1]]
-            new_tag[1:] = new_hash[1:] | (tags[order[1:]] != tags[order[:-1]])
-            begin = np.flatnonzero(new_hash)
-            of = np.cumsum(new_hash) - 1
-            again, mixed = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            order = np.argsort(hashes)
+            same = hashes[order[1:]] == hashes[order[:-1]]
+            # hashes that the slice has twice, in the order of tag and place
+            order = order[np.r_[same, False][:len(order)] | np.r_[False, same][:len(order)]]
+            order = order[np.lexsort((order, tags[order], hashes[order]))]
+            again, mingled, sent = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool), np.ones(len(hashes), bool)
             if len(order):
-                again[order] = (np.diff(np.r_[begin, len(order)]) > 1)[of]
-                mixed[order] = (np.add.reduceat(new_tag.astype(np.int64), begin) > 1)[of]
-            sent = np.zeros(len(hashes), bool)
-            sent[order[new_tag]] = True
-            home = np.where(sent, shared.part_of(hashes, parts), parts)
+                new_hash = np.r_[True, hashes[order[1:]] != hashes[order[:-1]]]
+                new_tag = new_hash | np.r_[True, tags[order[1:]] != tags[order[:-1]]]
+                again[order] = True
+                mingled[order] = (np.add.reduceat(new_tag.astype(np.int64), np.flatnonzero(new_hash)) > 1)[np.cumsum(new_hash) - 1]
+                sent[order[~new_tag]] = False
+            home = np.where(sent, shared.part_of(hashes, parts), parts).astype("<u2" if parts < 1 << 16 else "<u4")
             head = np.zeros(part.num_rows, _HEAD)
             head["row_key"] = part.column("row_key").to_numpy(zero_copy_only=False)
             head["units"] = np.bincount(units.row, minlength=part.num_rows)
             blob = (np.asarray([part.num_rows, len(hashes)], "<i8").tobytes() + head.tobytes()
-                    + units.banded.tobytes() + np.packbits(again).tobytes() + np.packbits(mixed).tobytes()
-                    + home.astype("<u2" if parts < 1 << 16 else "<u4").tobytes())
+                    + units.banded.tobytes() + np.packbits(again).tobytes() + np.packbits(mingled).tobytes()
+                    + home.tobytes())
             by_home = np.argsort(home, kind="stable")
             ends = np.searchsorted(home[by_home], np.arange(parts + 1))
             rest = ((hashes // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -249,7 +314,7 @@ def _flags(table: pa.Table) -> pa.Table:
     sent = [np.frombuffer(b, "<u4") for b in table["hashes"].to_pylist()]
     tags = np.concatenate([np.frombuffer(b, "<u2") for b in table["counts"].to_pylist()])
     hashes = np.concatenate(sent)
-    order = np.lexsort((tags, hashes))
+    order = np.argsort(hashes.astype(np.uint64) << np.uint64(16) | tags)
     new = np.ones(len(order), bool)
     new[1:] = hashes[order[1:]] != hashes[order[:-1]]
     begin, of = np.flatnonzero(new), np.cumsum(new) - 1
@@ -305,14 +370,14 @@ def _per_doc(parts: int):
 
 
 _CANDS = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.int32()), ("kind", pa.int8()),
-                    ("forms", pa.int8()), ("near", pa.bool_()), ("start", pa.int32()), ("length", pa.int32()), ("size", pa.int32()),
+                    ("forms", pa.int8()), ("near", pa.bool_()), ("start", pa.int32()), ("length", pa.int32()),
                     ("d1", pa.int64()), ("d2", pa.int64())])
-_CANDS_DDL = "row_key long, doc_id long, unit int, kind byte, forms byte, near boolean, start int, length int, size int, d1 long, d2 long"
+_CANDS_DDL = "row_key long, doc_id long, unit int, kind byte, forms byte, near boolean, start int, length int, d1 long, d2 long"
 
 
 def _candidates(min_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The flagged units of documents (numbered inside their row) with digests of their sets or word sequences."""
+        """The flagged units of documents (numbered inside their row) with digests (128 bits) of their kind and sets or word sequences."""
         for part in text_slices(batches, SLICE):
             units = Units(part.column("text"), min_run)
             count = np.bincount(units.row, minlength=part.num_rows)
@@ -322,11 +387,12 @@ def _candidates(min_run: int):
             number = pick - (np.cumsum(count) - count)[units.row[pick]]
             keys = part.column("row_key").to_numpy(zero_copy_only=False)[units.row[pick]]
             docs = part.column("doc_id").take(pa.array(units.row[pick]))
-            d1, d2 = units.digest(1).astype(np.int64)[pick], units.digest(2).astype(np.int64)[pick]
+            d1 = mix64(units.digest(1) ^ units.kind.astype(np.uint64)).view(np.int64)[pick]
+            d2 = units.digest(2).view(np.int64)[pick]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), docs, pa.array(number, pa.int32()), pa.array(units.kind[pick], pa.int8()),
                  pa.array(units.forms[pick].astype(np.int8)), pa.array(near), pa.array(units.start[pick], pa.int32()), pa.array(units.length[pick], pa.int32()),
-                 pa.array(units.size[pick], pa.int32()), pa.array(d1), pa.array(d2)], schema=_CANDS)
+                 pa.array(d1), pa.array(d2)], schema=_CANDS)
     return run
 
 
@@ -357,7 +423,7 @@ def _members(min_run: int):
             of = np.concatenate([x["unit"] + b for x, b in zip(picks, begin.tolist())]) if picks else np.zeros(0, int)
             if not len(of):
                 continue
-            sets = [units.shingle[units.begin[u]:units.begin[u] + units.size[u]].tobytes() for u in of.tolist()]
+            sets = [units.set_of(u).tobytes() for u in of.tolist()]
             bands = units.bands(of).view(np.int64)
             ends = np.arange(0, bands.size + 1, BANDS, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -395,7 +461,7 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFr
                          .withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
     total = max(cands.count(), 1)
 
-    same = ["kind", "size", "d1", "d2"]
+    same = ["d1", "d2"]
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "start", (-F.col("length")).alias("back"),
                      "uid", "unit")
     extent = [F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"), F.min("end").alias("end")]
@@ -421,83 +487,111 @@ def repeated_paragraphs(scan: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFr
     sets = own.select("node", "size", "hashes")
     labels = reliable_checkpoint(linked_components(rows, sets, PERCENT, _length_fits, verifier(sets, PERCENT), 1, False))
     # a component keeps its first paragraph; one whose members all lie over each other in one row is no repeat
-    tagged, tagged_path = stored(classes.join(labels, F.col("first.uid") == F.col("node"), "left").withColumn(
+    tagged, tagged_path = stored(near.join(labels, F.col("first.uid") == F.col("node"), "left").withColumn(
         "comp", F.coalesce("comp", "first.uid")).drop("node", "near", "forms"), "tagged")
-    discard(spark, classes_path)
+    repeats = (F.col("members") > 1) & ((F.col("low") < F.col("high")) | (F.col("end") <= F.col("last")))
     comps = reliable_checkpoint(tagged.groupBy("comp").agg(
         F.min("first").alias("of"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("_k"), *extent)
-        .where((F.col("members") > 1) & ((F.col("low") < F.col("high")) | (F.col("end") <= F.col("last"))))
-        .select("comp", "_k", F.col("of.uid").alias("stays")))
-    named, named_path = stored(attach(tagged.select(*same, "n", "comp"), comps, ["comp"], "_k", max(tagged.count(), 1))
-                               .select(*same, "n", "stays"), "named")
-    discard(spark, tagged_path)
-    return attach(cands.select("uid", "row_key", *same, "start", "length"), named, same, "n", total).select(
+        .where(repeats).select("comp", "_k", F.col("of.uid").alias("stays")))
+    # a class without near-equal ones is a component by itself
+    alone = classes.where(~F.col("near")).withColumnRenamed("n", "members").where(repeats).select(
+        *same, F.col("members").alias("n"), F.col("first.uid").alias("stays"))
+    named, named_path = stored(alone.unionByName(
+        attach(tagged.select(*same, "n", "comp"), comps, ["comp"], "_k", max(tagged.count(), 1)).select(*same, "n", "stays")), "named")
+    discard(spark, classes_path, tagged_path)
+    return attach(cands.select("uid", "row_key", "kind", "start", "length", *same), named, same, "n", total).select(
         "row_key", "kind", "start", "length", (F.col("uid") == F.col("stays")).alias("stays")), [path, named_path]
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def _stretches(units: list[tuple[int, int, int, bool]], min_run: int) -> list[tuple[int, int]]:
-    """Word stretches [begin, end) to remove, from units (kind, start, length,
-    stays): near-equal ones that go, without what stays; runs that go, without
-    runs that stay. Beside what stays a rest of fewer than ``min_run`` words
-    stays, too."""
-    gone = np.zeros(max(s + n for _, s, n, _ in units) + 2, np.int8)
-    for run, keeps, value in ((False, False, 1), (False, True, -1), (True, False, 1), (True, True, -1)):
-        for kind, s, n, stays in units:
-            if (kind == RUN) == run and stays == keeps:
-                gone[s + 1:s + n + 1] = value
-    begin = np.flatnonzero((gone[1:] == 1) & (gone[:-1] != 1))
-    end = np.flatnonzero((gone[1:] != 1) & (gone[:-1] == 1))
-    return [(a, b) for a, b in zip(begin.tolist(), end.tolist())
-            if b - a >= min_run or (gone[a] >= 0 and gone[b + 1] >= 0)]
+def _stretches(rows: np.ndarray, units: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of word stretches to remove, from packed units of rows
+    (0, 1, ..): near-equal ones that go, without what stays; runs that go,
+    without runs that stay. Beside what stays a rest of fewer than ``min_run``
+    words stays, too."""
+    units = units.astype(np.uint64)
+    start, length = ((units >> np.uint64(k) & np.uint64(0x7FFFFFFF)).astype(np.int64) for k in (33, 2))
+    kind, stays = units >> np.uint64(1) & np.uint64(1), (units & np.uint64(1)).astype(bool)
+    # a place for every word, one after the other, and one before and behind each row's words
+    wide = np.zeros(int(rows.max(initial=-1)) + 1, np.int64)
+    np.maximum.at(wide, rows, start + length + 2)
+    base = np.cumsum(wide) - wide
+    first = base[rows] + 1 + start
+    gone = np.zeros(int(wide.sum()) + 1, np.int8)
+    for of, keeps, value in ((SPAN, False, 1), (SPAN, True, -1), (RUN, False, 1), (RUN, True, -1)):
+        own = np.flatnonzero((kind == of) & (stays == keeps))
+        over = (np.bincount(first[own], minlength=len(gone)) - np.bincount(first[own] + length[own], minlength=len(gone)))
+        gone[np.cumsum(over) > 0] = value
+    begin = np.flatnonzero((gone[1:] == 1) & (gone[:-1] != 1)) + 1
+    end = np.flatnonzero((gone[1:] != 1) & (gone[:-1] == 1)) + 1
+    real = (end - begin >= min_run) | ((gone[begin - 1] >= 0) & (gone[end] >= 0))
+    begin, end = begin[real], end[real]
+    row = np.searchsorted(base, begin, side="right") - 1
+    return row, begin - base[row] - 1, end - base[row] - 1
 
 
 def _merge(min_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = [], []
-            for key, units in zip(batch.column("row_key").to_pylist(), batch.column("units").to_pylist()):
-                found = _stretches([(u["kind"], u["start"], u["length"], u["stays"]) for u in units], min_run)
-                if found:
-                    keys.append(key)
-                    out.append(np.asarray(found, "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())],
-                                             names=["row_key", "bits"])
+            units = batch.column("units")
+            rows = pc.list_parent_indices(units).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = pc.list_flatten(units).to_numpy(zero_copy_only=False)
+            keys = batch.column("row_key").to_numpy(zero_copy_only=False)
+            # some rows at a time, by the words that their units reach
+            reach = np.zeros(batch.num_rows, np.int64)
+            np.maximum.at(reach, rows, ((values.astype(np.uint64) >> np.uint64(33)) + (values.astype(np.uint64) >> np.uint64(2) & np.uint64(0x7FFFFFFF))).astype(np.int64))
+            total, at = np.cumsum(reach), 0
+            while at < len(keys):
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + WORDS, side="right")))
+                a, b = np.searchsorted(rows, [at, stop])
+                row, begin, end = _stretches(rows[a:b] - at, values[a:b], min_run)
+                has, count = np.unique(row, return_counts=True)
+                ends = np.r_[0, np.cumsum(count * 8)].astype(np.int32)
+                blob = np.stack([begin, end], axis=1).astype("<i4")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[at + has]), pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(blob)])],
+                    names=["row_key", "bits"])
+                at = stop
     return run
 
 
-def _cut(text: str, stretches: np.ndarray) -> tuple[str, list[list[int]], int]:
-    """Text without the word stretches, what went as code point offsets of the
-    old text, and the number of removed words."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    out, cuts, done = [], [], 0
-    for a, b in stretches.tolist():
-        first, last = at[a][0], at[b - 1][1]
-        while last < len(text) and text[last] in " \t":
-            last += 1
-        out.append(text[done:first])
-        cuts.append([first, last])
-        done = last
-    return "".join(out) + text[done:], cuts, int((stretches[:, 1] - stretches[:, 0]).sum())
+def _cut(text: pa.Array, blobs: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Texts without the word stretches, what went as code point offsets of
+    the old texts, and the numbers of removed words."""
+    own = np.flatnonzero(pc.and_(pc.is_valid(text), pc.is_valid(blobs)).to_numpy(zero_copy_only=False))
+    found = [np.frombuffer(b, "<i4") for b in blobs.take(pa.array(own)).to_pylist()]
+    each = np.asarray([len(x) // 2 for x in found], np.int64)
+    a, b = (np.concatenate(found) if found else np.zeros(0, "<i4")).astype(np.int64).reshape(-1, 2).T
+    old = text.take(pa.array(own))
+    data, offsets = text_bytes(old)
+    begin, end = word_places(data, offsets)
+    row = np.repeat(np.arange(len(own)), each)
+    word = np.searchsorted(begin, offsets)[row]
+    first, last = begin[word + a], end[word + b - 1]
+    # the blanks behind a stretch go with it
+    other = np.append(np.flatnonzero((data != 0x20) & (data != 0x09)), len(data))
+    last = np.minimum(other[np.searchsorted(other, last)], offsets[row + 1])
+    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    cuts = np.stack([points[first], points[last]], axis=1) - points[offsets[row]][:, None]
+    step = np.zeros(len(data) + 1, np.int8)
+    step[first] += 1
+    step[last] -= 1
+    gone = np.cumsum(step, dtype=np.int8).astype(bool)
+    left = offsets - np.r_[0, np.cumsum(gone)][offsets]
+    new = pa.Array.from_buffers(pa.string(), len(own), [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(data[~gone[:-1]])])
+    changed, count, words = np.zeros(len(text), bool), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    changed[own], count[own] = True, each
+    np.add.at(words, own[row], b - a)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, cuts.size + 1, 2, dtype=np.int32)), pa.array(cuts.ravel(), pa.int64()))
+    return (pc.replace_with_mask(text.cast(pa.string()), pa.array(changed), new),
+            pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), inner), pa.array(words))
 
 
 def _remove(text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans, words = [], [], []
-            for text, blob in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                cuts, n = [], 0
-                if blob is not None and text is not None:
-                    text, cuts, n = _cut(text, np.frombuffer(blob, "<i4").reshape(-1, 2))
-                texts.append(text)
-                spans.append(cuts)
-                words.append(n)
-            cols = [pa.array(texts, pa.string()) if k == text_at else batch.column(k)
-                    for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(words, pa.int64())], names=names)
+        for part in text_slices(batches, SLICE):
+            text, spans, words = _cut(part.column(text_at), part.column(part.num_columns - 1))
+            cols = [text if k == text_at else part.column(k) for k in range(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, spans, words], names=names)
     return run
 
 
@@ -524,7 +618,9 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     # a row's units are bounded by its text; merged stretches take a few bytes a row
     key, blob, spans, removed = free_names(docs, "_ll_row", "_ll_stretches", "_ll_spans", "_ll_removed")
     merged = reliable_checkpoint(
-        found.groupBy("row_key").agg(F.collect_list(F.struct("kind", "start", "length", "stays")).alias("units"))
+        found.select("row_key", F.shiftleft(F.col("start").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("length").cast("long"), 2))
+                     .bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 1)).bitwiseOR(F.col("stays").cast("long")).alias("unit"))
+        .groupBy("row_key").agg(F.collect_list("unit").alias("units"))
         .mapInArrow(released(_merge(min_run)), "row_key long, bits binary"))
     discard(docs.sparkSession, *paths)
     merged = merged.withColumnRenamed("row_key", key).withColumnRenamed("bits", blob)
